@@ -7,6 +7,7 @@ input is scanned once for all three splits (the per-split writers share it).
 
 from __future__ import annotations
 
+import math
 from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,11 @@ def split_column(key: Column, ratios: Sequence[float] = (0.7, 0.2, 0.1), seed: i
     ``reference_order=True`` reproduces the original pipeline, where the second
     share goes to *test* and the third to *validation*.
     """
-    s0, s1, s2 = (float(r) for r in ratios)
-    total = s0 + s1 + s2
-    s0, s1 = s0 / total, s1 / total
+    r0, r1, _ = (float(r) for r in ratios)
+    total = math.fsum(float(r) for r in ratios)
     u = keyed_uniform(seed, key)
     second, third = ("test", "validation") if reference_order else ("validation", "test")
-    return F.when(u < s0, "train").when(u < s0 + s1, second).otherwise(third)
+    return F.when(u < F.lit(r0 / total), "train").when(u < F.lit((r0 + r1) / total), second).otherwise(third)
 
 
 def split_corpus(df: DataFrame, key: str = "doc_id", feature: str = "text",
