@@ -46,6 +46,11 @@ def alphabet(wc: DataFrame) -> DataFrame:
                     code_point_to_string(cp).alias("token"))
 
 
+def text_alphabet(df: DataFrame, feature: str = "text") -> DataFrame:
+    """Same alphabet straight from the texts (words concatenate to the text)."""
+    return alphabet(df.select(F.col(feature).alias("word")))
+
+
 def byte_id_table(alpha_rows) -> list:
     """256-entry list byte -> id (unknown bytes -> <unk> id 2)."""
     table = [2] * 256

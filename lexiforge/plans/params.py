@@ -54,7 +54,7 @@ def sql_split_docs() -> str:
 
 def sql_bytes(hex_col: str) -> str:
     """Hex string of UTF-8 bytes -> list of ints."""
-    return f"list_transform(range(0, length({hex_col}) // 2), lambda i: ('0x' || substr({hex_col}, 2 * i + 1, 2))::INTEGER)"
+    return f"list_transform(regexp_extract_all({hex_col}, '..'), lambda x: ('0x' || x)::INTEGER)"
 
 
 SQL_CP = ("CASE WHEN (b BETWEEN 33 AND 126) OR (b BETWEEN 161 AND 172) OR b >= 174 THEN b "
@@ -67,17 +67,17 @@ def sql_alphabet() -> str:
             "SELECT DISTINCT unnest(" + sql_bytes("hex(encode(text))") + ") AS b FROM splitdocs WHERE split = 'train')")
 
 
-def sql_byte_ids(hex_col: str) -> str:
-    """Byte-level ids with <bos>, using the `alpha_map` CTE (list of 256 ids)."""
+def sql_byte_ids(hex_col: str, map_col: str = "m") -> str:
+    """Byte-level ids with <bos>; ``map_col`` is the 256-entry id list of `alpha_map`."""
     return (f"list_concat([1::BIGINT], list_transform({sql_bytes(hex_col)}, "
-            f"lambda x: CAST((SELECT m FROM alpha_map)[x + 1] AS BIGINT)))")
+            f"lambda x: CAST({map_col}[x + 1] AS BIGINT)))")
 
 
-SQL_ALPHA_MAP = ("SELECT list(coalesce(a.id, 2) ORDER BY r.b) AS m FROM "
+SQL_ALPHA_MAP = ("SELECT list(coalesce(a.id, 2) ORDER BY r.b) AS m, count(a.id) + 3 AS vocab_size FROM "
                  "(SELECT unnest(range(0, 256)) AS b) r LEFT JOIN alpha a ON a.b = r.b")
 
 
 def sql_token_ctes() -> str:
     """WITH-list: splitdocs, alpha, alpha_map, toks(doc_id, split, ids)."""
     return (f"splitdocs AS ({sql_split_docs()}), alpha AS ({sql_alphabet()}), alpha_map AS ({SQL_ALPHA_MAP}), "
-            f"toks AS (SELECT doc_id, split, {sql_byte_ids('hex(encode(text))')} AS ids FROM splitdocs)")
+            f"toks AS (SELECT doc_id, split, {sql_byte_ids('hex(encode(text))')} AS ids FROM splitdocs, alpha_map)")

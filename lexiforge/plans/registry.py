@@ -40,4 +40,4 @@ def load_all() -> None:
         importlib.import_module(f"lexiforge.plans.{mod}")
 
 
-MODULES = ["corpus_queries"]
+MODULES = ["corpus_queries", "token_queries", "example_queries", "model_queries"]
