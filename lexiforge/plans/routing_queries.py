@@ -17,7 +17,7 @@ from lexiforge.plans.params import SEED, sql_uniform
 from lexiforge.plans.registry import register, table
 
 E = 8
-NUDGE = 1e-9
+NUDGE = 3.1e-10
 
 
 def r6(c):
@@ -119,7 +119,7 @@ def route_capacity(spark, sf_dir):
 
 
 @register("route_top1", sql=f"""WITH {SQL_TOP1}
-SELECT vec_id, expert, slot, kept, round(gate + 1e-9, 6) AS gate FROM t1""")
+SELECT vec_id, expert, slot, kept, round(gate + 3.1e-10, 6) AS gate FROM t1""")
 def route_top1(spark, sf_dir):
     r, _ = top1(spark, sf_dir)
     return r.select(F.col("row_id").alias("vec_id"), "expert", "slot", "kept", r6(F.col("gate")).alias("gate"))
@@ -130,7 +130,7 @@ def _top2_select(r):
                     "expert2", "slot2", "kept2", r6(F.col("gate2")).alias("gate2"))
 
 
-_T2_SQL_OUT = "SELECT vec_id, expert1, slot1, kept1, round(gate1 + 1e-9, 6) AS gate1, expert2, slot2, kept2, round(gate2 + 1e-9, 6) AS gate2 FROM t2"
+_T2_SQL_OUT = "SELECT vec_id, expert1, slot1, kept1, round(gate1 + 3.1e-10, 6) AS gate1, expert2, slot2, kept2, round(gate2 + 3.1e-10, 6) AS gate2 FROM t2"
 
 
 @register("route_top2", sql=f"WITH {sql_top2('sampling')} {_T2_SQL_OUT}")
@@ -146,8 +146,8 @@ def route_top2_random(spark, sf_dir):
 
 
 @register("route_overflow", sql=f"""WITH {sql_top2('sampling')}
-SELECT round(100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) + 1e-9, 6) AS overflow1,
-       round(100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) + 1e-9, 6) AS overflow2 FROM t2""")
+SELECT round(100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) + 3.1e-10, 6) AS overflow1,
+       round(100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) + 3.1e-10, 6) AS overflow2 FROM t2""")
 def route_overflow(spark, sf_dir):
     r, cap = top2(spark, sf_dir, "sampling")
     return routing_overflow(r, cap)
@@ -162,7 +162,7 @@ def routing_overflow(r, cap):
 @register("route_balance_loss", sql=f"""WITH {SQL_GATES},
 me AS (SELECT i AS e, sum(p) AS sp FROM (SELECT unnest(gates) AS p, unnest(range(0, {E})) AS i FROM gt) GROUP BY i),
 ce AS (SELECT expert1 AS e, count(*) AS nm FROM a1 WHERE NOT is_padding GROUP BY expert1)
-SELECT round(sum(sp / S * coalesce(nm, 0) / S) / {E} * {E * E} + 1e-9, 6) AS l_aux FROM me LEFT JOIN ce USING (e), sz""")
+SELECT round(sum(sp / S * coalesce(nm, 0) / S) / {E} * {E * E} + 3.1e-10, 6) AS l_aux FROM me LEFT JOIN ce USING (e), sz""")
 def route_balance_loss(spark, sf_dir):
     r, _ = top1(spark, sf_dir)
     n = table(spark, sf_dir, "embeddings").count()
@@ -171,7 +171,7 @@ def route_balance_loss(spark, sf_dir):
 
 
 @register("gate_entropy", sql=f"""WITH {SQL_GATES}
-SELECT vec_id, round(-list_sum(list_transform(gates, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END)) + 1e-9, 6) AS entropy FROM gt""")
+SELECT vec_id, round(-list_sum(list_transform(gates, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END)) + 3.1e-10, 6) AS entropy FROM gt""")
 def gate_entropy(spark, sf_dir):
     g = gate_rows(spark, sf_dir)
     return g.select(F.col("row_id").alias("vec_id"), r6(routing.entropy(routing.softmax(F.col("logits")))).alias("entropy"))
@@ -184,7 +184,7 @@ hist AS (SELECT CAST(expert AS INTEGER) AS expert, 100.0 * coalesce(n, 0) / S AS
 
 
 @register("expert_histogram", sql=f"""WITH {SQL_GATES}{_SQL_HIST}
-SELECT expert, round(pct + 1e-9, 6) AS pct FROM hist""")
+SELECT expert, round(pct + 3.1e-10, 6) AS pct FROM hist""")
 def expert_histogram(spark, sf_dir):
     r, _ = top1(spark, sf_dir)
     n = table(spark, sf_dir, "embeddings").count()
@@ -197,7 +197,7 @@ _K = max(math.ceil(E * routing.SAMPLE_FRACTION), 1)
 
 @register("expert_balance", sql=f"""WITH {SQL_GATES}{_SQL_HIST},
 rk AS (SELECT *, row_number() OVER (ORDER BY pct DESC, expert) AS rd, row_number() OVER (ORDER BY pct, expert DESC) AS ra FROM hist)
-SELECT round(sum(pct) FILTER (WHERE rd <= {_K}) + 1e-9, 6) AS balance_top, round(sum(pct) FILTER (WHERE ra <= {_K}) + 1e-9, 6) AS balance_bottom,
+SELECT round(sum(pct) FILTER (WHERE rd <= {_K}) + 3.1e-10, 6) AS balance_top, round(sum(pct) FILTER (WHERE ra <= {_K}) + 3.1e-10, 6) AS balance_bottom,
        CAST(count(*) FILTER (WHERE pct = 0) AS INTEGER) AS unused FROM rk""")
 def expert_balance(spark, sf_dir):
     r, _ = top1(spark, sf_dir)
@@ -213,8 +213,8 @@ bal AS (SELECT sum(pct) FILTER (WHERE rd <= {_K}) AS bt, sum(pct) FILTER (WHERE
 ov AS (SELECT 100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) AS o1,
               100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) AS o2,
               avg(-list_sum(list_transform(gates, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END))) AS ent FROM t2)
-SELECT round(ent + 1e-9, 6) AS entropy_gating, CAST(unused AS INTEGER) AS unused_expert1, round(bt + 1e-9, 6) AS balance_top,
-       round(bb + 1e-9, 6) AS balance_bottom, round(o1 + 1e-9, 6) AS overflow1, round(o2 + 1e-9, 6) AS overflow2 FROM bal, ov""")
+SELECT round(ent + 3.1e-10, 6) AS entropy_gating, CAST(unused AS INTEGER) AS unused_expert1, round(bt + 3.1e-10, 6) AS balance_top,
+       round(bb + 3.1e-10, 6) AS balance_bottom, round(o1 + 3.1e-10, 6) AS overflow1, round(o2 + 3.1e-10, 6) AS overflow2 FROM bal, ov""")
 def route_report(spark, sf_dir):
     """One metadata row: entropy, unused buckets, balance, overflow."""
     r, cap = top2(spark, sf_dir, "sampling")
@@ -251,7 +251,7 @@ def slot_index_priority(spark, sf_dir):
 @register("route_combine", sql=f"""WITH {sql_top2('sampling')},
 emb0 AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v0 FROM embeddings),
 bv AS (SELECT expert1 AS e, avg(v0) AS bval FROM t2 JOIN emb0 USING (vec_id) WHERE kept1 GROUP BY expert1)
-SELECT vec_id, round(coalesce(gate1 * b1.bval, 0.0) + coalesce(gate2 * b2.bval, 0.0) + 1e-9, 6) AS combined
+SELECT vec_id, round(coalesce(gate1 * b1.bval, 0.0) + coalesce(gate2 * b2.bval, 0.0) + 3.1e-10, 6) AS combined
 FROM t2 LEFT JOIN bv b1 ON b1.e = t2.expert1 AND t2.kept1 LEFT JOIN bv b2 ON b2.e = t2.expert2 AND t2.kept2""")
 def route_combine(spark, sf_dir):
     """Dispatch to buckets, per-bucket value, combine back weighted; dropped rows give 0."""
@@ -272,7 +272,7 @@ def route_combine(spark, sf_dir):
 WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.25 THEN 'inf'::DOUBLE WHEN x < -0.25 THEN 'nan'::DOUBLE ELSE CAST(x AS DOUBLE) END) AS s FROM embeddings),
 lo AS (SELECT min(v) AS lo FROM (SELECT unnest(s) AS v FROM a) WHERE NOT isnan(v) AND NOT isinf(v))
 SELECT vec_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS i,
-       round(unnest(list_transform(s, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN lo ELSE x END)) + 1e-9, 6) AS v FROM a, lo""")
+       round(unnest(list_transform(s, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN lo ELSE x END)) + 3.1e-10, 6) AS v FROM a, lo""")
 def make_finite_q(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     s = F.transform("embedding", lambda x: F.when(x > 0.25, F.lit(float("inf")))

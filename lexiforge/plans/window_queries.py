@@ -24,7 +24,7 @@ VAL_EVERY = 5
 CKPT_HOURS = 24.0
 # gamma = 31/32 times 2-decimal values gives exact decimal ties at the 6th
 # digit; both engines round value + NUDGE so a 1-ulp difference cannot split a tie.
-NUDGE = 1e-9
+NUDGE = 3.1e-10
 
 SQL_EV = ("ev AS (SELECT user_id, event_id, ts, value, event_type, "
           "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)")
@@ -36,7 +36,7 @@ def ev(spark, sf_dir):
 
 def _decay_sql(gamma_expr: str, extra_sel: str = "", extra_from: str = "", extra_on: str = "", extra_grp: str = "") -> str:
     return (f"WITH {SQL_EV} SELECT a.user_id, a.event_id, a.pos{extra_sel}, "
-            f"round(sum(b.value * pow({gamma_expr}, a.pos - b.pos)) + 1e-9, 6) AS decayed "
+            f"round(sum(b.value * pow({gamma_expr}, a.pos - b.pos)) + 3.1e-10, 6) AS decayed "
             f"FROM ev a{extra_from} JOIN ev b ON a.user_id = b.user_id AND b.pos <= a.pos{extra_on} "
             f"GROUP BY a.user_id, a.event_id, a.pos{extra_grp}")
 
@@ -59,7 +59,7 @@ def decayed_sum_chunked(spark, sf_dir):
 @register("decayed_sum_recurrent", sql=f"""
 WITH {SQL_EV}, s AS (SELECT a.user_id, a.event_id, a.pos, sum(b.value * pow({GAMMA!r}, a.pos - b.pos)) AS d
      FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.pos <= a.pos GROUP BY a.user_id, a.event_id, a.pos)
-SELECT user_id, event_id, pos, round(d / sqrt((1 - pow({GAMMA!r}, pos + 1)) / (1 - {GAMMA!r})) + 1e-9, 6) AS decayed_norm FROM s""")
+SELECT user_id, event_id, pos, round(d / sqrt((1 - pow({GAMMA!r}, pos + 1)) / (1 - {GAMMA!r})) + 3.1e-10, 6) AS decayed_norm FROM s""")
 def decayed_sum_recurrent(spark, sf_dir):
     """Recurrent form's output S / sqrt(scale) (state carried as in the layer)."""
     d = decay.decayed_sum(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", GAMMA)
@@ -70,7 +70,7 @@ def decayed_sum_recurrent(spark, sf_dir):
 @register("decayed_sum_multi", sql=(
     f"WITH {SQL_EV}, h AS (SELECT unnest(range(0, {HEADS})) AS head) "
     "SELECT a.user_id, a.event_id, a.pos, CAST(h.head AS INTEGER) AS head, "
-    "round(sum(b.value * pow(1 - pow(2, -5 - h.head), a.pos - b.pos)) + 1e-9, 6) AS decayed "
+    "round(sum(b.value * pow(1 - pow(2, -5 - h.head), a.pos - b.pos)) + 3.1e-10, 6) AS decayed "
     "FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.pos <= a.pos, h "
     "GROUP BY a.user_id, a.event_id, a.pos, h.head"))
 def decayed_sum_multi(spark, sf_dir):
