@@ -143,3 +143,58 @@ def halo_decay(df: DataFrame, keys: Sequence[str], pos: str, value: str, gamma:
     vals = F.collect_list(F.col(value)).over(w)
     d = d.withColumn(out, F.aggregate(vals, F.lit(0.0), lambda acc, x: acc * F.lit(gamma) + x))
     return d.filter("_home").drop("_b", "_home")
+
+
+def grid_product(spark, lists: dict) -> DataFrame:
+    """Cartesian product of hyper-parameter lists without a join.
+
+    Each list is exploded in turn (a bounded multiplication of a one-row
+    frame); ``grid_id`` follows itertools.product order (last list fastest).
+    """
+    names = list(lists)
+    df = spark.range(1).select()
+    for name in names:
+        vals = lists[name]
+        df = df.select("*", F.posexplode(F.array(*[F.lit(v) for v in vals])).alias(f"_i_{name}", name))
+    gid = F.lit(0)
+    for name in names:
+        gid = gid * len(lists[name]) + F.col(f"_i_{name}")
+    return df.select(gid.cast("int").alias("grid_id"), *names)
+
+
+def grid_validity(embed_dim: Column, heads: Column, value_embed_dim: Column | None = None) -> tuple[Column, Column]:
+    """(valid, reason): head dimension must be even; value dim divisible by heads."""
+    even = F.pmod(embed_dim, heads * 2) == 0
+    reason = F.when(~even, F.lit("embed_dim not divisible by 2*heads"))
+    valid = even
+    if value_embed_dim is not None:
+        vd = value_embed_dim.isNull() | (F.pmod(value_embed_dim, heads) == 0)
+        reason = reason.when(~vd, F.lit("value_embed_dim not divisible by heads"))
+        valid = valid & vd
+    return valid, reason
+
+
+def run_label(given: Column, model_type: Column, n_params: Column, lr: Column, grad_clip: Column) -> Column:
+    """Given label, else <type>_<params>_LR<lr>_GC<clip>."""
+    return F.coalesce(given, F.concat(model_type, F.lit("_"), n_params.cast("string"), F.lit("_LR"),
+                                      lr.cast("string"), F.lit("_GC"), grad_clip.cast("string")))
+
+
+def lr_at(base_lr: Column, gamma: float, epoch: Column) -> Column:
+    """Step schedule: lr * gamma^epoch."""
+    return base_lr * F.pow(F.lit(gamma), epoch)
+
+
+def latency_summary(trials: DataFrame) -> DataFrame:
+    """(seq_len, kind) -> n_trials, mean, min, max, median seconds (exact median)."""
+    return trials.groupBy("seq_len", "kind").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.avg("seconds").alias("mean_s"), F.min("seconds").alias("min_s"),
+        F.max("seconds").alias("max_s"), F.percentile(F.col("seconds"), 0.5).alias("median_s"))
+
+
+def emissions_rollup(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum duration / emissions / energy per group and the emission rate per hour."""
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.sum("duration").alias("duration_s"),
+        F.sum("emissions").alias("emissions_kg"), F.sum("energy_consumed").alias("energy"),
+        (F.sum("emissions") / (F.sum("duration") / 3600.0)).alias("kg_per_hour"))
