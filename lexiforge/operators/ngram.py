@@ -70,3 +70,48 @@ def best_next(counts: DataFrame) -> DataFrame:
     """(ctx, next_id): most frequent continuation; ties -> lowest id."""
     return counts.groupBy("ctx").agg(
         F.min_by("next_id", F.struct(-F.col("cnt"), F.col("next_id"))).alias("best_id"))
+
+
+def best_next_table(counts: DataFrame, vocab_size: int) -> DataFrame:
+    """(prev_id, best_id) for every id; an unseen context predicts id 0 (all ties)."""
+    ids = counts.sparkSession.range(vocab_size).select(F.col("id").alias("prev_id"))
+    b = best_next(counts).select(F.col("ctx")[0].alias("prev_id"), "best_id")
+    return ids.join(F.broadcast(b), "prev_id", "left").select(
+        "prev_id", F.coalesce(F.col("best_id"), F.lit(0).cast("bigint")).alias("best_id"))
+
+
+def greedy_chains(best: DataFrame, steps: int, stop_id: int | None = 0) -> DataFrame:
+    """(start_id, gen array<bigint>): greedy continuation of every start token.
+
+    Built over the vocabulary (V rows, not over the prompts): ``steps`` joins of
+    two V-row tables. With ``stop_id`` the chain ends after that id.
+    """
+    state = best.select(F.col("prev_id").alias("start_id"), F.col("prev_id").alias("last"),
+                        F.array().cast("array<bigint>").alias("gen"), F.lit(False).alias("stopped"))
+    nb = F.broadcast(best)
+    for _ in range(steps):
+        j = state.join(nb, state.last == nb.prev_id, "left")
+        nxt = F.col("best_id")
+        state = j.select(
+            "start_id",
+            F.when(F.col("stopped"), F.col("last")).otherwise(nxt).alias("last"),
+            F.when(F.col("stopped"), F.col("gen")).otherwise(F.concat("gen", F.array(nxt))).alias("gen"),
+            (F.col("stopped") | (F.lit(stop_id is not None) & (nxt == F.lit(stop_id if stop_id is not None else -1))))
+            .alias("stopped"))
+    return state.select("start_id", "gen")
+
+
+def generate(prompts: DataFrame, ids: str, chains: DataFrame) -> DataFrame:
+    """Append the greedy chain of each prompt's last token (bigram model)."""
+    last = F.element_at(F.col(ids), -1)
+    return prompts.join(F.broadcast(chains), last == F.col("start_id"), "left").drop("start_id")
+
+
+def sequence_loglik(df: DataFrame, keys: tuple, ids: str, counts: DataFrame, vocab_size: int,
+                    alpha: float) -> DataFrame:
+    """Sum of ln p(ids[i] | ids[i-1]) over a whole sequence (bigram model)."""
+    pairs = F.expr(f"transform(sequence(1, size({ids}) - 1), i -> named_struct('p', {ids}[i - 1], 'n', {ids}[i]))")
+    p = df.filter(F.size(ids) >= 2).select(*keys, F.explode(pairs).alias("z")).select(
+        *keys, F.array(F.col("z.p")).alias("ctx"), F.col("z.n").alias("next_id"))
+    s = score(p, counts, vocab_size, 2, alpha)
+    return s.groupBy(*keys).agg(F.sum("logp").alias("loglik"))
