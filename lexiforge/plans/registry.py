@@ -40,4 +40,4 @@ def load_all() -> None:
         importlib.import_module(f"lexiforge.plans.{mod}")
 
 
-MODULES = ["corpus_queries", "token_queries", "example_queries", "model_queries", "window_queries", "routing_queries", "vector_queries", "experiment_queries", "generation_queries", "io_queries"]
+MODULES = ["corpus_queries", "token_queries", "example_queries", "model_queries", "window_queries", "routing_queries", "vector_queries", "experiment_queries", "generation_queries", "io_queries", "stream_queries"]
