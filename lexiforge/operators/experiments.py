@@ -132,7 +132,7 @@ def halo_decay(df: DataFrame, keys: Sequence[str], pos: str, value: str, gamma:
     import math
     keys = list(keys)
     k = int(math.ceil(40.0 / -math.log(gamma))) if 0 < gamma < 1 else block
-    k = min(k, block)
+    block = max(block, k)          # the halo must cover the whole frame
     blk = F.floor(F.col(pos) / block)
     copies = F.array(F.struct(blk.alias("_b"), F.lit(True).alias("_home")),
                      F.struct((blk + 1).alias("_b"), F.lit(False).alias("_home")))

@@ -143,7 +143,7 @@ def format_ts(spark, sf_dir):
 
 
 # ---- segments over the long lineitem series --------------------------------------
-SQL_LI = ("li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem), "
+SQL_LI = ("li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem), "
           f"h AS (SELECT unnest(range(0, {HEADS})) AS head), "
           f"d AS (SELECT pos, CAST(head AS INTEGER) AS head, pos // {SL} AS seg, l_extendedprice AS value, "
           f"(pos % {SL}) % {RATIO} = head // {-(-HEADS // RATIO)} AS sampled FROM li, h)")
@@ -153,7 +153,7 @@ def series(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                  F.col("l_extendedprice").alias("value"))
     # (orderkey, linenumber) repeats in the generated data: order by a unique key
-    return ordered_index(li, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "pos")
+    return ordered_index(li, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value"], "pos")
 
 
 @register("segment_dilate", sql=f"WITH {SQL_LI} SELECT pos, head, seg, value FROM d WHERE sampled")
