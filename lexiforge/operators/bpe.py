@@ -37,8 +37,12 @@ def word_counts(df: DataFrame, feature: str = "text") -> DataFrame:
 
 
 def alphabet(wc: DataFrame) -> DataFrame:
-    """(byte, id, token): bytes seen in the words, ids after the specials."""
-    b = wc.select(F.explode(utf8_bytes(F.col("word"))).alias("byte")).distinct()
+    """(byte, id, token): bytes seen in the words, ids after the specials.
+
+    Bytes are de-duplicated inside each row first (at most 256 survive per
+    row), then across rows by a partial/final aggregate.
+    """
+    b = wc.select(F.explode(F.array_distinct(utf8_bytes(F.col("word")))).alias("byte")).distinct()
     cp = printable_code_point(F.col("byte"))
     # at most 256 rows: a single-partition window is bounded
     w = Window.orderBy(cp)
@@ -111,24 +115,40 @@ def _self_merge(a: int, new: int) -> F.Column:
         f"then concat(slice(acc, 1, size(acc) - 1), array({new})) else concat(acc, array(x)) end)")
 
 
-def triple_bounds(words: DataFrame, cands: list[tuple[int, int]]) -> dict:
-    """For each candidate (a, b): max count of (x, a, b) or (a, b, x) triples.
+def triple_bounds(words: DataFrame, cands: list) -> dict:
+    """bound(a, b) = max count of a triple (x, a, b) or (a, b, x), for given pairs only.
 
-    That bounds the count of any pair created by merging (a, b).
+    No pair created by merging (a, b) can be more frequent than that. Triples
+    are filtered to the candidate pairs *before* the aggregate.
     """
-    arr = "array(" + ",".join(f"named_struct('l', {a}, 'r', {b})" for a, b in cands) + ")"
+    arr = F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in cands])
     trip = F.expr(
         "transform(sequence(0, size(syms) - 3), i -> named_struct('x', syms[i], 'y', syms[i + 1], 'z', syms[i + 2]))")
-    t = (words.filter(F.size("syms") >= 3)
-         .select(F.explode(trip).alias("t"), "cnt")
-         .groupBy("t.x", "t.y", "t.z").agg(F.sum("cnt").alias("c")))
-    left = t.select(F.col("y").alias("l"), F.col("z").alias("r"), "c")    # (x, a, b)
-    right = t.select(F.col("x").alias("l"), F.col("y").alias("r"), "c")   # (a, b, x)
-    both = left.unionByName(right).filter(F.expr(f"array_contains({arr}, named_struct('l', l, 'r', r))"))
-    rows = both.groupBy("l", "r").agg(F.max("c").alias("c")).collect()
+    t = words.filter(F.size("syms") >= 3).select(F.explode(trip).alias("t"), "cnt")
+    trip_counts = (t.filter(F.array_contains(arr, F.struct(F.col("t.y").alias("l"), F.col("t.z").alias("r")))
+                            | F.array_contains(arr, F.struct(F.col("t.x").alias("l"), F.col("t.y").alias("r"))))
+                   .groupBy("t.x", "t.y", "t.z").agg(F.sum("cnt").alias("c")))
+    right = trip_counts.select(F.col("y").alias("l"), F.col("z").alias("r"), "c")
+    left = trip_counts.select(F.col("x").alias("l"), F.col("y").alias("r"), "c")
+    rows = (right.unionByName(left).filter(F.array_contains(arr, F.struct(F.col("l"), F.col("r"))))
+            .groupBy("l", "r").agg(F.max("c").alias("c")).collect())          # <= k rows
     return {(r["l"], r["r"]): r["c"] for r in rows}
 
 
+def _cheap_prefix(cands, model, by_bytes):
+    """Candidates that could share a round ignoring the count bound."""
+    out, used = [], set()
+    for i, (a, b, c) in enumerate(cands):
+        existing = by_bytes.get(model.vocab[a] + model.vocab[b])
+        if i > 0 and (a == b or a in used or b in used or existing is not None):
+            break
+        out.append((a, b))
+        used.update((a, b))
+        if a == b or existing is not None:
+            break
+    return out
+
+
 @dataclass
 class BpeModel:
     """Vocabulary (id -> bytes) and ordered merges; bounded by vocab_size."""
@@ -193,7 +213,9 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
         stale.clear()
         if not cands or cands[0][2] < 1:
             break
-        bounds = triple_bounds(active, [(a, b) for a, b, _ in cands]) if len(cands) > 1 else {}
+        prefix = _cheap_prefix(cands, model, by_bytes)
+        # the bound is only needed when a second pair could join the round
+        bounds = triple_bounds(active, prefix[:-1]) if len(prefix) > 1 else {}
         taken = _accept_batch(cands, bounds, model, by_bytes, vocab_size)
         if not taken:
             break
