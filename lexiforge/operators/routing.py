@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.hashing import gumbel, keyed_uniform
 from lexiforge.operators.ordering import ordered_index
+from lexiforge.session import cut_lineage
 
 # ---- fixed values ----------------------------------------------------------
 EVAL_CAPACITY_TOKEN_FRACTION = 0.25
@@ -75,6 +76,7 @@ def route_top1(df: DataFrame, num_experts: int, capacity_factor: float = 1.0,
     cap = capacity(n, num_experts, 1, capacity_factor)
     g = df.withColumn("gates", softmax(F.col("logits"))).withColumn("expert", argmax(F.col("gates")))
     g = g.withColumn("max_gate", F.array_max("gates")).withColumn("gate_raw", F.element_at("gates", F.col("expert") + 1))
+    g = cut_lineage(g.drop("logits"))          # reused by the slot index and the result
     routed = g.filter(~F.col("is_padding"))
     if prioritized:
         routed = routed.withColumn("_neg_gate", -F.col("max_gate"))
@@ -109,6 +111,9 @@ def route_top2(df: DataFrame, num_experts: int, policy: str = "sampling", seed:
     if policy == "random":
         m2 = m2 & (F.lit(2.0) * F.col("g2") > keyed_uniform(seed, F.col("row_id")))
     g = g.withColumn("m1", ~F.col("is_padding")).withColumn("m2", m2)
+    # the routed-row table feeds three branches (two slot indexes and the
+    # result): materialise it once instead of re-deriving gates and choices
+    g = cut_lineage(g.drop("logits"))
     s1 = _slots(g.filter("m1").select("row_id", "expert1"), "expert1", "slot1", ["row_id"])
     s2 = _slots(g.filter("m2").select("row_id", "expert2"), "expert2", "_s2", ["row_id"])
     first_counts = g.filter("m1").groupBy("expert1").agg(F.count(F.lit(1)).alias("_n1"))

@@ -12,8 +12,21 @@ from lexiforge.plans.params import (BPE_MERGES, SEQ_LEN, SQL_ALPHA_MAP, sql_alph
 from lexiforge.plans.registry import register
 
 
+_VOCAB_CACHE: dict = {}
+
+
 def byte_vocab(spark, sf_dir):
-    """(byte -> id list of 256, vocab hex list, vocab size) of the byte-level vocabulary."""
+    """(byte -> id list of 256, vocab hex list, vocab size) of the byte-level vocabulary.
+
+    The alphabet (<= 256 rows) is computed once per session and input folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VOCAB_CACHE:
+        _VOCAB_CACHE[key] = _byte_vocab(spark, sf_dir)
+    return _VOCAB_CACHE[key]
+
+
+def _byte_vocab(spark, sf_dir):
     rows = bpe.text_alphabet(train_docs(spark, sf_dir)).collect()   # <= 256 rows
     lut = bpe.byte_id_table(rows)
     vocab_hex = [t.encode("utf-8").hex().upper() for t in SPECIAL_TOKENS]
