@@ -39,9 +39,15 @@ def pretokenize(col: Column) -> Column:
 
 
 def utf8_bytes(col: Column) -> Column:
-    """String -> array<int> of its UTF-8 bytes (linear: regex split of the hex)."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(col, "UTF-8")), F.lit(".."), 0),
-                       lambda x: F.conv(x, 16, 10).cast("int"))
+    """String -> array<int> of its UTF-8 bytes.
+
+    The UTF-8 bytes are decoded as ISO-8859-1, which maps every byte to one
+    character with the same code, so ``ascii`` of each character is the byte
+    (linear, no per-byte number parsing).
+    """
+    latin = F.decode(F.encode(col, "UTF-8"), "ISO-8859-1")
+    return F.when(F.length(latin) == 0, F.array().cast("array<int>")).otherwise(
+        F.transform(F.split(latin, ""), lambda c: F.ascii(c)))
 
 
 def printable_code_point(b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import encode, ngram
 from lexiforge.plans.example_queries import sql_with
-from lexiforge.plans.model_queries import SQL_MODEL, model_positions
+from lexiforge.plans.model_queries import SQL_MODEL, train_positions
 from lexiforge.plans.params import NGRAM_ALPHA
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
@@ -18,7 +18,7 @@ TASK = "benchmark"
 
 def fitted(spark, sf_dir):
     lut, vocab_hex, vsize = byte_vocab(spark, sf_dir)
-    counts = ngram.fit(model_positions(spark, sf_dir).filter(F.col("split") == "train"))
+    counts = ngram.fit(train_positions(spark, sf_dir))
     return lut, vsize, counts
 
 

@@ -104,7 +104,7 @@ FROM (SELECT split, step, 'loss' AS name, loss AS value FROM st UNION ALL SELECT
 def metrics_log(spark, sf_dir):
     """Append-only metric table (validation, then test), read back."""
     path = scratch_path(spark, "metrics")
-    s, _ = scored(spark, sf_dir)
+    s, _ = scored(spark, sf_dir, batches=True)
     st = s.groupBy("split", F.col("batch_id").alias("step")).agg((F.sum(-F.col("logp")) / F.count(F.lit(1))).alias("loss"))
     rows = st.select("split", "step", F.array(F.struct(F.lit("loss").alias("name"), F.col("loss").alias("value")),
                                               F.struct(F.lit("perplexity").alias("name"), F.exp("loss").alias("value"))).alias("m"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.operators import examples, ngram
-from lexiforge.plans.example_queries import sharded_pairs, sql_with
+from lexiforge.plans.example_queries import pairs, sharded_pairs, sql_with
 from lexiforge.plans.params import NGRAM_ALPHA, SEQ_LEN
 from lexiforge.plans.registry import register
 from lexiforge.plans.token_queries import byte_vocab
@@ -20,11 +20,21 @@ def model_positions(spark, sf_dir):
     return ngram.with_positions(p, KEEP, ORDER)
 
 
-def scored(spark, sf_dir, splits=("validation", "test")):
+def train_positions(spark, sf_dir):
+    """Training positions only; fitting needs no shard or batch column."""
+    p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split") == "train"), SEQ_LEN)
+    return ngram.with_positions(p, ("doc_id", "split"), ORDER)
+
+
+def scored(spark, sf_dir, splits=("validation", "test"), batches=False):
+    """Scored evaluation positions; shard/batch columns only when asked for."""
     _, _, vsize = byte_vocab(spark, sf_dir)
-    pos = model_positions(spark, sf_dir)
-    counts = ngram.fit(pos.filter(F.col("split") == "train"))
-    ev = pos.filter(F.col("split").isin(*splits))
+    counts = ngram.fit(train_positions(spark, sf_dir))
+    if batches:
+        ev = model_positions(spark, sf_dir).filter(F.col("split").isin(*splits))
+    else:
+        p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split").isin(*splits)), SEQ_LEN)
+        ev = ngram.with_positions(p, ("doc_id", "split"), ORDER)
     return ngram.score(ev, counts, vsize, ORDER, NGRAM_ALPHA), vsize
 
 
@@ -43,8 +53,7 @@ SQL_MODEL = [
 @register("ngram_fit", sql=f"""{sql_with(*SQL_MODEL)}
 SELECT prev_id, next_id, cnt FROM cnt""")
 def ngram_fit(spark, sf_dir):
-    pos = model_positions(spark, sf_dir).filter(F.col("split") == "train")
-    return ngram.fit(pos).select(F.col("ctx")[0].alias("prev_id"), "next_id", "cnt")
+    return ngram.fit(train_positions(spark, sf_dir)).select(F.col("ctx")[0].alias("prev_id"), "next_id", "cnt")
 
 
 @register("ngram_score", sql=f"""{sql_with(*SQL_MODEL)}
@@ -72,7 +81,7 @@ SELECT split, round(avg(exp(loss)), 6) AS perplexity_mean_of_batches,
        round(exp(sum(loss * n) / sum(n)), 6) AS perplexity_of_mean, count(*) AS n_batches
 FROM bl GROUP BY split""")
 def perplexity(spark, sf_dir):
-    s, _ = scored(spark, sf_dir)
+    s, _ = scored(spark, sf_dir, batches=True)
     b = batch_losses(s)
     return b.groupBy("split").agg(
         F.round(F.avg(F.exp("loss")), 6).alias("perplexity_mean_of_batches"),
@@ -85,7 +94,7 @@ SELECT split, batch_id AS step, round(sum(-logp) / count(*), 6) AS loss, count(*
 FROM scored GROUP BY ROLLUP (split, batch_id)""")
 def metrics_rollup(spark, sf_dir):
     """Step-level (synchronised across shards) and epoch-level loss in one pass."""
-    s, _ = scored(spark, sf_dir)
+    s, _ = scored(spark, sf_dir, batches=True)
     return s.rollup("split", F.col("batch_id").alias("step")).agg(
         F.round(F.sum(-F.col("logp")) / F.count(F.lit(1)), 6).alias("loss"),
         F.count(F.lit(1)).alias("n_positions"))
