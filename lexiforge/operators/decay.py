@@ -3,8 +3,8 @@
 ``o_n = sum_{m <= n} gamma^(n-m) v_m`` per key in a given order (retention-style
 decay). Three forms:
 
-* ``decayed_sum_parallel``: the definition, ``aggregate`` over the causal frame
-  (O(n^2) per key) -- only for short groups and as a reference.
+* ``experiments.halo_decay``: the definition over a causal frame bounded by
+  precision (terms below gamma^K < e^-40 dropped), in blocks with a halo.
 * ``decayed_sum``: chunk form. Positions come from the skew-safe ordered index;
   inside a chunk of C rows the closed form ``gamma^j * cumsum(gamma^-j v)`` is
   exact and cannot overflow (C * ln(1/gamma) <= 600); chunk totals are carried
@@ -89,42 +89,38 @@ def decayed_norm(decayed: str, pos: str, gamma: float):
     return F.col(decayed) / F.sqrt(scale)
 
 
-def decayed_sum_parallel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                         gamma: float, out: str = "decayed") -> DataFrame:
-    """Definition over the causal frame (O(n^2) per key): short groups only."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vals = F.collect_list(F.col(value)).over(w)
-    return df.withColumn(out, F.aggregate(vals, F.lit(0.0), lambda acc, x: acc * F.lit(gamma) + x))
+def _prefix(df: DataFrame, keys: list, idx: str, value: str, out: str, agg, inclusive: bool,
+            chunk: int, levels: int) -> DataFrame:
+    """agg of ``value`` over earlier (or earlier-or-equal) rows of the key.
 
+    Running aggregate inside chunks of ``chunk`` rows; the aggregate of all
+    earlier chunks comes from the per-chunk table, itself handled the same way
+    for ``levels`` more levels, so the top window holds n / chunk^(levels+1)
+    rows of a key.
+    """
+    c, tin, tm, tb = f"_c{levels}", f"_in{levels}", f"_m{levels}", f"_before{levels}"
+    d = df.withColumn(c, F.floor(F.col(idx) / chunk))
+    w_in = Window.partitionBy(*keys, c).orderBy(idx).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    d = d.withColumn(tin, agg(value).over(w_in))
+    per = d.groupBy(*keys, c).agg(agg(value).alias(tm))
+    if levels > 0:
+        per = _prefix(per, keys, c, tm, tb, agg, False, chunk, levels - 1).drop(tm)
+    else:
+        w_ch = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn(tb, agg(tm).over(w_ch)).drop(tm)
+    combine = F.least if agg is F.min else F.greatest
+    res = d.join(per, [*keys, c], "left").withColumn(out, combine(F.col(tin), F.col(tb)))
+    return res.drop(c, tin, tb)
 
-def prefix_min_before(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str,
-                      chunk: int = 4096) -> DataFrame:
-    """Minimum of ``value`` over earlier rows of the key (NULL for the first).
 
-    Two levels: running minimum inside chunks of ``chunk`` rows, and the
-    minimum of all earlier chunks from the per-chunk table (n / chunk rows).
-    """
-    keys = list(keys)
-    d = df.withColumn("_c", F.floor(F.col(idx) / chunk))
-    w_in = Window.partitionBy(*keys, "_c").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.min(value).over(w_in))
-    per = d.groupBy(*keys, "_c").agg(F.min(value).alias("_m"))
-    w_ch = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.min("_m").over(w_ch)).drop("_m")
-    res = d.join(per, [*keys, "_c"], "left").withColumn(
-        out, F.least(F.col("_in"), F.col("_before")))
-    return res.drop("_c", "_in", "_before")
+def prefix_min_before(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str,
+                      chunk: int = 4096, levels: int = 1) -> DataFrame:
+    """Minimum of ``value`` over earlier rows of the key (NULL for the first)."""
+    return _prefix(df, list(keys), idx, value, out, F.min, False, chunk, levels)
 
 
 def prefix_max_before(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str,
-                      chunk: int = 4096) -> DataFrame:
-    """Maximum over earlier-or-equal rows (inclusive running max), two levels."""
-    keys = list(keys)
-    d = df.withColumn("_c", F.floor(F.col(idx) / chunk))
-    w_in = Window.partitionBy(*keys, "_c").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.max(value).over(w_in))
-    per = d.groupBy(*keys, "_c").agg(F.max(value).alias("_m"))
-    w_ch = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.max("_m").over(w_ch)).drop("_m")
-    res = d.join(per, [*keys, "_c"], "left").withColumn(out, F.greatest(F.col("_in"), F.col("_before")))
-    return res.drop("_c", "_in", "_before")
+                      chunk: int = 4096, levels: int = 1) -> DataFrame:
+    """Maximum over earlier-or-equal rows (inclusive running max)."""
+    return _prefix(df, list(keys), idx, value, out, F.max, True, chunk, levels)

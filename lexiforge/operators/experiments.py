@@ -53,11 +53,14 @@ def checkpoint_topk(df: DataFrame, keys: Sequence[str], pos: str, value: str, k:
         top = ordered_index(df.select(*keys, pos, value), keys, [value, pos], "_r").select(
             *keys, pos, (F.col("_r") + 1).cast("int").alias("topk_rank"))
     else:
-        d = df.select(*keys, pos, value).withColumn("_c", F.floor(F.col(pos) / CHUNK))
-        w1 = Window.partitionBy(*keys, "_c").orderBy(value, pos)
-        cand = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-        w2 = Window.partitionBy(*keys).orderBy(value, pos)       # <= k per chunk
-        top = (cand.withColumn("topk_rank", F.row_number().over(w2)).filter(F.col("topk_rank") <= k)
+        # top-k per chunk, then per chunk of chunks, then per run: each window
+        # holds at most CHUNK rows or k * CHUNK candidates
+        cand = df.select(*keys, pos, value)
+        for level, width in enumerate((CHUNK, CHUNK * CHUNK)):
+            w = Window.partitionBy(*keys, F.floor(F.col(pos) / width)).orderBy(value, pos)
+            cand = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        w_run = Window.partitionBy(*keys).orderBy(value, pos)
+        top = (cand.withColumn("topk_rank", F.row_number().over(w_run)).filter(F.col("topk_rank") <= k)
                .select(*keys, pos, F.col("topk_rank").cast("int")))
     res = top.join(last, [*keys, pos], "full_outer")
     return res.select(*keys, pos, "topk_rank", F.coalesce(F.col("is_last"), F.lit(False)).alias("is_last"))

@@ -25,16 +25,34 @@ def test_chunk_form_matches_recurrence(spark, n):
     assert got == pytest.approx(brute(vals, GAMMA), rel=1e-12, abs=1e-9)
 
 
+def parallel_reference(df, keys, order, value, gamma, out):
+    """Brute force: the definition over the whole causal frame (tests only)."""
+    from pyspark.sql.window import Window
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.aggregate(F.collect_list(F.col(value)).over(w), F.lit(0.0),
+                                          lambda acc, x: acc * F.lit(gamma) + x))
+
+
 def test_three_forms_agree_on_events(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "ts", "value")
     c = decay.decayed_sum(ev, ["user_id"], ["ts", "event_id"], "value", GAMMA, out="c")
     h = experiments.halo_decay(c, ["user_id"], "pos", "value", GAMMA, "h", block=8)
-    p = decay.decayed_sum_parallel(c, ["user_id"], ["pos"], "value", GAMMA, out="p")
+    p = parallel_reference(c, ["user_id"], ["pos"], "value", GAMMA, "p")
     j = h.join(p.select("event_id", "p"), "event_id")
     assert j.filter(F.abs(F.col("c") - F.col("p")) > 1e-9).count() == 0
     assert j.filter(F.abs(F.col("h") - F.col("p")) > 1e-9).count() == 0
 
 
+def test_prefix_levels(spark):
+    vals = [5.0, 4.0, 6.0, 3.0, 7.0, 2.0, 8.0, 1.0, 9.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(vals)], "k long, i long, v double")
+    got = decay.prefix_min_before(df, ["k"], "i", "v", "m", chunk=2, levels=2).orderBy("i").collect()
+    want = [None] + [min(vals[:i]) for i in range(1, len(vals))]
+    assert [r["m"] for r in got] == want
+    got = decay.prefix_max_before(df, ["k"], "i", "v", "m", chunk=2, levels=1).orderBy("i").collect()
+    assert [r["m"] for r in got] == [max(vals[:i + 1]) for i in range(len(vals))]
+
+
 def test_small_gamma_and_block_fold():
     v = [1.0, 2.0, 3.0, 4.0]
     assert list(_decay_block(__import__("numpy").array(v), 0.5, 0.0)) == pytest.approx(brute(v, 0.5))
