@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.session import cut_lineage
+
 BROADCAST_LIMIT_BYTES = 64 << 20
 COUNT_ROW_BYTES = 48
 
@@ -40,9 +42,15 @@ def with_positions(pairs: DataFrame, keep: tuple, order: int) -> DataFrame:
                       context_col(order).alias("ctx"), "next_id")
 
 
-def fit(positions: DataFrame) -> DataFrame:
-    """(ctx, next_id, cnt): partial + final hash aggregate."""
-    return positions.groupBy("ctx", "next_id").agg(F.count(F.lit(1)).alias("cnt"))
+def fit(positions: DataFrame, materialise: bool = True) -> DataFrame:
+    """(ctx, next_id, cnt): partial + final hash aggregate.
+
+    The count table is read by several joins (counts, context totals, best
+    continuation); it is checkpointed once so the corpus is not re-tokenized
+    for each of them.
+    """
+    counts = positions.groupBy("ctx", "next_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return cut_lineage(counts) if materialise else counts
 
 
 def context_totals(counts: DataFrame) -> DataFrame:
@@ -76,8 +84,9 @@ def best_next_table(counts: DataFrame, vocab_size: int) -> DataFrame:
     """(prev_id, best_id) for every id; an unseen context predicts id 0 (all ties)."""
     ids = counts.sparkSession.range(vocab_size).select(F.col("id").alias("prev_id"))
     b = best_next(counts).select(F.col("ctx")[0].alias("prev_id"), "best_id")
-    return ids.join(F.broadcast(b), "prev_id", "left").select(
-        "prev_id", F.coalesce(F.col("best_id"), F.lit(0).cast("bigint")).alias("best_id"))
+    # V rows, read by every generation step: materialise once
+    return cut_lineage(ids.join(F.broadcast(b), "prev_id", "left").select(
+        "prev_id", F.coalesce(F.col("best_id"), F.lit(0).cast("bigint")).alias("best_id")))
 
 
 def greedy_chains(best: DataFrame, steps: int, stop_id: int | None = 0) -> DataFrame:

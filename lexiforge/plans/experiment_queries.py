@@ -15,6 +15,7 @@ from lexiforge.plans.params import NGRAM_ALPHA, SEQ_LEN
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
 from lexiforge.plans.token_queries import byte_vocab
+from lexiforge.session import cut_lineage
 
 # ---- fixed grid values ----------------------------------------------------
 LEARNING_RATES = [0.01, 0.001]
@@ -64,8 +65,9 @@ def grid_results(spark, sf_dir):
     """(grid_id, order, alpha, split, loss): every grid point in one job."""
     _, _, vsize = byte_vocab(spark, sf_dir)
     pos = grid_positions(spark, sf_dir)
-    counts = pos.filter(F.col("split") == "train").groupBy("order", "ctx", "next_id").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    # small table read by two joins: materialise once (see ngram.fit)
+    counts = cut_lineage(pos.filter(F.col("split") == "train").groupBy("order", "ctx", "next_id").agg(
+        F.count(F.lit(1)).alias("cnt")))
     tot = counts.groupBy("order", "ctx").agg(F.sum("cnt").alias("ctx_cnt"))
     bound = vsize ** max(ORDERS)
     ev = (pos.filter(F.col("split").isin("validation", "test"))
