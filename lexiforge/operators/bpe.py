@@ -194,7 +194,7 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
               checkpoint_every: int = 8) -> tuple[BpeModel, DataFrame]:
     """Learn merges until ``vocab_size`` tokens or no pair is left.
 
-    Returns the model and the final word table (word, syms, cnt).
+    Returns the model and the final table of words still longer than one symbol.
     """
     alpha_rows = alphabet(wc).collect()          # <= 256 rows
     model = BpeModel(byte_id_table(alpha_rows))
@@ -203,7 +203,7 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
     for r in alpha_rows:
         model.vocab[r["id"]] = (r["byte"],)
     by_bytes = {v: i for i, v in model.vocab.items() if i >= len(SPECIAL_TOKENS)}
-    words = cut_lineage(to_symbols(wc, model.byte_ids).filter(F.size("syms") >= 1))
+    words = cut_lineage(to_symbols(wc, model.byte_ids).filter(F.size("syms") >= 2))
     stale = []
     while len(model.vocab) < vocab_size:
         active = words.filter(F.size("syms") >= 2)
@@ -215,7 +215,12 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
             break
         prefix = _cheap_prefix(cands, model, by_bytes)
         # the bound is only needed when a second pair could join the round
-        bounds = triple_bounds(active, prefix[:-1]) if len(prefix) > 1 else {}
+        if len(prefix) > 1:
+            syms = sorted({x for p in prefix[:-1] for x in p})
+            near = active.filter(F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in syms])))
+            bounds = triple_bounds(near, prefix[:-1])
+        else:
+            bounds = {}
         taken = _accept_batch(cands, bounds, model, by_bytes, vocab_size)
         if not taken:
             break
@@ -227,7 +232,9 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
         model.rounds += 1
         symbols = sorted({x for a, b, _ in taken for x in (a, b)})
         touched = F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in symbols]))
-        merged = words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
+        # words reduced to one symbol can never pair again: leave them out
+        merged = (words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
+                  .filter(F.size("syms") >= 2))
         stale.append(words)
         words = cut_lineage(merged) if model.rounds % checkpoint_every == 0 else merged.persist()
     return model, words

@@ -2,10 +2,11 @@
 
 Encode is a *narrow* operator: the JVM splits text into words
 (``regexp_extract_all``), then one Arrow pass per partition maps words to ids.
-Each partition encodes every *distinct* word once (merge ranks broadcast with
-the function; their size is bounded by the vocabulary) and expands ids with
-numpy gathers, so there is no per-token Python loop, no shuffle and no join of
-token positions.
+Each batch finds its distinct words with Arrow's C++ dictionary encoding, each
+partition encodes a distinct word once (merge ranks travel with the function;
+their size is bounded by the vocabulary) and ids are expanded with numpy
+gathers, so there is no per-token Python work, no shuffle and no join of token
+positions.
 
 Decode is native: ids index a literal array of token hex strings (bounded by
 ``vocab_size``), ``array_join`` + ``unhex`` + ``decode`` rebuild the text.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +54,14 @@ def _encoder(byte_ids: list, merges: list, add_bos: bool):
             valid = np.asarray(words.is_valid().to_numpy(zero_copy_only=False))
             n_words = np.diff(np.asarray(words.offsets.to_numpy())).astype(np.int64)
             n_words[~valid] = 0
-            flat = words.flatten().to_numpy(zero_copy_only=False)
-            uniq, inverse = np.unique(flat, return_inverse=True) if len(flat) else (np.array([], object), np.array([], np.int64))
+            flat = words.flatten()
+            if len(flat):
+                # distinct words found in C++; only those become Python strings
+                de = pc.dictionary_encode(flat)
+                inverse = de.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                uniq = de.dictionary.to_pylist()
+            else:
+                inverse, uniq = np.array([], np.int64), []
             enc = []
             for w in uniq:
                 v = cache.get(w)
