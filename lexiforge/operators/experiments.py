@@ -201,3 +201,9 @@ def emissions_rollup(runs: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_runs"), F.sum("duration").alias("duration_s"),
         F.sum("emissions").alias("emissions_kg"), F.sum("energy_consumed").alias("energy"),
         (F.sum("emissions") / (F.sum("duration") / 3600.0)).alias("kg_per_hour"))
+
+
+def default_if_falsy(col: Column, default) -> Column:
+    """Python-style default: NULL, 0 or an empty string/array take ``default``."""
+    falsy = col.isNull() | col.cast("string").isin("0", "0.0", "", "[]")
+    return F.when(falsy, F.lit(default)).otherwise(col)

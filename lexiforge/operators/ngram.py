@@ -124,3 +124,33 @@ def sequence_loglik(df: DataFrame, keys: tuple, ids: str, counts: DataFrame, voc
         *keys, F.array(F.col("z.p")).alias("ctx"), F.col("z.n").alias("next_id"))
     s = score(p, counts, vocab_size, 2, alpha)
     return s.groupBy(*keys).agg(F.sum("logp").alias("loglik"))
+
+
+# ---- scorer registry: model name -> factory (only the count model is built) ----
+SCORERS: dict = {}
+
+
+def register_scorer(name: str):
+    def deco(factory):
+        SCORERS[name.lower()] = factory
+        return factory
+    return deco
+
+
+@register_scorer("ngram")
+def ngram_scorer(order: int = 2, alpha: float = 0.1):
+    """fit(positions) -> counts; score(positions, counts, V) -> positions with logp."""
+    class _Scorer:
+        def fit(self, positions):
+            return fit(positions)
+
+        def score(self, positions, counts, vocab_size):
+            return score(positions, counts, vocab_size, order, alpha)
+    return _Scorer()
+
+
+def get_scorer(name: str, **kw):
+    try:
+        return SCORERS[name.lower()](**kw)
+    except KeyError:
+        raise ValueError(f"model type '{name}' not supported") from None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import examples
 from lexiforge.plans.params import BATCH_SIZE, NUM_WORKERS, SEQ_LEN, WORLD_SIZE, sql_token_ctes
-from lexiforge.plans.registry import register
+from lexiforge.plans.registry import register, table
 from lexiforge.plans.token_queries import byte_tokens
 
 L = SEQ_LEN
@@ -110,3 +110,24 @@ def pad_batches(spark, sf_dir):
                     F.pmod(F.col("idx_in_shard"), F.lit(BATCH_SIZE)).alias("slot"), "doc_id")
     out = examples.pad_batches(rows, BATCH_SIZE, by=("rank", "worker"))
     return out.select("rank", "worker", "batch_id", F.col("slot").cast("bigint"), "doc_id", "is_padding")
+
+
+@register("token_lookup", sql=f"""{sql_with()},
+x AS (SELECT doc_id, CAST(unnest(range(0, {L})) AS INTEGER) AS pos, unnest(px) AS x_id FROM padded WHERE split = 'validation'),
+emb AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) AS norm FROM embeddings, alpha_map WHERE vec_id < vocab_size)
+SELECT doc_id, pos, x_id, round(CASE WHEN x_id = 0 THEN 0.0 ELSE coalesce(norm, 0.0) END + 3.1e-10, 6) AS vec_norm
+FROM x LEFT JOIN emb ON emb.vec_id = x.x_id""")
+def token_lookup(spark, sf_dir):
+    """Id -> vector lookup (the embeddings table as an embedding matrix indexed by
+    token id); the pad id gives the zero vector. The matrix side is cut to the
+    vocabulary (V rows), so broadcasting it has a proven bound."""
+    from lexiforge.functions.vectors import asum
+    from lexiforge.plans.token_queries import byte_vocab
+    _, _, vsize = byte_vocab(spark, sf_dir)
+    p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split") == "validation"), SEQ_LEN)
+    x = examples.position_rows(p).select("doc_id", "pos", "x_id")
+    emb = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < vsize).select(
+        F.col("vec_id").alias("x_id"), F.sqrt(asum(F.transform("embedding", lambda v: v.cast("double") * v))).alias("norm"))
+    j = x.join(F.broadcast(emb), "x_id", "left")
+    v = F.when(F.col("x_id") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("norm"), F.lit(0.0)))
+    return j.select("doc_id", "pos", "x_id", F.round(v + 3.1e-10, 6).alias("vec_norm"))

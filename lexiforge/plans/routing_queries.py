@@ -280,3 +280,14 @@ def make_finite_q(spark, sf_dir):
     fixed = routing.make_finite(emb.select("vec_id", s.alias("s")), "s")
     return fixed.select("vec_id", F.posexplode("s").alias("i", "v")).select(
         "vec_id", F.col("i").cast("int"), r6(F.col("v")).alias("v"))
+
+
+@register("gumbel_sample", sql=f"""
+SELECT vec_id, CAST(e AS INTEGER) AS e,
+       round(-ln(-ln(((('0x' || substr(md5('{SEED}:' || CAST(vec_id AS VARCHAR) || ':' || CAST(e AS VARCHAR)), 1, 8))::BIGINT) + 0.5) / 4294967296.0)) + 3.1e-10, 6) AS g
+FROM embeddings, (SELECT unnest(range(0, {E})) AS e)""")
+def gumbel_sample(spark, sf_dir):
+    """Gumbel(0, 1) noise per row and bucket, keyed by (seed, row, bucket)."""
+    from lexiforge.functions.hashing import gumbel
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(E - 1))).alias("e"))
+    return emb.select("vec_id", F.col("e").cast("int"), r6(gumbel(SEED, F.col("vec_id"), F.col("e"))).alias("g"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lexiforge.functions.text import SPECIAL_TOKENS
 from lexiforge.operators import bpe, encode
 from lexiforge.plans.corpus_queries import split_docs, train_docs
-from lexiforge.plans.params import (BPE_MERGES, SEQ_LEN, SQL_ALPHA_MAP, sql_alphabet, sql_bytes,
+from lexiforge.plans.params import (BPE_MERGES, SEED, SEQ_LEN, SQL_ALPHA_MAP, sql_alphabet, sql_bytes,
                                     sql_pretokenize, sql_split_docs, sql_token_ctes)
-from lexiforge.plans.registry import register
+from lexiforge.plans.registry import register, table
 
 
 _VOCAB_CACHE: dict = {}
@@ -164,3 +164,36 @@ def special_ids(spark, sf_dir):
     sp = spark.createDataFrame([(tok, i) for i, tok in enumerate(SPECIAL_TOKENS)], "token string, id int")
     return (sp.join(F.broadcast(occ.withColumn("id", F.col("id").cast("int"))), "id", "left")
             .select("token", "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("occurrences")))
+
+
+@register("tokenize_splits", sql=f"""
+WITH {sql_token_ctes()}
+SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv
+FROM toks WHERE split IN ('validation', 'test')""")
+def tokenize_splits(spark, sf_dir):
+    """One job tokenizes every split into a typed array<bigint> table partitioned by
+    split; reading chosen splits back prunes the other directories."""
+    from lexiforge.session import scratch_path
+    from lexiforge.sources import io
+    path = io.write_splits(byte_tokens(spark, sf_dir), scratch_path(spark, "tokenized"))
+    t = io.read_split(spark, path, ["validation", "test"])
+    return t.select("doc_id", "split", F.size("ids").cast("int").alias("n_tokens"),
+                    F.array_join("ids", ",").alias("ids_csv"))
+
+
+@register("random_tokens", sql=f"""
+WITH {sql_token_ctes()},
+b AS (SELECT item_id, CAST(strlen(text) + 1 AS INTEGER) AS n FROM benchmark)
+SELECT item_id, CAST(unnest(range(0, n)) AS INTEGER) AS i,
+       CAST(floor(unnest(list_transform(range(0, n), lambda j: (('0x' || substr(md5('{SEED}:' || CAST(item_id AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8))::BIGINT) / 4294967296.0)) * vocab_size) AS BIGINT) AS token_id
+FROM b, alpha_map""")
+def random_tokens(spark, sf_dir):
+    """Uniform random ids in [0, V) per benchmark item, as long as the item's token list
+    (deterministic: keyed by seed, item and position)."""
+    from lexiforge.functions.hashing import keyed_uniform
+    _, _, vsize = byte_vocab(spark, sf_dir)
+    b = table(spark, sf_dir, "benchmark").select(
+        "item_id", (F.octet_length("text") + 1).cast("int").alias("n"))
+    r = b.select("item_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return r.select("item_id", F.col("i").cast("int"),
+                    F.floor(keyed_uniform(SEED, F.col("item_id"), F.col("i")) * vsize).cast("bigint").alias("token_id"))

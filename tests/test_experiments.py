@@ -41,3 +41,14 @@ def test_latency_single_and_unsorted(spark):
                               "seq_len int, kind string, trial long, seconds double")
     rows = {r["seq_len"]: r for r in experiments.latency_summary(t).collect()}
     assert rows[512]["n_trials"] == 1 and rows[128]["median_s"] == 2.0
+
+
+def test_default_if_falsy_and_scorer_registry(spark):
+    import pytest
+    from lexiforge.operators import ngram
+    df = spark.createDataFrame([(None,), (0,), (7,)], "n int")
+    got = [r["d"] for r in df.select(experiments.default_if_falsy(F.col("n"), 5).alias("d")).collect()]
+    assert got == [5, 5, 7]
+    assert ngram.get_scorer("NGRAM", order=2) is not None
+    with pytest.raises(ValueError):
+        ngram.get_scorer("transformer")
