@@ -236,6 +236,8 @@ def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
         merged = (words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
                   .filter(F.size("syms") >= 2))
         stale.append(words)
+        # persist every round: an unpersisted chain of merge expressions would be
+        # inlined level into level and grow geometrically
         words = cut_lineage(merged) if model.rounds % checkpoint_every == 0 else merged.persist()
     return model, words
 

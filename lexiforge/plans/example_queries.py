@@ -17,10 +17,25 @@ def pairs(spark, sf_dir):
     return examples.causal_pairs(byte_tokens(spark, sf_dir), SEQ_LEN)
 
 
+def shards(spark, sf_dir, *extra):
+    """(doc_id, split, extra..., row_idx, rank, worker, idx_in_shard, batch_id).
+
+    The skew-safe index carries only the key columns (and what is asked for),
+    never the token arrays.
+    """
+    from lexiforge.plans.corpus_queries import split_docs
+    docs = split_docs(spark, sf_dir).select("doc_id", "split", *extra)
+    return examples.with_shards(docs, "doc_id", WORLD_SIZE, NUM_WORKERS, BATCH_SIZE, by=("split",))
+
+
 def sharded_pairs(spark, sf_dir):
-    """Pairs with (row_idx, rank, worker, idx_in_shard, batch_id) per split."""
-    return examples.with_shards(pairs(spark, sf_dir), "doc_id", WORLD_SIZE, NUM_WORKERS,
-                                BATCH_SIZE, by=("split",))
+    """Pairs with (row_idx, rank, worker, idx_in_shard, batch_id) per split; tokens are
+    built after the index, from the text carried through it."""
+    from lexiforge.operators import encode
+    from lexiforge.plans.token_queries import byte_vocab
+    lut, _, _ = byte_vocab(spark, sf_dir)
+    s = shards(spark, sf_dir, "text").withColumn("ids", encode.byte_level_ids(F.col("text"), lut)).drop("text")
+    return examples.causal_pairs(s, SEQ_LEN)
 
 
 # SQL twins ------------------------------------------------------------------
@@ -60,7 +75,7 @@ def padded_pairs(spark, sf_dir):
 @register("shard_rows", sql=f"""{sql_with()}
 SELECT doc_id, split, row_idx, rank, worker FROM shards""")
 def shard_rows(spark, sf_dir):
-    return sharded_pairs(spark, sf_dir).select("doc_id", "split", "row_idx", "rank", "worker")
+    return shards(spark, sf_dir).select("doc_id", "split", "row_idx", "rank", "worker")
 
 
 @register("shard_lengths", sql=f"""{sql_with()}
@@ -68,7 +83,7 @@ SELECT split, rank, worker, count(*) AS actual_len,
        CAST(floor(sum(count(*)) OVER (PARTITION BY split) / {TOTAL}) AS BIGINT) AS advertised_len
 FROM shards GROUP BY split, rank, worker""")
 def shard_lengths(spark, sf_dir):
-    s = sharded_pairs(spark, sf_dir)
+    s = shards(spark, sf_dir)
     return examples.shard_lengths(s, WORLD_SIZE, NUM_WORKERS, by=("split",)).withColumn(
         "advertised_len", F.col("advertised_len").cast("bigint"))
 
@@ -76,7 +91,7 @@ def shard_lengths(spark, sf_dir):
 @register("batches", sql=f"""{sql_with()}
 SELECT split, rank, worker, batch_id, count(*) AS n_rows FROM shards GROUP BY ALL""")
 def batches(spark, sf_dir):
-    s = sharded_pairs(spark, sf_dir)
+    s = shards(spark, sf_dir)
     return s.groupBy("split", "rank", "worker", "batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -105,7 +120,7 @@ spine AS (SELECT rank, worker, batch_id, CAST(unnest(range(0, {BATCH_SIZE})) AS
 r AS (SELECT rank, worker, batch_id, idx_in_shard % {BATCH_SIZE} AS slot, doc_id FROM shards WHERE split = 'validation')
 SELECT rank, worker, batch_id, slot, doc_id, doc_id IS NULL AS is_padding FROM spine LEFT JOIN r USING (rank, worker, batch_id, slot)""")
 def pad_batches(spark, sf_dir):
-    s = sharded_pairs(spark, sf_dir).filter(F.col("split") == "validation")
+    s = shards(spark, sf_dir).filter(F.col("split") == "validation")
     rows = s.select("rank", "worker", "batch_id",
                     F.pmod(F.col("idx_in_shard"), F.lit(BATCH_SIZE)).alias("slot"), "doc_id")
     out = examples.pad_batches(rows, BATCH_SIZE, by=("rank", "worker"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.operators import examples, experiments, ngram
-from lexiforge.plans.example_queries import sharded_pairs, sql_with
-from lexiforge.plans.model_queries import KEEP, SQL_MODEL
+from lexiforge.plans.example_queries import pairs, shards, sql_with
+from lexiforge.plans.model_queries import SQL_MODEL
 from lexiforge.plans.params import NGRAM_ALPHA, SEQ_LEN
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
@@ -53,8 +53,8 @@ def grid_expand(spark, sf_dir):
 
 
 def grid_positions(spark, sf_dir):
-    p = examples.padded_pairs(sharded_pairs(spark, sf_dir), SEQ_LEN)
-    parts = [ngram.with_positions(p, KEEP, o).withColumn("order", F.lit(o)) for o in ORDERS]
+    p = examples.padded_pairs(pairs(spark, sf_dir), SEQ_LEN)      # no shard columns needed
+    parts = [ngram.with_positions(p, ("doc_id", "split"), o).withColumn("order", F.lit(o)) for o in ORDERS]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -179,7 +179,7 @@ lr AS (SELECT unnest({LEARNING_RATES!r}::DOUBLE[]) AS base_lr)
 SELECT base_lr, CAST(epoch AS INTEGER) AS epoch, round(base_lr * pow({LR_GAMMA}, epoch) + 3.1e-10, 9) AS lr FROM ep, lr""")
 def lr_schedule(spark, sf_dir):
     """Step learning-rate per epoch; the number of epochs is the train split's batches per shard."""
-    s = sharded_pairs(spark, sf_dir).filter(F.col("split") == "train")
+    s = shards(spark, sf_dir).filter(F.col("split") == "train")
     ep = s.agg(F.max("batch_id").alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias("epoch"))
     lr = ep.select("epoch", F.explode(F.array(*[F.lit(x) for x in LEARNING_RATES])).alias("base_lr"))
     return lr.select("base_lr", F.col("epoch").cast("int"),
@@ -190,7 +190,7 @@ def lr_schedule(spark, sf_dir):
 SELECT DISTINCT rank, worker, batch_id, batch_id // {ACCUMULATE} AS opt_step FROM shards WHERE split = 'train'""")
 def accum_steps(spark, sf_dir):
     """Optimizer step of each training batch under gradient accumulation."""
-    s = sharded_pairs(spark, sf_dir).filter(F.col("split") == "train")
+    s = shards(spark, sf_dir).filter(F.col("split") == "train")
     return s.select("rank", "worker", "batch_id", F.floor(F.col("batch_id") / ACCUMULATE).alias("opt_step")).distinct()
 
 
