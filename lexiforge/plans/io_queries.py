@@ -13,7 +13,7 @@ from lexiforge.plans.corpus_queries import split_docs, train_docs
 from lexiforge.plans.experiment_queries import SQL_GRID, SQL_LAT, SQL_RUNS, emission_runs, grid_results, latency
 from lexiforge.plans.example_queries import sql_with
 from lexiforge.plans.generation_queries import _generate
-from lexiforge.plans.model_queries import SQL_MODEL, batch_losses, scored
+from lexiforge.plans.model_queries import SQL_MODEL, scored
 from lexiforge.plans.params import BPE_MERGES, SQL_NONBLANK, sql_split_docs
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
