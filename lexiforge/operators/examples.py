@@ -38,8 +38,9 @@ def pad_to(col: Column, seq_len: int, pad_id: int = PAD_ID) -> Column:
 
 
 def padded_pairs(df: DataFrame, seq_len: int, pad_id: int = PAD_ID) -> DataFrame:
-    return df.withColumn("x", pad_to(F.col("x"), seq_len, pad_id)).withColumn(
-        "y", pad_to(F.col("y"), seq_len, pad_id))
+    """Right-pad x and y to seq_len; ``n_real`` keeps the unpadded length."""
+    return (df.withColumn("n_real", F.size("x")).withColumn("x", pad_to(F.col("x"), seq_len, pad_id))
+            .withColumn("y", pad_to(F.col("y"), seq_len, pad_id)))
 
 
 def with_shards(df: DataFrame, order: str, world_size: int, num_workers: int,

@@ -34,10 +34,17 @@ def context_col(order: int) -> Column:
                    F.col("pos") - F.greatest(start, F.lit(0)) + 1)
 
 
-def with_positions(pairs: DataFrame, keep: tuple, order: int) -> DataFrame:
-    """Padded pairs -> one row per position with (ctx, next_id)."""
+def with_positions(pairs: DataFrame, keep: tuple, order: int, include_pad: bool = True) -> DataFrame:
+    """Padded pairs -> one row per position with (ctx, next_id).
+
+    Padding positions count in the loss by default (as in the reference);
+    ``include_pad=False`` keeps only positions inside the unpadded row.
+    """
     z = F.posexplode(F.col("y"))
-    out = pairs.select(*keep, "x", z.alias("pos", "next_id"))
+    extra = ["n_real"] if not include_pad else []
+    out = pairs.select(*keep, "x", *extra, z.alias("pos", "next_id"))
+    if not include_pad:
+        out = out.filter(F.col("pos") < F.col("n_real"))
     return out.select(*keep, F.col("pos").cast("int").alias("pos"),
                       context_col(order).alias("ctx"), "next_id")
 

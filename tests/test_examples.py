@@ -44,3 +44,11 @@ def test_ordered_index_is_skew_safe_and_exact(spark):
     b = ev.withColumn("idx2", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     j = a.join(b.select("event_id", "idx2"), "event_id")
     assert j.count() == 10000 and j.filter("idx != idx2").count() == 0
+
+
+def test_include_pad_flag(spark):
+    from lexiforge.operators import ngram
+    df = spark.createDataFrame([(1, [1, 5, 6])], "doc_id long, ids array<bigint>")
+    p = examples.padded_pairs(examples.causal_pairs(df, 4), 4)
+    assert ngram.with_positions(p, ("doc_id",), 2).count() == 4
+    assert ngram.with_positions(p, ("doc_id",), 2, include_pad=False).count() == 3
