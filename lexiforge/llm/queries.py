@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.bpe_codec import bpe_encode
 from lexiforge.llm.common import table
+from lexiforge.llm.license_scan import scan_licenses
+from lexiforge.llm.merkle import compare_with_edit
 from lexiforge.llm.packing import best_fit_pack, token_pieces
+from lexiforge.llm.topk_search import exact_topk
+from lexiforge.llm.url_reputation import host_path, host_reputation, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +45,86 @@ def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: Rules of the contract: verdict, host and path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+@query("op3_host_reputation", """
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS u FROM pages),
+r AS (
+  SELECT page_id, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM r),
+lab AS (
+  SELECT doc_id, CASE WHEN min(quality) = 1 AND max(coalesce(toxic, 0)) = 0 THEN 1 WHEN min(quality) IS NOT NULL THEN 0 END AS y
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, count(y) AS n, coalesce(sum(y), 0) AS good,
+         list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM p LEFT JOIN lab ON lab.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html)?/?$', 1), '') AS BIGINT)
+  GROUP BY host),
+m AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS m FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, least(greatest(any_value(m), 1e-3), 0.999) AS q FROM h, m GROUP BY suffix),
+s1 AS (SELECT 1 / least(greatest(coalesce((sum(CASE WHEN n > 0 THEN n * (good / n - q) ** 2 / (q * (1 - q)) END)
+   - count(CASE WHEN n > 0 THEN 1 END)) / nullif(sum(CASE WHEN n > 0 THEN n - 1 END), 0), 0), 1 / 1001.0), 0.5) - 1 AS s FROM s0),
+s2 AS (SELECT suffix, (good + q * s) / (n + s) AS rate FROM s0, s1),
+d0 AS (SELECT domain, h.suffix, sum(n) AS n, sum(good) AS good, least(greatest(any_value(rate), 1e-3), 0.999) AS q
+       FROM h JOIN s2 USING (suffix) GROUP BY ALL),
+d1 AS (SELECT 1 / least(greatest(coalesce((sum(CASE WHEN n > 0 THEN n * (good / n - q) ** 2 / (q * (1 - q)) END)
+   - count(CASE WHEN n > 0 THEN 1 END)) / nullif(sum(CASE WHEN n > 0 THEN n - 1 END), 0), 0), 1 / 1001.0), 0.5) - 1 AS s FROM d0),
+d2 AS (SELECT domain, suffix, (good + q * s) / (n + s) AS rate FROM d0, d1),
+h0 AS (SELECT host, n, good, least(greatest(rate, 1e-3), 0.999) AS q FROM h JOIN d2 USING (domain, suffix)),
+h1 AS (SELECT 1 / least(greatest(coalesce((sum(CASE WHEN n > 0 THEN n * (good / n - q) ** 2 / (q * (1 - q)) END)
+   - count(CASE WHEN n > 0 THEN 1 END)) / nullif(sum(CASE WHEN n > 0 THEN n - 1 END), 0), 0), 1 / 1001.0), 0.5) - 1 AS s FROM h0),
+h2 AS (SELECT host, good + q * s AS a, n + s AS t FROM h0, h1),
+rep AS (SELECT host, least(a / t + 1.645 * sqrt(a * (t - a) / (t * t * (t + 1))), 1) AS high FROM h2),
+rules(verdict, rule, rh, rp) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+hit AS (
+  SELECT DISTINCT host, path, first(rule ORDER BY length(rule) DESC) AS rule, first(verdict ORDER BY length(rule) DESC) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY host, path)
+SELECT p.page_id, p.host, p.path, hit.rule,
+       coalesce(hit.verdict, CASE WHEN rep.high < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path LEFT JOIN rep ON p.host = rep.host
+""")
+def host_reputation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document that its path names: good if of quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    good = F.when((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0), 1).when(F.min("quality").isNotNull(), 0)
+    labels = table(spark, sf_dir, "labels").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(good.alias("good"))
+    number = F.regexp_extract(host_path(F.col("url"))[1], "/([0-9]+)(?:[.]html)?/?$", 1).try_cast("long")
+    outcomes = pages.select("url", number.alias("doc_id")).join(labels, "doc_id", "left")
+    return judge_urls(pages, host_reputation(outcomes), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op2_exact_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""")
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op8_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = compare_with_edit(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                    "fingerprint", "edited_fingerprint", "near_edited", "near_next")
