@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.plans.registry import table
 from lexiforge.session import cut_lineage
 
-__all__ = ["NULL_ID", "batch_rows", "cut_lineage", "id_text", "partitions", "real_id", "sized_slices", "table"]
+__all__ = ["NULL_ID", "Carried", "batch_rows", "cut_lineage", "id_text", "partitions", "real_id", "sized_slices", "table"]
 
 #: A null identifier inside an operator: smaller than every other one.
 NULL_ID = -(2 ** 63)
@@ -36,7 +37,7 @@ def partitions(spark: SparkSession) -> int:
 
 def sized_slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about ``limit`` text bytes (one row at least)."""
-    ends = pa.compute.cumulative_sum(pa.compute.binary_length(batch.column(text))).to_numpy(zero_copy_only=False)
+    ends = pc.cumulative_sum(pc.binary_length(batch.column(text))).to_numpy(zero_copy_only=False)
     lo = base = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(ends.searchsorted(base + limit, "right")))
@@ -49,3 +50,24 @@ def batch_rows(columns: dict[str, pa.Array], size: int = 200_000) -> Iterator[pa
     whole = pa.RecordBatch.from_pydict(columns)
     for lo in range(0, whole.num_rows, size):
         yield whole.slice(lo, size)
+
+
+class Carried:
+    """An input whose columns travel under neutral names, so that no name can clash.
+
+    ``df`` has ``c0, c1, ...``; ``id`` and ``text`` are the names of two of them.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.docs, self.columns = docs, docs.columns
+        self.names = [f"c{k}" for k in range(len(self.columns))]
+        self.id, self.text = (self.names[self.columns.index(c)] for c in (id_col, text_col))
+        self.df = docs.toDF(*self.names)
+
+    def fields(self) -> str:
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.df.schema.fields)
+
+    def restored(self, df: DataFrame, more: dict[str, str]) -> DataFrame:
+        """The input's names again, and ``more``: new name by the name in ``df``; a new name replaces an old column."""
+        old = [F.col(n).alias(c) for n, c in zip(self.names, self.columns) if c not in more.values()]
+        return df.select(*old, *[F.col(n).alias(c) for n, c in more.items()])

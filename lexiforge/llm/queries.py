@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm.bpe_codec import bpe_encode
 from lexiforge.llm.common import table
 from lexiforge.llm.license_scan import scan_licenses
+from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
 from lexiforge.llm.packing import best_fit_pack, token_pieces
 from lexiforge.llm.topk_search import exact_topk
@@ -128,3 +129,23 @@ def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = compare_with_edit(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op4_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (
+  SELECT *, translate(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (
+  SELECT k.*, keeper IS NOT NULL AND doc_id < keeper AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
