@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.plans.registry import table
-from lexiforge.session import cut_lineage
+from lexiforge.session import cut_lineage, scratch_path
 
-__all__ = ["NULL_ID", "Carried", "batch_rows", "cut_lineage", "id_text", "partitions", "real_id", "sized_slices", "table"]
+__all__ = ["NULL_ID", "Carried", "Scratch", "batch_rows", "cut_lineage", "id_text", "partitions", "real_id", "sized_slices", "table"]
 
 #: A null identifier inside an operator: smaller than every other one.
 NULL_ID = -(2 ** 63)
@@ -71,3 +71,32 @@ class Carried:
         """The input's names again, and ``more``: new name by the name in ``df``; a new name replaces an old column."""
         old = [F.col(n).alias(c) for n, c in zip(self.names, self.columns) if c not in more.values()]
         return df.select(*old, *[F.col(n).alias(c) for n, c in more.items()])
+
+
+class Scratch:
+    """Tables of one operator's steps, written to the shared checkpoint folder and deleted at the end.
+
+    Executors can be lost between steps: what a step has written stays. Calling
+    it with a DataFrame writes and rereads it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        self.root = scratch_path(self.spark, "steps")
+        self.count = 0
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        # shuffle files of a finished step go as soon as the driver's JVM has collected its garbage
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

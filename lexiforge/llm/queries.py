@@ -14,6 +14,7 @@ from lexiforge.llm.license_scan import scan_licenses
 from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
 from lexiforge.llm.packing import best_fit_pack, token_pieces
+from lexiforge.llm.suffix_dedup import remove_repeats
 from lexiforge.llm.topk_search import exact_topk
 from lexiforge.llm.url_reputation import host_path, host_reputation, judge_urls
 
@@ -149,3 +150,9 @@ FROM m GROUP BY doc_id
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
