@@ -13,6 +13,7 @@ from lexiforge.llm.common import table
 from lexiforge.llm.license_scan import scan_licenses
 from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
+from lexiforge.llm.near_dedup import near_duplicates
 from lexiforge.llm.packing import best_fit_pack, token_pieces
 from lexiforge.llm.suffix_dedup import remove_repeats
 from lexiforge.llm.topk_search import exact_topk
@@ -156,3 +157,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
