@@ -15,6 +15,7 @@ from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
 from lexiforge.llm.near_dedup import near_duplicates
 from lexiforge.llm.packing import best_fit_pack, token_pieces
+from lexiforge.llm.quality_ranker import Ranker, learn_quality, score_quality
 from lexiforge.llm.suffix_dedup import remove_repeats
 from lexiforge.llm.topk_search import exact_topk
 from lexiforge.llm.url_reputation import host_path, host_reputation, judge_urls
@@ -162,3 +163,24 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+#: Scores from here on are predictions of label 1.
+QUALITY_CUT = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Learned from the labels outside the held-out fold."""
+    return learn_quality(docs, labels.filter(~held_out()), at=QUALITY_CUT)
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query("op7_quality_ranking")
+def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
