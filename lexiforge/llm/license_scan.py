@@ -141,7 +141,7 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, gate: str =
                                F.lit(r.confidence).alias("sure"), F.lit(r.base).alias("base")) for r in rules])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    d = d.select("doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
+    d = d.select("doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
                  F.when(F.col("text").rlike(gate), _words(F.col("text"))).alias("w"))
 
     def hits(r: Column) -> Column:

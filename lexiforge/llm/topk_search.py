@@ -45,9 +45,9 @@ def search_block(ids: np.ndarray, vertical: np.ndarray, qid: int, q: np.ndarray,
         return np.zeros(0, np.int64), []
     if np.sqrt((vertical ** 2).sum(0).max()) * np.sqrt((q * q).sum()) >= EXACT:
         whole = [int(x) for x in q]
-        scores = [sum(a * int(b) for a, b in zip(whole, col)) for col in vertical.T]
+        scores = [min(max(sum(a * int(b) for a, b in zip(whole, col)), LONG[0]), LONG[1]) for col in vertical.T]
         best = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i != qid)[:k]
-        return np.array([i for _, i in best], np.int64), [min(max(-s, LONG[0]), LONG[1]) for s, _ in best]
+        return np.array([i for _, i in best], np.int64), [-s for s, _ in best]
     q_tail = _tails(q[:, None], step)[:, 0]
     alive = np.flatnonzero(ids != qid)
     # a floor for the k-th best score: exact scores of the candidates of greatest first partial products
@@ -86,7 +86,7 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 10, scale: float =
 
     ``queries`` is a condition on ``vec_id``. Components become
     ``floor(scale * x)``; scores are whole inner products, ties go to the
-    smaller id; a score outside 64 bits is clipped to them. Rows with a null id,
+    smaller id; a score outside 64 bits counts as the nearest one inside. Rows with a null id,
     a null vector or a null or non-finite component take no part. Vectors of
     another length than the query's are not compared with it. An id that occurs
     several times stands once, with its greatest vector. No rows, no result.
