@@ -56,23 +56,34 @@ def pad_to_multiple(n: Column, m: int) -> Column:
     return F.pmod(-n, F.lit(m))
 
 
+def bucket_starts(buckets: int, max_distance: int) -> list[int]:
+    """Least distance of each bucket from 1 on: one distance a bucket up to half of them, then geometric steps.
+
+    With ``half`` exact buckets and ``rest`` others, bucket ``half + j`` starts at the least whole
+    ``d`` with ``d >= half * (max_distance / half) ** (j / rest)``, found in whole numbers.
+    """
+    half = buckets // 2
+    rest = buckets - half
+    starts, d = list(range(1, half + 1)), half
+    for j in range(1, rest):
+        while d ** rest < half ** (rest - j) * max_distance ** j:
+            d += 1
+        starts.append(d)
+    return starts
+
+
 def log_bucket(rel: Column, bidirectional: bool = True, num_buckets: int = 32,
                max_distance: int = 128) -> Column:
-    """Log-scaled relative-distance bucket (exact below max_exact, log above)."""
-    n = -rel
-    nb = num_buckets
-    ret = F.lit(0)
-    if bidirectional:
-        nb //= 2
-        ret = F.when(n < 0, F.lit(nb)).otherwise(F.lit(0))
-        n = F.abs(n)
-    else:
-        n = F.greatest(n, F.lit(0))
-    max_exact = nb // 2
-    large = F.lit(max_exact) + (F.log(n.cast("double") / max_exact) / math.log(max_distance / max_exact)
-                                * (nb - max_exact)).cast("bigint")
-    large = F.least(large, F.lit(nb - 1))
-    return (ret + F.when(n < max_exact, n).otherwise(large)).cast("int")
+    """Bucket of a relative distance: how many bucket starts the distance has reached.
+
+    Two-sided: positions ahead (``rel > 0``) use the upper half of the buckets.
+    One-sided: positions ahead count as distance 0.
+    """
+    side = num_buckets // 2 if bidirectional else num_buckets
+    distance = F.abs(rel) if bidirectional else F.greatest(-rel, F.lit(0))
+    starts = F.array(*[F.lit(d) for d in bucket_starts(side, max_distance)])
+    reached = F.size(F.filter(starts, lambda d: d <= distance))
+    return F.when(rel > 0, reached + side).otherwise(reached).cast("int") if bidirectional else reached.cast("int")
 
 
 def sincos_angles(dim: int, heads: int = 1) -> list[float]:

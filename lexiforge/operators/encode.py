@@ -14,6 +14,8 @@ Decode is native: ids index a literal array of token hex strings (bounded by
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,18 +26,37 @@ from pyspark.sql import types as T
 from lexiforge.functions.text import BOS_ID, PAD_ID, UNK_ID, pretokenize
 
 
+#: Distinct words that a task keeps encoded between batches.
+MAX_CACHED_WORDS = 500_000
+
+
 def _bpe_word(ids: list, ranks: dict) -> list:
-    """Merge the lowest-ranked adjacent pair (leftmost on ties) until none."""
-    while len(ids) > 1:
-        best, at = None, -1
-        for i in range(len(ids) - 1):
-            r = ranks.get((ids[i], ids[i + 1]))
-            if r is not None and (best is None or r[0] < best[0]):
-                best, at = r, i
-        if best is None:
-            break
-        ids = ids[:at] + [best[1]] + ids[at + 2:]
-    return ids
+    """Merge the lowest-ranked adjacent pair (leftmost on ties) until none.
+
+    A heap of (rank, position) over a linked list of symbols: n log n in the
+    length of the word. An entry is stale when its pair is no longer there.
+    """
+    n = len(ids)
+    if n < 2:
+        return ids
+    ids, right, left = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r[0], i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = right[i]
+        if ids[i] is None or j >= n:
+            continue
+        r = ranks.get((ids[i], ids[j]))
+        if r is None or r[0] != rank:
+            continue
+        ids[i], ids[j], right[i] = r[1], None, right[j]
+        if right[j] < n:
+            left[right[j]] = i
+        for a, b in ((left[i], i), (i, right[i])):
+            if a >= 0 and b < n and (r := ranks.get((ids[a], ids[b]))) is not None:
+                heapq.heappush(heap, (r[0], a))
+    return [x for x in ids if x is not None]
 
 
 def _encoder(byte_ids: list, merges: list, add_bos: bool):
@@ -48,6 +69,8 @@ def _encoder(byte_ids: list, merges: list, add_bos: bool):
     def fn(batches):
         cache: dict = {}
         for b in batches:
+            if len(cache) > MAX_CACHED_WORDS:
+                cache.clear()
             words = b.column("_words")
             if isinstance(words, pa.ChunkedArray):
                 words = words.combine_chunks()

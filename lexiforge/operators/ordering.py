@@ -24,6 +24,7 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,18 @@ from lexiforge.session import cut_lineage
 _CONST = "_ord_all"
 
 
+def _codes(col: pa.Array) -> np.ndarray:
+    """One number per distinct value of a batch; nulls are one value, NaNs another, and -0.0 is 0.0."""
+    if pa.types.is_floating(col.type):
+        col = pc.add(col, 0.0)
+    return col.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _same(a, b) -> bool:
+    """Equal as a grouping key: nulls equal nulls, NaN equals NaN."""
+    return a == b or (a != a and b != b)
+
+
 def _local_runs(key_names: Sequence[str]):
     """Arrow batch iterator -> same batches + _run (run number) + _lidx."""
 
@@ -48,12 +61,12 @@ def _local_runs(key_names: Sequence[str]):
                     list(b.columns) + [pa.array([], pa.int64()), pa.array([], pa.int64())],
                     names=list(b.schema.names) + ["_run", "_lidx"])
                 continue
-            keys = [b.column(k).to_numpy(zero_copy_only=False) for k in key_names]
+            keys = [b.column(k) for k in key_names]
             change = np.zeros(n, dtype=bool)
             for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            same_as_last = last is not None and all(
-                (k[0] == l) or (k[0] is None and l is None) for k, l in zip(keys, last))
+                code = _codes(k)
+                change[1:] |= code[1:] != code[:-1]
+            same_as_last = last is not None and all(_same(k[0].as_py(), v) for k, v in zip(keys, last))
             change[0] = not same_as_last
             idx = np.arange(n, dtype=np.int64)
             starts = np.maximum.accumulate(np.where(change, idx, -1))
@@ -61,7 +74,7 @@ def _local_runs(key_names: Sequence[str]):
             runs = run + np.cumsum(change)
             run = int(runs[-1])
             count = int(lidx[-1]) + 1
-            last = tuple(k[-1] for k in keys)
+            last = tuple(k[-1].as_py() for k in keys)
             yield pa.RecordBatch.from_arrays(
                 list(b.columns) + [pa.array(runs, pa.int64()), pa.array(lidx, pa.int64())],
                 names=list(b.schema.names) + ["_run", "_lidx"])
@@ -74,7 +87,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Add ``out`` = 0-based position of each row inside its key, by ``order``.
 
     ``order`` must make rows unique inside a key (deterministic under retries).
-    With ``keys=[]`` the index is global.
+    With ``keys=[]`` the index is global. Null keys form one key, NaN keys another.
     """
     spark = df.sparkSession
     n = n_parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -106,10 +119,14 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     offsets = (edges.withColumn("_off", F.coalesce(F.sum("_len").over(carry_w), F.lit(0)))
                .filter(F.col("_is_first") & (F.col("_off") > 0))
                .select("_pid", *keys, "_off"))
-    # offsets has at most n_parts rows: safe to broadcast.
-    res = (local.join(F.broadcast(offsets), ["_pid", *keys], "left")
+    # offsets has at most n_parts rows: safe to broadcast. Null keys are a key of their own.
+    off = offsets.select(F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_off")
+    same_key = F.col("_pid") == F.col("_opid")
+    for i, k in enumerate(keys):
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    res = (local.join(F.broadcast(off), same_key, "left")
            .withColumn(out, F.col("_lidx") + F.coalesce(F.col("_off"), F.lit(0)))
-           .drop("_pid", "_run", "_lidx", "_off"))
+           .drop("_pid", "_run", "_lidx", "_off", "_opid", *[f"_o{i}" for i in range(len(keys))]))
     if keys == [_CONST]:
         res = res.drop(_CONST)
     return res

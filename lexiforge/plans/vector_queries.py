@@ -78,14 +78,14 @@ def pad_multiple(spark, sf_dir):
 
 
 def _sql_bucket(rel: str, bidirectional: bool, nb: int = 32, maxd: int = 128) -> str:
-    if bidirectional:
-        nb //= 2
-        ret, n = f"CASE WHEN -({rel}) < 0 THEN {nb} ELSE 0 END", f"abs(-({rel}))"
-    else:
-        ret, n = "0", f"greatest(-({rel}), 0)"
-    me = nb // 2
-    large = (f"least({me} + CAST(trunc(ln(greatest({n}, 1) / {me}) / ln({maxd} / {me}) * ({nb} - {me})) AS BIGINT), {nb - 1})")
-    return f"CAST({ret} + CASE WHEN {n} < {me} THEN {n} ELSE {large} END AS INTEGER)"
+    """Counts the bucket starts up to the distance; the starts come from the power formula."""
+    side = nb // 2 if bidirectional else nb
+    half, rest = side // 2, side - side // 2
+    starts = (f"list_concat(range(1, {half + 1}), list_transform(range(1, {rest}), lambda j: "
+              f"CAST(ceil(round({half} * pow({maxd} / {half}, j / {rest}), 9)) AS BIGINT)))")
+    distance = f"abs({rel})" if bidirectional else f"greatest(-({rel}), 0)"
+    ahead = f" + CASE WHEN ({rel}) > 0 THEN {side} ELSE 0 END" if bidirectional else ""
+    return f"CAST(len(list_filter({starts}, lambda d: d <= {distance})){ahead} AS INTEGER)"
 
 
 _REL = "l_linenumber - CAST(l_quantity AS BIGINT)"

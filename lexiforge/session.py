@@ -1,14 +1,12 @@
 """Session helpers: building a session for tests/bench and locating shared storage.
 
-On a cluster the shared folder comes from ``spark.checkpoint.dir`` (set by the
-cluster). Only when it is unset *and* the master is local (tests, bench) do we
-create a private folder under the system temp directory.
+The shared folder comes from ``spark.checkpoint.dir`` (set by the cluster); where
+it is unset, from the warehouse directory. No machine-local folder is used.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,29 +41,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder; set a private one only for local sessions."""
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, as the cluster sets it.
+
+    Where it is unset (tests, a notebook) a folder under the warehouse directory,
+    which driver and executors share as well, is set for the session.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not _is_local(spark):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: lineage cuts and intermediate "
-                "tables need a shared folder on a cluster")
-        conf = tempfile.mkdtemp(prefix="lexiforge-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf)
-        except Exception:  # a static setting in some deployments; the context call below suffices
-            pass
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    sc.setCheckpointDir(conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

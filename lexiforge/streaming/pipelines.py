@@ -4,11 +4,11 @@
   byte-level ids -> (x, y) pairs -> Parquet sink. Stateless, append mode; the
   result equals the batch operator.
 * ``decayed_sum_stream``: per-key carried state (decayed sum, position, last
-  event) with ``applyInPandasWithState``. The key's rows arrive in Arrow
-  chunks; each chunk is sorted and folded with a vectorised block closed form
-  (no per-row Python loop), so a hot key never needs all its rows in memory.
-  Rows older than the key's last processed event are late: they are dropped
-  and counted in the state. An event-time watermark evicts idle keys.
+  event, rows that wait) with ``applyInPandasWithState``. All rows that a
+  micro-batch has for a key are put in order together, however Spark chunks
+  them. With a ``delay`` they wait in the state until the watermark has passed
+  them, so disorder across micro-batches up to that delay does not matter.
+  What comes too late even so is in the output, marked ``late``.
 
 Sinks and checkpoints live in shared storage (``scratch_path``), so a restarted
 query resumes from its checkpoint after executor or driver loss.
@@ -27,8 +27,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from lexiforge.operators import encode, examples, splits
 from lexiforge.session import scratch_path
 
-IDLE_TIMEOUT_MS = 7 * 24 * 3600 * 1000
-
 
 def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Stream over ``<directory>/<name>.parquet`` with the batch schema."""
@@ -44,7 +42,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def causal_pairs_stream(spark: SparkSession, directory: str, byte_ids: list, seq_len: int,
@@ -73,41 +71,64 @@ def _decay_block(v: np.ndarray, gamma: float, carry: float) -> np.ndarray:
     return out
 
 
+_EVENT = np.dtype([("us", "<i8"), ("eid", "<i8"), ("v", "<f8")])
+
+
 def decayed_sum_stream(events: DataFrame, gamma: float, key: str = "user_id", ts: str = "ts",
-                       eid: str = "event_id", value: str = "value") -> DataFrame:
-    """(key, event_id, pos, decayed) per event, with state per key."""
-    out_schema = f"{key} long, {eid} long, pos long, decayed double"
-    state_schema = "s double, n long, last_us long, last_eid long, late long"
+                       eid: str = "event_id", value: str = "value", delay: str | None = None) -> DataFrame:
+    """(key, event_id, pos, decayed, late) per event, with state per key that is never evicted.
+
+    Events count in the order of (ts, event_id). Without a ``delay`` each
+    micro-batch is worked off at once; with one, events wait until the
+    watermark (greatest event time less ``delay``) has passed them. An event
+    older than one that has been counted is ``late``, as is one without a time:
+    its ``pos`` and ``decayed`` are null and no sum contains it. A null value
+    counts as 0.
+    """
+    out_schema = f"{key} long, {eid} long, pos long, decayed double, late boolean"
+    state_schema = "s double, n long, last_us long, last_eid long, waiting binary"
+
+    def rows_of(k, events, pos, decayed, late):
+        n = len(events)
+        return pd.DataFrame({key: np.full(n, k[0], dtype=object), eid: events["eid"],
+                             "pos": pd.array(pos, "Int64"), "decayed": decayed, "late": np.full(n, late)})
 
     def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            s, n, last_us, last_eid, late = state.get
-        else:
-            s, n, last_us, last_eid, late = 0.0, 0, None, None, 0
-        for pdf in pdfs:
+        s, n, last_us, last_eid, waiting = state.get if state.exists else (0.0, 0, None, None, b"")
+        parts, timeless = [np.frombuffer(waiting, _EVENT)], []
+        for pdf in pdfs:  # the key's rows of this micro-batch, in chunks of any size and order
             if pdf.empty:
                 continue
-            us = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
-            pdf = pdf.assign(_us=us).sort_values(["_us", eid], kind="stable")
-            if last_us is not None:
-                ok = (pdf["_us"] > last_us) | ((pdf["_us"] == last_us) & (pdf[eid] > last_eid))
-                late += int((~ok).sum())
-                pdf = pdf[ok]
-                if pdf.empty:
-                    continue
-            dec = _decay_block(pdf[value].to_numpy(dtype=np.float64), gamma, s)
-            pos = n + np.arange(len(pdf), dtype=np.int64)
-            s, n = float(dec[-1]), n + len(pdf)
-            last_us, last_eid = int(pdf["_us"].iloc[-1]), int(pdf[eid].iloc[-1])
-            yield pd.DataFrame({key: np.full(len(pdf), k[0], dtype=np.int64), eid: pdf[eid].to_numpy(np.int64),
-                                "pos": pos, "decayed": dec})
-        state.update((s, n, last_us, last_eid, late))
+            e = np.empty(len(pdf), _EVENT)
+            e["us"] = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
+            e["eid"] = pdf[eid].to_numpy(np.int64)
+            e["v"] = pdf[value].astype(float).fillna(0.0).to_numpy()
+            none = pdf[ts].isna().to_numpy()
+            timeless.append(e[none])
+            parts.append(e[~none])
+        e = np.sort(np.concatenate(parts), order=["us", "eid"])
+        late = np.concatenate([np.empty(0, _EVENT), *timeless])
         if last_us is not None:
-            state.setTimeoutTimestamp(last_us // 1000 + IDLE_TIMEOUT_MS)
-
-    wm = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, "7 days")
-    return wm.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                  GroupStateTimeout.EventTimeTimeout)
+            too_late = (e["us"] < last_us) | ((e["us"] == last_us) & (e["eid"] <= last_eid))
+            late, e = np.concatenate([late, e[too_late]]), e[~too_late]
+        if len(late):
+            yield rows_of(k, late, [None] * len(late), np.full(len(late), np.nan), True)
+        now = len(e)
+        if delay is not None:
+            now = int(np.searchsorted(e["us"], state.getCurrentWatermarkMs() * 1000, "right"))
+        if now:
+            decayed = _decay_block(e["v"][:now], gamma, s)
+            yield rows_of(k, e[:now], n + np.arange(now), decayed, False)
+            s, n = float(decayed[-1]), n + now
+            last_us, last_eid = int(e["us"][now - 1]), int(e["eid"][now - 1])
+        state.update((s, n, last_us, last_eid, e[now:].tobytes()))
+        if now < len(e):  # come back when the watermark has passed the first one that waits
+            state.setTimeoutTimestamp(max(int(e["us"][now]) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    times = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    if delay is not None:
+        times = times.withWatermark(ts, delay)
+    out = times.groupBy(key).applyInPandasWithState(
+        fn, out_schema, state_schema, "append",
+        GroupStateTimeout.EventTimeTimeout if delay is not None else GroupStateTimeout.NoTimeout)
+    return out.withColumn("decayed", F.when(~F.col("late"), F.col("decayed")))

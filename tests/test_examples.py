@@ -52,3 +52,15 @@ def test_include_pad_flag(spark):
     p = examples.padded_pairs(examples.causal_pairs(df, 4), 4)
     assert ngram.with_positions(p, ("doc_id",), 2).count() == 4
     assert ngram.with_positions(p, ("doc_id",), 2, include_pad=False).count() == 3
+
+
+def test_ordered_index_takes_null_and_nan_keys(spark):
+    import datetime as dt
+    nan = float("nan")
+    kinds = {"long": [None, 1, 2], "double": [None, nan, 1.5, -0.0, 0.0], "timestamp": [None, dt.datetime(2024, 1, 1)], "string": [None, "", "a"]}
+    for kind, values in kinds.items():
+        rows = [(values[k % len(values)], k) for k in range(300)]
+        df = spark.createDataFrame(rows, f"k {kind}, o long")
+        got = ordered_index(df, ["k"], ["o"], "idx", n_parts=7)
+        want = df.withColumn("idx2", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
+        assert got.join(want.drop("k"), "o").filter("idx = idx2").count() == 300, kind
