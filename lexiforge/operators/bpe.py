@@ -190,56 +190,59 @@ def _accept_batch(cands, bounds, model, by_bytes, vocab_size):
     return taken
 
 
-def train_bpe(wc: DataFrame, vocab_size: int, k: int = 32,
-              checkpoint_every: int = 8) -> tuple[BpeModel, DataFrame]:
-    """Learn merges until ``vocab_size`` tokens or no pair is left.
-
-    Returns the model and the final table of words still longer than one symbol.
-    """
+def train_bpe(wc: DataFrame, vocab_size: int | None = None, merges: int | None = None, k: int = 32,
+              checkpoint_every: int = 8) -> BpeModel:
+    """Learn merges until ``vocab_size`` tokens, ``merges`` merges or no pair is left."""
     alpha_rows = alphabet(wc).collect()          # <= 256 rows
     model = BpeModel(byte_id_table(alpha_rows))
     for i, tok in enumerate(SPECIAL_TOKENS):
         model.vocab[i] = tuple(tok.encode("utf-8"))
     for r in alpha_rows:
         model.vocab[r["id"]] = (r["byte"],)
+    if vocab_size is None:
+        vocab_size = len(model.vocab) + merges
     by_bytes = {v: i for i, v in model.vocab.items() if i >= len(SPECIAL_TOKENS)}
     words = cut_lineage(to_symbols(wc, model.byte_ids).filter(F.size("syms") >= 2))
-    stale = []
-    while len(model.vocab) < vocab_size:
-        active = words.filter(F.size("syms") >= 2)
-        cands = [(r["left"], r["right"], r["cnt"]) for r in top_pairs(pair_counts(active), k).collect()]
-        for old in stale:      # the new table is materialised by now
+    cached = []
+    try:
+        while len(model.vocab) < vocab_size:
+            active = words.filter(F.size("syms") >= 2)
+            cands = [(r["left"], r["right"], r["cnt"]) for r in top_pairs(pair_counts(active), k).collect()]
+            for old in cached[:-1]:      # the new table is materialised by now
+                old.unpersist()
+            del cached[:-1]
+            if not cands or cands[0][2] < 1:
+                break
+            prefix = _cheap_prefix(cands, model, by_bytes)
+            # the bound is only needed when a second pair could join the round
+            if len(prefix) > 1:
+                syms = sorted({x for p in prefix[:-1] for x in p})
+                near = active.filter(F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in syms])))
+                bounds = triple_bounds(near, prefix[:-1])
+            else:
+                bounds = {}
+            taken = _accept_batch(cands, bounds, model, by_bytes, vocab_size)
+            if not taken:
+                break
+            for a, b, new in taken:
+                if new not in model.vocab:
+                    model.vocab[new] = model.vocab[a] + model.vocab[b]
+                    by_bytes[model.vocab[new]] = new
+                model.merges.append((a, b, new))
+            model.rounds += 1
+            symbols = sorted({x for a, b, _ in taken for x in (a, b)})
+            touched = F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in symbols]))
+            # words reduced to one symbol can never pair again: leave them out
+            merged = (words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
+                      .filter(F.size("syms") >= 2))
+            # persist every round: an unpersisted chain of merge expressions would be
+            # inlined level into level and grow geometrically
+            words = cut_lineage(merged) if model.rounds % checkpoint_every == 0 else merged.persist()
+            cached.append(words)
+    finally:
+        for old in cached:
             old.unpersist()
-        stale.clear()
-        if not cands or cands[0][2] < 1:
-            break
-        prefix = _cheap_prefix(cands, model, by_bytes)
-        # the bound is only needed when a second pair could join the round
-        if len(prefix) > 1:
-            syms = sorted({x for p in prefix[:-1] for x in p})
-            near = active.filter(F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in syms])))
-            bounds = triple_bounds(near, prefix[:-1])
-        else:
-            bounds = {}
-        taken = _accept_batch(cands, bounds, model, by_bytes, vocab_size)
-        if not taken:
-            break
-        for a, b, new in taken:
-            if new not in model.vocab:
-                model.vocab[new] = model.vocab[a] + model.vocab[b]
-                by_bytes[model.vocab[new]] = new
-            model.merges.append((a, b, new))
-        model.rounds += 1
-        symbols = sorted({x for a, b, _ in taken for x in (a, b)})
-        touched = F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in symbols]))
-        # words reduced to one symbol can never pair again: leave them out
-        merged = (words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
-                  .filter(F.size("syms") >= 2))
-        stale.append(words)
-        # persist every round: an unpersisted chain of merge expressions would be
-        # inlined level into level and grow geometrically
-        words = cut_lineage(merged) if model.rounds % checkpoint_every == 0 else merged.persist()
-    return model, words
+    return model
 
 
 def vocab_frame(spark, model: BpeModel) -> DataFrame:

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.vectors import format_ts
-from lexiforge.operators import bpe
-from lexiforge.plans.corpus_queries import split_docs, train_docs
+from lexiforge.plans.corpus_queries import split_docs
 from lexiforge.plans.experiment_queries import SQL_GRID, SQL_LAT, SQL_RUNS, emission_runs, grid_results, latency
 from lexiforge.plans.example_queries import sql_with
 from lexiforge.plans.generation_queries import _generate
 from lexiforge.plans.model_queries import SQL_MODEL, scored
-from lexiforge.plans.params import BPE_MERGES, SQL_NONBLANK, sql_split_docs
+from lexiforge.plans.params import BPE_MERGES, SQL_NONBLANK, sql_bpe_ctes, sql_merges, sql_split_docs
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
-from lexiforge.plans.token_queries import byte_vocab
+from lexiforge.plans.token_queries import SQL_TOKEN, saved_tokenizer
 from lexiforge.session import scratch_path
 from lexiforge.sources import io
 
 
-@register("ingest_corpus", sql="SELECT doc_id, lang, n_chars FROM documents")
+@register("ingest_corpus", sql="SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'de')")
 def ingest_corpus(spark, sf_dir):
-    """Raw corpus as gzipped JSON lines, read back by file glob (partial fetch by pattern)."""
+    """Raw corpus as gzipped JSON lines, a folder for each language; a partial fetch reads two of them by pattern."""
     raw = scratch_path(spark, "raw-json")
-    io.write_table(table(spark, sf_dir, "documents"), raw + "/en", fmt="json", compression="gzip")
-    df = io.read_corpus(spark, raw, fmt="json", glob="*.json.gz", recursive=True,
+    d = table(spark, sf_dir, "documents")
+    io.write_table(d.withColumn("folder", F.col("lang")), raw, fmt="json", partition_by=["folder"], compression="gzip")
+    df = io.read_corpus(spark, raw + "/folder={en,de}", fmt="json", glob="*.json.gz",
                         schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
     return df.select("doc_id", "lang", "n_chars")
 
@@ -39,25 +39,23 @@ def roundtrip_parquet(spark, sf_dir):
     return io.read_corpus(spark, path, columns=["doc_id", "n_chars"])
 
 
-@register("write_splits", sql=f"WITH s AS ({sql_split_docs()}) SELECT doc_id, split FROM s WHERE split = 'validation'")
+@register("write_splits", sql=f"WITH s AS ({sql_split_docs()}) SELECT doc_id, split, n_chars FROM s")
 def write_splits(spark, sf_dir):
-    """All splits in one write (split=... directories); reading one split prunes the others."""
+    """All splits in one write (split=... directories), all read back; reading one prunes the others."""
     path = io.write_splits(split_docs(spark, sf_dir), scratch_path(spark, "splits"))
-    return io.read_split(spark, path, ["validation"]).select("doc_id", "split")
+    return io.read_split(spark, path, ["train", "validation", "test"]).select("doc_id", "split", "n_chars")
 
 
-@register("tokenizer_roundtrip")
+@register("tokenizer_roundtrip", sql=f"""
+WITH {sql_bpe_ctes()}
+SELECT rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id,
+       {SQL_TOKEN} AS token, '<bos> $A' AS template
+FROM ({sql_merges()}) x JOIN v{BPE_MERGES} ON v{BPE_MERGES}.id = x.new_id""")
 def tokenizer_roundtrip(spark, sf_dir):
     """Save vocabulary, merges and settings as tables; load them back."""
-    wc = bpe.word_counts(train_docs(spark, sf_dir))
-    _, _, vsize = byte_vocab(spark, sf_dir)
-    model, _ = bpe.train_bpe(wc, vsize + BPE_MERGES)
-    path = io.save_tokenizer(bpe.vocab_frame(spark, model), bpe.merges_frame(spark, model),
-                             {"pad_id": 0, "bos_id": 1, "unk_id": 2, "template": "<bos> $A"},
-                             scratch_path(spark, "tokenizer"))
-    vocab, merges, meta = io.load_tokenizer(spark, path)
-    return merges.join(vocab.select(F.col("id").alias("new_id"), "token", "hex"), "new_id").select(
-        "rank", "left_id", "right_id", "new_id", "token", F.lit(meta["template"]).alias("template"))
+    tok = io.load_tokenizer(spark, saved_tokenizer(spark, sf_dir))
+    return tok.merge_table.join(tok.vocab.select(F.col("id").alias("new_id"), "token"), "new_id").select(
+        "rank", "left_id", "right_id", "new_id", "token", F.lit(tok.meta["template"]).alias("template"))
 
 
 GRID_SCHEMA = T.StructType([T.StructField("grid_id", T.IntegerType()), T.StructField("order", T.IntegerType()),

@@ -7,26 +7,16 @@ from pyspark.sql import functions as F
 from lexiforge.functions.text import SPECIAL_TOKENS
 from lexiforge.operators import bpe, encode
 from lexiforge.plans.corpus_queries import split_docs, train_docs
-from lexiforge.plans.params import (BPE_MERGES, SEED, SEQ_LEN, SQL_ALPHA_MAP, sql_alphabet, sql_bytes,
-                                    sql_pretokenize, sql_split_docs, sql_token_ctes)
+from lexiforge.plans.params import (BPE_MERGES, SEED, SEQ_LEN, SQL_ALPHA_MAP, SQL_CP, sql_alphabet, sql_bpe_ctes,
+                                    sql_bytes, sql_learned_tokens, sql_merges, sql_pretokenize, sql_split_docs,
+                                    sql_token_ctes)
 from lexiforge.plans.registry import register, table
-
-
-_VOCAB_CACHE: dict = {}
+from lexiforge.session import scratch_path
+from lexiforge.sources import io
 
 
 def byte_vocab(spark, sf_dir):
-    """(byte -> id list of 256, vocab hex list, vocab size) of the byte-level vocabulary.
-
-    The alphabet (<= 256 rows) is computed once per session and input folder.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _VOCAB_CACHE:
-        _VOCAB_CACHE[key] = _byte_vocab(spark, sf_dir)
-    return _VOCAB_CACHE[key]
-
-
-def _byte_vocab(spark, sf_dir):
+    """(byte -> id list of 256, vocab hex list, vocab size) of the byte-level vocabulary (at most 256 rows)."""
     rows = bpe.text_alphabet(train_docs(spark, sf_dir)).collect()   # <= 256 rows
     lut = bpe.byte_id_table(rows)
     vocab_hex = [t.encode("utf-8").hex().upper() for t in SPECIAL_TOKENS]
@@ -34,6 +24,21 @@ def _byte_vocab(spark, sf_dir):
     return lut, vocab_hex, len(vocab_hex)
 
 
+def saved_tokenizer(spark, sf_dir) -> str:
+    """Path of a tokenizer learned on the training split: its alphabet and BPE_MERGES merges."""
+    wc = bpe.word_counts(train_docs(spark, sf_dir))
+    model = bpe.train_bpe(wc, merges=BPE_MERGES)
+    return io.save_tokenizer(bpe.vocab_frame(spark, model), bpe.merges_frame(spark, model),
+                             {"pad_id": 0, "bos_id": 1, "unk_id": 2, "template": "<bos> $A"},
+                             scratch_path(spark, "tokenizer"))
+
+
+def learned_tokens(spark, sf_dir, path: str | None = None, keep=("doc_id", "split")):
+    """Every document's ids by the saved and reloaded tokenizer."""
+    tok = io.load_tokenizer(spark, path or saved_tokenizer(spark, sf_dir))
+    return encode.encode_corpus(split_docs(spark, sf_dir), tok.byte_ids, tok.merges, keep=keep), tok
+
+
 def byte_tokens(spark, sf_dir):
     """(doc_id, split, ids): every document as byte-level ids with <bos>."""
     lut, _, _ = byte_vocab(spark, sf_dir)
@@ -48,10 +53,10 @@ def train_word_symbols(spark, sf_dir):
 
 
 _WORD_SYMS = f"""
-splitdocs AS ({sql_split_docs()}), alpha AS ({sql_alphabet()}), alpha_map AS ({SQL_ALPHA_MAP}),
-wc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({sql_pretokenize('text')}) AS word FROM splitdocs WHERE split = 'train') GROUP BY word),
-ws AS (SELECT word, cnt, list_transform({sql_bytes('hex(encode(word))')}, lambda b: m[b + 1]) AS syms FROM wc, alpha_map),
-pc AS (SELECT p.l AS left_id, p.r AS right_id, CAST(sum(cnt) AS BIGINT) AS cnt
+splitdocs AS MATERIALIZED ({sql_split_docs()}), alpha AS MATERIALIZED ({sql_alphabet()}), alpha_map AS MATERIALIZED ({SQL_ALPHA_MAP}),
+wc AS MATERIALIZED (SELECT word, count(*) AS cnt FROM (SELECT unnest({sql_pretokenize('text')}) AS word FROM splitdocs WHERE split = 'train') GROUP BY word),
+ws AS MATERIALIZED (SELECT word, cnt, list_transform({sql_bytes('hex(encode(word))')}, lambda b: m[b + 1]) AS syms FROM wc, alpha_map),
+pc AS MATERIALIZED (SELECT p.l AS left_id, p.r AS right_id, CAST(sum(cnt) AS BIGINT) AS cnt
        FROM (SELECT cnt, unnest(list_transform(range(1, len(syms)), lambda i: {{'l': syms[i], 'r': syms[i + 1]}})) AS p FROM ws WHERE len(syms) >= 2)
        GROUP BY p.l, p.r)"""
 
@@ -77,7 +82,7 @@ def bpe_best_pair(spark, sf_dir):
 
 @register("bpe_merge_once", sql=f"""
 WITH {_WORD_SYMS},
-best AS (SELECT left_id, right_id FROM pc ORDER BY cnt DESC, left_id, right_id LIMIT 1),
+best AS MATERIALIZED (SELECT left_id, right_id FROM pc ORDER BY cnt DESC, left_id, right_id LIMIT 1),
 nid AS (SELECT vocab_size AS new_id FROM alpha_map),
 enc AS (SELECT word, '<' || array_to_string(syms, '><') || '>' AS s FROM ws),
 mer AS (SELECT word, replace(s, '<' || left_id || '><' || right_id || '>', '<' || new_id || '>') AS s FROM enc, best, nid)
@@ -90,47 +95,43 @@ def bpe_merge_once(spark, sf_dir):
     return merged.select("word", F.array_join("syms", ",").alias("syms_csv"))
 
 
-@register("bpe_train")
+SQL_TOKEN = f"array_to_string(list_transform({sql_bytes('h')}, lambda b: chr(CAST({SQL_CP} AS INTEGER))), '')"
+
+
+@register("bpe_train", sql=f"""
+WITH {sql_bpe_ctes()}
+SELECT rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id, {SQL_TOKEN} AS token
+FROM ({sql_merges()}) x JOIN v{BPE_MERGES} ON v{BPE_MERGES}.id = x.new_id""")
 def bpe_train(spark, sf_dir):
     """Learn BPE_MERGES merges on the training split; (rank, ids, token) per merge."""
-    wc = bpe.word_counts(train_docs(spark, sf_dir))
-    lut, _, vsize = byte_vocab(spark, sf_dir)
-    model, _ = bpe.train_bpe(wc, vsize + BPE_MERGES)
+    model = bpe.train_bpe(bpe.word_counts(train_docs(spark, sf_dir)), merges=BPE_MERGES)
     vocab = bpe.vocab_frame(spark, model)
     merges = bpe.merges_frame(spark, model)
     return merges.join(vocab.select(F.col("id").alias("new_id"), "token"), "new_id").select(
         "rank", "left_id", "right_id", "new_id", "token")
 
 
-@register("tokenize_corpus")
+@register("tokenize_corpus", sql=f"""
+WITH {sql_bpe_ctes()}, {sql_learned_tokens()}
+SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv FROM toks""")
 def tokenize_corpus(spark, sf_dir):
-    """All splits in one job with the learned BPE: (doc_id, split, n_tokens, ids_csv)."""
-    wc = bpe.word_counts(train_docs(spark, sf_dir))
-    lut, _, vsize = byte_vocab(spark, sf_dir)
-    model, _ = bpe.train_bpe(wc, vsize + BPE_MERGES)
-    enc = encode.encode_corpus(split_docs(spark, sf_dir), model.byte_ids, model.merges,
-                               keep=("doc_id", "split"))
+    """All splits in one job with the saved tokenizer: (doc_id, split, n_tokens, ids_csv)."""
+    enc, _ = learned_tokens(spark, sf_dir)
     return enc.select("doc_id", "split", F.size("ids").alias("n_tokens"),
                       F.array_join("ids", ",").alias("ids_csv"))
 
 
-_VOCAB_HEX = ("vhex AS (SELECT list(h ORDER BY id) AS vh FROM (SELECT 0 AS id, hex(encode('<pad>')) AS h UNION ALL "
-              "SELECT 1, hex(encode('<bos>')) UNION ALL SELECT 2, hex(encode('<unk>')) UNION ALL "
-              "SELECT id, lpad(hex(b), 2, '0') FROM alpha))")
-
-
 @register("detokenize", sql=f"""
-WITH {sql_token_ctes()}, {_VOCAB_HEX}
+WITH {sql_bpe_ctes()}, {sql_learned_tokens()}, vhex AS (SELECT list(h ORDER BY id) AS vh FROM v{BPE_MERGES})
 SELECT t.doc_id, unhex(array_to_string(list_transform(ids, lambda i: vh[i + 1]), '')) = encode('<bos>' || d.text) AS roundtrip_ok,
        CAST(len(list_filter(ids, lambda i: i = 2)) AS INTEGER) AS n_unk
 FROM toks t JOIN splitdocs d USING (doc_id), vhex""")
 def detokenize(spark, sf_dir):
-    lut, vocab_hex, _ = byte_vocab(spark, sf_dir)
-    d = split_docs(spark, sf_dir)
-    ids = encode.byte_level_ids(F.col("text"), lut)
-    return d.select("doc_id", (encode.decode_ids(ids, vocab_hex) == F.concat(F.lit("<bos>"), F.col("text")))
-                    .alias("roundtrip_ok"),
-                    F.size(F.filter(ids, lambda i: i == 2)).cast("int").alias("n_unk"))
+    """Merged ids back to text, with the vocabulary of the saved tokenizer."""
+    enc, tok = learned_tokens(spark, sf_dir, keep=("doc_id", "text"))
+    return enc.select("doc_id", (encode.decode_ids(F.col("ids"), tok.vocab_hex) == F.concat(F.lit("<bos>"), F.col("text")))
+                      .alias("roundtrip_ok"),
+                      F.size(F.filter("ids", lambda i: i == 2)).cast("int").alias("n_unk"))
 
 
 @register("truncate_tokens", sql=f"""
@@ -167,16 +168,14 @@ def special_ids(spark, sf_dir):
 
 
 @register("tokenize_splits", sql=f"""
-WITH {sql_token_ctes()}
-SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv
-FROM toks WHERE split IN ('validation', 'test')""")
+WITH {sql_bpe_ctes()}, {sql_learned_tokens()}
+SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv FROM toks""")
 def tokenize_splits(spark, sf_dir):
-    """One job tokenizes every split into a typed array<bigint> table partitioned by
-    split; reading chosen splits back prunes the other directories."""
-    from lexiforge.session import scratch_path
-    from lexiforge.sources import io
-    path = io.write_splits(byte_tokens(spark, sf_dir), scratch_path(spark, "tokenized"))
-    t = io.read_split(spark, path, ["validation", "test"])
+    """One job tokenizes every split with the saved tokenizer into a typed array<bigint>
+    table partitioned by split; a reader of chosen splits prunes the other directories."""
+    enc, _ = learned_tokens(spark, sf_dir)
+    path = io.write_splits(enc, scratch_path(spark, "tokenized"))
+    t = io.read_split(spark, path, ["train", "validation", "test"])
     return t.select("doc_id", "split", F.size("ids").cast("int").alias("n_tokens"),
                     F.array_join("ids", ",").alias("ids_csv"))
 

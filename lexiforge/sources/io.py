@@ -65,7 +65,7 @@ def read_csv(spark: SparkSession, path: str, schema, header: bool = True) -> Dat
     return spark.read.schema(schema).option("header", str(header).lower()).option("escape", '"').csv(path)
 
 
-# ---- emissions file: 31 typed columns, geo fields may be empty ---------------
+# ---- fixed values: emissions file, 31 typed columns, geo fields may be empty -----
 EMISSIONS_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType()), T.StructField("project_name", T.StringType()),
     T.StructField("run_id", T.StringType()), T.StructField("duration", T.DoubleType()),
@@ -109,9 +109,29 @@ def save_tokenizer(vocab: DataFrame, merges: DataFrame, meta: dict, path: str) -
     return path
 
 
-def load_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+@dataclass
+class LoadedTokenizer:
+    """What an encoder and a decoder need: as many entries as the vocabulary has."""
+    vocab: DataFrame
+    merge_table: DataFrame
+    byte_ids: list
+    merges: list
+    vocab_hex: list
+    meta: dict
+
+
+def load_tokenizer(spark: SparkSession, path: str) -> LoadedTokenizer:
+    """Read a saved tokenizer; vocabulary and merges (bounded by ``vocab_size``) also as lists."""
     meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/meta").collect()}  # a few rows
-    return spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges"), meta
+    vocab, merge_table = spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges")
+    rows = vocab.orderBy("id").collect()
+    special = {int(v) for k, v in meta.items() if k.endswith("_id")}
+    byte_ids = [int(meta["unk_id"])] * 256
+    for r in rows:
+        if len(r["hex"]) == 2 and r["id"] not in special:
+            byte_ids[int(r["hex"], 16)] = r["id"]
+    merges = [(r["left_id"], r["right_id"], r["new_id"]) for r in merge_table.orderBy("rank").collect()]
+    return LoadedTokenizer(vocab, merge_table, byte_ids, merges, [r["hex"] for r in rows], meta)
 
 
 # ---- run configuration --------------------------------------------------------

@@ -30,14 +30,14 @@ def vocab_of(spark, model):
 def test_self_pairs_match_wheel(spark):
     texts = ["aaaa aaa aaaaa baaab xyxyxyx zz zzz zzzzzz"] * 3 + ["aaaaaaa zzzzzzzz xyxy"] * 2
     for v in (20, 26, 32):
-        model, _ = train(spark, texts, v)
+        model = train(spark, texts, v)
         assert vocab_of(spark, model) == wheel(texts, v).get_vocab()
 
 
 def test_corpus_vocab_and_encoding_match_wheel(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
     texts = [r["text"] for r in docs.select("text").collect()]
-    model, _ = train(spark, texts[:150], 260)
+    model = train(spark, texts[:150], 260)
     tok = wheel(texts[:150], 260)
     assert vocab_of(spark, model) == tok.get_vocab()
     held = spark.createDataFrame([(i, t) for i, t in enumerate(texts[150:])], "doc_id long, text string")
@@ -46,7 +46,7 @@ def test_corpus_vocab_and_encoding_match_wheel(spark):
 
 
 def test_unseen_bytes_and_empty_text(spark):
-    model, _ = train(spark, ["abc abc ab"], 10)
+    model = train(spark, ["abc abc ab"], 10)
     df = spark.createDataFrame([(0, ""), (1, "日"), (2, None)], "doc_id long, text string")
     out = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(df, model.byte_ids, model.merges, keep=("doc_id",)).collect()}
     assert out[0] == [1] and out[1] == [1, 2, 2, 2] and out[2] is None
@@ -54,7 +54,7 @@ def test_unseen_bytes_and_empty_text(spark):
 
 def test_decode_round_trip(spark):
     texts = ["hello world, hello spark"]
-    model, _ = train(spark, texts, 40)
+    model = train(spark, texts, 40)
     hexes = [bytes(model.vocab[i]).hex().upper() if i >= 3 else t.encode().hex().upper()
              for i, t in zip(range(len(model.vocab)), ["<pad>", "<bos>", "<unk>"] + [""] * len(model.vocab))]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
