@@ -43,7 +43,14 @@ def padded_pairs(df: DataFrame, seq_len: int, pad_id: int = PAD_ID) -> DataFrame
             .withColumn("y", pad_to(F.col("y"), seq_len, pad_id)))
 
 
-def with_shards(df: DataFrame, order: str, world_size: int, num_workers: int,
+def embedding_lookup(df: DataFrame, id_col: str, matrix: DataFrame, vector: str, pad_id: int = PAD_ID) -> DataFrame:
+    """Adds ``vector``: the matrix row of ``id_col``; zeros for the pad id, null for an id it does not have."""
+    m = matrix.select(F.col(id_col).alias("_mid"), F.col(vector).alias("vector"))
+    out = df.join(m, F.col(id_col) == F.col("_mid"), "left").drop("_mid")
+    return out.withColumn("vector", F.when(F.col(id_col) == pad_id, F.transform("vector", lambda v: v * 0)).otherwise(F.col("vector")))
+
+
+def with_shards(df: DataFrame, order: str | list, world_size: int, num_workers: int,
                 batch_size: int | None = None, by: tuple = ()) -> DataFrame:
     """Global row index (per ``by`` group) in ``order``, round-robin shard.
 
@@ -51,7 +58,7 @@ def with_shards(df: DataFrame, order: str, world_size: int, num_workers: int,
     worker = shard mod workers; idx_in_shard = idx div total; batch_id.
     """
     total = world_size * num_workers
-    out = ordered_index(df, list(by), [order], "row_idx")
+    out = ordered_index(df, list(by), [order] if isinstance(order, str) else order, "row_idx")
     shard = F.pmod(F.col("row_idx"), F.lit(total))
     out = (out.withColumn("rank", (shard / num_workers).cast("int"))
            .withColumn("worker", F.pmod(shard, F.lit(num_workers)).cast("int"))

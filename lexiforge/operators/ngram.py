@@ -1,10 +1,12 @@
 """Count-based next-token model: fit, score, loss, perplexity, greedy generation.
 
-Stands in for the trainable model: ``fit`` is ``groupBy(context, next).count()``
-over training positions; scoring joins positions with the counts and applies
-additive smoothing ``(c + alpha) / (C + alpha * V)``. The count table is at most
-``V ** order`` rows; it is broadcast only when that bound is small, otherwise
-Spark shuffles both sides (AQE splits skewed contexts).
+Stands in for the trainable model. Documents are cut into consecutive windows
+of ``seq_len`` ids, so every id of every document counts. A model is a table of
+counts (prev_id, next_id, n); scoring is additive smoothing
+``(c + alpha) / (C + alpha * V)``. Losses are sums over *distinct* pairs
+weighted by how often they occur: positions are aggregated (map-side first)
+before anything is joined, and the join is between two count tables of at most
+V * V rows.
 """
 
 from __future__ import annotations
@@ -14,66 +16,50 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.session import cut_lineage
+from lexiforge.session import stored
 
-BROADCAST_LIMIT_BYTES = 64 << 20
-COUNT_ROW_BYTES = 48
 
+def _padding(ids: Column, seq_len: int) -> Column:
+    """Pad positions of the last window."""
+    return F.pmod(-F.size(ids), F.lit(seq_len))
 
-def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int = COUNT_ROW_BYTES) -> DataFrame:
-    """Broadcast only when a *proven* upper bound of the size is small."""
-    return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
+def window_positions(tokens: DataFrame, keep: tuple, seq_len: int, ids: str = "ids", include_pad: bool = True) -> DataFrame:
+    """(keep..., win, pos, prev_id, next_id): every position of every window of ``seq_len`` ids.
 
-def context_col(order: int) -> Column:
-    """Previous ``order - 1`` input ids of a position (x[pos-order+2 .. pos])."""
-    if order <= 1:
-        return F.array().cast("array<bigint>")
-    start = F.col("pos") - (order - 2)          # 0-based first context position
-    return F.slice(F.col("x"), F.greatest(start, F.lit(0)) + 1,
-                   F.col("pos") - F.greatest(start, F.lit(0)) + 1)
-
-
-def with_positions(pairs: DataFrame, keep: tuple, order: int, include_pad: bool = True) -> DataFrame:
-    """Padded pairs -> one row per position with (ctx, next_id).
-
-    Padding positions count in the loss by default (as in the reference);
-    ``include_pad=False`` keeps only positions inside the unpadded row.
+    The target of a document's last id is the pad id 0. The last window is
+    padded (0 -> 0); those positions count in a loss unless ``include_pad`` is false.
     """
-    z = F.posexplode(F.col("y"))
-    extra = ["n_real"] if not include_pad else []
-    out = pairs.select(*keep, "x", *extra, z.alias("pos", "next_id"))
-    if not include_pad:
-        out = out.filter(F.col("pos") < F.col("n_real"))
-    return out.select(*keep, F.col("pos").cast("int").alias("pos"),
-                      context_col(order).alias("ctx"), "next_id")
+    pad = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
+    extra = _padding(F.col(ids), seq_len) if include_pad else F.lit(0)
+    x = F.concat(F.col(ids), pad(extra))
+    y = F.concat(F.slice(ids, F.lit(2), F.greatest(F.size(ids), F.lit(1))), pad(extra + 1))
+    z = F.posexplode(F.arrays_zip(x.alias("x"), y.alias("y")))
+    return (tokens.filter(F.size(ids) > 0).select(*keep, z.alias("i", "z"))
+            .select(*keep, F.floor(F.col("i") / seq_len).alias("win"), F.pmod("i", F.lit(seq_len)).cast("int").alias("pos"),
+                    F.col("z.x").alias("prev_id"), F.col("z.y").alias("next_id")))
 
 
-def fit(positions: DataFrame, materialise: bool = True) -> DataFrame:
-    """(ctx, next_id, cnt): partial + final hash aggregate.
+def pair_counts(tokens: DataFrame, seq_len: int, by: tuple = ("split",)) -> DataFrame:
+    """(by..., prev_id, next_id, n) over all window positions; pads are counted, not made into rows."""
+    real = (window_positions(tokens, by, seq_len, include_pad=False)
+            .groupBy(*by, "prev_id", "next_id").agg(F.count(F.lit(1)).alias("n")))
+    none = F.lit(0).cast("bigint")
+    pads = (tokens.groupBy(*by).agg(F.sum(F.when(F.size("ids") > 0, _padding(F.col("ids"), seq_len))).alias("n"))
+            .select(*by, none.alias("prev_id"), none.alias("next_id"), F.col("n").cast("bigint").alias("n")))
+    return (real.unionByName(pads.filter("n > 0")).groupBy(*by, "prev_id", "next_id").agg(F.sum("n").alias("n")))
 
-    The count table is read by several joins (counts, context totals, best
-    continuation); it is checkpointed once so the corpus is not re-tokenized
-    for each of them.
-    """
-    counts = positions.groupBy("ctx", "next_id").agg(F.count(F.lit(1)).alias("cnt"))
-    return cut_lineage(counts) if materialise else counts
 
+def context_totals(counts: DataFrame, ctx: tuple = ("prev_id",)) -> DataFrame:
+    return counts.groupBy(*ctx).agg(F.sum("cnt").alias("ctx_cnt"))
 
-def context_totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("ctx").agg(F.sum("cnt").alias("ctx_cnt"))
 
-
-def score(positions: DataFrame, counts: DataFrame, vocab_size: int, order: int,
-          alpha: float) -> DataFrame:
-    """Add ``logp`` = ln((c + alpha) / (C + alpha V)) per position."""
-    bound = vocab_size ** order
-    c = bounded_broadcast(counts, bound)
-    t = bounded_broadcast(context_totals(counts), vocab_size ** max(order - 1, 0))
-    out = (positions.join(c, ["ctx", "next_id"], "left").join(t, ["ctx"], "left")
-           .withColumn("logp", F.log((F.coalesce(F.col("cnt"), F.lit(0)) + F.lit(alpha))
-                                     / (F.coalesce(F.col("ctx_cnt"), F.lit(0)) + F.lit(alpha * vocab_size)))))
-    return out.drop("cnt", "ctx_cnt")
+def score_pairs(pairs: DataFrame, counts: DataFrame, vocab_size: int, alpha: float) -> DataFrame:
+    """Adds ``logp`` = ln((c + alpha) / (C + alpha V)) to rows with (prev_id, next_id); counts: (prev_id, next_id, cnt)."""
+    out = pairs.join(counts, ["prev_id", "next_id"], "left").join(context_totals(counts), "prev_id", "left")
+    return out.withColumn("logp", F.log((F.coalesce(F.col("cnt"), F.lit(0)) + F.lit(alpha))
+                                        / (F.coalesce(F.col("ctx_cnt"), F.lit(0)) + F.lit(alpha * vocab_size)))
+                          ).drop("cnt", "ctx_cnt")
 
 
 def guess_loss(vocab_size: int) -> float:
@@ -81,56 +67,50 @@ def guess_loss(vocab_size: int) -> float:
     return math.log(vocab_size)
 
 
-def best_next(counts: DataFrame) -> DataFrame:
-    """(ctx, next_id): most frequent continuation; ties -> lowest id."""
-    return counts.groupBy("ctx").agg(
-        F.min_by("next_id", F.struct(-F.col("cnt"), F.col("next_id"))).alias("best_id"))
-
-
 def best_next_table(counts: DataFrame, vocab_size: int) -> DataFrame:
-    """(prev_id, best_id) for every id; an unseen context predicts id 0 (all ties)."""
+    """(prev_id, best_id) for every id: most frequent continuation, ties -> lowest id; an unseen id predicts 0 (all ties)."""
     ids = counts.sparkSession.range(vocab_size).select(F.col("id").alias("prev_id"))
-    b = best_next(counts).select(F.col("ctx")[0].alias("prev_id"), "best_id")
-    # V rows, read by every generation step: materialise once
-    return cut_lineage(ids.join(F.broadcast(b), "prev_id", "left").select(
-        "prev_id", F.coalesce(F.col("best_id"), F.lit(0).cast("bigint")).alias("best_id")))
+    b = counts.groupBy("prev_id").agg(F.min_by("next_id", F.struct(-F.col("cnt"), F.col("next_id"))).alias("best_id"))
+    return ids.join(b, "prev_id", "left").select("prev_id", F.coalesce("best_id", F.lit(0).cast("bigint")).alias("best_id"))
 
 
-def greedy_chains(best: DataFrame, steps: int, stop_id: int | None = 0) -> DataFrame:
-    """(start_id, gen array<bigint>): greedy continuation of every start token.
+def greedy_chains(best: DataFrame, steps: int) -> DataFrame:
+    """(start_id, gen): the greedy continuation of every id, at least ``steps`` ids long.
 
-    Built over the vocabulary (V rows, not over the prompts): ``steps`` joins of
-    two V-row tables. With ``stop_id`` the chain ends after that id.
+    Built over the vocabulary, not over the prompts, by doubling: a chain of 2k
+    ids is a chain of k and the chain of its last id, so ``steps`` ids take
+    log2(steps) joins of V-row tables.
     """
-    state = best.select(F.col("prev_id").alias("start_id"), F.col("prev_id").alias("last"),
-                        F.array().cast("array<bigint>").alias("gen"), F.lit(False).alias("stopped"))
-    nb = F.broadcast(best)
-    for _ in range(steps):
-        j = state.join(nb, state.last == nb.prev_id, "left")
-        nxt = F.col("best_id")
-        state = j.select(
-            "start_id",
-            F.when(F.col("stopped"), F.col("last")).otherwise(nxt).alias("last"),
-            F.when(F.col("stopped"), F.col("gen")).otherwise(F.concat("gen", F.array(nxt))).alias("gen"),
-            (F.col("stopped") | (F.lit(stop_id is not None) & (nxt == F.lit(stop_id if stop_id is not None else -1))))
-            .alias("stopped"))
-    return state.select("start_id", "gen")
-
-
-def generate(prompts: DataFrame, ids: str, chains: DataFrame) -> DataFrame:
-    """Append the greedy chain of each prompt's last token (bigram model)."""
-    last = F.element_at(F.col(ids), -1)
-    return prompts.join(F.broadcast(chains), last == F.col("start_id"), "left").drop("start_id")
+    chains = stored(best.select(F.col("prev_id").alias("start_id"), F.array("best_id").alias("gen")), "chains")
+    length = 1
+    while length < steps:
+        more = chains.select(F.col("start_id").alias("s2"), F.col("gen").alias("g2"))
+        chains = stored(chains.join(more, F.element_at("gen", -1) == F.col("s2"))
+                        .select("start_id", F.concat("gen", "g2").alias("gen")), "chains")
+        length *= 2
+    return chains
+
+
+def generate(prompts: DataFrame, ids: str, chains: DataFrame, total_length: int, stop_id: int | None = 0) -> DataFrame:
+    """Adds ``gen``: the greedy continuation of each prompt up to ``total_length`` ids with the prompt,
+    or up to and with the first ``stop_id``. A prompt of that length or more gets none."""
+    room = F.greatest(F.lit(total_length) - F.size(ids), F.lit(0))
+    j = prompts.join(chains, F.element_at(F.col(ids), -1) == F.col("start_id"), "left")
+    gen = F.slice(F.col("gen"), F.lit(1), room)
+    if stop_id is not None:
+        at = F.array_position(gen, F.lit(stop_id).cast("bigint"))
+        gen = F.when(at > 0, F.slice(gen, F.lit(1), at.cast("int"))).otherwise(gen)
+    return j.withColumn("gen", F.coalesce(gen, F.array().cast("array<bigint>"))).drop("start_id")
 
 
 def sequence_loglik(df: DataFrame, keys: tuple, ids: str, counts: DataFrame, vocab_size: int,
                     alpha: float) -> DataFrame:
-    """Sum of ln p(ids[i] | ids[i-1]) over a whole sequence (bigram model)."""
-    pairs = F.expr(f"transform(sequence(1, size({ids}) - 1), i -> named_struct('p', {ids}[i - 1], 'n', {ids}[i]))")
-    p = df.filter(F.size(ids) >= 2).select(*keys, F.explode(pairs).alias("z")).select(
-        *keys, F.array(F.col("z.p")).alias("ctx"), F.col("z.n").alias("next_id"))
-    s = score(p, counts, vocab_size, 2, alpha)
-    return s.groupBy(*keys).agg(F.sum("logp").alias("loglik"))
+    """Sum of ln p(ids[i] | ids[i-1]) over a whole sequence; 0 for one without a second id."""
+    z = F.explode(F.arrays_zip(F.slice(ids, F.lit(1), F.size(ids) - 1).alias("p"), F.slice(ids, F.lit(2), F.size(ids)).alias("q")))
+    p = df.filter(F.size(ids) >= 2).select(*keys, z.alias("z")).select(
+        *keys, F.col("z.p").alias("prev_id"), F.col("z.q").alias("next_id"))
+    s = score_pairs(p, counts, vocab_size, alpha).groupBy(*keys).agg(F.sum("logp").alias("loglik"))
+    return df.select(*keys).join(s, list(keys), "left").withColumn("loglik", F.coalesce("loglik", F.lit(0.0)))
 
 
 # ---- scorer registry: model name -> factory (only the count model is built) ----
@@ -145,14 +125,14 @@ def register_scorer(name: str):
 
 
 @register_scorer("ngram")
-def ngram_scorer(order: int = 2, alpha: float = 0.1):
-    """fit(positions) -> counts; score(positions, counts, V) -> positions with logp."""
+def ngram_scorer(alpha: float = 0.1):
+    """fit(pair counts) -> counts; score(pairs, counts, V) -> pairs with logp."""
     class _Scorer:
-        def fit(self, positions):
-            return fit(positions)
+        def fit(self, pairs):
+            return pairs.groupBy("prev_id", "next_id").agg(F.sum("n").alias("cnt"))
 
-        def score(self, positions, counts, vocab_size):
-            return score(positions, counts, vocab_size, order, alpha)
+        def score(self, pairs, counts, vocab_size):
+            return score_pairs(pairs, counts, vocab_size, alpha)
     return _Scorer()
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.operators import examples
+from lexiforge.plans.corpus_queries import split_docs
 from lexiforge.plans.params import BATCH_SIZE, NUM_WORKERS, SEQ_LEN, WORLD_SIZE, sql_token_ctes
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.token_queries import byte_tokens
+from lexiforge.session import scratch_path
+from lexiforge.sources import io
 
 L = SEQ_LEN
 TOTAL = WORLD_SIZE * NUM_WORKERS
@@ -23,21 +26,10 @@ def shards(spark, sf_dir, *extra):
     The skew-safe index carries only the key columns (and what is asked for),
     never the token arrays.
     """
-    from lexiforge.plans.corpus_queries import split_docs
     docs = split_docs(spark, sf_dir).select("doc_id", "split", *extra)
     return examples.with_shards(docs, "doc_id", WORLD_SIZE, NUM_WORKERS, BATCH_SIZE, by=("split",))
 
 
-def sharded_pairs(spark, sf_dir):
-    """Pairs with (row_idx, rank, worker, idx_in_shard, batch_id) per split; tokens are
-    built after the index, from the text carried through it."""
-    from lexiforge.operators import encode
-    from lexiforge.plans.token_queries import byte_vocab
-    lut, _, _ = byte_vocab(spark, sf_dir)
-    s = shards(spark, sf_dir, "text").withColumn("ids", encode.byte_level_ids(F.col("text"), lut)).drop("text")
-    return examples.causal_pairs(s, SEQ_LEN)
-
-
 # SQL twins ------------------------------------------------------------------
 SQL_PAIRS = (f"pairs AS (SELECT doc_id, split, list_slice(ids, 1, {L}) AS x, "
              f"list_concat(list_slice(ids, 2, {L + 1}), CASE WHEN len(ids) <= {L} THEN [0::BIGINT] ELSE [] END) AS y FROM toks)")
@@ -53,9 +45,11 @@ def sql_with(*extra: str) -> str:
     return "WITH " + ", ".join([sql_token_ctes(), SQL_PAIRS, SQL_SHARDS, SQL_PADDED, *extra])
 
 
-@register("dataset_length", sql=f"{sql_with()} SELECT split, count(*) AS n_rows FROM toks GROUP BY split")
+@register("dataset_length", sql=f"{sql_with()} SELECT split, count(*) AS n_rows FROM splitdocs GROUP BY split")
 def dataset_length(spark, sf_dir):
-    return byte_tokens(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows of the stored splits: counts from the files' footers, no column is read."""
+    path = io.write_splits(split_docs(spark, sf_dir), scratch_path(spark, "splits"))
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("causal_pairs", sql=f"""{sql_with()}
@@ -99,50 +93,50 @@ def batches(spark, sf_dir):
 st AS (SELECT * FROM (VALUES ('fit', 'train'), ('fit', 'validation'), ('validate', 'validation'), ('test', 'test')) v(stage, split))
 SELECT stage, split, count(doc_id) AS n_rows FROM st LEFT JOIN toks USING (split) GROUP BY stage, split""")
 def stage_rows(spark, sf_dir):
-    st = spark.createDataFrame([(s, sp) for s in ("fit", "validate", "test") for sp in examples.stage_splits(s)],
-                               "stage string, split string")
-    per = byte_tokens(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    return st.join(F.broadcast(per), "split", "left").select(
-        "stage", "split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    """Rows that each stage reads: only its splits' directories of the stored corpus."""
+    path = io.write_splits(split_docs(spark, sf_dir), scratch_path(spark, "splits"))
+    out = None
+    for stage in ("fit", "validate", "test"):
+        own = examples.stage_splits(stage)
+        n = io.read_split(spark, path, own).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        names = spark.createDataFrame([(stage, x) for x in own], "stage string, split string")
+        part = names.join(n, "split", "left").select("stage", "split", F.coalesce("n", F.lit(0)).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("position_rows", sql=f"""{sql_with()}
 SELECT doc_id, CAST(unnest(range(0, {L})) AS INTEGER) AS pos, unnest(px) AS x_id, unnest(py) AS y_id
-FROM padded WHERE split = 'validation'""")
+FROM padded""")
 def position_rows(spark, sf_dir):
-    p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split") == "validation"), SEQ_LEN)
-    return examples.position_rows(p)
+    return examples.position_rows(examples.padded_pairs(pairs(spark, sf_dir), SEQ_LEN))
 
 
 @register("pad_batches", sql=f"""{sql_with()},
-b AS (SELECT DISTINCT rank, worker, batch_id FROM shards WHERE split = 'validation'),
-spine AS (SELECT rank, worker, batch_id, CAST(unnest(range(0, {BATCH_SIZE})) AS BIGINT) AS slot FROM b),
-r AS (SELECT rank, worker, batch_id, idx_in_shard % {BATCH_SIZE} AS slot, doc_id FROM shards WHERE split = 'validation')
-SELECT rank, worker, batch_id, slot, doc_id, doc_id IS NULL AS is_padding FROM spine LEFT JOIN r USING (rank, worker, batch_id, slot)""")
+b AS (SELECT DISTINCT split, rank, worker, batch_id FROM shards),
+spine AS (SELECT split, rank, worker, batch_id, CAST(unnest(range(0, {BATCH_SIZE})) AS BIGINT) AS slot FROM b),
+r AS (SELECT split, rank, worker, batch_id, idx_in_shard % {BATCH_SIZE} AS slot, doc_id FROM shards)
+SELECT split, rank, worker, batch_id, slot, doc_id, doc_id IS NULL AS is_padding FROM spine LEFT JOIN r USING (split, rank, worker, batch_id, slot)""")
 def pad_batches(spark, sf_dir):
-    s = shards(spark, sf_dir).filter(F.col("split") == "validation")
-    rows = s.select("rank", "worker", "batch_id",
-                    F.pmod(F.col("idx_in_shard"), F.lit(BATCH_SIZE)).alias("slot"), "doc_id")
-    out = examples.pad_batches(rows, BATCH_SIZE, by=("rank", "worker"))
-    return out.select("rank", "worker", "batch_id", F.col("slot").cast("bigint"), "doc_id", "is_padding")
+    rows = shards(spark, sf_dir).select("split", "rank", "worker", "batch_id",
+                                        F.pmod(F.col("idx_in_shard"), F.lit(BATCH_SIZE)).alias("slot"), "doc_id")
+    out = examples.pad_batches(rows, BATCH_SIZE, by=("split", "rank", "worker"))
+    return out.select("split", "rank", "worker", "batch_id", F.col("slot").cast("bigint"), "doc_id", "is_padding")
 
 
 @register("token_lookup", sql=f"""{sql_with()},
-x AS (SELECT doc_id, CAST(unnest(range(0, {L})) AS INTEGER) AS pos, unnest(px) AS x_id FROM padded WHERE split = 'validation'),
+x AS (SELECT doc_id, CAST(unnest(range(0, {L})) AS INTEGER) AS pos, unnest(px) AS x_id FROM padded),
 emb AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) AS norm FROM embeddings, alpha_map WHERE vec_id < vocab_size)
 SELECT doc_id, pos, x_id, round(CASE WHEN x_id = 0 THEN 0.0 ELSE coalesce(norm, 0.0) END + 3.1e-10, 6) AS vec_norm
 FROM x LEFT JOIN emb ON emb.vec_id = x.x_id""")
 def token_lookup(spark, sf_dir):
     """Id -> vector lookup (the embeddings table as an embedding matrix indexed by
-    token id); the pad id gives the zero vector. The matrix side is cut to the
-    vocabulary (V rows), so broadcasting it has a proven bound."""
+    token id); the pad id gives the zero vector. The query shows the vector's norm."""
     from lexiforge.functions.vectors import asum
     from lexiforge.plans.token_queries import byte_vocab
     _, _, vsize = byte_vocab(spark, sf_dir)
-    p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split") == "validation"), SEQ_LEN)
-    x = examples.position_rows(p).select("doc_id", "pos", "x_id")
-    emb = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < vsize).select(
-        F.col("vec_id").alias("x_id"), F.sqrt(asum(F.transform("embedding", lambda v: v.cast("double") * v))).alias("norm"))
-    j = x.join(F.broadcast(emb), "x_id", "left")
-    v = F.when(F.col("x_id") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("norm"), F.lit(0.0)))
-    return j.select("doc_id", "pos", "x_id", F.round(v + 3.1e-10, 6).alias("vec_norm"))
+    x = examples.position_rows(examples.padded_pairs(pairs(spark, sf_dir), SEQ_LEN)).select("doc_id", "pos", "x_id")
+    emb = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < vsize).select(F.col("vec_id").alias("x_id"), "embedding")
+    found = examples.embedding_lookup(x, "x_id", emb, "embedding")
+    norm = F.sqrt(asum(F.transform("vector", lambda v: v.cast("double") * v)))
+    return found.select("doc_id", "pos", "x_id", F.round(F.coalesce(norm, F.lit(0.0)) + 3.1e-10, 6).alias("vec_norm"))

@@ -1,4 +1,4 @@
-"""Experiment tables.
+"""Experiment tables.
 
 Every table is derived from the given data: the n-gram grid is fitted on the
 document splits, trials and runs come from ``events``.
@@ -8,79 +8,50 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiforge.operators import examples, experiments, ngram
-from lexiforge.plans.example_queries import pairs, shards, sql_with
-from lexiforge.plans.model_queries import SQL_MODEL
-from lexiforge.plans.params import NGRAM_ALPHA, SEQ_LEN
+from lexiforge.operators import experiments, ngram
+from lexiforge.plans.example_queries import sql_with
+from lexiforge.plans.model_queries import SQL_MODEL, Model
+from lexiforge.plans.params import NGRAM_ALPHA
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
-from lexiforge.plans.token_queries import byte_vocab
-from lexiforge.session import cut_lineage
+from lexiforge.session import stored
 
 # ---- fixed grid values ----------------------------------------------------
-LEARNING_RATES = [0.01, 0.001]
-EMBED_DIMS = [768, 1000]
-FFN_DIMS = [4096]
-HEADS = [8]
 ORDERS = [1, 2]
 ALPHAS = [0.1, 1.0]
-LR_GAMMA = 0.9
-ACCUMULATE = 2
 PICK_ID = 2
 # ---------------------------------------------------------------------------
 
 
-@register("grid_expand", sql=f"""{sql_with()},
-g AS (SELECT ((i_lr * {len(EMBED_DIMS)} + i_e) * {len(FFN_DIMS)} + i_f) * {len(HEADS)} + i_h AS grid_id, lr, embed_dim, ffn_dim, heads FROM
-      (SELECT unnest(range(0, {len(LEARNING_RATES)})) AS i_lr, unnest({LEARNING_RATES!r}::DOUBLE[]) AS lr),
-      (SELECT unnest(range(0, {len(EMBED_DIMS)})) AS i_e, unnest({EMBED_DIMS!r}) AS embed_dim),
-      (SELECT unnest(range(0, {len(FFN_DIMS)})) AS i_f, unnest({FFN_DIMS!r}) AS ffn_dim),
-      (SELECT unnest(range(0, {len(HEADS)})) AS i_h, unnest({HEADS!r}) AS heads))
-SELECT CAST(grid_id AS INTEGER) AS grid_id, lr, embed_dim, ffn_dim, heads, embed_dim % (2 * heads) = 0 AS valid,
-       CASE WHEN embed_dim % (2 * heads) <> 0 THEN 'embed_dim not divisible by 2*heads' END AS reason,
-       'transformer_' || CAST(vocab_size * embed_dim AS VARCHAR) || '_LR' || CAST(lr AS VARCHAR) || '_GC0.0' AS label
-FROM g, alpha_map""")
-def grid_expand(spark, sf_dir):
-    """Hyper-parameter product with validity and default labels (embedding size uses the data's vocabulary)."""
-    _, _, vsize = byte_vocab(spark, sf_dir)
-    g = experiments.grid_product(spark, {"lr": LEARNING_RATES, "embed_dim": EMBED_DIMS,
-                                         "ffn_dim": FFN_DIMS, "heads": HEADS})
-    valid, reason = experiments.grid_validity(F.col("embed_dim"), F.col("heads"))
-    label = experiments.run_label(F.lit(None).cast("string"), F.lit("transformer"),
-                                  F.lit(vsize) * F.col("embed_dim"), F.col("lr"), F.lit(0.0))
-    return g.select("grid_id", "lr", "embed_dim", "ffn_dim", "heads", valid.alias("valid"), reason.alias("reason"),
-                    label.alias("label"))
-
-
-def grid_positions(spark, sf_dir):
-    p = examples.padded_pairs(pairs(spark, sf_dir), SEQ_LEN)      # no shard columns needed
-    parts = [ngram.with_positions(p, ("doc_id", "split"), o).withColumn("order", F.lit(o)) for o in ORDERS]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+def grid_counts(pairs, order):
+    """(split, ctx, next_id, n) of an order: the previous id as context, or none."""
+    ctx = F.col("prev_id") if order == 2 else F.lit(-1).cast("bigint")
+    return pairs.groupBy("split", ctx.alias("ctx"), "next_id").agg(F.sum("n").alias("n"))
+
+
+def grid_results(spark, sf_dir, points=None):
+    """(grid_id, order, alpha, split, loss) of all grid points, or of those asked for; only their orders are fitted."""
+    m = Model(spark, sf_dir)
+    out = None
+    for i, order in enumerate(ORDERS):
+        alphas = [(i * len(ALPHAS) + j, a) for j, a in enumerate(ALPHAS) if points is None or i * len(ALPHAS) + j in points]
+        if not alphas:
+            continue
+        c = grid_counts(m.pairs, order)
+        fit = c.filter(F.col("split") == "train").select("ctx", "next_id", F.col("n").alias("cnt"))
+        ev = (c.filter(F.col("split").isin("validation", "test")).join(fit, ["ctx", "next_id"], "left")
+              .join(ngram.context_totals(fit, ("ctx",)), "ctx", "left"))
+        al = ev.withColumn("p", F.explode(F.array(*[F.struct(F.lit(g).alias("grid_id"), F.lit(a).alias("alpha")) for g, a in alphas])))
+        logp = F.log((F.coalesce("cnt", F.lit(0)) + F.col("p.alpha")) /
+                     (F.coalesce("ctx_cnt", F.lit(0)) + F.col("p.alpha") * m.vocab_size))
+        part = al.groupBy(F.col("p.grid_id").alias("grid_id"), F.lit(order).alias("order"), F.col("p.alpha").alias("alpha"), "split").agg(
+            (F.sum(-logp * F.col("n")) / F.sum("n")).alias("loss"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "grid_id int, order int, alpha double, split string, loss double")
     return out
 
 
-def grid_results(spark, sf_dir):
-    """(grid_id, order, alpha, split, loss): every grid point in one job."""
-    _, _, vsize = byte_vocab(spark, sf_dir)
-    pos = grid_positions(spark, sf_dir)
-    # small table read by two joins: materialise once (see ngram.fit)
-    counts = cut_lineage(pos.filter(F.col("split") == "train").groupBy("order", "ctx", "next_id").agg(
-        F.count(F.lit(1)).alias("cnt")))
-    tot = counts.groupBy("order", "ctx").agg(F.sum("cnt").alias("ctx_cnt"))
-    bound = vsize ** max(ORDERS)
-    ev = (pos.filter(F.col("split").isin("validation", "test"))
-          .join(ngram.bounded_broadcast(counts, bound * len(ORDERS)), ["order", "ctx", "next_id"], "left")
-          .join(ngram.bounded_broadcast(tot, bound * len(ORDERS)), ["order", "ctx"], "left"))
-    al = ev.select("*", F.posexplode(F.array(*[F.lit(a) for a in ALPHAS])).alias("i_alpha", "alpha"))
-    logp = F.log((F.coalesce("cnt", F.lit(0)) + F.col("alpha")) /
-                 (F.coalesce("ctx_cnt", F.lit(0)) + F.col("alpha") * vsize))
-    gid = (F.col("order") - 1) * len(ALPHAS) + F.col("i_alpha")
-    return al.groupBy(gid.cast("int").alias("grid_id"), "order", "alpha", "split").agg(
-        F.avg(-logp).alias("loss"))
-
-
 _SQL_GRID_POS = [
     f"gpos AS (SELECT split, o AS ord, CASE WHEN o = 1 THEN -1 ELSE prev_id END AS ctx, next_id FROM pos, (SELECT unnest({ORDERS!r}) AS o))",
     "gcnt AS (SELECT ord, ctx, next_id, count(*) AS cnt FROM gpos WHERE split = 'train' GROUP BY ALL)",
@@ -97,33 +68,18 @@ SQL_GRID = sql_with(*SQL_MODEL[:1], *_SQL_GRID_POS)
 @register("grid_run", sql=f"""{SQL_GRID}
 SELECT grid_id, CAST(ord AS INTEGER) AS "order", alpha, split, round(loss + 3.1e-10, 6) AS loss FROM gres""")
 def grid_run(spark, sf_dir):
-    g = grid_results(spark, sf_dir)
+    return _grid_rows(grid_results(spark, sf_dir))
+
+
+def _grid_rows(g):
     return g.select("grid_id", F.col("order").cast("int"), "alpha", "split", r6(F.col("loss")).alias("loss"))
 
 
 @register("grid_pick", sql=f"""{SQL_GRID}
 SELECT grid_id, CAST(ord AS INTEGER) AS "order", alpha, split, round(loss + 3.1e-10, 6) AS loss FROM gres WHERE grid_id = {PICK_ID}""")
 def grid_pick(spark, sf_dir):
-    """One grid point by id; an id outside the grid gives an empty result."""
-    return grid_run(spark, sf_dir).filter(F.col("grid_id") == PICK_ID)
-
-
-@register("grid_validate", sql=f"""
-WITH g AS (SELECT unnest({EMBED_DIMS!r}) AS embed_dim), h AS (SELECT unnest({HEADS!r}) AS heads),
-v AS (SELECT DISTINCT CAST(len(embedding) AS INTEGER) AS value_dim FROM embeddings)
-SELECT embed_dim, heads, value_dim, embed_dim % (2 * heads) = 0 AND value_dim % heads = 0 AS valid,
-       CASE WHEN embed_dim % (2 * heads) <> 0 THEN 'embed_dim not divisible by 2*heads'
-            WHEN value_dim % heads <> 0 THEN 'value_embed_dim not divisible by heads' END AS reason
-FROM g, h, v""")
-def grid_validate(spark, sf_dir):
-    """Config predicates per point; the value dimension is read from the embeddings table."""
-    dims = table(spark, sf_dir, "embeddings").select(F.size("embedding").cast("int").alias("value_dim")).distinct()
-    g = experiments.grid_product(spark, {"embed_dim": EMBED_DIMS, "heads": HEADS}).drop("grid_id")
-    # one row per distinct vector size: explode it into the (tiny) grid instead of joining
-    sizes = [r["value_dim"] for r in dims.collect()]      # distinct dims: bounded by the schema
-    g = g.select("*", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("value_dim"))
-    valid, reason = experiments.grid_validity(F.col("embed_dim"), F.col("heads"), F.col("value_dim"))
-    return g.select("embed_dim", "heads", "value_dim", valid.alias("valid"), reason.alias("reason"))
+    """One grid point by id, fitted alone; an id outside the grid gives an empty result."""
+    return _grid_rows(grid_results(spark, sf_dir, {PICK_ID}))
 
 
 SQL_SIM = (f"{SQL_GRID}, sim AS (SELECT a.alpha, CAST(a.ord AS INTEGER) AS order_a, CAST(b.ord AS INTEGER) AS order_b, "
@@ -132,7 +88,7 @@ SQL_SIM = (f"{SQL_GRID}, sim AS (SELECT a.alpha, CAST(a.ord AS INTEGER) AS order
 
 
 def similarity(spark, sf_dir):
-    g = grid_results(spark, sf_dir).filter(F.col("split") == "validation")
+    g = stored(grid_results(spark, sf_dir).filter(F.col("split") == "validation"), "grid")
     a = g.select(F.col("alpha"), F.col("order").alias("order_a"), F.col("loss").alias("loss_a"))
     b = g.select(F.col("alpha").alias("alpha_b"), F.col("order").alias("order_b"), F.col("loss").alias("loss_b"))
     # theta join on the tiny grid result (|grid|^2 rows at most)
@@ -164,8 +120,9 @@ SELECT CAST((ord - 1) * {len(ALPHAS)} + i_alpha AS INTEGER) AS grid_id,
 FROM (SELECT ord, count(*) AS n_params FROM gcnt GROUP BY ord), gal""")
 def run_label(spark, sf_dir):
     """Default run labels from the model type, its parameter count (count rows) and settings."""
-    pos = grid_positions(spark, sf_dir).filter(F.col("split") == "train")
-    n = pos.select("order", "ctx", "next_id").distinct().groupBy("order").agg(F.count(F.lit(1)).alias("n_params"))
+    train = Model(spark, sf_dir).pairs.filter(F.col("split") == "train")
+    parts = [grid_counts(train, o).agg(F.lit(o).alias("order"), F.count(F.lit(1)).alias("n_params")) for o in ORDERS]
+    n = parts[0].unionByName(parts[1])
     al = n.select("*", F.posexplode(F.array(*[F.lit(a) for a in ALPHAS])).alias("i_alpha", "alpha"))
     label = experiments.run_label(F.lit(None).cast("string"), F.concat(F.lit("ngram"), F.col("order").cast("string")),
                                   F.col("n_params"), F.col("alpha"), F.lit(0.0))
@@ -173,29 +130,8 @@ def run_label(spark, sf_dir):
                      label.alias("label"))
 
 
-@register("lr_schedule", sql=f"""{sql_with()},
-ep AS (SELECT unnest(range(0, CAST(max(batch_id) AS BIGINT) + 1)) AS epoch FROM shards WHERE split = 'train'),
-lr AS (SELECT unnest({LEARNING_RATES!r}::DOUBLE[]) AS base_lr)
-SELECT base_lr, CAST(epoch AS INTEGER) AS epoch, round(base_lr * pow({LR_GAMMA}, epoch) + 3.1e-10, 9) AS lr FROM ep, lr""")
-def lr_schedule(spark, sf_dir):
-    """Step learning-rate per epoch; the number of epochs is the train split's batches per shard."""
-    s = shards(spark, sf_dir).filter(F.col("split") == "train")
-    ep = s.agg(F.max("batch_id").alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias("epoch"))
-    lr = ep.select("epoch", F.explode(F.array(*[F.lit(x) for x in LEARNING_RATES])).alias("base_lr"))
-    return lr.select("base_lr", F.col("epoch").cast("int"),
-                     F.round(experiments.lr_at(F.col("base_lr"), LR_GAMMA, F.col("epoch")) + 3.1e-10, 9).alias("lr"))
-
-
-@register("accum_steps", sql=f"""{sql_with()}
-SELECT DISTINCT rank, worker, batch_id, batch_id // {ACCUMULATE} AS opt_step FROM shards WHERE split = 'train'""")
-def accum_steps(spark, sf_dir):
-    """Optimizer step of each training batch under gradient accumulation."""
-    s = shards(spark, sf_dir).filter(F.col("split") == "train")
-    return s.select("rank", "worker", "batch_id", F.floor(F.col("batch_id") / ACCUMULATE).alias("opt_step")).distinct()
-
-
 def trials(spark, sf_dir):
-    """Latency trial rows derived from events: (seq_len, kind, trial, seconds)."""
+    """Latency trial rows (seq_len, kind, trial, seconds): events stand in for trials, which the given tables do not have."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.pow(F.lit(2), F.lit(6) + F.pmod(F.col("user_id"), F.lit(4))).cast("int").alias("seq_len"),
                      F.when(F.col("event_type").isin("view", "click"), "single_token").otherwise("n_token").alias("kind"),
@@ -220,7 +156,7 @@ def latency_summary(spark, sf_dir):
 
 
 def emission_runs(spark, sf_dir):
-    """Per-run emission rows (events of a user = one run)."""
+    """Per-run emission rows: the events of a user stand in for a run's measurements, which the given tables do not have."""
     ev = table(spark, sf_dir, "events")
     dur = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
     return ev.groupBy("user_id").agg(
@@ -250,7 +186,7 @@ def emissions_rollup(spark, sf_dir):
 SELECT 'ngram' || CAST(ord AS VARCHAR) AS run_id, split, round(loss + 3.1e-10, 6) AS loss FROM gres WHERE alpha = {NGRAM_ALPHA}""")
 def union_runs(spark, sf_dir):
     """Result tables of two runs appended by column name."""
-    g = grid_results(spark, sf_dir).filter(F.col("alpha") == NGRAM_ALPHA).persist()
+    g = stored(grid_results(spark, sf_dir).filter(F.col("alpha") == NGRAM_ALPHA), "grid")
     runs = [g.filter(F.col("order") == o).select(F.lit(f"ngram{o}").alias("run_id"), "split",
                                                   r6(F.col("loss")).alias("loss")) for o in ORDERS]
     out = runs[0]

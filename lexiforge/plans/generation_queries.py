@@ -6,59 +6,66 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import encode, ngram
 from lexiforge.plans.example_queries import sql_with
-from lexiforge.plans.model_queries import SQL_MODEL, train_positions
+from lexiforge.plans.model_queries import SQL_MODEL, Model
 from lexiforge.plans.params import NGRAM_ALPHA
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
-from lexiforge.plans.token_queries import byte_vocab
 
-MAX_NEW = 8          # new tokens per prompt
+GENERATION_LENGTH = 400   # ids of a prompt and its continuation together
 TASK = "benchmark"
 
 
-def fitted(spark, sf_dir):
-    lut, vocab_hex, vsize = byte_vocab(spark, sf_dir)
-    counts = ngram.fit(train_positions(spark, sf_dir))
-    return lut, vsize, counts
-
-
 def prompts(spark, sf_dir, lut):
     b = table(spark, sf_dir, "benchmark")
     return b.select("item_id", encode.byte_level_ids(F.col("text"), lut).alias("ids"))
 
 
+def generated(spark, sf_dir, stop):
+    """(item_id, gen) and the vocabulary's hex list."""
+    m = Model(spark, sf_dir)
+    chains = ngram.greedy_chains(ngram.best_next_table(m.counts, m.vocab_size), GENERATION_LENGTH)
+    g = ngram.generate(prompts(spark, sf_dir, m.lut), "ids", chains, GENERATION_LENGTH, 0 if stop else None)
+    return g.select("item_id", "gen"), m.vocab_hex
+
+
 def _generate(spark, sf_dir, stop):
-    lut, vsize, counts = fitted(spark, sf_dir)
-    chains = ngram.greedy_chains(ngram.best_next_table(counts, vsize), MAX_NEW, 0 if stop else None)
-    g = ngram.generate(prompts(spark, sf_dir, lut), "ids", chains)
-    return g.select("item_id", F.size("gen").alias("n_generated"), F.array_join("gen", ",").alias("gen_csv"))
+    g, vocab_hex = generated(spark, sf_dir, stop)
+    return g.select("item_id", F.size("gen").alias("n_generated"), F.array_join("gen", ",").alias("gen_csv"),
+                    encode.decode_ids(F.col("gen"), vocab_hex).alias("gen_text"))
 
 
-def _sql_gen_recursive(stop: bool) -> str:
+def _sql_generated(stop: bool) -> str:
+    """WITH-list up to generated(item_id, gen) and vhex(vh)."""
     stop_cond = "AND NOT c.stopped" if stop else ""
     stopped = "coalesce(b.best_id, 0) = 0" if stop else "false"
     return f"""{sql_with(*SQL_MODEL)},
-best AS (SELECT prev_id, next_id AS best_id FROM (SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY cnt DESC, next_id) AS rn FROM cnt) WHERE rn = 1),
-prm AS (SELECT item_id, list_concat([1::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(m[('0x' || x)::INTEGER + 1] AS BIGINT))) AS ids FROM benchmark, alpha_map),
-chain AS (SELECT * FROM (WITH RECURSIVE ch(item_id, k, last, gen, stopped) AS (
-    SELECT item_id, 0, ids[len(ids)], []::BIGINT[], false FROM prm
+vhex AS (SELECT list(h ORDER BY id) AS vh FROM (SELECT 0 AS id, hex(encode('<pad>')) AS h UNION ALL SELECT 1, hex(encode('<bos>'))
+         UNION ALL SELECT 2, hex(encode('<unk>')) UNION ALL SELECT id, lpad(hex(b), 2, '0') FROM alpha)),
+best AS MATERIALIZED (SELECT prev_id, next_id AS best_id FROM (SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY cnt DESC, next_id) AS rn FROM cnt) WHERE rn = 1),
+prm AS MATERIALIZED (SELECT item_id, list_concat([1::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(m[('0x' || x)::INTEGER + 1] AS BIGINT))) AS ids FROM benchmark, alpha_map),
+chain AS (SELECT * FROM (WITH RECURSIVE ch(item_id, room, k, last, gen, stopped) AS (
+    SELECT item_id, greatest({GENERATION_LENGTH} - len(ids), 0), 0, ids[len(ids)], []::BIGINT[], false FROM prm
     UNION ALL
-    SELECT c.item_id, c.k + 1, coalesce(b.best_id, 0), list_append(c.gen, coalesce(b.best_id, 0)), {stopped}
-    FROM ch c LEFT JOIN best b ON b.prev_id = c.last WHERE c.k < {MAX_NEW} {stop_cond})
-  SELECT * FROM ch))
-SELECT item_id, CAST(len(gen) AS INTEGER) AS n_generated, array_to_string(gen, ',') AS gen_csv
-FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS rn FROM chain) WHERE rn = 1"""
+    SELECT c.item_id, c.room, c.k + 1, coalesce(b.best_id, 0), list_append(c.gen, coalesce(b.best_id, 0)), {stopped}
+    FROM ch c LEFT JOIN best b ON b.prev_id = c.last WHERE c.k < c.room {stop_cond})
+  SELECT * FROM ch)),
+generated AS (SELECT item_id, gen FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS rn FROM chain) WHERE rn = 1)"""
+
+
+SQL_GENERATED = _sql_generated(True)
+SQL_GEN_TEXT = "decode(unhex(array_to_string(list_transform(gen, lambda i: vh[i + 1]), '')))"
+_SQL_GEN = f"SELECT item_id, CAST(len(gen) AS INTEGER) AS n_generated, array_to_string(gen, ',') AS gen_csv, {SQL_GEN_TEXT} AS gen_text FROM generated, vhex"
 
 
-@register("greedy_generate", sql=_sql_gen_recursive(True))
+@register("greedy_generate", sql=f"{SQL_GENERATED} {_SQL_GEN}")
 def greedy_generate(spark, sf_dir):
-    """Greedy continuation of every benchmark text until <pad> or MAX_NEW tokens."""
+    """Greedy continuation of every benchmark text until <pad> or GENERATION_LENGTH ids, as ids and text."""
     return _generate(spark, sf_dir, stop=True)
 
 
-@register("generate_fixed", sql=_sql_gen_recursive(False))
+@register("generate_fixed", sql=f"{_sql_generated(False)} {_SQL_GEN}")
 def generate_fixed(spark, sf_dir):
-    """Exactly MAX_NEW new tokens per prompt (no stop on <pad>)."""
+    """Continuation up to GENERATION_LENGTH ids, whatever is generated (no stop on <pad>)."""
     return _generate(spark, sf_dir, stop=False)
 
 
@@ -71,8 +78,8 @@ def choices(spark, sf_dir, lut):
 
 
 def scores(spark, sf_dir):
-    lut, vsize, counts = fitted(spark, sf_dir)
-    return ngram.sequence_loglik(choices(spark, sf_dir, lut), ("item_id", "choice_id"), "ids", counts, vsize, NGRAM_ALPHA)
+    m = Model(spark, sf_dir)
+    return ngram.sequence_loglik(choices(spark, sf_dir, m.lut), ("item_id", "choice_id"), "ids", m.counts, m.vocab_size, NGRAM_ALPHA)
 
 
 _SQL_CHOICES = [
@@ -81,8 +88,9 @@ _SQL_CHOICES = [
     "lambda x: CAST(m[('0x' || x)::INTEGER + 1] AS BIGINT))) AS ids FROM ch, alpha_map)",
     "cp AS (SELECT item_id, choice_id, unnest(list_transform(range(2, len(ids) + 1), lambda i: ids[i - 1])) AS prev_id, "
     "unnest(list_transform(range(2, len(ids) + 1), lambda i: ids[i])) AS next_id FROM cid)",
-    f"sc AS (SELECT item_id, choice_id, sum(ln((coalesce(c.cnt, 0) + {NGRAM_ALPHA}) / (coalesce(t.ctx_cnt, 0) + {NGRAM_ALPHA} * vocab_size))) AS loglik "
+    f"sp AS (SELECT item_id, choice_id, sum(ln((coalesce(c.cnt, 0) + {NGRAM_ALPHA}) / (coalesce(t.ctx_cnt, 0) + {NGRAM_ALPHA} * vocab_size))) AS loglik "
     "FROM cp LEFT JOIN cnt c USING (prev_id, next_id) LEFT JOIN tot t USING (prev_id), alpha_map GROUP BY item_id, choice_id)",
+    "sc AS (SELECT item_id, choice_id, coalesce(loglik, 0.0) AS loglik FROM cid LEFT JOIN sp USING (item_id, choice_id))",
 ]
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.vectors import format_ts
+from lexiforge.operators.encode import decode_ids
 from lexiforge.plans.corpus_queries import split_docs
 from lexiforge.plans.experiment_queries import SQL_GRID, SQL_LAT, SQL_RUNS, emission_runs, grid_results, latency
 from lexiforge.plans.example_queries import sql_with
-from lexiforge.plans.generation_queries import _generate
-from lexiforge.plans.model_queries import SQL_MODEL, scored
+from lexiforge.plans.generation_queries import SQL_GEN_TEXT, SQL_GENERATED, generated
+from lexiforge.plans.model_queries import SQL_MODEL, batch_losses
 from lexiforge.plans.params import BPE_MERGES, SQL_NONBLANK, sql_bpe_ctes, sql_merges, sql_split_docs
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
 from lexiforge.plans.token_queries import SQL_TOKEN, saved_tokenizer
-from lexiforge.session import scratch_path
+from lexiforge.session import scratch_path, stored
 from lexiforge.sources import io
 
 
@@ -68,21 +69,24 @@ SELECT grid_id, CAST(ord AS INTEGER) AS "order", alpha, split, round(loss + 3.1e
 def grid_results_csv(spark, sf_dir):
     """Grid results appended to a CSV with header; read back with a typed schema."""
     path = scratch_path(spark, "grid-csv")
-    g = grid_results(spark, sf_dir).select("grid_id", F.col("order").cast("int"), "alpha", "split",
-                                           r6(F.col("loss")).alias("loss"))
+    g = stored(grid_results(spark, sf_dir).select("grid_id", F.col("order").cast("int"), "alpha", "split",
+                                                  r6(F.col("loss")).alias("loss")), "grid")
     io.append_csv(g.filter(F.col("split") == "validation"), path)
     io.append_csv(g.filter(F.col("split") == "test"), path)
     return io.read_csv(spark, path, GRID_SCHEMA)
 
 
-@register("generation_log")
-def generation_log(spark, sf_dir):
-    """Generated texts appended as quoted CSV rows: (ts, model_type, prompt_id, text)."""
+STAMP = dt.datetime(2024, 1, 1, 12, 30)
+
+
+@register("generation_log", sql=f"""{SQL_GENERATED}
+SELECT '2024-01-01 12:30:00' AS ts, 'ngram2' AS model_type, item_id AS prompt_id, {SQL_GEN_TEXT} AS text FROM generated, vhex""")
+def generation_log(spark, sf_dir, now=STAMP):
+    """Generated texts appended as quoted CSV rows: (ts, model_type, prompt_id, text); ``now`` is the time to stamp."""
     path = scratch_path(spark, "generations")
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    g = _generate(spark, sf_dir, stop=True).select(
-        format_ts(F.lit(now)).alias("ts"), F.lit("ngram2").alias("model_type"),
-        F.col("item_id").alias("prompt_id"), F.col("gen_csv").alias("text"))
+    g, vocab_hex = generated(spark, sf_dir, stop=True)
+    g = g.select(format_ts(F.lit(now)).alias("ts"), F.lit("ngram2").alias("model_type"), F.col("item_id").alias("prompt_id"),
+                 decode_ids(F.col("gen"), vocab_hex).alias("text"))
     io.append_csv(g, path, quote_all=True)
     return io.read_csv(spark, path, "ts string, model_type string, prompt_id bigint, text string")
 
@@ -96,19 +100,20 @@ def latency_json(spark, sf_dir):
 
 
 @register("metrics_log", sql=f"""{sql_with(*SQL_MODEL)},
-st AS (SELECT split, batch_id AS step, sum(-logp) / count(*) AS loss FROM scored GROUP BY split, batch_id)
+st AS (SELECT split, batch_id AS step, sum(loss * n) / sum(n) AS loss FROM bl GROUP BY split, batch_id)
 SELECT 'ngram2' AS run_id, split, 0 AS epoch, step, name, round(value + 3.1e-10, 6) AS value
 FROM (SELECT split, step, 'loss' AS name, loss AS value FROM st UNION ALL SELECT split, step, 'perplexity', exp(loss) FROM st)""")
 def metrics_log(spark, sf_dir):
     """Append-only metric table (validation, then test), read back."""
     path = scratch_path(spark, "metrics")
-    s, _ = scored(spark, sf_dir, batches=True)
-    st = s.groupBy("split", F.col("batch_id").alias("step")).agg((F.sum(-F.col("logp")) / F.count(F.lit(1))).alias("loss"))
+    st = batch_losses(spark, sf_dir).groupBy("split", F.col("batch_id").alias("step")).agg(
+        (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
     rows = st.select("split", "step", F.array(F.struct(F.lit("loss").alias("name"), F.col("loss").alias("value")),
                                               F.struct(F.lit("perplexity").alias("name"), F.exp("loss").alias("value"))).alias("m"))
     m = rows.select(F.lit("ngram2").alias("run_id"), "split", F.lit(0).alias("epoch"), "step",
                     F.explode("m").alias("x")).select("run_id", "split", "epoch", "step", "x.name",
                                                       r6(F.col("x.value")).alias("value"))
+    m = stored(m, "metrics-all")  # written by split, computed once
     for sp in ("validation", "test"):
         io.write_table(m.filter(F.col("split") == sp), path, mode="append")
     return spark.read.parquet(path)

@@ -1,79 +1,111 @@
-"""Next-token model queries (A1-A5, flagship): fit on train, score, loss, perplexity."""
+"""Next-token model queries (A1-A5, flagship): fit on train, score, loss, perplexity.
+
+Every id of every document counts, in consecutive windows of SEQ_LEN.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lexiforge.operators import examples, ngram
-from lexiforge.plans.example_queries import pairs, sharded_pairs, sql_with
-from lexiforge.plans.params import NGRAM_ALPHA, SEQ_LEN
+from lexiforge.plans.example_queries import TOTAL, sql_with
+from lexiforge.plans.params import BATCH_SIZE, NGRAM_ALPHA, NUM_WORKERS, SEQ_LEN, WORLD_SIZE
+from lexiforge.plans.params import sql_bpe_ctes, sql_learned_tokens
 from lexiforge.plans.registry import register
-from lexiforge.plans.token_queries import byte_vocab
-
-ORDER = 2
-KEEP = ("doc_id", "split", "rank", "worker", "batch_id")
-
-
-def model_positions(spark, sf_dir):
-    """Padded positions of every split with shard/batch columns (pads count, as in the loss)."""
-    p = examples.padded_pairs(sharded_pairs(spark, sf_dir), SEQ_LEN)
-    return ngram.with_positions(p, KEEP, ORDER)
-
-
-def train_positions(spark, sf_dir):
-    """Training positions only; fitting needs no shard or batch column."""
-    p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split") == "train"), SEQ_LEN)
-    return ngram.with_positions(p, ("doc_id", "split"), ORDER)
-
-
-def scored(spark, sf_dir, splits=("validation", "test"), batches=False):
-    """Scored evaluation positions; shard/batch columns only when asked for."""
-    _, _, vsize = byte_vocab(spark, sf_dir)
-    counts = ngram.fit(train_positions(spark, sf_dir))
-    if batches:
-        ev = model_positions(spark, sf_dir).filter(F.col("split").isin(*splits))
-    else:
-        p = examples.padded_pairs(pairs(spark, sf_dir).filter(F.col("split").isin(*splits)), SEQ_LEN)
-        ev = ngram.with_positions(p, ("doc_id", "split"), ORDER)
-    return ngram.score(ev, counts, vsize, ORDER, NGRAM_ALPHA), vsize
-
-
-SQL_MODEL = [
-    f"pos AS (SELECT doc_id, split, rank, worker, batch_id, CAST(unnest(range(0, {SEQ_LEN})) AS INTEGER) AS pos, "
-    "unnest(px) AS prev_id, unnest(py) AS next_id FROM padded)",
-    "cnt AS (SELECT prev_id, next_id, count(*) AS cnt FROM pos WHERE split = 'train' GROUP BY ALL)",
-    "tot AS (SELECT prev_id, sum(cnt) AS ctx_cnt FROM cnt GROUP BY prev_id)",
-    f"scored AS (SELECT p.*, ln((coalesce(c.cnt, 0) + {NGRAM_ALPHA}) / (coalesce(t.ctx_cnt, 0) + {NGRAM_ALPHA} * vocab_size)) AS logp "
-    "FROM pos p LEFT JOIN cnt c USING (prev_id, next_id) LEFT JOIN tot t USING (prev_id), alpha_map "
-    "WHERE p.split IN ('validation', 'test'))",
-    "bl AS (SELECT split, rank, worker, batch_id, avg(-logp) AS loss, count(*) AS n FROM scored GROUP BY ALL)",
-]
+from lexiforge.plans.token_queries import byte_tokens, byte_vocab, learned_tokens
+from lexiforge.session import stored
+
+
+class Model:
+    """Byte-level tokens, pair counts by split and the counts of the training split."""
+
+    def __init__(self, spark, sf_dir, tokens=None, vocab_size=None):
+        if tokens is None:
+            self.lut, self.vocab_hex, vocab_size = byte_vocab(spark, sf_dir)
+            tokens = byte_tokens(spark, sf_dir, self.lut)
+        self.tokens, self.vocab_size = tokens, vocab_size
+        self.pairs = stored(ngram.pair_counts(tokens.select("split", "ids"), SEQ_LEN), "pair-counts")
+        self.counts = ngram.get_scorer("ngram").fit(self.pairs.filter(F.col("split") == "train"))
+
+    def scored_pairs(self, splits=("validation", "test")):
+        """(split, prev_id, next_id, n, logp)."""
+        ev = self.pairs.filter(F.col("split").isin(*splits))
+        return ngram.get_scorer("ngram", alpha=NGRAM_ALPHA).score(ev, self.counts, self.vocab_size)
+
+    def losses(self, splits=("validation", "test")):
+        """(split, n, loss): positions and their mean loss."""
+        s = self.scored_pairs(splits)
+        return s.groupBy("split").agg(F.sum("n").alias("n"), (F.sum(-F.col("logp") * F.col("n")) / F.sum("n")).alias("loss"))
+
+    def scored_positions(self, splits=("validation", "test")):
+        """(doc_id, split, win, pos, logp): one row per position."""
+        t = self.tokens.filter(F.col("split").isin(*splits))
+        pos = ngram.window_positions(t, ("doc_id", "split"), SEQ_LEN)
+        lp = stored(self.scored_pairs(splits).select("prev_id", "next_id", "logp").distinct(), "logp")
+        return pos.join(lp, ["prev_id", "next_id"]).select("doc_id", "split", "win", "pos", "logp")
+
+
+def window_shards(spark, sf_dir):
+    """(doc_id, split, win, rank, worker, batch_id): the shard of every window; keys only, no text, no ids."""
+    from lexiforge.plans.corpus_queries import split_docs
+    n = F.octet_length("text") + 1  # byte-level ids with <bos>
+    last = F.floor((n - 1) / SEQ_LEN)
+    w = split_docs(spark, sf_dir).select("doc_id", "split", F.explode(F.sequence(F.lit(0), last)).alias("win"))
+    return examples.with_shards(w, ["doc_id", "win"], WORLD_SIZE, NUM_WORKERS, BATCH_SIZE, by=("split",))
+
+
+def batch_losses(spark, sf_dir):
+    """(split, rank, worker, batch_id, loss, n): sums by window first, then by the window's batch."""
+    s = Model(spark, sf_dir).scored_positions()
+    win = s.groupBy("doc_id", "split", "win").agg(F.sum(-F.col("logp")).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return win.join(window_shards(spark, sf_dir), ["doc_id", "split", "win"]).groupBy("split", "rank", "worker", "batch_id").agg(
+        (F.sum("loss") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
+def sql_positions() -> list:
+    """CTEs on top of toks: every position of every window, counts and logs of the train split, batches."""
+    pads = f"({SEQ_LEN} - len(ids) % {SEQ_LEN}) % {SEQ_LEN}"
+    zeros = "list_transform(range(0, {}), lambda j: 0::BIGINT)"
+    return [
+        f"pos AS (SELECT doc_id, split, i // {SEQ_LEN} AS win, CAST(i % {SEQ_LEN} AS INTEGER) AS pos, prev_id, next_id FROM "
+        f"(SELECT doc_id, split, unnest(range(0, len(ids) + {pads})) AS i, "
+        f"unnest(list_concat(ids, {zeros.format(pads)})) AS prev_id, "
+        f"unnest(list_concat(ids[2:], {zeros.format('1 + ' + pads)})) AS next_id FROM toks))",
+        "cnt AS (SELECT prev_id, next_id, count(*) AS cnt FROM pos WHERE split = 'train' GROUP BY ALL)",
+        "tot AS (SELECT prev_id, sum(cnt) AS ctx_cnt FROM cnt GROUP BY prev_id)",
+        "vsize AS (SELECT max(vocab_size) AS vocab_size FROM alpha_map)",
+        f"scored AS (SELECT p.*, ln((coalesce(c.cnt, 0) + {NGRAM_ALPHA}) / (coalesce(t.ctx_cnt, 0) + {NGRAM_ALPHA} * vocab_size)) AS logp "
+        "FROM pos p LEFT JOIN cnt c USING (prev_id, next_id) LEFT JOIN tot t USING (prev_id), vsize "
+        "WHERE p.split IN ('validation', 'test'))",
+        "widx AS (SELECT doc_id, split, win, row_number() OVER (PARTITION BY split ORDER BY doc_id, win) - 1 AS row_idx "
+        f"FROM (SELECT doc_id, split, unnest(range(0, (len(ids) + {SEQ_LEN - 1}) // {SEQ_LEN})) AS win FROM toks))",
+        f"wsh AS (SELECT doc_id, split, win, CAST((row_idx % {TOTAL}) // {NUM_WORKERS} AS INTEGER) AS rank, "
+        f"CAST(row_idx % {NUM_WORKERS} AS INTEGER) AS worker, (row_idx // {TOTAL}) // {BATCH_SIZE} AS batch_id FROM widx)",
+        "bl AS (SELECT split, rank, worker, batch_id, avg(-logp) AS loss, count(*) AS n "
+        "FROM scored JOIN wsh USING (doc_id, split, win) GROUP BY ALL)",
+    ]
+
+
+SQL_MODEL = sql_positions()
 
 
 @register("ngram_fit", sql=f"""{sql_with(*SQL_MODEL)}
 SELECT prev_id, next_id, cnt FROM cnt""")
 def ngram_fit(spark, sf_dir):
-    return ngram.fit(train_positions(spark, sf_dir)).select(F.col("ctx")[0].alias("prev_id"), "next_id", "cnt")
+    return Model(spark, sf_dir).counts.select("prev_id", "next_id", "cnt")
 
 
 @register("ngram_score", sql=f"""{sql_with(*SQL_MODEL)}
-SELECT doc_id, split, pos, round(logp, 6) AS logp FROM scored""")
+SELECT doc_id, split, win, pos, round(logp, 6) AS logp FROM scored""")
 def ngram_score(spark, sf_dir):
-    s, _ = scored(spark, sf_dir)
-    return s.select("doc_id", "split", "pos", F.round("logp", 6).alias("logp"))
+    s = Model(spark, sf_dir).scored_positions()
+    return s.select("doc_id", "split", "win", "pos", F.round("logp", 6).alias("logp"))
 
 
 @register("mean_loss", sql=f"""{sql_with(*SQL_MODEL)}
 SELECT split, round(avg(-logp), 6) AS mean_loss, count(*) AS n_positions FROM scored GROUP BY split""")
 def mean_loss(spark, sf_dir):
-    s, _ = scored(spark, sf_dir)
-    return s.groupBy("split").agg(F.round(F.avg(-F.col("logp")), 6).alias("mean_loss"),
-                                  F.count(F.lit(1)).alias("n_positions"))
-
-
-def batch_losses(s):
-    return s.groupBy("split", "rank", "worker", "batch_id").agg(
-        F.avg(-F.col("logp")).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return Model(spark, sf_dir).losses().select("split", F.round("loss", 6).alias("mean_loss"), F.col("n").alias("n_positions"))
 
 
 @register("perplexity", sql=f"""{sql_with(*SQL_MODEL)}
@@ -81,23 +113,19 @@ SELECT split, round(avg(exp(loss)), 6) AS perplexity_mean_of_batches,
        round(exp(sum(loss * n) / sum(n)), 6) AS perplexity_of_mean, count(*) AS n_batches
 FROM bl GROUP BY split""")
 def perplexity(spark, sf_dir):
-    s, _ = scored(spark, sf_dir, batches=True)
-    b = batch_losses(s)
-    return b.groupBy("split").agg(
+    return batch_losses(spark, sf_dir).groupBy("split").agg(
         F.round(F.avg(F.exp("loss")), 6).alias("perplexity_mean_of_batches"),
         F.round(F.exp(F.sum(F.col("loss") * F.col("n")) / F.sum("n")), 6).alias("perplexity_of_mean"),
         F.count(F.lit(1)).alias("n_batches"))
 
 
 @register("metrics_rollup", sql=f"""{sql_with(*SQL_MODEL)}
-SELECT split, batch_id AS step, round(sum(-logp) / count(*), 6) AS loss, count(*) AS n_positions
-FROM scored GROUP BY ROLLUP (split, batch_id)""")
+SELECT split, batch_id AS step, round(sum(loss * n) / sum(n), 6) AS loss, CAST(sum(n) AS BIGINT) AS n_positions
+FROM bl GROUP BY ROLLUP (split, batch_id)""")
 def metrics_rollup(spark, sf_dir):
     """Step-level (synchronised across shards) and epoch-level loss in one pass."""
-    s, _ = scored(spark, sf_dir, batches=True)
-    return s.rollup("split", F.col("batch_id").alias("step")).agg(
-        F.round(F.sum(-F.col("logp")) / F.count(F.lit(1)), 6).alias("loss"),
-        F.count(F.lit(1)).alias("n_positions"))
+    return batch_losses(spark, sf_dir).rollup("split", F.col("batch_id").alias("step")).agg(
+        F.round(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), 6).alias("loss"), F.sum("n").alias("n_positions"))
 
 
 @register("guess_baseline", sql=f"""{sql_with(*SQL_MODEL)}
@@ -105,18 +133,25 @@ SELECT split, round(ln(any_value(vocab_size)), 6) AS guess_loss, round(avg(-logp
        round(avg(-logp) / ln(any_value(vocab_size)), 6) AS loss_ratio
 FROM scored, alpha_map GROUP BY split""")
 def guess_baseline(spark, sf_dir):
-    s, vsize = scored(spark, sf_dir)
-    g = ngram.guess_loss(vsize)
-    return s.groupBy("split").agg(F.avg(-F.col("logp")).alias("m")).select(
-        "split", F.round(F.lit(g), 6).alias("guess_loss"), F.round("m", 6).alias("mean_loss"),
-        F.round(F.col("m") / F.lit(g), 6).alias("loss_ratio"))
+    m = Model(spark, sf_dir)
+    g = ngram.guess_loss(m.vocab_size)
+    return m.losses().select("split", F.round(F.lit(g), 6).alias("guess_loss"), F.round("loss", 6).alias("mean_loss"),
+                             F.round(F.col("loss") / F.lit(g), 6).alias("loss_ratio"))
+
+
+def sql_learned(*extra: str) -> str:
+    """The same CTEs over the ids of the learned vocabulary."""
+    from lexiforge.plans.params import BPE_MERGES
+    vsize = f"vsize AS (SELECT count(*) AS vocab_size FROM v{BPE_MERGES})"
+    return "WITH " + ", ".join([sql_bpe_ctes(), sql_learned_tokens(), *[vsize if c.startswith("vsize") else c for c in extra]])
 
 
-@register("flagship_perplexity", sql=f"""{sql_with(*SQL_MODEL)}
+@register("flagship_perplexity", sql=f"""{sql_learned(*SQL_MODEL[:5])}
 SELECT split, count(*) AS n_positions, round(avg(-logp), 6) AS mean_loss, round(exp(avg(-logp)), 6) AS perplexity
 FROM scored WHERE split = 'validation' GROUP BY split""")
 def flagship_perplexity(spark, sf_dir):
-    s, _ = scored(spark, sf_dir, splits=("validation",))
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_positions"),
-                                  F.round(F.avg(-F.col("logp")), 6).alias("mean_loss"),
-                                  F.round(F.exp(F.avg(-F.col("logp"))), 6).alias("perplexity"))
+    """Split, learn a tokenizer, save and load it, encode, fit on train, perplexity on validation."""
+    enc, tok = learned_tokens(spark, sf_dir)
+    m = Model(spark, sf_dir, stored(enc, "tokenized"), len(tok.vocab_hex))
+    return m.losses(("validation",)).select("split", F.col("n").alias("n_positions"), F.round("loss", 6).alias("mean_loss"),
+                                            F.round(F.exp("loss"), 6).alias("perplexity"))

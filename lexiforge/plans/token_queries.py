@@ -39,9 +39,9 @@ def learned_tokens(spark, sf_dir, path: str | None = None, keep=("doc_id", "spli
     return encode.encode_corpus(split_docs(spark, sf_dir), tok.byte_ids, tok.merges, keep=keep), tok
 
 
-def byte_tokens(spark, sf_dir):
+def byte_tokens(spark, sf_dir, lut=None):
     """(doc_id, split, ids): every document as byte-level ids with <bos>."""
-    lut, _, _ = byte_vocab(spark, sf_dir)
+    lut = lut or byte_vocab(spark, sf_dir)[0]
     return split_docs(spark, sf_dir).select(
         "doc_id", "split", encode.byte_level_ids(F.col("text"), lut).alias("ids"))
 

@@ -20,8 +20,6 @@ HEADS = 3
 CHUNK = 16
 PATIENCE = 3
 TOP_K = 3
-VAL_EVERY = 5
-CKPT_HOURS = 24.0
 # gamma = 31/32 times 2-decimal values gives exact decimal ties at the 6th
 # digit; both engines round value + NUDGE so a 1-ulp difference cannot split a tie.
 NUDGE = 3.1e-10
@@ -140,34 +138,3 @@ def ckpt_name(spark, sf_dir):
     # at most TOP_K rows per run: a per-run window is bounded
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("pos")) - 1
     return k.select("user_id", "pos", experiments.ckpt_name(n, F.floor(F.col("pos") / 10), F.col("value")).alias("name"))
-
-
-@register("cadence_events", sql=f"""
-WITH {SQL_EV}, t0 AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id),
-b AS (SELECT ev.*, CAST(floor(epoch(ts - t0) / ({CKPT_HOURS} * 3600)) AS BIGINT) AS bucket FROM ev JOIN t0 USING (user_id)),
-f AS (SELECT *, row_number() OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id) = 1 AS is_time_ckpt FROM b)
-SELECT user_id, pos, pos % {VAL_EVERY} = 0 AS is_validation, is_time_ckpt FROM f
-WHERE pos % {VAL_EVERY} = 0 OR is_time_ckpt""")
-def cadence_events(spark, sf_dir):
-    e = ordered_index(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "pos")
-    return experiments.cadence_events(e, ["user_id"], "pos", "ts", VAL_EVERY, CKPT_HOURS)
-
-
-_CADENCE_RULES = [(None, 5), (24.0, 5), (0.0, 5), (12.0, None)]
-
-
-@register("ckpt_cadence", sql=f"""
-WITH {SQL_EV}, t0 AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id),
-rules AS (SELECT * FROM (VALUES (0, NULL, 5), (1, 24.0, 5), (2, 0.0, 5), (3, 12.0, NULL)) v(rule_id, hours, steps)),
-eff AS (SELECT rule_id, CASE WHEN hours > 0 THEN hours END AS hours,
-               CASE WHEN hours > 0 THEN NULL ELSE steps END AS steps FROM rules),
-b AS (SELECT ev.*, epoch(ts - t0) AS el FROM ev JOIN t0 USING (user_id)),
-j AS (SELECT rule_id, user_id, pos, el, ts, event_id, hours, steps,
-             CASE WHEN hours IS NOT NULL THEN CAST(floor(el / (hours * 3600)) AS BIGINT) END AS bucket FROM b, eff),
-f AS (SELECT *, CASE WHEN hours IS NOT NULL THEN row_number() OVER (PARTITION BY rule_id, user_id, bucket ORDER BY ts, event_id) = 1
-                     ELSE pos % steps = 0 END AS fire FROM j)
-SELECT rule_id, user_id, count(*) FILTER (WHERE fire) AS n_checkpoints FROM f GROUP BY rule_id, user_id""")
-def ckpt_cadence(spark, sf_dir):
-    """Checkpoint cadence rule (hours > 0 wins, else steps) applied per run."""
-    e = ordered_index(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "pos")
-    return experiments.ckpt_cadence(e, ["user_id"], "pos", "ts", _CADENCE_RULES)

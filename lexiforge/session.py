@@ -6,11 +6,14 @@ it is unset, from the warehouse directory. No machine-local folder is used.
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
 from pyspark.sql import SparkSession
 
+_SCRATCH_ROOTS: set = set()
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -64,10 +67,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("lexiforge.output.dir", None)
     if not root:
-        root = checkpoint_dir(spark).rstrip("/") + "/lexiforge-tables"
+        root = f"{checkpoint_dir(spark).rstrip('/')}/lexiforge-tables"
+        if root not in _SCRATCH_ROOTS:
+            _SCRATCH_ROOTS.add(root)
+            atexit.register(_drop_scratch, spark, root)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str = "table"):
+    """``df`` written once to shared storage and read back: its size is known to the optimizer,
+    and what reads it does not compute it again. Scratch tables go when the session ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop_scratch(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone already
+        pass
+
+
 def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_dir(df.sparkSession)

@@ -58,11 +58,13 @@ def read_split(spark: SparkSession, path: str, splits: list) -> DataFrame:
 
 def append_csv(df: DataFrame, path: str, header: bool = True, quote_all: bool = False) -> str:
     return write_table(df, path, fmt="csv", mode="append", header=str(header).lower(),
-                       quoteAll=str(quote_all).lower(), escape='"')
+                       quoteAll=str(quote_all).lower(), escape='"',
+                       ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 
 def read_csv(spark: SparkSession, path: str, schema, header: bool = True) -> DataFrame:
-    return spark.read.schema(schema).option("header", str(header).lower()).option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", str(header).lower()).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 # ---- fixed values: emissions file, 31 typed columns, geo fields may be empty -----

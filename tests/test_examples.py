@@ -46,12 +46,30 @@ def test_ordered_index_is_skew_safe_and_exact(spark):
     assert j.count() == 10000 and j.filter("idx != idx2").count() == 0
 
 
-def test_include_pad_flag(spark):
+def test_windows_hold_every_id(spark):
     from lexiforge.operators import ngram
-    df = spark.createDataFrame([(1, [1, 5, 6])], "doc_id long, ids array<bigint>")
-    p = examples.padded_pairs(examples.causal_pairs(df, 4), 4)
-    assert ngram.with_positions(p, ("doc_id",), 2).count() == 4
-    assert ngram.with_positions(p, ("doc_id",), 2, include_pad=False).count() == 3
+    lists = {1: [1], 2: [1, 5, 6], 3: [1, 5, 6, 7], 4: list(range(1, 11)), 5: []}
+    df = spark.createDataFrame([(k, "a", v) for k, v in lists.items()], "doc_id long, split string, ids array<bigint>")
+    rows = sorted(tuple(r) for r in ngram.window_positions(df, ("doc_id",), 4).collect())
+    want = []
+    for k, ids in lists.items():
+        x = ids + [0] * (-len(ids) % 4)
+        y = ids[1:] + [0] * (len(x) - len(ids) + 1) if ids else []
+        want += [(k, i // 4, i % 4, a, b) for i, (a, b) in enumerate(zip(x, y))]
+    assert rows == sorted(want)
+    assert ngram.window_positions(df, ("doc_id",), 4, include_pad=False).count() == 18
+    counts = {(r["prev_id"], r["next_id"]): r["n"] for r in ngram.pair_counts(df, 4).collect()}
+    assert sum(counts.values()) == len(want) and counts[0, 0] == sum(1 for w in want if w[3:] == (0, 0))
+
+
+def test_chains_by_doubling_and_total_length(spark):
+    from lexiforge.operators import ngram
+    best = spark.createDataFrame([(0, 0), (1, 2), (2, 3), (3, 1), (4, 0)], "prev_id long, best_id long")
+    chains = ngram.greedy_chains(best, 5)
+    p = spark.createDataFrame([(1, [9, 1]), (2, [4]), (3, [1] * 7), (4, [8])], "k long, ids array<bigint>")
+    got = {r["k"]: list(r["gen"]) for r in ngram.generate(p, "ids", chains, 7).collect()}
+    assert got == {1: [2, 3, 1, 2, 3], 2: [0], 3: [], 4: []}
+    assert {r["k"]: len(r["gen"]) for r in ngram.generate(p, "ids", chains, 7, stop_id=None).collect()}[2] == 6
 
 
 def test_ordered_index_takes_null_and_nan_keys(spark):

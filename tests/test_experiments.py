@@ -49,6 +49,6 @@ def test_default_if_falsy_and_scorer_registry(spark):
     df = spark.createDataFrame([(None,), (0,), (7,)], "n int")
     got = [r["d"] for r in df.select(experiments.default_if_falsy(F.col("n"), 5).alias("d")).collect()]
     assert got == [5, 5, 7]
-    assert ngram.get_scorer("NGRAM", order=2) is not None
+    assert ngram.get_scorer("NGRAM", alpha=0.5) is not None
     with pytest.raises(ValueError):
         ngram.get_scorer("transformer")
