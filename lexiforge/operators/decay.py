@@ -1,10 +1,8 @@
 """Exponentially decayed running aggregates, skew-safe.
 
 ``o_n = sum_{m <= n} gamma^(n-m) v_m`` per key in a given order (retention-style
-decay). Three forms:
+decay). Two forms:
 
-* ``experiments.halo_decay``: the definition over a causal frame bounded by
-  precision (terms below gamma^K < e^-40 dropped), in blocks with a halo.
 * ``decayed_sum``: chunk form. Positions come from the skew-safe ordered index;
   inside a chunk of C rows the closed form ``gamma^j * cumsum(gamma^-j v)`` is
   exact and cannot overflow (C * ln(1/gamma) <= 600); chunk totals are carried
@@ -27,7 +25,7 @@ from pyspark.sql.window import Window
 from lexiforge.operators.ordering import ordered_index
 
 MAX_EXP = 600.0        # keep gamma^-j below e^600
-NEGLIGIBLE = 40.0      # gamma^C below e^-40 -> two carried chunks are exact in doubles
+UNDERFLOW = 746.0      # e^-746 is 0 in doubles
 MAX_CHUNK = 1 << 20
 
 
@@ -38,7 +36,7 @@ def head_gammas(heads: int) -> list[float]:
 
 def chunk_size(gamma: float) -> int:
     lg = -math.log(gamma)
-    return int(max(1, min(MAX_CHUNK, math.floor(MAX_EXP / lg)))) if lg > 0 else MAX_CHUNK
+    return int(max(2, min(MAX_CHUNK, math.floor(MAX_EXP / lg)))) if lg > 0 else MAX_CHUNK
 
 
 def _decay_dense(df: DataFrame, keys: list, idx: str, v: str, gamma: float, out: str,
@@ -57,8 +55,8 @@ def _decay_dense(df: DataFrame, keys: list, idx: str, v: str, gamma: float, out:
     # chunk totals at the end of each full chunk
     tot = d.groupBy(*keys, "_c").agg(F.sum(F.col(v) * F.pow(g, F.lit(C - 1) - F.col("_j"))).alias("_T"))
     big_gamma = gamma ** C
-    if C * lg >= NEGLIGIBLE:
-        # E_{c-1} = T_{c-1} + Gamma T_{c-2}; older chunks are below double precision
+    if 2 * C * lg >= UNDERFLOW:
+        # E_{c-1} = T_{c-1} + Gamma T_{c-2}; the factor of older chunks, Gamma^2, is 0 in doubles
         t1 = tot.select(*keys, (F.col("_c") + 1).alias("_c"), F.col("_T").alias("_t1"))
         t2 = tot.select(*keys, (F.col("_c") + 2).alias("_c"), F.col("_T").alias("_t2"))
         carry = (t1.join(t2, [*keys, "_c"], "left")

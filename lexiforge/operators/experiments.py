@@ -123,31 +123,6 @@ def ckpt_cadence(df: DataFrame, keys: Sequence[str], pos: str, ts: str, rules) -
     return out
 
 
-def halo_decay(df: DataFrame, keys: Sequence[str], pos: str, value: str, gamma: float, out: str,
-               block: int = 4096) -> DataFrame:
-    """Parallel (definition) form over a bounded causal frame, skew-safe.
-
-    Terms older than K rows weigh below gamma^K < e^-40 and are dropped from the
-    frame; rows are cut into blocks of ``block`` rows and the last K rows of a
-    block are copied into the next block (a halo), so every window partition is
-    bounded by block + K rows.
-    """
-    import math
-    keys = list(keys)
-    k = int(math.ceil(40.0 / -math.log(gamma))) if 0 < gamma < 1 else block
-    block = max(block, k)          # the halo must cover the whole frame
-    blk = F.floor(F.col(pos) / block)
-    copies = F.array(F.struct(blk.alias("_b"), F.lit(True).alias("_home")),
-                     F.struct((blk + 1).alias("_b"), F.lit(False).alias("_home")))
-    need_copy = F.pmod(F.col(pos), F.lit(block)) >= block - k
-    d = df.withColumn("_cp", F.explode(F.when(need_copy, copies).otherwise(F.slice(copies, 1, 1))))
-    d = d.withColumn("_b", F.col("_cp._b")).withColumn("_home", F.col("_cp._home")).drop("_cp")
-    w = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(-k, Window.currentRow)
-    vals = F.collect_list(F.col(value)).over(w)
-    d = d.withColumn(out, F.aggregate(vals, F.lit(0.0), lambda acc, x: acc * F.lit(gamma) + x))
-    return d.filter("_home").drop("_b", "_home")
-
-
 def grid_product(spark, lists: dict) -> DataFrame:
     """Cartesian product of hyper-parameter lists without a join.
 
@@ -189,10 +164,20 @@ def lr_at(base_lr: Column, gamma: float, epoch: Column) -> Column:
 
 
 def latency_summary(trials: DataFrame) -> DataFrame:
-    """(seq_len, kind) -> n_trials, mean, min, max, median seconds (exact median)."""
-    return trials.groupBy("seq_len", "kind").agg(
+    """(seq_len, kind) -> n_trials, mean, min, max, median seconds.
+
+    The median is read off the rows in the middle of a skew-safe index, so no
+    task holds a group's values.
+    """
+    keys = ["seq_len", "kind"]
+    stats = trials.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trials"), F.avg("seconds").alias("mean_s"), F.min("seconds").alias("min_s"),
-        F.max("seconds").alias("max_s"), F.percentile(F.col("seconds"), 0.5).alias("median_s"))
+        F.max("seconds").alias("max_s"))
+    placed = ordered_index(trials.filter(F.col("seconds").isNotNull()).select(*keys, "seconds", "trial"), keys, ["seconds", "trial"], "_at")
+    size = placed.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    middle = (placed.join(size, keys).filter((F.col("_at") == F.floor(F.col("_last") / 2)) | (F.col("_at") == F.ceil(F.col("_last") / 2)))
+              .groupBy(*keys).agg(F.avg("seconds").alias("median_s")))
+    return stats.join(middle, keys, "left")
 
 
 def emissions_rollup(runs: DataFrame, by: Sequence[str]) -> DataFrame:

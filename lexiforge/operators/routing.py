@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.hashing import gumbel, keyed_uniform
 from lexiforge.operators.ordering import ordered_index
-from lexiforge.session import cut_lineage
 
 # ---- fixed values ----------------------------------------------------------
 EVAL_CAPACITY_TOKEN_FRACTION = 0.25
@@ -59,9 +58,9 @@ def capacity(num_rows: int, num_experts: int, top: int = 1, capacity_factor: flo
 def make_finite(df: DataFrame, col: str = "logits") -> DataFrame:
     """Replace NaN / +-inf entries by the minimum finite entry of the whole table."""
     finite = lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    lo = df.select(F.min(F.array_min(F.filter(F.col(col), finite))).alias("m")).first()["m"]  # one row
-    lo = 0.0 if lo is None else float(lo)
-    return df.withColumn(col, F.transform(F.col(col), lambda x: F.when(finite(x), x).otherwise(F.lit(lo))))
+    lo = df.select(F.array_min(F.filter(F.col(col), finite)).alias("m")).agg(F.coalesce(F.min("m"), F.lit(0.0)).alias("m")).scalar()
+    return df.withColumn("_lo", lo).withColumn(
+        col, F.transform(F.col(col), lambda x: F.when(finite(x), x).otherwise(F.col("_lo")))).drop("_lo")
 
 
 def _slots(rows: DataFrame, expert: str, out: str, order: list) -> DataFrame:
@@ -70,13 +69,13 @@ def _slots(rows: DataFrame, expert: str, out: str, order: list) -> DataFrame:
 
 
 def route_top1(df: DataFrame, num_experts: int, capacity_factor: float = 1.0,
-               prioritized: bool = False) -> tuple[DataFrame, int]:
+               prioritized: bool = False, eval_mode: bool = False) -> tuple[DataFrame, int]:
     """(row_id, expert, slot, kept, gate, is_padding) and the capacity used."""
     n = df.count()
-    cap = capacity(n, num_experts, 1, capacity_factor)
+    cap = capacity(n, num_experts, 1, capacity_factor, eval_mode)
     g = df.withColumn("gates", softmax(F.col("logits"))).withColumn("expert", argmax(F.col("gates")))
     g = g.withColumn("max_gate", F.array_max("gates")).withColumn("gate_raw", F.element_at("gates", F.col("expert") + 1))
-    g = cut_lineage(g.drop("logits"))          # reused by the slot index and the result
+    g = g.drop("logits")
     routed = g.filter(~F.col("is_padding"))
     if prioritized:
         routed = routed.withColumn("_neg_gate", -F.col("max_gate"))
@@ -91,10 +90,15 @@ def route_top1(df: DataFrame, num_experts: int, capacity_factor: float = 1.0,
 
 
 def route_top2(df: DataFrame, num_experts: int, policy: str = "sampling", seed: int = 42,
-               normalize_before_dropping: bool = False) -> tuple[DataFrame, int]:
-    """Top-2 routing; second-slot numbering starts after all first choices of the bucket."""
-    n = df.count()
-    cap = capacity(n, num_experts, 2)
+               normalize_before_dropping: bool = False, prioritized: bool = False,
+               eval_mode: bool = False) -> tuple[DataFrame, int]:
+    """Top-2 routing; second-slot numbering starts after all first choices of the bucket.
+
+    ``prioritized``: rows of greater best gate take slots first. ``eval_mode``: the
+    evaluation capacity. Both choices are rows of one long table, so one
+    index numbers the slots of first and second choices.
+    """
+    cap = capacity(df.count(), num_experts, 2, eval_mode=eval_mode)
     g = df.withColumn("gates", softmax(F.col("logits"))).withColumn("expert1", argmax(F.col("gates")))
     if policy == "sampling":
         noisy = F.transform(F.col("logits"), lambda x, i: x + gumbel(seed, F.col("row_id"), i))
@@ -106,20 +110,20 @@ def route_top2(df: DataFrame, num_experts: int, policy: str = "sampling", seed:
     g = g.withColumn("g1", g1).withColumn("g2", g2)
     if normalize_before_dropping:
         den = F.greatest(F.col("g1") + F.col("g2"), F.lit(FLOAT64_EPS))
-        g = g.withColumn("g1", F.col("g1") / den).withColumn("g2", F.col("g2") / den)
+        g = g.withColumns({"g1": F.col("g1") / den, "g2": F.col("g2") / den})
     m2 = ~F.col("is_padding")
     if policy == "random":
         m2 = m2 & (F.lit(2.0) * F.col("g2") > keyed_uniform(seed, F.col("row_id")))
-    g = g.withColumn("m1", ~F.col("is_padding")).withColumn("m2", m2)
-    # the routed-row table feeds three branches (two slot indexes and the
-    # result): materialise it once instead of re-deriving gates and choices
-    g = cut_lineage(g.drop("logits"))
-    s1 = _slots(g.filter("m1").select("row_id", "expert1"), "expert1", "slot1", ["row_id"])
-    s2 = _slots(g.filter("m2").select("row_id", "expert2"), "expert2", "_s2", ["row_id"])
-    first_counts = g.filter("m1").groupBy("expert1").agg(F.count(F.lit(1)).alias("_n1"))
-    s2 = (s2.join(F.broadcast(first_counts.withColumnRenamed("expert1", "expert2")), "expert2", "left")  # E rows
-          .select("row_id", (F.col("_s2") + F.coalesce(F.col("_n1"), F.lit(0))).alias("slot2")))
-    out = g.join(s1.select("row_id", "slot1"), "row_id", "left").join(s2, "row_id", "left")
+    g = g.withColumn("m1", ~F.col("is_padding")).withColumn("m2", m2).drop("logits")
+    first = -F.array_max("gates") if prioritized else F.lit(0.0)
+    long = g.select("row_id", first.alias("first"), F.explode(F.array(
+        F.struct(F.lit(1).alias("choice"), F.col("expert1").alias("expert"), F.col("m1").alias("m")),
+        F.struct(F.lit(2).alias("choice"), F.col("expert2").alias("expert"), F.col("m2").alias("m")))).alias("c"))
+    long = long.select("row_id", "first", "c.choice", "c.expert", "c.m").filter("m").drop("m")
+    slots = _slots(long, "expert", "slot", ["choice", "first", "row_id"])
+    slots = slots.groupBy("row_id").agg(F.max(F.when(F.col("choice") == 1, F.col("slot"))).alias("slot1"),
+                                        F.max(F.when(F.col("choice") == 2, F.col("slot"))).alias("slot2"))
+    out = g.join(slots, "row_id", "left")
     k1 = F.coalesce(F.col("slot1") < cap, F.lit(False))
     k2 = F.coalesce(F.col("slot2") < cap, F.lit(False))
     out = out.withColumn("kept1", k1).withColumn("kept2", k2)
@@ -132,6 +136,31 @@ def route_top2(df: DataFrame, num_experts: int, policy: str = "sampling", seed:
                        b.alias("gate2"), "is_padding", "gates", "m1", "m2"), cap)
 
 
+def report(routed: DataFrame, cap: int, num_experts: int) -> DataFrame:
+    """One row: mean gate entropy and, for first and second choices, unused buckets, balance and overflow (%)."""
+    long = routed.select(F.explode(F.array(F.struct(F.lit(1).alias("choice"), F.col("expert1").alias("expert")),
+                                           F.struct(F.lit(2).alias("choice"), F.col("expert2").alias("expert")))).alias("c")).select("c.*")
+    counts = long.groupBy("choice", "expert").agg(F.count(F.lit(1)).alias("n"))
+    spine = routed.sparkSession.range(2 * num_experts).select(
+        (F.floor(F.col("id") / num_experts) + 1).cast("int").alias("choice"), F.pmod("id", F.lit(num_experts)).cast("int").alias("expert"))
+    k = max(math.ceil(num_experts * SAMPLE_FRACTION), 1)
+    full = (spine.join(counts, ["choice", "expert"], "left").groupBy("choice")  # num_experts numbers in each
+            .agg(F.array_sort(F.collect_list(F.coalesce("n", F.lit(0)))).alias("n")))
+    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+    def share(part):
+        return F.lit(100.0) * F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x) / total
+
+    per = full.select("choice", F.size(F.filter("n", lambda x: x == 0)).alias("unused"),
+                      share(F.slice("n", num_experts - k + 1, k)).alias("top"), share(F.slice("n", 1, k)).alias("bottom"))
+    per = per.agg(*[F.max(F.when(F.col("choice") == c, F.col(x))).alias(f"{name}{c}") for c in (1, 2)
+                    for x, name in (("unused", "unused_expert"), ("top", "balance_top"), ("bottom", "balance_bottom"))])
+    over = routed.agg(F.avg(entropy(F.col("gates"))).alias("entropy_gating"), *[
+        (F.lit(100.0) * F.sum(F.when(F.col(f"m{c}") & (F.col(f"slot{c}") >= cap), 1).otherwise(0))
+         / F.sum(F.when(F.col(f"m{c}"), 1).otherwise(0))).alias(f"overflow{c}") for c in (1, 2)])
+    return over.select("*", *[per.select(c).scalar().alias(c) for c in per.columns])
+
+
 def expert_histogram(assign: DataFrame, expert: str, num_experts: int, num_rows: int) -> DataFrame:
     """(expert, pct): share of all rows (padding included) whose argmax is the bucket."""
     spine = assign.sparkSession.range(num_experts).select(F.col("id").cast("int").alias(expert))

@@ -1,9 +1,8 @@
 """Routing queries (X1-X8, A6-A8, W1, W2, J4, P8, K3, F7, F8, F11) on ``embeddings``.
 
-Buckets are the first E labels: bucket centroid = mean embedding of that label
-(E x D numbers, collected: bounded by E and D). Gate logits = dot product with
-the L2-normalised centroids (rows themselves are not normalised). Rows whose
-label has no bucket play the padding rows.
+There is a bucket for each label: its centroid is the mean embedding of that
+label. Gate logits = dot product with the L2-normalised centroids (rows
+themselves are not normalised). Rows without a label play the padding rows.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from lexiforge.operators import routing
 from lexiforge.plans.params import SEED, sql_uniform
 from lexiforge.plans.registry import register, table
 
-E = 8
+E = 10
 NUDGE = 3.1e-10
 
 
@@ -25,30 +24,24 @@ def r6(c):
 
 
 def centroids(spark, sf_dir):
+    """One row: the E x D matrix of normalised centroids; a label without rows has an empty one."""
     emb = table(spark, sf_dir, "embeddings").filter(F.col("label") < E)
-    d = emb.select("label", F.posexplode("embedding").alias("d", "v"))
-    rows = d.groupBy("label", "d").agg(F.avg("v").alias("m")).collect()   # E x D rows
-    dims = 1 + max(r["d"] for r in rows)
-    mat = [[0.0] * dims for _ in range(E)]
-    for r in rows:
-        mat[r["label"]][r["d"]] = r["m"]
-    out = []
-    for vec in mat:
-        n = max(math.sqrt(sum(x * x for x in vec)), 1e-4)
-        out.append([x / n for x in vec])
-    return out
+    m = (emb.select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("m"))
+         .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c")))
+    norm = F.greatest(F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x["m"] * x["m"])), F.lit(1e-4))
+    m = m.withColumn("n", norm).select("label", F.transform("c", lambda x: x["m"] / F.col("n")).alias("c"))
+    return m.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("rows")).select(
+        F.transform("rows", lambda r: r["c"]).alias("matrix"))
 
 
 def gate_rows(spark, sf_dir):
     """(row_id, logits, is_padding, embedding)."""
-    cen = centroids(spark, sf_dir)
-    cvec = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in cen])
+    emb = table(spark, sf_dir, "embeddings").withColumn("_matrix", centroids(spark, sf_dir).scalar())
     x = F.col("embedding")
-    logits = F.transform(cvec, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: a.cast("double") * b),
-                                                     F.lit(0.0), lambda s, v: s + v))
-    emb = table(spark, sf_dir, "embeddings")
+    logits = F.transform("_matrix", lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: a.cast("double") * b),
+                                                          F.lit(0.0), lambda s, v: s + v))
     return emb.select(F.col("vec_id").alias("row_id"), logits.alias("logits"),
-                      (F.col("label") >= E).alias("is_padding"), "embedding")
+                      F.col("label").isNull().alias("is_padding"), "embedding")
 
 
 # SQL twin of gate_rows -------------------------------------------------------------
@@ -59,7 +52,7 @@ nrm AS (SELECT e, greatest(sqrt(sum(m * m)), 1e-4) AS n FROM cen GROUP BY e),
 cw AS (SELECT c.e, c.d, c.m / n.n AS w FROM cen c JOIN nrm n USING (e)),
 xv AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
 lg AS (SELECT x.vec_id, c.e, sum(CAST(x.v AS DOUBLE) * c.w) AS logit FROM xv x JOIN cw c USING (d) GROUP BY x.vec_id, c.e),
-gr AS (SELECT l.vec_id, list(logit ORDER BY e) AS logits, any_value(m.label) >= {E} AS is_padding
+gr AS (SELECT l.vec_id, list(logit ORDER BY e) AS logits, any_value(m.label) IS NULL AS is_padding
        FROM lg l JOIN embeddings m USING (vec_id) GROUP BY l.vec_id),
 sm AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM gr),
 gt AS (SELECT vec_id, logits, is_padding, list_transform(ex, lambda x: x / list_sum(ex)) AS gates FROM sm),
@@ -74,7 +67,7 @@ t1 AS (SELECT a1.vec_id, expert1 AS expert, slot, coalesce(slot < CAST(ceil(S /
        FROM a1 LEFT JOIN sl USING (vec_id), sz)""".replace("{E}", str(E))
 
 
-def sql_top2(policy: str) -> str:
+def sql_top2(policy: str, prioritized: bool = False, eval_mode: bool = False, before: bool = False) -> str:
     if policy == "sampling":
         noisy = ("list_transform(logits, lambda x, i: x - ln(-ln(((('0x' || substr(md5('" + str(SEED) +
                  ":' || CAST(vec_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 1, 8))::BIGINT) + 0.5) / 4294967296.0)))")
@@ -82,30 +75,34 @@ def sql_top2(policy: str) -> str:
     else:
         noisy = "logits"
         m2 = f"NOT is_padding AND 2.0 * g2 > {sql_uniform('vec_id')}"
+    first = "list_max(gates) DESC, vec_id" if prioritized else "vec_id"
+    cap = f"CAST(ceil({routing.EVAL_CAPACITY_TOKEN_FRACTION} * S) AS BIGINT)" if eval_mode else f"2 * CAST(ceil(S / {E}) AS BIGINT)"
+    raw = "gates[expert{0} + 1]"
+    both = f"greatest({raw.format(1)} + {raw.format(2)}, {routing.FLOAT64_EPS!r})"
+    g1, g2 = (f"{raw.format(c)} / {both}" if before else raw.format(c) for c in (1, 2))
+    k1, k2 = ("CASE WHEN kept%d THEN g%d ELSE 0.0 END" % (c, c) for c in (1, 2))
+    den = "1.0" if before else f"greatest(({k1}) + ({k2}), {routing.FLOAT64_EPS!r})"
     return SQL_GATES + f""",
 n2 AS (SELECT *, {noisy} AS noisy FROM a1),
 a2 AS (SELECT *, CAST(list_position(list_transform(noisy, lambda x, i: CASE WHEN i - 1 = expert1 THEN '-inf'::DOUBLE ELSE x END),
                   list_max(list_transform(noisy, lambda x, i: CASE WHEN i - 1 = expert1 THEN '-inf'::DOUBLE ELSE x END))) - 1 AS INTEGER) AS expert2 FROM n2),
-g AS (SELECT *, gates[expert1 + 1] AS g1, gates[expert2 + 1] AS g2 FROM a2),
+g AS (SELECT *, {g1} AS g1, {g2} AS g2 FROM a2),
 m AS (SELECT *, NOT is_padding AS m1, {m2} AS m2 FROM g),
-s1 AS (SELECT vec_id, row_number() OVER (PARTITION BY expert1 ORDER BY vec_id) - 1 AS slot1 FROM m WHERE m1),
+s1 AS (SELECT vec_id, row_number() OVER (PARTITION BY expert1 ORDER BY {first}) - 1 AS slot1 FROM m WHERE m1),
 c1 AS (SELECT expert1 AS expert2, count(*) AS n1 FROM m WHERE m1 GROUP BY expert1),
-s2 AS (SELECT vec_id, row_number() OVER (PARTITION BY m.expert2 ORDER BY vec_id) - 1 + coalesce(any_value(n1) OVER (PARTITION BY m.expert2), 0) AS slot2
+s2 AS (SELECT vec_id, row_number() OVER (PARTITION BY m.expert2 ORDER BY {first}) - 1 + coalesce(any_value(n1) OVER (PARTITION BY m.expert2), 0) AS slot2
        FROM m LEFT JOIN c1 ON c1.expert2 = m.expert2 WHERE m2),
-k AS (SELECT m.*, slot1, slot2, coalesce(slot1 < 2 * CAST(ceil(S / {E}) AS BIGINT), false) AS kept1,
-             coalesce(slot2 < 2 * CAST(ceil(S / {E}) AS BIGINT), false) AS kept2, 2 * CAST(ceil(S / {E}) AS BIGINT) AS cap
+k AS (SELECT m.*, slot1, slot2, coalesce(slot1 < {cap}, false) AS kept1, coalesce(slot2 < {cap}, false) AS kept2, {cap} AS cap
       FROM m LEFT JOIN s1 USING (vec_id) LEFT JOIN s2 USING (vec_id), sz),
-t2 AS (SELECT *, CASE WHEN kept1 THEN g1 ELSE 0.0 END / greatest((CASE WHEN kept1 THEN g1 ELSE 0.0 END) + (CASE WHEN kept2 THEN g2 ELSE 0.0 END), {routing.FLOAT64_EPS!r}) AS gate1,
-              CASE WHEN kept2 THEN g2 ELSE 0.0 END / greatest((CASE WHEN kept1 THEN g1 ELSE 0.0 END) + (CASE WHEN kept2 THEN g2 ELSE 0.0 END), {routing.FLOAT64_EPS!r}) AS gate2
-       FROM k)"""
+t2 AS (SELECT *, ({k1}) / {den} AS gate1, ({k2}) / {den} AS gate2 FROM k)"""
 
 
 def top1(spark, sf_dir, prioritized=False):
     return routing.route_top1(gate_rows(spark, sf_dir), E, prioritized=prioritized)
 
 
-def top2(spark, sf_dir, policy="sampling"):
-    return routing.route_top2(gate_rows(spark, sf_dir), E, policy=policy, seed=SEED)
+def top2(spark, sf_dir, policy="sampling", **kw):
+    return routing.route_top2(gate_rows(spark, sf_dir), E, policy=policy, seed=SEED, **kw)
 
 
 @register("route_capacity", sql=f"""
@@ -113,9 +110,11 @@ SELECT count(*) AS num_rows, {E} AS num_experts, CAST(ceil(count(*) / {E}) AS BI
        2 * CAST(ceil(count(*) / {E}) AS BIGINT) AS cap_top2, CAST(ceil({routing.EVAL_CAPACITY_TOKEN_FRACTION} * count(*)) AS BIGINT) AS cap_eval
 FROM embeddings""")
 def route_capacity(spark, sf_dir):
-    n = table(spark, sf_dir, "embeddings").count()
-    rows = [(n, E, routing.capacity(n, E, 1), routing.capacity(n, E, 2), routing.capacity(n, E, eval_mode=True))]
-    return spark.createDataFrame(rows, "num_rows bigint, num_experts int, cap_top1 bigint, cap_top2 bigint, cap_eval bigint")
+    n = F.col("num_rows")
+    per = F.ceil(n / E)
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("num_rows")).select(
+        "num_rows", F.lit(E).alias("num_experts"), per.cast("bigint").alias("cap_top1"), (2 * per).cast("bigint").alias("cap_top2"),
+        F.ceil(n * routing.EVAL_CAPACITY_TOKEN_FRACTION).cast("bigint").alias("cap_eval"))
 
 
 @register("route_top1", sql=f"""WITH {SQL_TOP1}
@@ -145,6 +144,18 @@ def route_top2_random(spark, sf_dir):
     return _top2_select(r)
 
 
+@register("route_top2_priority", sql=f"WITH {sql_top2('sampling', prioritized=True)} {_T2_SQL_OUT}")
+def route_top2_priority(spark, sf_dir):
+    """Rows of greater best gate take the slots of first and second choices first."""
+    return _top2_select(top2(spark, sf_dir, prioritized=True)[0])
+
+
+@register("route_top2_eval", sql=f"WITH {sql_top2('sampling', eval_mode=True, before=True)} {_T2_SQL_OUT}")
+def route_top2_eval(spark, sf_dir):
+    """Evaluation capacity; gates are normalised before rows are dropped."""
+    return _top2_select(top2(spark, sf_dir, eval_mode=True, normalize_before_dropping=True)[0])
+
+
 @register("route_overflow", sql=f"""WITH {sql_top2('sampling')}
 SELECT round(100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) + 3.1e-10, 6) AS overflow1,
        round(100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) + 3.1e-10, 6) AS overflow2 FROM t2""")
@@ -207,30 +218,24 @@ def expert_balance(spark, sf_dir):
                     "unused")
 
 
-@register("route_report", sql=f"""WITH {sql_top2('sampling')}{_SQL_HIST.replace('FROM a1', 'FROM t2')},
-rk AS (SELECT *, row_number() OVER (ORDER BY pct DESC, expert) AS rd, row_number() OVER (ORDER BY pct, expert DESC) AS ra FROM hist),
-bal AS (SELECT sum(pct) FILTER (WHERE rd <= {_K}) AS bt, sum(pct) FILTER (WHERE ra <= {_K}) AS bb, count(*) FILTER (WHERE pct = 0) AS unused FROM rk),
-ov AS (SELECT 100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) AS o1,
-              100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) AS o2,
-              avg(-list_sum(list_transform(gates, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END))) AS ent FROM t2)
-SELECT round(ent + 3.1e-10, 6) AS entropy_gating, CAST(unused AS INTEGER) AS unused_expert1, round(bt + 3.1e-10, 6) AS balance_top,
-       round(bb + 3.1e-10, 6) AS balance_bottom, round(o1 + 3.1e-10, 6) AS overflow1, round(o2 + 3.1e-10, 6) AS overflow2 FROM bal, ov""")
+def _sql_balance(c: int) -> str:
+    return f"""h{c} AS (SELECT 100.0 * coalesce(n, 0) / S AS pct FROM (SELECT unnest(range(0, {E})) AS e) x
+      LEFT JOIN (SELECT expert{c} AS e, count(*) AS n FROM t2 GROUP BY expert{c}) y USING (e), sz),
+r{c} AS (SELECT pct, row_number() OVER (ORDER BY pct DESC) AS rd, row_number() OVER (ORDER BY pct) AS ra FROM h{c}),
+bal{c} AS (SELECT CAST(count(*) FILTER (WHERE pct = 0) AS INTEGER) AS unused_expert{c}, round(sum(pct) FILTER (WHERE rd <= {_K}) + 3.1e-10, 6) AS balance_top{c},
+      round(sum(pct) FILTER (WHERE ra <= {_K}) + 3.1e-10, 6) AS balance_bottom{c} FROM r{c})"""
+
+
+@register("route_report", sql=f"""WITH {sql_top2('sampling')}, {_sql_balance(1)}, {_sql_balance(2)},
+ov AS (SELECT round(100.0 * count(*) FILTER (WHERE m1 AND slot1 >= cap) / count(*) FILTER (WHERE m1) + 3.1e-10, 6) AS overflow1,
+              round(100.0 * count(*) FILTER (WHERE m2 AND slot2 >= cap) / count(*) FILTER (WHERE m2) + 3.1e-10, 6) AS overflow2,
+              round(avg(-list_sum(list_transform(gates, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END))) + 3.1e-10, 6) AS entropy_gating FROM t2)
+SELECT * FROM ov, bal1, bal2""")
 def route_report(spark, sf_dir):
-    """One metadata row: entropy, unused buckets, balance, overflow."""
+    """One row: entropy; unused buckets, balance and overflow of first and second choices."""
     r, cap = top2(spark, sf_dir, "sampling")
-    r = r.persist()
-    n = table(spark, sf_dir, "embeddings").count()
-    b = routing.balance(routing.expert_histogram(r, "expert1", E, n).withColumnRenamed("expert1", "expert"), E).first()
-    o = routing_overflow(r, cap).first()
-    ent = r.agg(F.avg(routing.entropy(F.col("gates"))).alias("e")).first()["e"]
-    r.unpersist()
-    row = [(float(ent), int(b["unused"]), float(b["balance_top"]), float(b["balance_bottom"]),
-            float(o["overflow1"]), float(o["overflow2"]))]
-    df = spark.createDataFrame(row, "entropy_gating double, unused_expert1 int, balance_top double, "
-                                    "balance_bottom double, overflow1 double, overflow2 double")
-    return df.select(r6(F.col("entropy_gating")).alias("entropy_gating"), "unused_expert1",
-                     r6(F.col("balance_top")).alias("balance_top"), r6(F.col("balance_bottom")).alias("balance_bottom"),
-                     "overflow1", "overflow2")
+    out = routing.report(r, cap, E)
+    return out.select(*[F.col(c) if c.startswith("unused") else r6(F.col(c)).alias(c) for c in out.columns])
 
 
 @register("slot_index", sql=f"""WITH {SQL_GATES}
@@ -249,23 +254,28 @@ def slot_index_priority(spark, sf_dir):
 
 
 @register("route_combine", sql=f"""WITH {sql_top2('sampling')},
-emb0 AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v0 FROM embeddings),
-bv AS (SELECT expert1 AS e, avg(v0) AS bval FROM t2 JOIN emb0 USING (vec_id) WHERE kept1 GROUP BY expert1)
-SELECT vec_id, round(coalesce(gate1 * b1.bval, 0.0) + coalesce(gate2 * b2.bval, 0.0) + 3.1e-10, 6) AS combined
-FROM t2 LEFT JOIN bv b1 ON b1.e = t2.expert1 AND t2.kept1 LEFT JOIN bv b2 ON b2.e = t2.expert2 AND t2.kept2""")
+bv AS (SELECT expert1 AS e, d, avg(CAST(v AS DOUBLE)) AS bval FROM t2 JOIN xv USING (vec_id) WHERE kept1 GROUP BY expert1, d),
+ds AS (SELECT DISTINCT vec_id, d FROM xv)
+SELECT vec_id, CAST(ds.d AS INTEGER) AS d, round(coalesce(gate1 * b1.bval, 0.0) + coalesce(gate2 * b2.bval, 0.0) + 3.1e-10, 6) AS combined
+FROM t2 JOIN ds USING (vec_id) LEFT JOIN bv b1 ON b1.e = t2.expert1 AND t2.kept1 AND b1.d = ds.d
+LEFT JOIN bv b2 ON b2.e = t2.expert2 AND t2.kept2 AND b2.d = ds.d""")
 def route_combine(spark, sf_dir):
-    """Dispatch to buckets, per-bucket value, combine back weighted; dropped rows give 0."""
+    """Dispatch whole vectors to buckets, mean vector of a bucket, combine back weighted; dropped rows give 0."""
     r, _ = top2(spark, sf_dir, "sampling")
-    emb0 = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"),
-                                                     F.element_at("embedding", 1).cast("double").alias("v0"))
-    rv = r.join(emb0, "row_id")
-    bucket = rv.filter("kept1").groupBy(F.col("expert1").alias("e")).agg(F.avg("v0").alias("bval"))  # <= E rows
-    b1 = F.broadcast(bucket.select(F.col("e").alias("expert1"), F.col("bval").alias("b1")))
-    b2 = F.broadcast(bucket.select(F.col("e").alias("expert2"), F.col("bval").alias("b2")))
-    j = rv.join(b1, "expert1", "left").join(b2, "expert2", "left")
-    comb = (F.coalesce(F.when(F.col("kept1"), F.col("gate1") * F.col("b1")), F.lit(0.0))
-            + F.coalesce(F.when(F.col("kept2"), F.col("gate2") * F.col("b2")), F.lit(0.0)))
-    return j.select(F.col("row_id").alias("vec_id"), r6(comb).alias("combined"))
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    rv = r.join(emb, "row_id")
+    means = (rv.filter("kept1").select(F.col("expert1").alias("e"), F.posexplode("embedding").alias("d", "v")).groupBy("e", "d")
+             .agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("e")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("mean")))  # E rows
+    j = rv
+    for c in (1, 2):
+        own = means.select(F.col("e").alias(f"expert{c}"), F.col("mean").alias(f"mean{c}"))
+        gate, zero = F.col(f"gate{c}"), F.transform("embedding", lambda v: F.lit(0.0))
+        weighted = F.transform(f"mean{c}", lambda m: m * gate)  # noqa: B023 - evaluated here
+        j = j.join(own, f"expert{c}", "left").withColumn(f"part{c}", F.coalesce(F.when(F.col(f"kept{c}"), weighted), zero))
+    both = F.zip_with("part1", "part2", lambda a, b: a + b)
+    return j.select(F.col("row_id").alias("vec_id"), F.posexplode(both).alias("d", "v")).select(
+        "vec_id", F.col("d").cast("int").alias("d"), r6(F.col("v")).alias("combined"))
 
 
 @register("make_finite", sql=r"""

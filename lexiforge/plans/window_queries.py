@@ -41,9 +41,8 @@ def _decay_sql(gamma_expr: str, extra_sel: str = "", extra_from: str = "", extra
 
 @register("decayed_sum", sql=_decay_sql(repr(GAMMA)))
 def decayed_sum(spark, sf_dir):
-    """Parallel (definition) form over the causal frame, bounded by precision and blocked."""
-    e = ordered_index(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "pos")
-    d = experiments.halo_decay(e, ["user_id"], "pos", "value", GAMMA, "decayed")
+    """Every earlier event of a run, whatever its age, in chunks as large as doubles allow."""
+    d = decay.decayed_sum(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", GAMMA)
     return d.select("user_id", "event_id", "pos", F.round(F.col("decayed") + NUDGE, 6).alias("decayed"))
 
 

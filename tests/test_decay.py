@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import decay, experiments
+from lexiforge.operators import decay
 from lexiforge.streaming.pipelines import _decay_block
 
 GAMMA = 1 - 2 ** -5
@@ -33,14 +33,21 @@ def parallel_reference(df, keys, order, value, gamma, out):
                                           lambda acc, x: acc * F.lit(gamma) + x))
 
 
-def test_three_forms_agree_on_events(spark):
+def test_forms_agree_on_events(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "ts", "value")
     c = decay.decayed_sum(ev, ["user_id"], ["ts", "event_id"], "value", GAMMA, out="c")
-    h = experiments.halo_decay(c, ["user_id"], "pos", "value", GAMMA, "h", block=8)
-    p = parallel_reference(c, ["user_id"], ["pos"], "value", GAMMA, "p")
-    j = h.join(p.select("event_id", "p"), "event_id")
-    assert j.filter(F.abs(F.col("c") - F.col("p")) > 1e-9).count() == 0
-    assert j.filter(F.abs(F.col("h") - F.col("p")) > 1e-9).count() == 0
+    h = decay.decayed_sum(ev, ["user_id"], ["ts", "event_id"], "value", GAMMA, out="h", chunk=3).select("event_id", "h")
+    p = parallel_reference(c, ["user_id"], ["pos"], "value", GAMMA, "p").select("event_id", "p")
+    j = c.join(h, "event_id").join(p, "event_id")
+    assert j.count() == 1000 and j.filter("abs(c - p) > 1e-6 or abs(h - p) > 1e-6").count() == 0
+
+
+@pytest.mark.parametrize("gamma,chunk", [(0.5, 2), (0.5, None), (1e-100, 2), (0.99, 5)])
+def test_old_values_are_never_cut_off(spark, gamma, chunk):
+    vals = [1e300] + [1.0] * 39
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(vals)], "k long, t long, v double")
+    got = [r["decayed"] for r in decay.decayed_sum(df, ["k"], ["t"], "v", gamma, chunk=chunk).orderBy("pos").collect()]
+    assert got == pytest.approx(brute(vals, gamma), rel=1e-9)
 
 
 def test_prefix_levels(spark):
