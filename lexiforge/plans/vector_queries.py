@@ -165,8 +165,9 @@ def segment_dilate(spark, sf_dir):
 @register("segment_densify", sql=f"""WITH {SQL_LI}
 SELECT pos, head, CASE WHEN sampled THEN value ELSE 0.0 END AS value, CASE WHEN sampled THEN 1.0 ELSE 0.0 END AS weight FROM d""")
 def segment_densify(spark, sf_dir):
-    d = segments.densify(segments.dilate(series(spark, sf_dir), "pos", SL, RATIO, HEADS), "value")
-    return d.select("pos", F.col("head").cast("int"), "value", "weight")
+    """The sampled rows alone, put back on the whole grid."""
+    sampled = segments.dilate(series(spark, sf_dir), "pos", SL, RATIO, HEADS).filter("sampled").select("pos", "head", "value")
+    return segments.densify(sampled, table(spark, sf_dir, "lineitem").count(), HEADS, "pos", "value")
 
 
 @register("lse_merge", sql="""

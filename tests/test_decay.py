@@ -65,3 +65,15 @@ def test_small_gamma_and_block_fold():
     assert list(_decay_block(__import__("numpy").array(v), 0.5, 0.0)) == pytest.approx(brute(v, 0.5))
     assert decay.chunk_size(GAMMA) == math.floor(600 / -math.log(GAMMA))
     assert decay.head_gammas(2) == [1 - 2 ** -5, 1 - 2 ** -6]
+
+
+def test_lse_merge_over_a_wide_range_and_sparse_gap_fill(spark):
+    from lexiforge.operators import segments
+    rows = [(1, 0.0, 2.0), (1, 1.0, 4.0), (2, 5000.0, 1.0), (2, 5001.0, 3.0), (2, -4000.0, 100.0), (3, -900.0, 7.0)]
+    df = spark.createDataFrame(rows, "k long, lse double, o double")
+    got = {r["k"]: r["merged"] for r in segments.lse_merge(df, ["k"], "o", "lse").collect()}
+    e = math.e
+    assert got == pytest.approx({1: (2 + 4 * e) / (1 + e), 2: (1 + 3 * e) / (1 + e), 3: 7.0})
+    sparse = spark.createDataFrame([(1, 0, 5.0), (3, 1, 6.0)], "pos long, head int, v double")
+    out = {(r["pos"], r["head"]): (r["v"], r["weight"]) for r in segments.densify(sparse, 5, 2, "pos", "v").collect()}
+    assert len(out) == 10 and out[1, 0] == (5.0, 1.0) and out[3, 1] == (6.0, 1.0) and out[3, 0] == (0.0, 0.0)
