@@ -2,12 +2,13 @@
 
 A document is the set of its word shingles; its *minwise tokens* are the least
 hashes of that set under many hash functions. In every tree the documents
-branch by chosen tokens: at the root by one, below by one or two that the node
-selects, on average by 1 / threshold, so a pair at the threshold keeps one
-common path on average at any depth. A node with few documents is
+branch by chosen tokens: through the first ``TOP`` levels, whose nodes always hold
+too many of a corpus, by one at each; below by one or two that the node
+selects, on average by 1 / threshold, so a pair at the threshold keeps its
+number of common paths on average at any depth. A node with few documents is
 compared exhaustively, a larger one branches again. Independent trees repeat
-this: a pair at the threshold is missed by one tree's root alone with
-probability 1 - threshold, by all trees' with that to the power of their number.
+this until a pair at the threshold has no common node below the top levels
+only with probability ``LOST``.
 
 Comparisons in a node use eight bits of each token and let a pair at the
 threshold pass except with probability ``MISS``; what passes is confirmed on the full
@@ -30,8 +31,10 @@ from xxhash import xxh64_intdigest
 from lexiforge.llm.common import Scratch, cut_lineage, id_text, partitions, real_id, sized_slices
 from lexiforge.llm.components import connected_components
 
-TOKENS = 128
-MISS = 1e-7
+TOKENS = 256
+TOP = 3
+LOST = 1e-10
+MISS = 1e-5
 
 
 def _multipliers(seed: int, n: int) -> np.ndarray:
@@ -68,8 +71,22 @@ def least_matches(threshold: float, tokens: int = TOKENS, miss: float = MISS) ->
     return tokens
 
 
+def tree_count(threshold: float) -> int:
+    """Trees for a pair at the threshold to meet in one of them except with probability ``LOST``."""
+    return math.ceil(math.log(LOST) / math.log1p(-min(threshold, 0.999) ** TOP))
+
+
+def top_tokens(trees: int) -> np.ndarray:
+    """The tokens that each tree branches by in its top levels: a row per tree; each token is used before any is again."""
+    rng = np.random.Generator(np.random.PCG64(14))
+    rounds = -(-trees * TOP // (TOKENS - TOKENS % TOP))
+    return np.concatenate([rng.permutation(TOKENS)[:TOKENS - TOKENS % TOP] for _ in range(rounds)]).reshape(-1, TOP)[:trees]
+
+
 def describe(plain: DataFrame, words: int, trees: int) -> DataFrame:
-    """``doc_id, n, c1, c2`` (hash of the set, null if empty)``, sig`` (a byte of each token)``, paths`` (root's children)."""
+    """``doc_id, n, c1, c2`` (hash of the set, null if empty)``, sig`` (a byte of each token)``, paths`` (a node of each tree)."""
+
+    chosen = top_tokens(trees)
 
     def run(batches):
         mult = _multipliers(12, TOKENS)
@@ -85,34 +102,57 @@ def describe(plain: DataFrame, words: int, trees: int) -> DataFrame:
                     for k in range(TOKENS):
                         sig[full, k] = np.minimum.reduceat((flat * mult[k]) >> np.uint64(24), at)
                 digest = [np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if len(s) else None for s in sets]
-                paths = _mix(sig[:, :trees] * np.uint64(256) + np.arange(trees, dtype=np.uint64)).view(np.int64)
+                paths = np.tile(np.arange(trees, dtype=np.uint64), (len(sets), 1))
+                for level in range(TOP):
+                    paths = _mix(paths * np.uint64(0x9E3779B97F4A7C15) + sig[:, chosen[:, level]])
+                marks = paths.astype("<u4")
+                paths = paths.view(np.int64)
                 low = (_mix(sig) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(n), *[pa.array([None if d is None else int(d[k]) for d in digest], pa.int64())
                                                           for k in (0, 1)],
                     pa.array([x.tobytes() for x in low], pa.binary()),
-                    pa.array([p.tolist() if m else [] for p, m in zip(paths, n)], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "c1", "c2", "sig", "paths"])
+                    pa.array([p.tolist() if m else [] for p, m in zip(paths, n)], pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in marks], pa.binary())],
+                    ["doc_id", "n", "c1", "c2", "sig", "paths", "marks"])
+
+    return plain.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sig binary, paths array<long>, marks binary")
+
 
-    return plain.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sig binary, paths array<long>")
+#: A document in a node. ``marks``: of its nodes below the top levels in all trees; ``small``: a bit for each
+#: of the first 63 trees in which that node is compared exhaustively; ``tree``: this tree, or ``DEEPER`` further down.
+ROWS = "node long, doc_id long, n long, sig binary, marks binary, small long, tree int"
+DEEPER = 1 << 20
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
 
-def _grouped(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (node, doc_id, n, sig), sorted by node: arrays of whole nodes, about a batch at a time."""
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _grouped(batches) -> Iterator[dict[str, np.ndarray]]:
+    """ROWS sorted by node: arrays of whole nodes, about a batch at a time."""
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [b.column(c).to_numpy() for c in ("node", "doc_id", "n")]
-        rows.append(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, TOKENS))
+        rows = {c: b.column(c).to_numpy() for c in ("node", "doc_id", "n", "small", "tree")}
+        rows |= {"sig": _matrix(b.column("sig"), "u1"), "marks": _matrix(b.column("marks"), "<u4")}
         if held:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last node may go on
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        cut = int(np.searchsorted(rows["node"], rows["node"][-1]))  # the last node may go on
         if cut:
-            yield tuple(x[:cut] for x in rows)
-        held = [x[cut:] for x in rows]
+            yield {k: v[:cut] for k, v in rows.items()}
+        held = {k: v[cut:] for k, v in rows.items()}
     if held:
-        yield tuple(held)
+        yield held
+
+
+def _met_before(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs an earlier tree's exhaustive node has compared already, so that each pair is handed on once."""
+    trees = np.arange(min(63, r["marks"].shape[1]))
+    bits = ((r["small"][i] & r["small"][j])[:, None] >> trees) & 1 > 0
+    return (bits & (r["marks"][i][:, trees] == r["marks"][j][:, trees]) & (trees < r["tree"][i][:, None])).any(1)
 
 
 def _alike(n1, sig1, n2, sig2, percent: int, least: int) -> np.ndarray:
@@ -122,8 +162,9 @@ def _alike(n1, sig1, n2, sig2, percent: int, least: int) -> np.ndarray:
 
 
 def _node_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a node that may reach the threshold."""
-    for node, doc, n, sig in _grouped(batches):
+    """The pairs of each node that may reach the threshold, unless they have met before."""
+    for r in _grouped(batches):
+        node, n, sig = r["node"], r["n"], r["sig"]
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(starts, len(node)))
         out = []
@@ -134,7 +175,9 @@ def _node_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(at), step):
                 i, j = ((at[lo:lo + step, None] + k).ravel() for k in (x, y))
                 hit = _alike(n[i], sig[i], n[j], sig[j], percent, least)
-                i, j = doc[i[hit]], doc[j[hit]]
+                i, j = i[hit], j[hit]
+                new = ~_met_before(r, i, j)
+                i, j = r["doc_id"][i[new]], r["doc_id"][j[new]]
                 out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
         if out:
             pairs = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -145,7 +188,7 @@ def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
     """Every document of a node in the children that the node selects: one, or two with a chance of 1 / threshold - 1."""
     for b in batches:
         node = b.column("node").to_numpy().view(np.uint64)
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        sig = _matrix(b.column("sig"), "u1")
         for child in (1, 2):
             draw = _mix(node + _multipliers(13, 3)[child])
             rows = np.arange(len(node)) if child == 1 else np.flatnonzero(
@@ -155,12 +198,10 @@ def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
             which = (draw[rows] % np.uint64(TOKENS)).astype(np.int64)
             token = sig[rows, which].astype(np.uint64) * np.uint64(TOKENS) + which.astype(np.uint64)
             new = _mix(node[rows] ^ _mix(token + np.uint64(child) * np.uint64(0x9E3779B97F4A7C15)))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *[b.column(c).take(take) for c in ("doc_id", "n", "sig")]],
-                                             ["node", "doc_id", "n", "sig"])
-
-
-ROWS = "node long, doc_id long, n long, sig binary"
+            take, same = pa.array(rows), ("doc_id", "n", "sig", "marks", "small")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new.view(np.int64)), *[b.column(c).take(take) for c in same],
+                 pa.array(np.full(len(rows), DEEPER, np.int32))], ["node", *same, "tree"])
 
 
 def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, depth: int) -> DataFrame:
@@ -169,22 +210,24 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
     least, n_parts = least_matches(threshold), partitions(reps.sparkSession)
 
     def compared(rows: DataFrame) -> DataFrame:
-        placed = rows.select("node", "doc_id", "n", "sig").repartition(n_parts, "node").sortWithinPartitions("node")
+        placed = rows.select(*COLUMNS).repartition(n_parts, "node").sortWithinPartitions("node")
         return placed.mapInArrow(lambda batches: _node_pairs(batches, percent, least), "a long, b long")
 
     def sized(rows: DataFrame) -> DataFrame:
         counts = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         return rows.join(counts, "node")
 
-    signed = reps.select(F.col("doc_id").alias("d"), "n", "sig")
-    rows = sized(reps.select("doc_id", F.explode("paths").alias("node")))
-    rows = keep(rows.join(signed, F.col("doc_id") == F.col("d")).select("node", "doc_id", "n", "sig", "size"))
+    rows = keep(sized(reps.select("doc_id", F.posexplode("paths").alias("tree", "node"))))
+    bit = F.when((F.col("size") <= limit) & (F.col("tree") < 63), F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("long"))
+    small = rows.groupBy(F.col("doc_id").alias("d")).agg(F.bit_or(bit).alias("small"))
+    signed = small.join(reps.select(F.col("doc_id").alias("r"), "n", "sig", "marks"), F.col("d") == F.col("r"))
+    rows = keep(rows.join(signed, F.col("doc_id") == F.col("d")).select(*COLUMNS, "size"))
     found = [keep(compared(rows.filter(F.col("size") <= limit)))]
     for _ in range(depth):
         large = rows.filter(F.col("size") > limit)
         if large.isEmpty():
             break
-        rows = keep(large.select("node", "doc_id", "n", "sig").mapInArrow(lambda b: _children(b, threshold), ROWS))
+        rows = keep(large.select(*COLUMNS).mapInArrow(lambda b: _children(b, threshold), ROWS))
         rows = keep(sized(rows))
         found.append(keep(compared(rows.filter(F.col("size") <= limit))))
     # What is still together after so many tokens is alike as good as equal: each document with the
@@ -192,14 +235,14 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
     large = rows.filter(F.col("size") > limit)
     if not large.isEmpty():
         block = F.pmod(F.xxhash64("doc_id"), F.ceil(2 * F.col("size") / limit))
-        found.append(keep(compared(large.withColumn("node", F.xxhash64("node", block)))))
+        found.append(keep(compared(large.withColumn("node", F.xxhash64("node", block)).withColumn("tree", F.lit(DEEPER)))))
         first = large.groupBy("node").agg(F.min(F.struct("doc_id", "n", "sig")).alias("f"))
         star = large.join(keep(first), "node").select("doc_id", "n", "sig", F.col("f.doc_id").alias("d1"),
                                                       F.col("f.n").alias("n1"), F.col("f.sig").alias("sig1"))
 
         def to_first(batches):
             for b in batches:
-                s, s1 = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("sig", "sig1"))
+                s, s1 = (_matrix(b.column(c), "u1") for c in ("sig", "sig1"))
                 d, d1, n, n1 = (b.column(c).to_numpy() for c in ("doc_id", "d1", "n", "n1"))
                 hit = _alike(n, s, n1, s1, percent, least) & (d != d1)
                 yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.array(d[hit])], ["a", "b"])
@@ -240,25 +283,26 @@ def confirmed(pairs: DataFrame, plain: DataFrame, words: int, percent: int, keep
     return both.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: int = 32, limit: int = 64, depth: int = 8,
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, limit: int = 128, depth: int = 6,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at
     least ``percent`` hundredths; a component is what links connect, its id the
     smallest document id in it (null counts as the smallest), which alone is
-    ``kept``. Texts without words are linked with nothing. Equal sets, so all
+    ``kept``. ``limit``: documents of a node that is compared exhaustively; ``depth``: levels
+    below the top. Texts without words are linked with nothing. Equal sets, so all
     copies and repeated rows, are one component. Of rows that share an id but not
     the text, each is in its own component or in those of both texts if one of
     them is linked. An empty table gives no rows.
     """
     plain = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
     with Scratch(docs.sparkSession) as keep:
-        info = keep(describe(plain, words, trees))
+        info = keep(describe(plain, words, tree_count(percent / 100)))
         classes = keep(info.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
         first = classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep")
         same = (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep"))
-        reps = keep(info.filter("n > 0").join(first, same).select("doc_id", "n", "sig", "paths"))
+        reps = keep(info.filter("n > 0").join(first, same).select("doc_id", "n", "sig", "paths", "marks"))
         pairs = candidate_pairs(reps, percent, keep, limit, depth)
         roots = connected_components(keep(confirmed(pairs, plain, words, percent, keep)), keep)
         rooted = keep(classes.join(roots, F.col("rep") == F.col("v"), "left")

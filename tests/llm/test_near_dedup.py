@@ -6,7 +6,7 @@ from helpers import SCHEMA, documents, edge_rows, near_dedup, ordered, passage,
 
 from lexiforge.llm.common import Scratch
 from lexiforge.llm.components import connected_components
-from lexiforge.llm.near_dedup import least_matches, near_duplicates, shingle_set
+from lexiforge.llm.near_dedup import TOKENS, least_matches, near_duplicates, shingle_set
 
 ROWS = [(r[0], r[1]) for r in edge_rows()]
 
@@ -50,7 +50,7 @@ def test_wide_and_empty_tables(spark):
 def test_shingles_and_bounds():
     assert len(shingle_set(b"a b c d e f", 5)) == 2 and len(shingle_set(b"A b", 5)) == 1 and not len(shingle_set(b" \n", 5))
     assert np.array_equal(shingle_set(b"A b C d E", 5), shingle_set(b"a  B c\nD e", 5))
-    assert least_matches(0.85) < 0.85 * 128 and least_matches(1.0) == 128
+    assert least_matches(0.85) < 0.85 * TOKENS and least_matches(1.0) == TOKENS
 
 
 def test_components_of_paths_stars_and_loops(spark):
