@@ -5,8 +5,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["scan_feature", "filter_blank", "split_invariants", "causal_pairs", "mean_loss", "perplexity",
-        "early_stop", "checkpoint_topk", "route_top2", "route_combine", "model_similarity", "grid_expand",
-        "ckpt_cadence", "segment_dilate", "token_lookup", "choice_accuracy", "stage_rows"]
+        "early_stop", "checkpoint_topk", "route_top2", "route_combine", "model_similarity",
+        "segment_dilate", "token_lookup", "choice_accuracy", "stage_rows"]
 
 
 def plan_of(df):
@@ -22,5 +22,5 @@ def test_no_cartesian_or_nested_loop_join(spark, key):
 def test_feature_scan_is_pruned(spark):
     p = plan_of(E.queries()["scan_feature"](spark, SF))
     assert "ReadSchema: struct<text:string>" in p
-    p = plan_of(E.queries()["mean_loss"](spark, SF))
+    p = plan_of(E.queries()["causal_pairs"](spark, SF))
     assert "struct<doc_id:bigint,text:string>" in p and "lang" not in p
