@@ -1,7 +1,7 @@
 """License scan with ordered signature rules, in DataFrame operations only.
 
-A text becomes its words, joined by single blanks. A cheap pattern over the
-raw text picks the few texts that can hold a signature at all; in these, a rule
+A text becomes its words, joined by single blanks. A search for a few
+strings picks the texts that can hold a signature at all; in these, a rule
 runs only where its keyword occurs. A rule marks its matches, so that one split
 into words gives all first and last words. A detection that lies inside another
 one of at least its priority is dropped.
@@ -31,7 +31,7 @@ class Rule(NamedTuple):
 
 # Label, a word that every match contains, pattern of the license's names in lower-cased words.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11) licen[cs]e|mit"),
+    ("mit", "mit", r"(?:mit|expat|x11) licen[cs]e"),
     ("apache-2", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?|apache 2(?: 0)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
@@ -98,6 +98,7 @@ OTHERS = [
     Rule("mit", "charge", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
     Rule("bsd", "binary", "redistribution and use in source and binary forms with or without modification", 3, 1.0),
     Rule("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee", 3, 1.0),
+    Rule("mit", "mit", "(?:licen[cs]ed under (?:the )?|spdx licen[cs]e identifier |licen[cs]e )mit", 3, 0.9),
     Rule("no-license", "unlicensed", "unlicensed", 1, 0.5),
 ]
 # Phrases that always count, and their labels.
@@ -106,16 +107,17 @@ BASE = [
     Rule("apache-2", "apache", "apache license version 2", 0, 0.8, True),
     Rule("cc-by-nc", "nc", "cc by nc", 0, 0.8, True),
 ]
-#: A word of every signature, in raw text; it decides only which texts are looked at more closely.
-GATE = (r"(?i)licen[cs]|gpl|apache|copyright|rights|domain|spdx|proprietary|permission|redistribution|creative|zlib|"
-        r"(?<![0-9a-z])(?:cc|cc0|mit|bsd|0bsd|isc)(?![0-9a-z])")
+#: What every signature has at least one of, in lower-cased raw text: parts of words, and whole words. They only
+#: decide which texts are looked at more closely.
+PARTS = ("licen", "gpl", "apache", "bsd", "rights", "domain", "creative", "proprietary", "permission", "redistribution")
+WHOLE = ("cc", "cc0")
 
 
 def signature_rules() -> list[Rule]:
     """All rules: every form of every name, the names alone where they are more than a word, and the others."""
     named = [Rule(label, word, form.format(name), priority, sure)
              for label, word, name in NAMES for form, priority, sure in FORMS]
-    alone = [Rule(label, word, f"(?:{name.replace('|mit', '')})", 1, 0.6) for label, word, name in NAMES]
+    alone = [Rule(label, word, f"(?:{name})", 1, 0.6) for label, word, name in NAMES]
     return [*named, *alone, *OTHERS, *BASE]
 
 
@@ -124,8 +126,24 @@ def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
 
 
-def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, gate: str = GATE, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def _count_words(text: Column) -> Column:
+    """One letter for each word with what follows it; what comes before the first word is left over."""
+    word, other = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    return (F.length(F.regexp_replace(text, f"{word}+{other}*", "x"))
+            - F.length(F.regexp_extract(text, f"^{other}*", 0))).cast("long")
+
+
+def _may_match(low: Column, parts: tuple[str, ...], whole: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in parts:
+        found = found | F.contains(low, F.lit(p))
+    for w in whole:
+        found = found | (F.contains(low, F.lit(w)) & low.rlike(f"(?<![0-9a-z]){w}(?![0-9a-z])"))
+    return found
+
+
+def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, parts: tuple[str, ...] = PARTS,
+                  whole: tuple[str, ...] = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections``.
 
     ``detections``: what is left of the matches of all rules but the base ones,
@@ -141,8 +159,9 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, gate: str =
                                F.lit(r.confidence).alias("sure"), F.lit(r.base).alias("base")) for r in rules])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    d = d.select("doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
-                 F.when(F.col("text").rlike(gate), _words(F.col("text"))).alias("w"))
+    d = d.withColumn("low", F.lower("text"))
+    d = d.select("doc_id", _count_words(F.col("text")).alias("n_words"),
+                 F.when(_may_match(F.col("low"), parts, whole), _words(F.col("text"))).alias("w"))
 
     def hits(r: Column) -> Column:
         """Places of a rule: the words that open and close its marked matches."""
