@@ -6,7 +6,8 @@ branch by chosen tokens: through the first ``TOP`` levels, whose nodes always ho
 too many of a corpus, by one at each; below by one or two that the node
 selects, on average by 1 / threshold, so a pair at the threshold keeps its
 number of common paths on average at any depth. A node with few documents is
-compared exhaustively, a larger one branches again. Independent trees repeat
+compared exhaustively, a larger one branches again; one that is still large
+after all levels is compared exhaustively too, block by block in many tasks. Independent trees repeat
 this until a pair at the threshold has no common node below the top levels
 only with probability ``LOST``.
 
@@ -33,6 +34,7 @@ from lexiforge.llm.components import connected_components
 
 TOKENS = 256
 TOP = 3
+BLOCK = 4  # times ``limit``: documents of a block of a node that is large after all levels
 LOST = 1e-10
 MISS = 1e-5
 
@@ -204,6 +206,42 @@ def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
                  pa.array(np.full(len(rows), DEEPER, np.int32))], ["node", *same, "tree"])
 
 
+def _cells(large: DataFrame, block: int, n_parts: int) -> DataFrame:
+    """Nodes that are large after all levels, as cells of two blocks of about ``block`` documents each or of one block.
+
+    Every two blocks of a node share a cell, in which ``tree`` tells them apart. Of nodes with the same documents one is taken.
+    """
+    member = [F.sum(F.xxhash64(*c).cast("decimal(20,0)")).alias(k) for k, c in (("h1", ("doc_id", "sig")), ("h2", ("sig", "doc_id")))]
+    nodes = large.groupBy("node", "size").agg(*member).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
+    rows = large.join(nodes.select("node"), "node", "left_semi")
+    blocks = F.ceil(F.col("size") / block)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.withColumn("tree", (F.col("own") > F.col("other")).cast("int"))
+    return rows.select(*COLUMNS).repartition(n_parts, "node").sortWithinPartitions("node", "tree")
+
+
+def _cell_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks, or within one, that may reach the threshold, unless they have met before."""
+    for r in _grouped(batches):
+        node, n, sig, second = r["node"], r["n"], r["sig"], r["tree"] > 0
+        r["tree"] = np.full(len(node), DEEPER)
+        starts = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            cut = hi - int(second[lo:hi].sum())
+            out = []
+            for k in range(lo, cut):
+                j = np.arange(k + 1 if cut == hi else cut, hi)
+                j = j[_alike(n[k], sig[k], n[j], sig[j], percent, least)]
+                i = np.full(len(j), k)
+                new = ~_met_before(r, i, j)
+                i, j = r["doc_id"][i[new]], r["doc_id"][j[new]]
+                out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+            if out:
+                pairs = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
 def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, depth: int) -> DataFrame:
     """``a < b``: pairs that meet in a node of some tree and may reach the threshold."""
     threshold = percent / 100
@@ -230,24 +268,10 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
         rows = keep(large.select(*COLUMNS).mapInArrow(lambda b: _children(b, threshold), ROWS))
         rows = keep(sized(rows))
         found.append(keep(compared(rows.filter(F.col("size") <= limit))))
-    # What is still together after so many tokens is alike as good as equal: each document with the
-    # first one of its node, and all pairs of blocks of the node.
     large = rows.filter(F.col("size") > limit)
     if not large.isEmpty():
-        block = F.pmod(F.xxhash64("doc_id"), F.ceil(2 * F.col("size") / limit))
-        found.append(keep(compared(large.withColumn("node", F.xxhash64("node", block)).withColumn("tree", F.lit(DEEPER)))))
-        first = large.groupBy("node").agg(F.min(F.struct("doc_id", "n", "sig")).alias("f"))
-        star = large.join(keep(first), "node").select("doc_id", "n", "sig", F.col("f.doc_id").alias("d1"),
-                                                      F.col("f.n").alias("n1"), F.col("f.sig").alias("sig1"))
-
-        def to_first(batches):
-            for b in batches:
-                s, s1 = (_matrix(b.column(c), "u1") for c in ("sig", "sig1"))
-                d, d1, n, n1 = (b.column(c).to_numpy() for c in ("doc_id", "d1", "n", "n1"))
-                hit = _alike(n, s, n1, s1, percent, least) & (d != d1)
-                yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.array(d[hit])], ["a", "b"])
-
-        found.append(keep(star.mapInArrow(to_first, "a long, b long")))
+        found.append(keep(_cells(large, BLOCK * limit, n_parts).mapInArrow(
+            lambda batches: _cell_pairs(batches, percent, least), "a long, b long")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -70,3 +70,18 @@ def test_components_of_paths_stars_and_loops(spark):
     with Scratch(spark) as keep:
         got = {r["v"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), keep).collect()}
     assert got == want
+
+
+def test_pairs_of_a_node_that_stays_large_meet(spark):
+    """Texts of one template that are alike in pairs only, which blocks of a node must not part."""
+    rng = random.Random(8)
+    words = ["w%d" % k for k in range(3000)]
+    template = [rng.choice(words) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        t = [*template[:5 * k + 20], "own%d" % k, *template[5 * k + 21:]]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join([*t[:-1], "other%d" % k]))]
+    d = documents(spark, [(*r, None, None, None) for r in rows])
+    got = near_duplicates(d, 98, limit=2, depth=1).collect()
+    assert ordered(map(tuple, got)) == ordered(near_dedup(rows, 98))
+    assert sum(r["kept"] for r in got) == 60
