@@ -8,8 +8,8 @@ selects, on average by 1 / threshold, so a pair at the threshold keeps its
 number of common paths on average at any depth. A node with few documents is
 compared exhaustively, a larger one branches again; one that is still large
 after all levels is compared exhaustively too, block by block in many tasks. Independent trees repeat
-this until a pair at the threshold has no common node below the top levels
-only with probability ``LOST``.
+this until a pair at the threshold has no common node after all levels, those
+below the top included, only with probability ``LOST``.
 
 Comparisons in a node use eight bits of each token and let a pair at the
 threshold pass except with probability ``MISS``; what passes is confirmed on the full
@@ -36,7 +36,7 @@ TOKENS = 256
 TOP = 3
 BLOCK = 4  # times ``limit``: documents of a block of a node that is large after all levels
 LOST = 1e-10
-MISS = 1e-5
+MISS = 1e-7
 
 
 def _multipliers(seed: int, n: int) -> np.ndarray:
@@ -73,9 +73,18 @@ def least_matches(threshold: float, tokens: int = TOKENS, miss: float = MISS) ->
     return tokens
 
 
-def tree_count(threshold: float) -> int:
-    """Trees for a pair at the threshold to meet in one of them except with probability ``LOST``."""
-    return math.ceil(math.log(LOST) / math.log1p(-min(threshold, 0.999) ** TOP))
+def survival(threshold: float, depth: int) -> float:
+    """Probability that a pair at the threshold shares a node after so many levels below the top, a branching process of mean one."""
+    second, out = min(1.0, 1 / threshold - 1), 0.0
+    for _ in range(depth):
+        out = (1 - threshold + threshold * out) * (1 - second * threshold + second * threshold * out)
+    return 1 - out
+
+
+def tree_count(threshold: float, depth: int) -> int:
+    """Trees for a pair at the threshold to meet in one of them, through all levels, except with probability ``LOST``."""
+    threshold = min(threshold, 0.999)
+    return math.ceil(math.log(LOST) / math.log1p(-threshold ** TOP * survival(threshold, depth)))
 
 
 def top_tokens(trees: int) -> np.ndarray:
@@ -322,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, limit: i
     """
     plain = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
     with Scratch(docs.sparkSession) as keep:
-        info = keep(describe(plain, words, tree_count(percent / 100)))
+        info = keep(describe(plain, words, tree_count(percent / 100, depth)))
         classes = keep(info.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
         first = classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep")
         same = (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep"))

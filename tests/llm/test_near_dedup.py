@@ -1,4 +1,5 @@
 """Near-duplicate join against all pairs; components."""
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from helpers import SCHEMA, documents, edge_rows, near_dedup, ordered, passage,
 
 from lexiforge.llm.common import Scratch
 from lexiforge.llm.components import connected_components
-from lexiforge.llm.near_dedup import TOKENS, least_matches, near_duplicates, shingle_set
+from lexiforge.llm.near_dedup import TOKENS, TOP, least_matches, near_duplicates, shingle_set, survival, tree_count
 
 ROWS = [(r[0], r[1]) for r in edge_rows()]
 
@@ -85,3 +86,18 @@ def test_pairs_of_a_node_that_stays_large_meet(spark):
     got = near_duplicates(d, 98, limit=2, depth=1).collect()
     assert ordered(map(tuple, got)) == ordered(near_dedup(rows, 98))
     assert sum(r["kept"] for r in got) == 60
+
+
+def test_losses_at_the_threshold_through_all_levels():
+    rng = random.Random(9)
+    for t in (0.8, 0.85):
+        alive = 0
+        for _ in range(20_000):
+            nodes = 1
+            for _ in range(6):
+                nodes = sum((rng.random() < t) + (rng.random() < 1 / t - 1 and rng.random() < t) for _ in range(nodes))
+            alive += nodes > 0
+        assert abs(alive / 20_000 - survival(t, 6)) < 0.015
+        assert (1 - t ** TOP * alive / 20_000) ** tree_count(t, 6) < 3e-10
+        assert sum(math.comb(TOKENS, m) * t ** m * (1 - t) ** (TOKENS - m) for m in range(least_matches(t))) <= 1e-7
+    assert tree_count(0.85, 0) == 25 and survival(0.85, 0) == 1
