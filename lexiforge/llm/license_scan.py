@@ -2,7 +2,7 @@
 
 A text becomes its words, joined by single blanks. A search for a few
 strings picks the texts that can hold a signature at all; in these, a rule
-runs only where its keyword occurs. A rule marks its matches, so that one split
+runs only where one of its keywords occurs. A rule marks its matches, so that one split
 into words gives all first and last words. A detection that lies inside another
 one of at least its priority is dropped.
 
@@ -22,16 +22,16 @@ from lexiforge.llm.url_reputation import LOWER, UPPER
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keyword: str | tuple[str, ...]  # begins a word of every match; or one of these does
     pattern: str  # over words joined by blanks; must match whole words
     priority: int  # 0 to 3
     confidence: float
     base: bool = False
 
 
-# Label, a word that every match contains, pattern of the license's names in lower-cased words.
+# Label, a word that every match contains (or some of which it has one), pattern of the license's names in lower-cased words.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11) licen[cs]e"),
+    ("mit", ("mit licen", "expat licen", "x11 licen"), r"(?:mit|expat|x11) licen[cs]e"),
     ("apache-2", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?|apache 2(?: 0)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
@@ -51,7 +51,7 @@ NAMES = [
     ("bsd-3", "bsd", r"(?:bsd 3 clause|(?:new|modified|revised|3 clause|three clause) bsd) licen[cs]e"),
     ("bsd-2", "bsd", r"(?:bsd 2 clause|(?:simplified|freebsd|2 clause|two clause) bsd) licen[cs]e"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|(?:original|4 clause|four clause) bsd) licen[cs]e"),
-    ("bsd-0", "bsd", r"(?:0bsd|bsd 0 clause|zero clause bsd)(?: licen[cs]e)?"),
+    ("bsd-0", ("0bsd", "bsd"), r"(?:0bsd|bsd 0 clause|zero clause bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
     ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v )?1 1"),
@@ -59,14 +59,14 @@ NAMES = [
     ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v )?2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v )?1(?: 0)?"),
     ("cddl-1", "distribution", r"common development and distribution licen[cs]e(?: (?:version |v )?1 [01])?"),
-    ("cc-by-nc-nd", "nd", r"cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:s|atives)"),
+    ("cc-by-nc-nd", ("nd", "attribution"), r"cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:s|atives)"),
     ("cc-by-nc-sa", "sa", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "alike", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc-sa", "attribution", r"creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc", "nc", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial"),
+    ("cc-by-nc", "attribution", r"creative commons attribution non ?commercial"),
     ("cc-by-nd", "nd", r"cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "sa", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by-sa", "alike", r"creative commons attribution share ?alike"),
+    ("cc-by-sa", "attribution", r"creative commons attribution share ?alike"),
     ("cc-by", "cc", r"cc by(?: [1-4] [05])?"),
     ("cc-by", "attribution", r"creative commons attribution"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
@@ -121,6 +121,10 @@ def signature_rules() -> list[Rule]:
     return [*named, *alone, *OTHERS, *BASE]
 
 
+def keywords(rule: Rule) -> tuple[str, ...]:
+    return (rule.keyword,) if isinstance(rule.keyword, str) else rule.keyword
+
+
 def _words(text: Column) -> Column:
     lower = F.translate(text, UPPER, LOWER)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
@@ -154,7 +158,8 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, parts: tuple
     their result, an empty table gives none.
     """
     rules = signature_rules() if rules is None else rules
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"),
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"),
+                               F.array(*[F.lit(f" {k}") for k in keywords(r)]).alias("keywords"),
                                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"),
                                F.lit(r.confidence).alias("sure"), F.lit(r.base).alias("base")) for r in rules])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -173,7 +178,7 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, parts: tuple
             a["i"].cast("long").alias("first"), b["i"].cast("long").alias("last"), r["priority"].alias("priority"),
             r["label"].alias("label"), r["sure"].alias("sure"), r["base"].alias("base")))
 
-    near = F.filter(table, lambda r: F.contains(F.col("w"), r["keyword"]))
+    near = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("w"), k)))
     # a join of words may hold a match only in part: the pattern decides before places are worked out
     near = F.filter(near, lambda r: F.regexp_like(F.col("w"), r["pattern"]))
     kind = "array<struct<first:bigint,last:bigint,priority:int,label:string,sure:double,base:boolean>>"

@@ -137,6 +137,47 @@ def test_license_containment_and_gate(spark):
         assert any(p in least.replace("[cs]", "s") for p in (*license_scan.PARTS, "licen")) or "cc" in least, r
 
 
+SPELLINGS = [
+    ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("Creative Commons Attribution", "cc-by"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivs", "cc-by-nc-nd"), ("under the Expat license", "mit"),
+    ("Creative Commons Attribution Non-Commercial No Derivatives", "cc-by-nc-nd"), ("see the X11 License", "mit"),
+    ("0BSD license", "bsd-0"), ("released under 0BSD licence", "bsd-0"), ("zero-clause BSD", "bsd-0"), ("GPLv3", "gpl-3")]
+
+
+def _alternatives(parsed):
+    """All strings of a pattern; what may repeat stands there not at all and once."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "IN":
+            more = [chr(c) for k, v in arg for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        elif kind == "SUBPATTERN":
+            more = _alternatives(arg[3])
+        elif kind == "BRANCH":
+            more = [x for a in arg[1] for x in _alternatives(a)]
+        else:
+            assert kind == "MAX_REPEAT" and arg[:2] == (0, 1)
+            more = ["", *_alternatives(arg[2])]
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_license_spellings_pass_the_keywords(spark):
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SPELLINGS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in scan_licenses(d).collect()}
+    assert [x for k, x in enumerate(SPELLINGS) if x[1] not in got[k]] == []
+    rules = signature_rules()
+    assert got == {k: brute_scan(t, rules)[5].split(",") for k, (t, _) in enumerate(SPELLINGS)}
+    names = [Rule(label, word, name, 1, 0.6) for label, word, name in license_scan.NAMES]
+    for r in [*names, *license_scan.OTHERS, *license_scan.BASE]:  # forms put words around a name only
+        words = license_scan.keywords(r)
+        for x in _alternatives(re._parser.parse(r.pattern)):
+            assert any(f" {w}" in f" {x}" for w in words), (r, x)
+
+
 # --- quality
 
 
