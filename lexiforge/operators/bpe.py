@@ -7,27 +7,48 @@ Data flow (all on executors):
   combined map-side, so a hot word never reaches one task as raw rows).
 * ``alphabet``: distinct bytes (at most 256 rows) ordered by the printable
   stand-in code point; ids start after the three special tokens.
-* Training rounds over the *word-type* table ``(syms array<int>, cnt)``: pair
-  counts by explode + aggregate, top-k candidates, triple counts for the
-  candidates, then one merge pass. Several merges are applied in one round when
-  that provably gives the same result as applying them one by one (see
-  ``_accept_batch``), so a vocabulary of m merges needs far fewer than m jobs.
-
-Only bounded things reach the driver: the 256-entry alphabet, k candidate
-pairs per round and the vocabulary itself (bounded by ``vocab_size``).
+* Training runs over *word-type blocks* (``words_to_blocks``): the symbols of up
+  to ``BLOCK_WORDS`` distinct words in one flat array. All pairs are counted only
+  at a refresh, which gives the driver the best ``PAIRS`` pairs and the bound that
+  every other pair keeps below. A round then sends a list of merges to the blocks
+  and gets back the *changes* of pair counts, step by step, from the words that
+  hold a merged pair and from no others. The driver replays the steps: as long as
+  the pair merged in a step is the best one by the counts of that moment, the step
+  stands; the first that is not ends the round. So the merges are exactly those of
+  one-at-a-time training, at one Spark job for many merges.
+
+Only bounded things reach the driver: the 256-entry alphabet, ``PAIRS`` pairs at a
+refresh, the changes of a round (at most four pairs a merge for every symbol of
+the vocabulary) and the vocabulary itself (bounded by ``vocab_size``).
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiforge.functions.text import (SPECIAL_TOKENS, code_point_to_string, pretokenize,
                                       printable_code_point, utf8_bytes)
-from lexiforge.session import cut_lineage
+from lexiforge.session import dropped, stored
+
+#: Distinct words of one block, at most.
+BLOCK_WORDS = 8_192
+#: Symbols of one block, at most (a longer word is a block of its own).
+BLOCK_SYMBOLS = 131_072
+#: Pairs that the driver holds after a refresh.
+PAIRS = 16_384
+#: Merges that a round tries, at most.
+ROUND = 64
+#: Rounds between two written block tables; in between, blocks are cached and can be rebuilt.
+WRITE_EVERY = 16
 
 
 def word_counts(df: DataFrame, feature: str = "text") -> DataFrame:
@@ -115,40 +136,6 @@ def _self_merge(a: int, new: int) -> F.Column:
         f"then concat(slice(acc, 1, size(acc) - 1), array({new})) else concat(acc, array(x)) end)")
 
 
-def triple_bounds(words: DataFrame, cands: list) -> dict:
-    """bound(a, b) = max count of a triple (x, a, b) or (a, b, x), for given pairs only.
-
-    No pair created by merging (a, b) can be more frequent than that. Triples
-    are filtered to the candidate pairs *before* the aggregate.
-    """
-    arr = F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in cands])
-    trip = F.expr(
-        "transform(sequence(0, size(syms) - 3), i -> named_struct('x', syms[i], 'y', syms[i + 1], 'z', syms[i + 2]))")
-    t = words.filter(F.size("syms") >= 3).select(F.explode(trip).alias("t"), "cnt")
-    trip_counts = (t.filter(F.array_contains(arr, F.struct(F.col("t.y").alias("l"), F.col("t.z").alias("r")))
-                            | F.array_contains(arr, F.struct(F.col("t.x").alias("l"), F.col("t.y").alias("r"))))
-                   .groupBy("t.x", "t.y", "t.z").agg(F.sum("cnt").alias("c")))
-    right = trip_counts.select(F.col("y").alias("l"), F.col("z").alias("r"), "c")
-    left = trip_counts.select(F.col("x").alias("l"), F.col("y").alias("r"), "c")
-    rows = (right.unionByName(left).filter(F.array_contains(arr, F.struct(F.col("l"), F.col("r"))))
-            .groupBy("l", "r").agg(F.max("c").alias("c")).collect())          # <= k rows
-    return {(r["l"], r["r"]): r["c"] for r in rows}
-
-
-def _cheap_prefix(cands, model, by_bytes):
-    """Candidates that could share a round ignoring the count bound."""
-    out, used = [], set()
-    for i, (a, b, c) in enumerate(cands):
-        existing = by_bytes.get(model.vocab[a] + model.vocab[b])
-        if i > 0 and (a == b or a in used or b in used or existing is not None):
-            break
-        out.append((a, b))
-        used.update((a, b))
-        if a == b or existing is not None:
-            break
-    return out
-
-
 @dataclass
 class BpeModel:
     """Vocabulary (id -> bytes) and ordered merges; bounded by vocab_size."""
@@ -161,90 +148,266 @@ class BpeModel:
         return self.vocab[i]
 
 
-def _accept_batch(cands, bounds, model, by_bytes, vocab_size):
-    """Pick a prefix of the candidates that can be merged in one round.
-
-    After the first, a candidate is taken only if it shares no symbol with the
-    taken pairs, is not a self pair, its product is a new token, and its count
-    is strictly above every triple bound of the taken pairs (so no pair created
-    by the taken merges could have beaten it). A self pair is always alone.
-    """
-    taken, used, bound = [], set(), -1
-    size = len(model.vocab)
-    for (a, b, c) in cands:
-        if c < 1 or size >= vocab_size:
+BLOCK_SCHEMA = "kind int, syms binary, words binary, counts binary, step int, left int, right int, change long"
+
+
+def words_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(syms, cnt) rows -> block rows: all symbols (-1 after each word), the word of each, a count by word."""
+    syms, counts, held = [], [], 0
+    for b in batches:
+        flat, off = b.column("syms").flatten().to_numpy(), b.column("syms").offsets.to_numpy()
+        off = off - off[0]
+        cnt = b.column("cnt").to_numpy()
+        for i in range(len(cnt)):
+            word = flat[off[i]:off[i + 1]]
+            if syms and (len(syms) >= BLOCK_WORDS or held + len(word) > BLOCK_SYMBOLS):
+                yield _block_row(*_flat(syms, counts))
+                syms, counts, held = [], [], 0
+            syms.append(word)
+            counts.append(cnt[i])
+            held += len(word)
+    if syms:
+        yield _block_row(*_flat(syms, counts))
+
+
+def _flat(syms: list, counts: list):
+    n = np.fromiter((len(w) + 1 for w in syms), np.int64, len(syms))
+    s = np.full(int(n.sum()), -1, np.int32)
+    word = np.repeat(np.arange(len(syms), dtype=np.int32), n)
+    inside = np.ones(len(s), bool)
+    inside[np.cumsum(n) - 1] = False
+    s[inside] = np.concatenate(syms)
+    return s, word, np.asarray(counts, np.int64)
+
+
+def _block_row(s: np.ndarray, word: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array([0], pa.int32()), "syms": pa.array([s.tobytes()], pa.binary()), "words": pa.array([word.tobytes()], pa.binary()),
+        "counts": pa.array([counts.tobytes()], pa.binary()), "step": pa.array([0], pa.int32()), "left": pa.array([0], pa.int32()),
+        "right": pa.array([0], pa.int32()), "change": pa.array([0], pa.int64())})
+
+
+def _change_rows(step: int, key: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    n = len(key)
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array(np.ones(n, np.int32)), "syms": none, "words": none, "counts": none, "step": pa.array(np.full(n, step, np.int32)),
+        "left": pa.array((key >> 32).astype(np.int32)), "right": pa.array((key & 0xFFFFFFFF).astype(np.int32)), "change": pa.array(change)})
+
+
+def _starts(s: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where the pair (a, b) is merged: of overlapping ``a a a`` the leftmost, then every second one."""
+    at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+    if a != b or len(at) < 2:
+        return at
+    new_run = np.concatenate([[True], np.diff(at) != 1])
+    first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - first) % 2 == 0]
+
+
+def _merged(s: np.ndarray, word: np.ndarray, at: np.ndarray, new: int):
+    s = s.copy()
+    s[at] = new
+    keep = np.ones(len(s), bool)
+    keep[at + 1] = False
+    return s[keep], word[keep]
+
+
+def _pair_keys(s: np.ndarray, word: np.ndarray, counts: np.ndarray):
+    """(left << 32 | right, count of the word) of every adjacent pair."""
+    inside = (s[:-1] >= 0) & (s[1:] >= 0)
+    return (s[:-1][inside].astype(np.int64) << 32) | s[1:][inside].astype(np.int64), counts[word[:-1][inside]]
+
+
+def _round(done: list, tried: list):
+    """A block with ``done`` merged (kind 0), and the changes that each of ``tried`` would make in turn (kind 1)."""
+    def fn(batches):
+        for b in batches:
+            for kind, syms, words, cnt in zip(*(b.column(c).to_pylist() for c in ("kind", "syms", "words", "counts"))):
+                if kind != 0:
+                    continue
+                s, word, counts = np.frombuffer(syms, np.int32), np.frombuffer(words, np.int32), np.frombuffer(cnt, np.int64)
+                for x, y, new in done:
+                    at = _starts(s, x, y)
+                    if len(at):
+                        s, word = _merged(s, word, at, new)
+                yield _block_row(s, word, counts)
+                for step, (x, y, new) in enumerate(tried):
+                    at = _starts(s, x, y)
+                    if not len(at):
+                        continue
+                    touched = np.zeros(len(counts), bool)
+                    touched[word[at]] = True
+                    touched = touched[word]
+                    old_s, old_word = s[touched], word[touched]          # the words that hold the pair
+                    new_s, new_word = _merged(old_s, old_word, _starts(old_s, x, y), new)
+                    before, n0 = _pair_keys(old_s, old_word, counts)
+                    after, n1 = _pair_keys(new_s, new_word, counts)
+                    key, inverse = np.unique(np.concatenate([before, after]), return_inverse=True)
+                    change = np.zeros(len(key), np.int64)
+                    np.add.at(change, inverse, np.concatenate([-n0, n1]))
+                    hit = change != 0
+                    yield _change_rows(step, key[hit], change[hit])
+                    s, word = _merged(s, word, at, new)
+    return fn
+
+
+def _block_pairs(batches):
+    """Pair counts of the blocks, aggregated by block."""
+    for b in batches:
+        for kind, syms, words, cnt in zip(*(b.column(c).to_pylist() for c in ("kind", "syms", "words", "counts"))):
+            if kind == 0:
+                keys, n = _pair_keys(np.frombuffer(syms, np.int32), np.frombuffer(words, np.int32), np.frombuffer(cnt, np.int64))
+                key, inverse = np.unique(keys, return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, inverse, n)
+                yield _change_rows(0, key, total)
+
+
+class _Best:
+    """The best pairs by (count descending, left, right): all that rank before ``bound`` are known exactly."""
+
+    def __init__(self, rows: list, limit: int):
+        self.count = {(r["left"], r["right"]): r["cnt"] for r in rows}
+        self.heap = [(-c, *p) for p, c in self.count.items()]
+        heapq.heapify(self.heap)
+        self.bound = max(self.heap) if len(rows) == limit else (0, -1, -1)
+
+    def top(self):
+        """The best pair, or None where a pair that is not held could be better."""
+        while self.heap:
+            c, a, b = self.heap[0]
+            now = self.count.get((a, b), 0)
+            if now == -c and now > 0:
+                return (a, b) if self.heap[0] <= self.bound else None
+            heapq.heappop(self.heap)
+            if now > 0 and now < -c:
+                heapq.heappush(self.heap, (-now, a, b))
+        return None
+
+    def first(self, n: int) -> list:
+        return heapq.nsmallest(n, ((-c, *p) for p, c in self.count.items() if c > 0))
+
+    def apply(self, changes: list, new: int) -> bool:
+        """Fold in one step; False if a pair whose count is not held has grown."""
+        known = True
+        for a, b, change in changes:
+            held = self.count.get((a, b))
+            if held is not None:
+                self.count[a, b] = held + change
+                if change > 0:
+                    heapq.heappush(self.heap, (-held - change, a, b))
+            elif new in (a, b):
+                if change > 0 and (-change, a, b) <= self.bound:
+                    self.count[a, b] = change
+                    heapq.heappush(self.heap, (-change, a, b))
+            elif change > 0:
+                known = False
+        return known
+
+
+def _guess(best: _Best, model: BpeModel, by_bytes: dict, most: int) -> list:
+    """Merges to try: the best pairs in order, without those that an earlier one of the list would take symbols from."""
+    out, ends, begins, size = [], set(), set(), len(model.vocab)
+    for _, a, b in best.first(4 * most):
+        if len(out) >= most:
             break
-        prod = model.vocab[a] + model.vocab[b]
-        existing = by_bytes.get(prod)
-        if taken:
-            if a == b or a in used or b in used or c <= bound or existing is not None:
-                break
-        new = existing if existing is not None else size
-        taken.append((a, b, new))
-        if existing is None:
-            size += 1
-        used.update((a, b))
-        bound = max(bound, bounds.get((a, b), 0))
-        if a == b or existing is not None:
+        if a in ends or b in begins or (a == b and out):
+            continue
+        existing = by_bytes.get(model.vocab[a] + model.vocab[b])
+        out.append((a, b, size if existing is None else existing))
+        ends.add(b)
+        begins.add(a)
+        if existing is not None or a == b:
             break
-    return taken
+        size += 1
+    return out
 
 
-def train_bpe(wc: DataFrame, vocab_size: int | None = None, merges: int | None = None, k: int = 32,
-              checkpoint_every: int = 8) -> BpeModel:
+def train_bpe(wc: DataFrame, vocab_size: int | None = None, merges: int | None = None, pairs: int = PAIRS) -> BpeModel:
     """Learn merges until ``vocab_size`` tokens, ``merges`` merges or no pair is left."""
+    wc = counted_words = stored(wc, "word-counts")
     alpha_rows = alphabet(wc).collect()          # <= 256 rows
     model = BpeModel(byte_id_table(alpha_rows))
     for i, tok in enumerate(SPECIAL_TOKENS):
         model.vocab[i] = tuple(tok.encode("utf-8"))
     for r in alpha_rows:
         model.vocab[r["id"]] = (r["byte"],)
-    if vocab_size is None:
-        vocab_size = len(model.vocab) + merges
+    limit = merges if vocab_size is None else None
     by_bytes = {v: i for i, v in model.vocab.items() if i >= len(SPECIAL_TOKENS)}
-    words = cut_lineage(to_symbols(wc, model.byte_ids).filter(F.size("syms") >= 2))
-    cached = []
+    words = to_symbols(wc, model.byte_ids).filter(F.size("syms") >= 2).select("syms", "cnt")
+    blocks = written = stored(words.mapInArrow(words_to_blocks, BLOCK_SCHEMA), "bpe-blocks")
+    dropped(counted_words)
+    cached = None
+    best, done, stood = None, [], 4
     try:
-        while len(model.vocab) < vocab_size:
-            active = words.filter(F.size("syms") >= 2)
-            cands = [(r["left"], r["right"], r["cnt"]) for r in top_pairs(pair_counts(active), k).collect()]
-            for old in cached[:-1]:      # the new table is materialised by now
-                old.unpersist()
-            del cached[:-1]
-            if not cands or cands[0][2] < 1:
+        while True:
+            room = limit - len(model.merges) if limit is not None else vocab_size - len(model.vocab)
+            if room <= 0:
                 break
-            prefix = _cheap_prefix(cands, model, by_bytes)
-            # the bound is only needed when a second pair could join the round
-            if len(prefix) > 1:
-                syms = sorted({x for p in prefix[:-1] for x in p})
-                near = active.filter(F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in syms])))
-                bounds = triple_bounds(near, prefix[:-1])
+            if best is None:
+                if done:             # bring the blocks up to date, then count all pairs
+                    fresh = stored(blocks.mapInArrow(_round(done, []), BLOCK_SCHEMA), "bpe-blocks")
+                    _release(cached, written)
+                    blocks = written = fresh
+                    cached, done = None, []
+                counted = (blocks.mapInArrow(_block_pairs, BLOCK_SCHEMA).groupBy("left", "right")
+                           .agg(F.sum("change").alias("cnt")))
+                best = _Best(top_pairs(counted, pairs).collect(), pairs)      # <= ``pairs`` rows
+                if best.top() is None:
+                    break
+            tried = _guess(best, model, by_bytes, min(ROUND, room, 2 * stood + 8))
+            after = blocks.mapInArrow(_round(done, tried), BLOCK_SCHEMA)
+            model.rounds += 1
+            if model.rounds % WRITE_EVERY == 0:
+                after = stored(after, "bpe-blocks")
+                changes = _changes(after)
+                _release(cached, written)
+                blocks = written = after
+                cached = None
             else:
-                bounds = {}
-            taken = _accept_batch(cands, bounds, model, by_bytes, vocab_size)
-            if not taken:
-                break
-            for a, b, new in taken:
+                after = after.persist()
+                changes = _changes(after)        # computes and keeps the blocks of this round
+                if cached is not None:
+                    cached.unpersist()
+                blocks = cached = after
+            done = []
+            for step, (a, b, new) in enumerate(tried):
+                if best.top() != (a, b):
+                    break
                 if new not in model.vocab:
                     model.vocab[new] = model.vocab[a] + model.vocab[b]
                     by_bytes[model.vocab[new]] = new
                 model.merges.append((a, b, new))
-            model.rounds += 1
-            symbols = sorted({x for a, b, _ in taken for x in (a, b)})
-            touched = F.arrays_overlap(F.col("syms"), F.array(*[F.lit(x) for x in symbols]))
-            # words reduced to one symbol can never pair again: leave them out
-            merged = (words.withColumn("syms", F.when(touched, merge_expr(taken)).otherwise(F.col("syms")))
-                      .filter(F.size("syms") >= 2))
-            # persist every round: an unpersisted chain of merge expressions would be
-            # inlined level into level and grow geometrically
-            words = cut_lineage(merged) if model.rounds % checkpoint_every == 0 else merged.persist()
-            cached.append(words)
+                done.append((a, b, new))
+                if not best.apply(changes.get(step, ()), new):
+                    best = None
+                    break
+            stood = len(done)
+            if best is not None and best.top() is None:
+                best = None          # the pairs not held have to be looked at
     finally:
-        for old in cached:
-            old.unpersist()
+        _release(cached, written)
     return model
 
 
+def _changes(after: DataFrame) -> dict:
+    """Step -> (left, right, change) of the whole corpus."""
+    rows = (after.filter("kind = 1").groupBy("step", "left", "right").agg(F.sum("change").alias("change"))
+            .filter("change <> 0").collect())
+    out = defaultdict(list)
+    for r in rows:
+        out[r["step"]].append((r["left"], r["right"], r["change"]))
+    return out
+
+
+def _release(cached: DataFrame | None, written: DataFrame | None) -> None:
+    if cached is not None:
+        cached.unpersist()
+    if written is not None:
+        dropped(written)
+
+
 def vocab_frame(spark, model: BpeModel) -> DataFrame:
     """(id, token, hex): token is the printable byte-level rendering."""
     rows = []

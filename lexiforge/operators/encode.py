@@ -8,8 +8,8 @@ their size is bounded by the vocabulary) and ids are expanded with numpy
 gathers, so there is no per-token Python work, no shuffle and no join of token
 positions.
 
-Decode is native: ids index a literal array of token hex strings (bounded by
-``vocab_size``), ``array_join`` + ``unhex`` + ``decode`` rebuild the text.
+Decode is narrow too: an Arrow pass gathers the bytes of every id from one flat
+table of the vocabulary (bounded by ``vocab_size``, sent with the function).
 """
 
 from __future__ import annotations
@@ -144,10 +144,34 @@ def byte_level_ids(text: Column, byte_ids: list, add_bos: bool = True) -> Column
     return F.concat(F.array(F.lit(BOS_ID).cast("bigint")), ids) if add_bos else ids
 
 
-def decode_ids(ids: Column, vocab_hex: list) -> Column:
-    """ids -> text; special tokens decode to their literal names."""
-    table = F.array(*[F.lit(h) for h in vocab_hex])
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, (i + 1).cast("int"))), "")), "UTF-8")
+def _decoder(vocab_hex: list, ids: str, out: str):
+    tokens = [bytes.fromhex(h) for h in vocab_hex]
+    flat = np.frombuffer(b"".join(tokens), np.uint8)
+    size = np.asarray([len(t) for t in tokens], np.int64)
+    start = np.cumsum(size) - size
+
+    def fn(batches):
+        for b in batches:
+            col = b.column(ids)
+            valid = col.is_valid().to_numpy(zero_copy_only=False)
+            per_row = np.where(valid, pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), 0)
+            i = col.flatten().to_numpy()
+            n = size[i]
+            ends = np.cumsum(n)
+            at = np.repeat(start[i] - (ends - n), n) + np.arange(int(n.sum()))
+            text = flat[at].tobytes()
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_row)])]
+            texts = [text[lo:hi].decode("utf-8", "replace") if ok else None
+                     for ok, lo, hi in zip(valid.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+    return fn
+
+
+def decode_corpus(df: DataFrame, vocab_hex: list, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` and the text of its id lists; special tokens decode to their literal names, a null list to null."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    return df.mapInArrow(_decoder(vocab_hex, ids, out), schema)
 
 
 def truncate_ids(ids: Column, length: int) -> Column:
@@ -161,4 +185,4 @@ def pad_ids(ids: Column, length: int, pad_id: int = PAD_ID) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad_id).cast("bigint"), fill))
 
 
-__all__ = ["encode_corpus", "byte_level_ids", "decode_ids", "truncate_ids", "pad_ids", "UNK_ID"]
+__all__ = ["encode_corpus", "byte_level_ids", "decode_corpus", "truncate_ids", "pad_ids", "UNK_ID"]

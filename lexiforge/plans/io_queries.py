@@ -14,10 +14,10 @@ from lexiforge.plans.experiment_queries import SQL_GRID, SQL_LAT, SQL_RUNS, emis
 from lexiforge.plans.example_queries import sql_with
 from lexiforge.plans.generation_queries import SQL_GEN_TEXT, SQL_GENERATED, generated
 from lexiforge.plans.model_queries import SQL_MODEL, batch_losses
-from lexiforge.plans.params import BPE_MERGES, SQL_NONBLANK, sql_bpe_ctes, sql_merges, sql_split_docs
+from lexiforge.plans.params import SQL_NONBLANK, sql_split_docs
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
-from lexiforge.plans.token_queries import SQL_TOKEN, saved_tokenizer
+from lexiforge.plans.token_queries import saved_tokenizer
 from lexiforge.session import scratch_path, stored
 from lexiforge.sources import io
 
@@ -47,11 +47,7 @@ def write_splits(spark, sf_dir):
     return io.read_split(spark, path, ["train", "validation", "test"]).select("doc_id", "split", "n_chars")
 
 
-@register("tokenizer_roundtrip", sql=f"""
-WITH {sql_bpe_ctes()}
-SELECT rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id,
-       {SQL_TOKEN} AS token, '<bos> $A' AS template
-FROM ({sql_merges()}) x JOIN v{BPE_MERGES} ON v{BPE_MERGES}.id = x.new_id""")
+@register("tokenizer_roundtrip")
 def tokenizer_roundtrip(spark, sf_dir):
     """Save vocabulary, merges and settings as tables; load them back."""
     tok = io.load_tokenizer(spark, saved_tokenizer(spark, sf_dir))

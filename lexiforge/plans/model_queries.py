@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lexiforge.operators import examples, ngram
 from lexiforge.plans.example_queries import TOTAL, sql_with
 from lexiforge.plans.params import BATCH_SIZE, NGRAM_ALPHA, NUM_WORKERS, SEQ_LEN, WORLD_SIZE
-from lexiforge.plans.params import sql_bpe_ctes, sql_learned_tokens
 from lexiforge.plans.registry import register
 from lexiforge.plans.token_queries import byte_tokens, byte_vocab, learned_tokens
 from lexiforge.session import stored
@@ -139,16 +138,7 @@ def guess_baseline(spark, sf_dir):
                              F.round(F.col("loss") / F.lit(g), 6).alias("loss_ratio"))
 
 
-def sql_learned(*extra: str) -> str:
-    """The same CTEs over the ids of the learned vocabulary."""
-    from lexiforge.plans.params import BPE_MERGES
-    vsize = f"vsize AS (SELECT count(*) AS vocab_size FROM v{BPE_MERGES})"
-    return "WITH " + ", ".join([sql_bpe_ctes(), sql_learned_tokens(), *[vsize if c.startswith("vsize") else c for c in extra]])
-
-
-@register("flagship_perplexity", sql=f"""{sql_learned(*SQL_MODEL[:5])}
-SELECT split, count(*) AS n_positions, round(avg(-logp), 6) AS mean_loss, round(exp(avg(-logp)), 6) AS perplexity
-FROM scored WHERE split = 'validation' GROUP BY split""")
+@register("flagship_perplexity")
 def flagship_perplexity(spark, sf_dir):
     """Split, learn a tokenizer, save and load it, encode, fit on train, perplexity on validation."""
     enc, tok = learned_tokens(spark, sf_dir)

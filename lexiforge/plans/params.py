@@ -14,7 +14,7 @@ WORLD_SIZE = 2          # data-parallel processes
 NUM_WORKERS = 2         # loader workers per process
 BATCH_SIZE = 8
 NGRAM_ALPHA = 0.1       # additive smoothing
-BPE_MERGES = 40         # merges learned by the registered BPE query
+VOCAB_SIZE = 2000       # ids of the learned tokenizer (specials, bytes and merges)
 # ---------------------------------------------------------------------------
 
 # Python str.strip() whitespace, RE2 spelling.
@@ -81,49 +81,3 @@ def sql_token_ctes() -> str:
     """WITH-list: splitdocs, alpha, alpha_map, toks(doc_id, split, ids)."""
     return (f"splitdocs AS ({sql_split_docs()}), alpha AS ({sql_alphabet()}), alpha_map AS ({SQL_ALPHA_MAP}), "
             f"toks AS (SELECT doc_id, split, {sql_byte_ids('hex(encode(text))')} AS ids FROM splitdocs, alpha_map)")
-
-
-# ---- learned vocabulary: the merges are found one by one over the table of training words ----------
-def sql_bpe_ctes(merges: int = BPE_MERGES) -> str:
-    """WITH-list: b1..bN (rank, left_id, right_id, new_id) and vN (id, h): ids and the hex of their bytes.
-
-    A word is a string like ``<70><58>``, so a merge is a replacement, leftmost first.
-    """
-    out = [f"splitdocs AS MATERIALIZED ({sql_split_docs()}), alpha AS MATERIALIZED ({sql_alphabet()}), "
-           f"alpha_map AS MATERIALIZED ({SQL_ALPHA_MAP}), "
-           f"wc AS MATERIALIZED (SELECT word, count(*) AS cnt FROM (SELECT unnest({sql_pretokenize('text')}) AS word "
-           "FROM splitdocs WHERE split = 'train') GROUP BY word), "
-           f"w0 AS MATERIALIZED (SELECT cnt, {sql_symbols('word')} AS s FROM wc, alpha_map), "
-           "v0 AS MATERIALIZED (SELECT 0::BIGINT AS id, hex(encode('<pad>')) AS h UNION ALL SELECT 1, hex(encode('<bos>')) "
-           "UNION ALL SELECT 2, hex(encode('<unk>')) UNION ALL SELECT id, lpad(hex(b), 2, '0') FROM alpha)"]
-    for k in range(1, merges + 1):
-        out.append(
-            f"b{k} AS MATERIALIZED (SELECT {k - 1} AS rank, l AS left_id, r AS right_id, CAST(vocab_size + {k - 1} AS BIGINT) AS new_id "
-            "FROM (SELECT l, r, sum(cnt) AS c FROM (SELECT cnt, unnest(a[:-2]) AS l, unnest(a[2:]) AS r FROM "
-            f"(SELECT cnt, string_split(s[2:-2], '><')::INTEGER[] AS a FROM w{k - 1} WHERE contains(s, '><'))) "
-            "GROUP BY l, r ORDER BY c DESC, l, r LIMIT 1), alpha_map), "
-            f"w{k} AS MATERIALIZED (SELECT cnt, replace(s, '<' || left_id || '><' || right_id || '>', '<' || new_id || '>') AS s FROM w{k - 1}, b{k}), "
-            f"v{k} AS MATERIALIZED (SELECT * FROM v{k - 1} UNION ALL SELECT b.new_id, x.h || y.h FROM b{k} b "
-            f"JOIN v{k - 1} x ON x.id = b.left_id JOIN v{k - 1} y ON y.id = b.right_id)")
-    return ", ".join(out)
-
-
-def sql_symbols(word: str) -> str:
-    return f"'<' || array_to_string(list_transform({sql_bytes(f'hex(encode({word}))')}, lambda b: m[b + 1]), '><') || '>'"
-
-
-def sql_learned_tokens(merges: int = BPE_MERGES) -> str:
-    """WITH-list on top of ``sql_bpe_ctes``: toks(doc_id, split, ids) with the learned merges in order."""
-    s = "s"
-    for k in range(1, merges + 1):
-        s = f"replace({s}, (SELECT '<' || left_id || '><' || right_id || '>' FROM b{k}), (SELECT '<' || new_id || '>' FROM b{k}))"
-    return (f"dw AS MATERIALIZED (SELECT doc_id, split, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM "
-            f"(SELECT doc_id, split, {sql_pretokenize('text')} AS ws FROM splitdocs)), "
-            f"es AS MATERIALIZED (SELECT word, {sql_symbols('word')} AS s FROM (SELECT DISTINCT word FROM dw), alpha_map), "
-            f"enc AS MATERIALIZED (SELECT word, string_split(({s})[2:-2], '><')::BIGINT[] AS syms FROM es), "
-            "toks AS MATERIALIZED (SELECT doc_id, split, list_concat([1::BIGINT], flatten(list(syms ORDER BY i))) AS ids "
-            "FROM dw JOIN enc USING (word) GROUP BY doc_id, split)")
-
-
-def sql_merges(merges: int = BPE_MERGES) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, merges + 1))

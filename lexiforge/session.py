@@ -82,6 +82,15 @@ def stored(df, name: str = "table"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df) -> None:
+    """Delete the files of a table that ``stored`` has written; nothing may read it afterwards."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def _drop_scratch(spark: SparkSession, root: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from lexiforge.operators import bpe, encode
 
@@ -45,6 +44,30 @@ def test_corpus_vocab_and_encoding_match_wheel(spark):
     assert all(tok.encode(r["text"]).ids == list(r["ids"]) for r in enc)
 
 
+def test_every_number_of_merges_matches_wheel(spark):
+    """Training may stop after any merge, whatever the round; with few pairs held, refreshes come often."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    wc = bpe.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for merges, pairs in ((33, 64), (34, bpe.PAIRS), (40, 7)):
+        model = bpe.train_bpe(wc, merges=merges, pairs=pairs)
+        assert len(model.merges) == merges
+        assert vocab_of(spark, model) == wheel(texts, len(model.vocab)).get_vocab()
+
+
+def test_round_reports_changes_of_touched_words_only():
+    import numpy as np
+    import pyarrow as pa
+    words = pa.RecordBatch.from_pydict({"syms": pa.array([[5, 6, 5, 6], [7, 8], [5, 5, 5]], pa.list_(pa.int32())),
+                                        "cnt": pa.array([2, 100, 3], pa.int64())})
+    block, = bpe.words_to_blocks([words])
+    out = list(bpe._round([], [(5, 6, 9), (5, 5, 10)])([block]))
+    change = {(s, a, b): c for o in out[1:] for s, a, b, c in zip(*(o.column(k).to_pylist() for k in ("step", "left", "right", "change")))}
+    assert change == {(0, 5, 6): -4, (0, 6, 5): -2, (0, 9, 9): 2, (1, 5, 5): -6, (1, 10, 5): 3}
+    after = list(bpe._round([(5, 6, 9), (5, 5, 10)], [])([out[0]]))[0]
+    assert np.frombuffer(after.column("syms")[0].as_py(), np.int32).tolist() == [9, 9, -1, 7, 8, -1, 10, 5, -1]
+
+
 def test_unseen_bytes_and_empty_text(spark):
     model = train(spark, ["abc abc ab"], 10)
     df = spark.createDataFrame([(0, ""), (1, "日"), (2, None)], "doc_id long, text string")
@@ -59,5 +82,5 @@ def test_decode_round_trip(spark):
              for i, t in zip(range(len(model.vocab)), ["<pad>", "<bos>", "<unk>"] + [""] * len(model.vocab))]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     enc = encode.encode_corpus(df, model.byte_ids, model.merges, keep=("text",))
-    r = enc.select(encode.decode_ids(F.col("ids"), hexes).alias("d"), "text").first()
-    assert r["d"] == "<bos>" + r["text"]
+    r = encode.decode_corpus(enc, hexes).first()
+    assert r["decoded"] == "<bos>" + r["text"]

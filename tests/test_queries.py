@@ -9,7 +9,7 @@ import __spark_entry__ as E
 
 QUICK = ["filter_blank", "split_report", "pretokenize", "bpe_alphabet", "causal_pairs", "shard_lengths",
          "mean_loss", "decayed_sum_chunked", "early_stop", "route_top1", "segment_dilate", "choice_accuracy",
-         "stream_decayed_sum", "bpe_merge_once", "bpe_train", "detokenize", "perplexity", "generation_log", "route_report",
+         "stream_decayed_sum", "bpe_merge_once", "detokenize", "perplexity", "generation_log", "route_report",
          "route_top2_eval", "write_splits", "dataset_length", "stage_rows", "log_bucket", "segment_densify", "lse_merge"]
 KEYS = sorted(E.oracle_sql()) if os.environ.get("LEXIFORGE_FULL") else QUICK
 SF = "/root/testdata/sf0.001"
