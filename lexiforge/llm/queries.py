@@ -19,6 +19,7 @@ from lexiforge.llm.quality_ranker import Ranker, learn_quality, score_quality
 from lexiforge.llm.suffix_dedup import remove_repeats
 from lexiforge.llm.topk_search import exact_topk
 from lexiforge.llm.url_reputation import host_path, host_reputation, judge_urls
+from lexiforge.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +185,8 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+@query("op13_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
