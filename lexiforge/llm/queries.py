@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.bpe_codec import bpe_encode
 from lexiforge.llm.common import table
+from lexiforge.llm.html_extract import extract_text
 from lexiforge.llm.license_scan import scan_licenses
 from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
@@ -190,3 +191,8 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
