@@ -16,6 +16,7 @@ from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.merkle import compare_with_edit
 from lexiforge.llm.near_dedup import near_duplicates
 from lexiforge.llm.packing import best_fit_pack, token_pieces
+from lexiforge.llm.prefix_trie import conversation_trie
 from lexiforge.llm.quality_ranker import Ranker, learn_quality, score_quality
 from lexiforge.llm.suffix_dedup import remove_repeats
 from lexiforge.llm.topk_search import exact_topk
@@ -196,3 +197,33 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_conversation_trie", """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+         sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS size FROM conversations),
+o AS (SELECT c, list(struct_pack(d := d, size := size) ORDER BY i) AS own FROM t GROUP BY c),
+f AS (
+  SELECT c, own, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda ch: list_concat([ascii(ch)::UBIGINT], list_transform(range(8), lambda z: 1000::UBIGINT))))),
+    lambda r, v: CASE WHEN v < 256 THEN xor(r, v) ELSE xor(r >> 1, (r & 1) * 3988292384) END), 4294967295::UBIGINT) % 9 AS h FROM o),
+r AS (
+  SELECT f.c, list_concat(coalesce(b.own[1:f.h::BIGINT], []), f.own[f.h::BIGINT + 1:]) AS s
+  FROM f LEFT JOIN o b ON b.c = f.c - f.c % 5),
+p AS (SELECT c, s, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth FROM r),
+q AS (SELECT c, n, depth, list_transform(s[1:depth], lambda e: e.d) AS k, coalesce(s[depth].size, 0) AS size FROM p),
+v AS (
+  SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY k, depth),
+w AS (SELECT v.*, (SELECT count(*) FROM v u WHERE u.depth = v.depth + 1 AND u.k[1:v.depth] = v.k) AS n_children FROM v),
+x AS (SELECT k, depth, n_convs, size, n_children, unnest(range(0, depth + 1)) AS up FROM w),
+y AS (
+  SELECT k[1:up] AS k, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM x GROUP BY ALL)
+SELECT w.conv_id, w.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, y.n_leaves,
+       y.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN y ON y.k = w.k AND y.depth = w.depth LEFT JOIN v u ON u.depth = w.depth - 1 AND u.k = w.k[1:w.depth - 1]
+""")
+def conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
