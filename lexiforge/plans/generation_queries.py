@@ -30,8 +30,8 @@ def generated(spark, sf_dir, stop):
 
 def _generate(spark, sf_dir, stop):
     g, vocab_hex = generated(spark, sf_dir, stop)
-    return g.select("item_id", F.size("gen").alias("n_generated"), F.array_join("gen", ",").alias("gen_csv"),
-                    encode.decode_ids(F.col("gen"), vocab_hex).alias("gen_text"))
+    return encode.decode_corpus(g, vocab_hex, ids="gen", out="gen_text").select(
+        "item_id", F.size("gen").alias("n_generated"), F.array_join("gen", ",").alias("gen_csv"), "gen_text")
 
 
 def _sql_generated(stop: bool) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.vectors import format_ts
-from lexiforge.operators.encode import decode_ids
+from lexiforge.operators.encode import decode_corpus
 from lexiforge.plans.corpus_queries import split_docs
 from lexiforge.plans.experiment_queries import SQL_GRID, SQL_LAT, SQL_RUNS, emission_runs, grid_results, latency
 from lexiforge.plans.example_queries import sql_with
@@ -81,8 +81,8 @@ def generation_log(spark, sf_dir, now=STAMP):
     """Generated texts appended as quoted CSV rows: (ts, model_type, prompt_id, text); ``now`` is the time to stamp."""
     path = scratch_path(spark, "generations")
     g, vocab_hex = generated(spark, sf_dir, stop=True)
-    g = g.select(format_ts(F.lit(now)).alias("ts"), F.lit("ngram2").alias("model_type"), F.col("item_id").alias("prompt_id"),
-                 decode_ids(F.col("gen"), vocab_hex).alias("text"))
+    g = decode_corpus(g, vocab_hex, ids="gen", out="text").select(
+        format_ts(F.lit(now)).alias("ts"), F.lit("ngram2").alias("model_type"), F.col("item_id").alias("prompt_id"), "text")
     io.append_csv(g, path, quote_all=True)
     return io.read_csv(spark, path, "ts string, model_type string, prompt_id bigint, text string")
 
