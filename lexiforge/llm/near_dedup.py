@@ -13,8 +13,16 @@ below the top included, only with probability ``LOST``.
 
 Comparisons in a node use eight bits of each token and let a pair at the
 threshold pass except with probability ``MISS``; what passes is confirmed on the full
-sets. Equal sets are one document of the join, and groups of links become
-components without ever listing all pairs of a group.
+sets. Equal sets are one document of the join.
+
+Only components count, so pairs that are connected already need no comparison. The
+first ``SKETCH`` trees hand on of each node a spanning forest of its likeliest pairs,
+one fewer than its documents at most; confirmed, they connect most of every group.
+Then all trees are gone through with what is connected known: a node of one
+component goes, and only pairs of different components are compared and handed on,
+each that may reach the threshold. So the forest saves work and decides nothing.
+Nodes of an earlier tree are told by 32 bits of their path, so a pair that is
+handed on once only may be taken for handed on with 63 / 2 ** 32, or 1.5e-8.
 """
 
 from __future__ import annotations
@@ -34,7 +42,8 @@ from lexiforge.llm.components import connected_components
 
 TOKENS = 256
 TOP = 3
-BLOCK = 4  # times ``limit``: documents of a block of a node that is large after all levels
+SKETCH = 8
+BLOCK = 16  # times ``limit``: documents of a block of a node that is large after all levels
 LOST = 1e-10
 MISS = 1e-7
 
@@ -132,7 +141,8 @@ def describe(plain: DataFrame, words: int, trees: int) -> DataFrame:
 
 #: A document in a node. ``marks``: of its nodes below the top levels in all trees; ``small``: a bit for each
 #: of the first 63 trees in which that node is compared exhaustively; ``tree``: this tree, or ``DEEPER`` further down.
-ROWS = "node long, doc_id long, n long, sig binary, marks binary, small long, tree int"
+#: ``root``: its component as far as known.
+ROWS = "node long, doc_id long, root long, n long, sig binary, marks binary, small long, tree int"
 DEEPER = 1 << 20
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
@@ -147,7 +157,7 @@ def _grouped(batches) -> Iterator[dict[str, np.ndarray]]:
     for b in batches:
         if not b.num_rows:
             continue
-        rows = {c: b.column(c).to_numpy() for c in ("node", "doc_id", "n", "small", "tree")}
+        rows = {c: b.column(c).to_numpy() for c in ("node", "doc_id", "root", "n", "small", "tree")}
         rows |= {"sig": _matrix(b.column("sig"), "u1"), "marks": _matrix(b.column("marks"), "<u4")}
         if held:
             rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
@@ -166,16 +176,52 @@ def _met_before(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return (bits & (r["marks"][i][:, trees] == r["marks"][j][:, trees]) & (trees < r["tree"][i][:, None])).any(1)
 
 
-def _alike(n1, sig1, n2, sig2, percent: int, least: int) -> np.ndarray:
-    """Which pairs may reach the threshold: by size of the sets and by equal tokens."""
-    ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return ok & ((sig1 == sig2).sum(-1) >= least)
+def _equal_tokens(r: dict[str, np.ndarray], i, j, percent: int, least: int) -> np.ndarray:
+    """Equal tokens of pairs that may reach the threshold, by these and by the size of the sets, and are not known to be connected; else 0."""
+    n, sig = r["n"], r["sig"]
+    ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (r["root"][i] != r["root"][j])
+    equal = (sig[i] == sig[j]).sum(-1)
+    return np.where(ok & (equal >= least), equal, 0)
 
 
-def _node_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each node that may reach the threshold, unless they have met before."""
+def _forest(i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which pairs make a spanning forest, those of most equal tokens first."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    out = np.zeros(len(i), bool)
+    order = np.argsort(-equal, kind="stable")
+    for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[b] = a
+            out[k] = True
+    return out
+
+
+def _pairs(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, equal: np.ndarray, forest: bool) -> np.ndarray:
+    """Of pairs of rows those to hand on, as rows of the smaller and the larger document."""
+    hit = equal > 0
+    i, j = i[hit], j[hit]
+    new = _forest(i, j, equal[hit]) if forest else ~_met_before(r, i, j)
+    i, j = r["doc_id"][i[new]], r["doc_id"][j[new]]
+    return np.stack([np.minimum(i, j), np.maximum(i, j)])
+
+
+def _batch(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0))
+    if pairs.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _node_pairs(batches, percent: int, least: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of each node that may reach the threshold and are neither connected nor met before; of a forest only."""
     for r in _grouped(batches):
-        node, n, sig = r["node"], r["n"], r["sig"]
+        node = r["node"]
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(starts, len(node)))
         out = []
@@ -185,14 +231,9 @@ def _node_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
             step = max(1, 200_000 // len(x))
             for lo in range(0, len(at), step):
                 i, j = ((at[lo:lo + step, None] + k).ravel() for k in (x, y))
-                hit = _alike(n[i], sig[i], n[j], sig[j], percent, least)
-                i, j = i[hit], j[hit]
-                new = ~_met_before(r, i, j)
-                i, j = r["doc_id"][i[new]], r["doc_id"][j[new]]
-                out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-        if out:
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                # rows are of one node each, so a forest over all is one of every node
+                out.append(_pairs(r, i, j, _equal_tokens(r, i, j, percent, least), forest))
+        yield from _batch(out)
 
 
 def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -209,7 +250,7 @@ def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
             which = (draw[rows] % np.uint64(TOKENS)).astype(np.int64)
             token = sig[rows, which].astype(np.uint64) * np.uint64(TOKENS) + which.astype(np.uint64)
             new = _mix(node[rows] ^ _mix(token + np.uint64(child) * np.uint64(0x9E3779B97F4A7C15)))
-            take, same = pa.array(rows), ("doc_id", "n", "sig", "marks", "small")
+            take, same = pa.array(rows), ("doc_id", "root", "n", "sig", "marks", "small")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new.view(np.int64)), *[b.column(c).take(take) for c in same],
                  pa.array(np.full(len(rows), DEEPER, np.int32))], ["node", *same, "tree"])
@@ -230,41 +271,43 @@ def _cells(large: DataFrame, block: int, n_parts: int) -> DataFrame:
     return rows.select(*COLUMNS).repartition(n_parts, "node").sortWithinPartitions("node", "tree")
 
 
-def _cell_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of two blocks, or within one, that may reach the threshold, unless they have met before."""
+def _cell_pairs(batches, percent: int, least: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """The same of two blocks, or within one."""
     for r in _grouped(batches):
-        node, n, sig, second = r["node"], r["n"], r["sig"], r["tree"] > 0
+        node, second = r["node"], r["tree"] > 0
         r["tree"] = np.full(len(node), DEEPER)
         starts = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
             cut = hi - int(second[lo:hi].sum())
-            out = []
+            found = []
             for k in range(lo, cut):
                 j = np.arange(k + 1 if cut == hi else cut, hi)
-                j = j[_alike(n[k], sig[k], n[j], sig[j], percent, least)]
-                i = np.full(len(j), k)
-                new = ~_met_before(r, i, j)
-                i, j = r["doc_id"][i[new]], r["doc_id"][j[new]]
-                out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-            if out:
-                pairs = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, depth: int) -> DataFrame:
-    """``a < b``: pairs that meet in a node of some tree and may reach the threshold."""
-    threshold = percent / 100
+                equal = _equal_tokens(r, k, j, percent, least)
+                j, equal = j[equal > 0], equal[equal > 0]
+                found.append(np.stack([np.full(len(j), k), j, equal]))
+            if found:
+                i, j, equal = np.concatenate(found, axis=1)
+                yield from _batch([_pairs(r, i, j, equal, forest)])
+
+
+def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, depth: int, trees: int | None = None) -> DataFrame:
+    """``a < b``: pairs of different ``root`` that meet in a node of some tree and may reach the threshold.
+
+    With ``trees``: of the first so many trees, and of each node a spanning forest of them.
+    """
+    threshold, forest = percent / 100, trees is not None
     least, n_parts = least_matches(threshold), partitions(reps.sparkSession)
 
     def compared(rows: DataFrame) -> DataFrame:
         placed = rows.select(*COLUMNS).repartition(n_parts, "node").sortWithinPartitions("node")
-        return placed.mapInArrow(lambda batches: _node_pairs(batches, percent, least), "a long, b long")
+        return placed.mapInArrow(lambda batches: _node_pairs(batches, percent, least, forest), "a long, b long")
 
     def sized(rows: DataFrame) -> DataFrame:
-        counts = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        return rows.join(counts, "node")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return rows.join(keep(counts.filter("lo < hi").select("node", "size")), "node")
 
-    rows = keep(sized(reps.select("doc_id", F.posexplode("paths").alias("tree", "node"))))
+    paths = F.slice("paths", 1, trees) if forest else F.col("paths")
+    rows = keep(sized(reps.select("doc_id", "root", F.posexplode(paths).alias("tree", "node"))))
     bit = F.when((F.col("size") <= limit) & (F.col("tree") < 63), F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("long"))
     small = rows.groupBy(F.col("doc_id").alias("d")).agg(F.bit_or(bit).alias("small"))
     signed = small.join(reps.select(F.col("doc_id").alias("r"), "n", "sig", "marks"), F.col("d") == F.col("r"))
@@ -280,7 +323,7 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
     large = rows.filter(F.col("size") > limit)
     if not large.isEmpty():
         found.append(keep(_cells(large, BLOCK * limit, n_parts).mapInArrow(
-            lambda batches: _cell_pairs(batches, percent, least), "a long, b long")))
+            lambda batches: _cell_pairs(batches, percent, least, forest), "a long, b long")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -336,8 +379,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, limit: i
         first = classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep")
         same = (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep"))
         reps = keep(info.filter("n > 0").join(first, same).select("doc_id", "n", "sig", "paths", "marks"))
-        pairs = candidate_pairs(reps, percent, keep, limit, depth)
-        roots = connected_components(keep(confirmed(pairs, plain, words, percent, keep)), keep)
+        likely = candidate_pairs(reps.withColumn("root", F.col("doc_id")), percent, keep, limit, depth, SKETCH)
+        links = keep(confirmed(likely, plain, words, percent, keep))
+        known = connected_components(links, keep)
+        rooted = reps.join(known, F.col("doc_id") == F.col("v"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("v")
+        pairs = candidate_pairs(keep(rooted), percent, keep, limit, depth)
+        links = links.unionByName(confirmed(pairs, plain, words, percent, keep))
+        roots = connected_components(keep(links), keep)
         rooted = keep(classes.join(roots, F.col("rep") == F.col("v"), "left")
                       .select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("root", "rep").alias("component_id")))
         out = info.join(rooted, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
