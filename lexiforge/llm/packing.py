@@ -22,8 +22,12 @@ from lexiforge.llm.common import cut_lineage, id_text, partitions, real_id
 from lexiforge.llm.words import ChunkTable, library
 
 
+#: Shares of residual tokens, documents and attention cost in the choice of a bin.
+WEIGHTS = (1.0, 0.25, 0.25)
+
+
 def plan_bins(hist: dict[int, int], tokens: int, documents: int | None = None, attention: int | None = None,
-              rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> dict[str, np.ndarray]:
+              rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> dict[str, np.ndarray]:
     """Best-fit placements: ``length, first, count, each, bin, offset``.
 
     Pieces ``first .. first + count - 1`` of that length go, ``each`` to a bin,
@@ -85,14 +89,15 @@ def plan_bins(hist: dict[int, int], tokens: int, documents: int | None = None, a
 
 
 def best_fit_pack(pieces: DataFrame, tokens: int, documents: int | None = None, attention: int | None = None,
-                  rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+                  rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS,
                   length_col: str = "length", key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (the place in the sequence, without gaps from 0).
 
     ``length_col`` must be at least 1 (null or smaller: the row gets nulls).
     ``key`` orders the pieces of a length; repeated keys are separate pieces.
     The result does not depend on how the input is partitioned, up to the order of
-    rows that are equal in ``key`` and length. An empty input gives no rows.
+    rows that are equal in ``key`` and length. An empty input gives no rows. Columns
+    ``sequence_id`` and ``offset`` of the input are replaced.
     """
     names = [f"c{k}" for k in range(len(pieces.columns))]
     at = {c: names[k] for k, c in enumerate(pieces.columns)}
@@ -128,7 +133,8 @@ def best_fit_pack(pieces: DataFrame, tokens: int, documents: int | None = None,
     placed = ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
     none = (rows.filter(~F.coalesce(F.col("n_len") >= 1, F.lit(False)))
             .select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")))
-    return placed.unionByName(none).toDF(*pieces.columns, "sequence_id", "offset")
+    stay = [F.col(n).alias(c) for n, c in zip(names, pieces.columns) if c not in ("sequence_id", "offset")]
+    return placed.unionByName(none).select(*stay, "sequence_id", "offset")
 
 
 @functools.cache

@@ -116,3 +116,35 @@ def test_packing_of_odd_lengths_repeated_keys_and_nothing(spark):
 def test_crc_is_that_of_the_ids(spark):
     r = token_pieces(documents(spark).filter("doc_id = 5"), PATH, 4096).withColumn("c", F.crc32("ids")).first()
     assert r["c"] == zlib.crc32(np.array([*ids_of("one two"), 1], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("caps,weights", [((60, 4, 1500), (1.0, 0.25, 0.25)), ((60, 60, 3600), (1.0, 0.25, 0.25)), ((60, 5, 2000), (0.2, 1.0, 0.7))])
+def test_plan_equals_plain_best_fit(caps, weights):
+    """Piece by piece, longest first, over all bins one by one; bins of equal residuals are alike."""
+    rng = random.Random(sum(caps))
+    hist = {n: rng.randint(1, 9) for n in range(1, 61) if rng.random() < 0.7}
+    plan = plan_bins(hist, *caps, weights=weights)
+    got = {}
+    for length, count, each, b in zip(*[plan[k].tolist() for k in ("length", "count", "each", "bin")]):
+        for d in range(count):
+            got.setdefault(b + d // each, []).append(length)
+    bins, cap, w = [], np.array(caps, float), np.array(weights)
+    for n in sorted(hist, reverse=True):
+        item = np.array([n, 1, n * n], float)
+        for _ in range(hist[n]):
+            fits = [b for b in bins if (b[0] >= item).all()]
+            if fits:
+                score = [(w * ((b[0] - item) / cap) ** 2).sum() for b in fits]
+                best = fits[int(np.argmin(score))]
+            else:
+                bins.append(best := [cap.copy(), []])
+            best[0] -= item
+            best[1].append(n)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(b[1]) for b in bins)
+
+
+def test_packing_replaces_columns_of_its_own_names(spark):
+    d = spark.createDataFrame([(1, 0, 5, 7, "x"), (2, 0, 6, 8, "y")], "doc_id long, piece int, length long, sequence_id int, offset string")
+    got = best_fit_pack(d, 10)
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert sorted((r["length"], r["offset"]) for r in got.collect()) == [(5, 0), (6, 0)]
