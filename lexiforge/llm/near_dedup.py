@@ -43,7 +43,7 @@ from lexiforge.llm.components import connected_components
 TOKENS = 256
 TOP = 3
 SKETCH = 8
-BLOCK = 16  # times ``limit``: documents of a block of a node that is large after all levels
+BLOCK = 4  # times ``limit``: documents of a block of a node that is large after all levels
 LOST = 1e-10
 MISS = 1e-7
 
@@ -359,7 +359,7 @@ def confirmed(pairs: DataFrame, plain: DataFrame, words: int, percent: int, keep
     return both.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, limit: int = 128, depth: int = 6,
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, limit: int = 512, depth: int = 6,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
