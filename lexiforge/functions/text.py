@@ -38,14 +38,19 @@ def pretokenize(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD_PATTERN), 0)
 
 
-def utf8_bytes(col: Column) -> Column:
-    """String -> array<int> of its UTF-8 bytes.
+def utf8_bytes(col: Column, first: int | None = None, last: int | None = None) -> Column:
+    """String -> array<int> of its UTF-8 bytes, or of the ``first`` or ``last`` so many, cut before they become an array.
 
     The UTF-8 bytes are decoded as ISO-8859-1, which maps every byte to one
     character with the same code, so ``ascii`` of each character is the byte
     (linear, no per-byte number parsing).
     """
-    latin = F.decode(F.encode(col, "UTF-8"), "ISO-8859-1")
+    data = F.encode(col, "UTF-8")
+    if first is not None:
+        data = F.substring(data, 1, first)
+    if last is not None:
+        data = F.substring(data, -last, last)
+    latin = F.decode(data, "ISO-8859-1")
     return F.when(F.length(latin) == 0, F.array().cast("array<int>")).otherwise(
         F.transform(F.split(latin, ""), lambda c: F.ascii(c)))
 

@@ -27,6 +27,7 @@ from lexiforge.operators.ordering import ordered_index
 MAX_EXP = 600.0        # keep gamma^-j below e^600
 UNDERFLOW = 746.0      # e^-746 is 0 in doubles
 MAX_CHUNK = 1 << 20
+MAX_REACH = 64         # earlier chunks that a rate looks back to in one pass
 
 
 def head_gammas(heads: int) -> list[float]:
@@ -45,7 +46,7 @@ def _decay_dense(df: DataFrame, keys: list, idx: str, v: str, gamma: float, out:
     if gamma <= 0.0:
         return df.withColumn(out, F.col(v))
     lg = -math.log(gamma)
-    C = chunk or chunk_size(gamma)
+    C = min(chunk or MAX_CHUNK, chunk_size(gamma))  # beyond that gamma^-j would overflow
     c = F.floor(F.col(idx) / C)
     d = df.withColumn("_c", c).withColumn("_j", F.col(idx) - F.col("_c") * C)
     w = (Window.partitionBy(*keys, "_c").orderBy("_j")
@@ -78,6 +79,38 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return _decay_dense(idx, list(keys), pos, value, gamma, out, chunk)
 
 
+def decayed_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rates: dict[str, float],
+                 pos: str = "pos") -> DataFrame:
+    """Several rates in one pass: adds ``pos`` and a column of each of ``rates`` (name -> gamma, 0 < gamma < 1).
+
+    Chunks are as long as the fastest rate allows; one window gives the sums of all
+    rates inside a chunk, and a chunk's total goes straight to the later chunks in
+    which it is not yet 0 in doubles. Rates that look back further than MAX_REACH
+    chunks are carried level by level instead.
+    """
+    keys = list(keys)
+    d = ordered_index(df, keys, list(order), pos)
+    C = min(chunk_size(g) for g in rates.values())
+    reach = {c: math.ceil(UNDERFLOW / (C * -math.log(g))) for c, g in rates.items()}
+    fast = [c for c in rates if reach[c] <= MAX_REACH]
+    d = d.withColumn("_c", F.floor(F.col(pos) / C)).withColumn("_j", F.col(pos) - F.col("_c") * C)
+    w = (Window.partitionBy(*keys, "_c").orderBy("_j")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    v, j = F.col(value), F.col("_j")
+    d = d.withColumns({f"_l_{c}": F.pow(F.lit(rates[c]), j) * F.sum(v * F.pow(F.lit(rates[c]), -j)).over(w) for c in fast})
+    totals = d.groupBy(*keys, "_c").agg(*[F.sum(v * F.pow(F.lit(rates[c]), F.lit(C - 1) - j)).alias(f"_t_{c}") for c in fast])
+    later = totals.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max(reach[c] for c in fast)))))
+    carry = (later.withColumn("_c", F.col("_c") + F.col("_k")).groupBy(*keys, "_c")
+             .agg(*[F.sum(F.col(f"_t_{c}") * F.pow(F.lit(rates[c]), (F.col("_k") - 1) * C)).alias(f"_e_{c}") for c in fast]))
+    d = d.join(carry, [*keys, "_c"], "left").withColumns(
+        {c: F.col(f"_l_{c}") + F.pow(F.lit(rates[c]), j + 1) * F.coalesce(F.col(f"_e_{c}"), F.lit(0.0)) for c in fast})
+    d = d.drop("_c", "_j", *[f"_{k}_{c}" for k in "le" for c in fast])
+    for c in rates:
+        if c not in fast:
+            d = _decay_dense(d, keys, pos, value, rates[c], c, None)
+    return d
+
+
 def decayed_norm(decayed: str, pos: str, gamma: float):
     """Recurrent form output: S / sqrt(sum_{k<=pos} gamma^k)."""
     if gamma == 1.0:

@@ -136,12 +136,16 @@ def encode_corpus(df: DataFrame, byte_ids: list, merges: list, feature: str = "t
     return staged.mapInArrow(_encoder(byte_ids, merges, add_bos), schema)
 
 
-def byte_level_ids(text: Column, byte_ids: list, add_bos: bool = True) -> Column:
-    """Zero-merge encoding as a native expression (alphabet lookup per byte)."""
+def byte_level_ids(text: Column, byte_ids: list, add_bos: bool = True, first: int | None = None, last: int | None = None) -> Column:
+    """Zero-merge encoding as a native expression (alphabet lookup per byte); of all ids or of the ``first`` or ``last`` so many."""
     from lexiforge.functions.text import utf8_bytes
     lut = F.array(*[F.lit(int(x)) for x in byte_ids])
-    ids = F.transform(utf8_bytes(text), lambda b: F.element_at(lut, b + 1).cast("bigint"))
-    return F.concat(F.array(F.lit(BOS_ID).cast("bigint")), ids) if add_bos else ids
+    some = first - add_bos if first is not None else None
+    ids = F.transform(utf8_bytes(text, some, last), lambda b: F.element_at(lut, b + 1).cast("bigint"))
+    if not add_bos:
+        return ids
+    with_bos = F.concat(F.array(F.lit(BOS_ID).cast("bigint")), ids)
+    return with_bos if last is None else F.when(F.octet_length(text) < last, with_bos).otherwise(ids)
 
 
 def _decoder(vocab_hex: list, ids: str, out: str):

@@ -78,91 +78,12 @@ def ckpt_name(counter: Column, epoch: Column, val_loss: Column) -> Column:
     return F.format_string("ckpt_%03d_epoch=%d_val_loss=%.2f", counter.cast("int"), epoch.cast("bigint"), val_loss)
 
 
-def _elapsed_seconds(ts: str, t0: str) -> Column:
-    return (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(t0).cast("timestamp"))) / F.lit(1e6)
-
-
-def _time_buckets(df: DataFrame, keys: list, pos: str, ts: str, hours: float) -> DataFrame:
-    """(keys, pos) of the first row of every ``hours``-long interval since the run start."""
-    t0 = df.groupBy(*keys).agg(F.min(ts).alias("_t0"))
-    b = df.join(t0, keys).withColumn("_bucket", F.floor(_elapsed_seconds(ts, "_t0") / (hours * 3600.0)))
-    return b.groupBy(*keys, "_bucket").agg(F.min(pos).alias(pos)).drop("_bucket")
-
-
-def cadence_events(df: DataFrame, keys: Sequence[str], pos: str, ts: str, every_n: int,
-                   hours: float) -> DataFrame:
-    """Rows where validation runs (every n steps) or a time-based checkpoint fires."""
-    keys = list(keys)
-    val = df.filter(F.pmod(F.col(pos), F.lit(every_n)) == 0).select(*keys, pos).withColumn("is_validation", F.lit(True))
-    tim = _time_buckets(df, keys, pos, ts, hours).withColumn("is_time_ckpt", F.lit(True))
-    j = val.join(tim, [*keys, pos], "full_outer")
-    return j.select(*keys, pos, F.coalesce("is_validation", F.lit(False)).alias("is_validation"),
-                    F.coalesce("is_time_ckpt", F.lit(False)).alias("is_time_ckpt"))
-
-
-def effective_cadence(hours, steps):
-    """Hours win when > 0; hours <= 0 fall back to steps."""
-    if hours is not None and hours > 0:
-        return hours, None
-    return None, steps
-
-
-def ckpt_cadence(df: DataFrame, keys: Sequence[str], pos: str, ts: str, rules) -> DataFrame:
-    """Checkpoints per run under each (hours, steps) rule."""
-    keys = list(keys)
-    out = None
-    for rule_id, (hours, steps) in enumerate(rules):
-        h, s = effective_cadence(hours, steps)
-        if h is not None:
-            fired = _time_buckets(df, keys, pos, ts, h)
-        else:
-            fired = df.filter(F.pmod(F.col(pos), F.lit(s)) == 0).select(*keys, pos)
-        part = (df.select(*keys).distinct().join(fired.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left")
-                .select(F.lit(rule_id).alias("rule_id"), *keys, F.coalesce("n", F.lit(0)).alias("n_checkpoints")))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def grid_product(spark, lists: dict) -> DataFrame:
-    """Cartesian product of hyper-parameter lists without a join.
-
-    Each list is exploded in turn (a bounded multiplication of a one-row
-    frame); ``grid_id`` follows itertools.product order (last list fastest).
-    """
-    names = list(lists)
-    df = spark.range(1).select()
-    for name in names:
-        vals = lists[name]
-        df = df.select("*", F.posexplode(F.array(*[F.lit(v) for v in vals])).alias(f"_i_{name}", name))
-    gid = F.lit(0)
-    for name in names:
-        gid = gid * len(lists[name]) + F.col(f"_i_{name}")
-    return df.select(gid.cast("int").alias("grid_id"), *names)
-
-
-def grid_validity(embed_dim: Column, heads: Column, value_embed_dim: Column | None = None) -> tuple[Column, Column]:
-    """(valid, reason): head dimension must be even; value dim divisible by heads."""
-    even = F.pmod(embed_dim, heads * 2) == 0
-    reason = F.when(~even, F.lit("embed_dim not divisible by 2*heads"))
-    valid = even
-    if value_embed_dim is not None:
-        vd = value_embed_dim.isNull() | (F.pmod(value_embed_dim, heads) == 0)
-        reason = reason.when(~vd, F.lit("value_embed_dim not divisible by heads"))
-        valid = valid & vd
-    return valid, reason
-
-
 def run_label(given: Column, model_type: Column, n_params: Column, lr: Column, grad_clip: Column) -> Column:
     """Given label, else <type>_<params>_LR<lr>_GC<clip>."""
     return F.coalesce(given, F.concat(model_type, F.lit("_"), n_params.cast("string"), F.lit("_LR"),
                                       lr.cast("string"), F.lit("_GC"), grad_clip.cast("string")))
 
 
-def lr_at(base_lr: Column, gamma: float, epoch: Column) -> Column:
-    """Step schedule: lr * gamma^epoch."""
-    return base_lr * F.pow(F.lit(gamma), epoch)
-
-
 def latency_summary(trials: DataFrame) -> DataFrame:
     """(seq_len, kind) -> n_trials, mean, min, max, median seconds.
 

@@ -17,7 +17,8 @@ TOTAL = WORLD_SIZE * NUM_WORKERS
 
 
 def pairs(spark, sf_dir):
-    return examples.causal_pairs(byte_tokens(spark, sf_dir), SEQ_LEN)
+    # one id more than x has: the last target, and whether the row is a short one
+    return examples.causal_pairs(byte_tokens(spark, sf_dir, first=SEQ_LEN + 1), SEQ_LEN)
 
 
 def shards(spark, sf_dir, *extra):
@@ -45,10 +46,15 @@ def sql_with(*extra: str) -> str:
     return "WITH " + ", ".join([sql_token_ctes(), SQL_PAIRS, SQL_SHARDS, SQL_PADDED, *extra])
 
 
+def stored_keys(spark, sf_dir) -> str:
+    """Keys of the split corpus, a directory a split: what has to be stored to count rows, without the texts."""
+    return io.write_splits(split_docs(spark, sf_dir).select("doc_id", "split"), scratch_path(spark, "split-keys"))
+
+
 @register("dataset_length", sql=f"{sql_with()} SELECT split, count(*) AS n_rows FROM splitdocs GROUP BY split")
 def dataset_length(spark, sf_dir):
     """Rows of the stored splits: counts from the files' footers, no column is read."""
-    path = io.write_splits(split_docs(spark, sf_dir), scratch_path(spark, "splits"))
+    path = stored_keys(spark, sf_dir)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -93,8 +99,8 @@ def batches(spark, sf_dir):
 st AS (SELECT * FROM (VALUES ('fit', 'train'), ('fit', 'validation'), ('validate', 'validation'), ('test', 'test')) v(stage, split))
 SELECT stage, split, count(doc_id) AS n_rows FROM st LEFT JOIN toks USING (split) GROUP BY stage, split""")
 def stage_rows(spark, sf_dir):
-    """Rows that each stage reads: only its splits' directories of the stored corpus."""
-    path = io.write_splits(split_docs(spark, sf_dir), scratch_path(spark, "splits"))
+    """Rows that each stage reads: only its splits' directories of the stored keys."""
+    path = stored_keys(spark, sf_dir)
     out = None
     for stage in ("fit", "validate", "test"):
         own = examples.stage_splits(stage)

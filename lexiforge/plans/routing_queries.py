@@ -24,7 +24,7 @@ def r6(c):
 
 
 def centroids(spark, sf_dir):
-    """One row: the E x D matrix of normalised centroids; a label without rows has an empty one."""
+    """One row: the E x D matrix of normalised centroids; labels of E and more, and those without rows, have no bucket."""
     emb = table(spark, sf_dir, "embeddings").filter(F.col("label") < E)
     m = (emb.select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("m"))
          .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c")))

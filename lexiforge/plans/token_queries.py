@@ -43,11 +43,11 @@ def learned_tokens(spark, sf_dir, path: str | None = None, keep=("doc_id", "spli
     return encode.encode_corpus(split_docs(spark, sf_dir), tok.byte_ids, tok.merges, keep=keep), tok
 
 
-def byte_tokens(spark, sf_dir, lut=None):
-    """(doc_id, split, ids): every document as byte-level ids with <bos>."""
+def byte_tokens(spark, sf_dir, lut=None, **cut):
+    """(doc_id, split, ids): every document as byte-level ids with <bos>; ``first`` or ``last`` so many ids of each."""
     lut = lut or byte_vocab(spark, sf_dir)[0]
     return split_docs(spark, sf_dir).select(
-        "doc_id", "split", encode.byte_level_ids(F.col("text"), lut).alias("ids"))
+        "doc_id", "split", encode.byte_level_ids(F.col("text"), lut, **cut).alias("ids"))
 
 
 def train_word_symbols(spark, sf_dir):
@@ -132,7 +132,7 @@ def detokenize(spark, sf_dir):
 WITH {sql_token_ctes()}
 SELECT doc_id, array_to_string(list_slice(ids, 1, {SEQ_LEN + 1}), ',') AS ids_csv FROM toks""")
 def truncate_tokens(spark, sf_dir):
-    t = byte_tokens(spark, sf_dir)
+    t = byte_tokens(spark, sf_dir, first=SEQ_LEN + 1)
     return t.select("doc_id", F.array_join(encode.truncate_ids(F.col("ids"), SEQ_LEN + 1), ",").alias("ids_csv"))
 
 
@@ -142,7 +142,7 @@ SELECT doc_id, array_to_string(list_concat(list_slice(ids, 1, {SEQ_LEN + 1}),
        list_transform(range(0, greatest(0, {SEQ_LEN + 1} - len(list_slice(ids, 1, {SEQ_LEN + 1})))), lambda i: 0)), ',') AS ids_csv
 FROM toks""")
 def pad_tokens(spark, sf_dir):
-    t = byte_tokens(spark, sf_dir)
+    t = byte_tokens(spark, sf_dir, first=SEQ_LEN + 1)
     padded = encode.pad_ids(encode.truncate_ids(F.col("ids"), SEQ_LEN + 1), SEQ_LEN + 1)
     return t.select("doc_id", F.array_join(padded, ",").alias("ids_csv"))
 

@@ -71,17 +71,12 @@ def decayed_sum_recurrent(spark, sf_dir):
     "FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.pos <= a.pos, h "
     "GROUP BY a.user_id, a.event_id, a.pos, h.head"))
 def decayed_sum_multi(spark, sf_dir):
-    """One decay rate per head, gamma_h = 1 - 2^(-5-h)."""
-    e = ordered_index(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "pos")
-    outs = []
-    for h, g in enumerate(decay.head_gammas(HEADS)):
-        d = decay._decay_dense(e, ["user_id"], "pos", "value", g, "decayed", None)
-        outs.append(d.select("user_id", "event_id", "pos", F.lit(h).alias("head"),
-                             F.round(F.col("decayed") + NUDGE, 6).alias("decayed")))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    """One decay rate per head, gamma_h = 1 - 2^(-5-h), all in one pass."""
+    rates = {f"head{h}": g for h, g in enumerate(decay.head_gammas(HEADS))}
+    d = decay.decayed_sums(ev(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", rates)
+    heads = F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(c).alias("decayed")) for h, c in enumerate(rates)]))
+    return d.select("user_id", "event_id", "pos", heads.alias("h")).select(
+        "user_id", "event_id", "pos", "h.head", F.round(F.col("h.decayed") + NUDGE, 6).alias("decayed"))
 
 
 @register("tail_context", sql=f"""{sql_with()}
@@ -89,7 +84,7 @@ SELECT doc_id, array_to_string(list_slice(ids, greatest(1, len(ids) - {L} + 1),
 FROM toks""")
 def tail_context(spark, sf_dir):
     """Last seq_len ids of each document (context crop before generation)."""
-    t = byte_tokens(spark, sf_dir)
+    t = byte_tokens(spark, sf_dir, last=L)
     return t.select("doc_id", F.array_join(experiments.tail_ids(F.col("ids"), L), ",").alias("ctx_csv"))
 
 

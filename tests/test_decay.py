@@ -77,3 +77,23 @@ def test_lse_merge_over_a_wide_range_and_sparse_gap_fill(spark):
     sparse = spark.createDataFrame([(1, 0, 5.0), (3, 1, 6.0)], "pos long, head int, v double")
     out = {(r["pos"], r["head"]): (r["v"], r["weight"]) for r in segments.densify(sparse, 5, 2, "pos", "v").collect()}
     assert len(out) == 10 and out[1, 0] == (5.0, 1.0) and out[3, 1] == (6.0, 1.0) and out[3, 0] == (0.0, 0.0)
+
+
+def test_several_rates_in_one_pass_and_a_long_chunk(spark, monkeypatch):
+    """Chunks of a few rows, so that totals go on to many later chunks; a rate that looks back too far; a chunk that would overflow."""
+    monkeypatch.setattr(decay, "MAX_EXP", 60.0)
+    rates = {"a": 0.5, "b": 0.9, "c": 0.999}
+    rows = [(k % 3 if k % 7 else None, k, float(k % 5) - 1.5) for k in range(2000)]
+    df = spark.createDataFrame(rows, "u long, i long, v double")
+    got = {r["i"]: r for r in decay.decayed_sums(df, ["u"], ["i"], "v", rates).collect()}
+    state = {}
+    for u, i, v in rows:
+        if u is None:
+            continue
+        for c, g in rates.items():
+            state[u, c] = state.get((u, c), 0.0) * g + v
+            assert abs(got[i][c] - state[u, c]) < 1e-9
+    monkeypatch.undo()
+    long = spark.range(3000).selectExpr("1 AS u", "id AS i", "1.0D AS v")
+    d = decay.decayed_sum(long, ["u"], ["i"], "v", 0.5, chunk=2048).collect()
+    assert all(r["decayed"] <= 2 for r in d) and len(d) == 3000

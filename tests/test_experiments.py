@@ -24,16 +24,9 @@ def test_checkpoint_topk(spark):
     assert (b["best_pos"], b["best_value"]) == (1, 1.0)
 
 
-def test_ckpt_name_and_cadence_rule(spark):
+def test_ckpt_name(spark):
     r = spark.range(1).select(experiments.ckpt_name(F.lit(2), F.lit(0), F.lit(1.234)).alias("n")).first()["n"]
     assert r == "ckpt_002_epoch=0_val_loss=1.23"
-    assert experiments.effective_cadence(0.0, 5) == (None, 5)
-    assert experiments.effective_cadence(2.0, 5) == (2.0, None)
-
-
-def test_grid_product_order(spark):
-    g = experiments.grid_product(spark, {"lr": [0.01, 0.001], "d": [1, 2, 3]}).orderBy("grid_id").collect()
-    assert [(r["lr"], r["d"]) for r in g] == [(0.01, 1), (0.01, 2), (0.01, 3), (0.001, 1), (0.001, 2), (0.001, 3)]
 
 
 def test_latency_single_and_unsorted(spark):
