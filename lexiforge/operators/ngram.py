@@ -141,3 +141,48 @@ def get_scorer(name: str, **kw):
         return SCORERS[name.lower()](**kw)
     except KeyError:
         raise ValueError(f"model type '{name}' not supported") from None
+
+
+# ---- orders above two: contexts of several ids -------------------------------------------------------------------
+def context_counts(tokens: DataFrame, order: int, ids: str = "ids", by: tuple = ("split",)) -> DataFrame:
+    """(by..., ctx, next_id, n): how often an id follows its last ``order - 1`` ids (fewer at the start of a row).
+
+    The first id of a row is context only. Partial sums before the shuffle: rows grow with distinct contexts.
+    """
+    grams = F.transform(F.sequence(F.lit(2), F.size(ids)), lambda i: F.struct(
+        F.slice(F.col(ids), F.greatest(F.lit(1), i - (order - 1)), F.least(F.lit(order - 1), i - 1)).alias("ctx"),
+        F.element_at(F.col(ids), i).alias("next_id")))
+    rows = tokens.filter(F.size(ids) > 1).select(*by, F.explode(grams).alias("g"))
+    return rows.groupBy(*by, "g.ctx", "g.next_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _suffix(k: int) -> Column:
+    """The last ``k`` ids of ``ctx``; null where it has fewer."""
+    return F.when(F.size("ctx") >= k, F.slice("ctx", F.size("ctx") - k + 1, k)) if k else F.array().cast("array<bigint>")
+
+
+def score_orders(evaluated: DataFrame, train: DataFrame, order: int, vocab_size: int, prior: float) -> DataFrame:
+    """``evaluated`` (ctx, next_id, ...) with p1 ... p<order>: the probability by models of every order up to ``order``.
+
+    Each order shrinks its counts to the order below: (count + prior * p) / (total + prior), from 1 / vocab_size; a
+    context that training has not seen leaves p as it is, so the longest known context decides. Both tables are
+    aggregated already, so every level is one join of distinct contexts, not of positions.
+    """
+    out = evaluated.withColumn("p0", F.lit(1.0 / vocab_size))
+    for k in range(order):
+        seen = train.withColumn("c", _suffix(k)).filter("c IS NOT NULL")
+        counts = seen.groupBy("c", F.col("next_id").alias("w")).agg(F.sum("n").alias("cnt"))
+        out = out.withColumn("_s", _suffix(k))
+        if k == 0:
+            # one row of totals, and a count for each id of the vocabulary
+            total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("tot")).scalar()
+            out = out.join(F.broadcast(counts.drop("c")), F.col("next_id") == F.col("w"), "left").withColumn("tot", total)
+        else:
+            totals = counts.groupBy(F.col("c").alias("tc")).agg(F.sum("cnt").alias("tot"))
+            if k == 1:
+                totals = F.broadcast(totals)     # at most a row for each id of the vocabulary
+            out = (out.join(counts, (F.col("_s") == F.col("c")) & (F.col("next_id") == F.col("w")), "left").drop("c")
+                   .join(totals, F.col("_s") == F.col("tc"), "left").drop("tc"))
+        p = (F.coalesce("cnt", F.lit(0)) + F.lit(prior) * F.col(f"p{k}")) / (F.col("tot") + F.lit(prior))
+        out = out.withColumn(f"p{k + 1}", F.coalesce(p, F.col(f"p{k}"))).drop("w", "cnt", "tot", "_s")
+    return out.drop("p0")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import examples, ngram
 from lexiforge.plans.example_queries import TOTAL, sql_with
-from lexiforge.plans.params import BATCH_SIZE, NGRAM_ALPHA, NUM_WORKERS, SEQ_LEN, WORLD_SIZE
+from lexiforge.plans.params import BATCH_SIZE, MAX_ORDER, NGRAM_ALPHA, NUM_WORKERS, ORDER_PRIOR, SEQ_LEN, WORLD_SIZE
+from lexiforge.plans.params import sql_token_ctes
 from lexiforge.plans.registry import register
 from lexiforge.plans.token_queries import byte_tokens, byte_vocab, learned_tokens
 from lexiforge.session import stored
@@ -138,6 +139,41 @@ def guess_baseline(spark, sf_dir):
                              F.round(F.col("loss") / F.lit(g), 6).alias("loss_ratio"))
 
 
+def _sql_orders() -> str:
+    """Every level joins its counts and totals to the aggregated contexts; q<j> is the id j places before w, s<k> holds p0 ... p<k>."""
+    back = range(1, MAX_ORDER)
+    shifted = ", ".join(f"unnest(list_concat([{', '.join(['NULL::BIGINT'] * (j - 1))}], ids[:-{j + 1}])) AS q{j}" for j in back)
+    out = [f"g AS MATERIALIZED (SELECT split, {', '.join(f'q{j}' for j in back)}, w, count(*) AS n FROM "
+           f"(SELECT split, unnest(ids[2:]) AS w, {shifted} FROM toks) WHERE w IS NOT NULL GROUP BY ALL)",
+           "s0 AS (SELECT g.*, 1.0 / vocab_size AS p0 FROM g, alpha_map WHERE split IN ('validation', 'test'))"]
+    for k in range(MAX_ORDER):
+        cols = ", ".join(f"q{j}" for j in range(1, k + 1))
+        known = f"AND q{k} IS NOT NULL" if k else ""
+        same = " AND ".join(f"{{0}}.q{j} = s.q{j}" for j in range(1, k + 1)) or "true"
+        out += [f"c{k} AS MATERIALIZED (SELECT {cols + ', ' if k else ''}w, sum(n) AS cnt FROM g WHERE split = 'train' {known} GROUP BY ALL)",
+                f"t{k} AS MATERIALIZED (SELECT {cols + ', ' if k else ''}sum(cnt) AS tot FROM c{k} GROUP BY ALL)",
+                f"s{k + 1} AS MATERIALIZED (SELECT s.*, coalesce((coalesce(cnt, 0) + {ORDER_PRIOR} * p{k}) / (tot + {ORDER_PRIOR}), p{k}) AS p{k + 1} "
+                f"FROM s{k} s LEFT JOIN c{k} ON c{k}.w = s.w AND {same.format(f'c{k}')} LEFT JOIN t{k} ON {same.format(f't{k}')})"]
+    return ", ".join(out)
+
+
+@register("ngram_orders", sql=f"""WITH {sql_token_ctes()}, {_sql_orders()}
+SELECT split, n_order, CAST(sum(n) AS BIGINT) AS n_positions, round(sum(-ln(p) * n) / sum(n), 6) AS mean_loss,
+       round(exp(sum(-ln(p) * n) / sum(n)), 6) AS perplexity
+FROM (SELECT split, n, unnest(range(1, {MAX_ORDER + 1}))::INTEGER AS n_order, unnest([{', '.join(f'p{k + 1}' for k in range(MAX_ORDER))}]) AS p
+      FROM s{MAX_ORDER}) GROUP BY split, n_order""")
+def ngram_orders(spark, sf_dir):
+    """Loss and perplexity of models of order 1 to MAX_ORDER over whole texts, from one table of aggregated contexts."""
+    lut, _, vocab_size = byte_vocab(spark, sf_dir)
+    grams = stored(ngram.context_counts(byte_tokens(spark, sf_dir, lut), MAX_ORDER), "contexts")
+    ev, train = grams.filter("split <> 'train'"), grams.filter("split = 'train'")
+    p = ngram.score_orders(ev, train, MAX_ORDER, vocab_size, ORDER_PRIOR)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("n_order"), F.col(f"p{k}").alias("p")) for k in range(1, MAX_ORDER + 1)]))
+    loss = F.sum(-F.log("p") * F.col("n")) / F.sum("n")
+    return p.select("split", "n", each.alias("o")).select("split", "n", "o.n_order", "o.p").groupBy("split", "n_order").agg(
+        F.sum("n").alias("n_positions"), F.round(loss, 6).alias("mean_loss"), F.round(F.exp(loss), 6).alias("perplexity"))
+
+
 @register("flagship_perplexity")
 def flagship_perplexity(spark, sf_dir):
     """Split, learn a tokenizer, save and load it, encode, fit on train, perplexity on validation."""
