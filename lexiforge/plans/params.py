@@ -16,7 +16,7 @@ BATCH_SIZE = 8
 NGRAM_ALPHA = 0.1       # additive smoothing
 MAX_ORDER = 4           # ids that the longest context model looks at, the predicted one included
 ORDER_PRIOR = 5.0       # weight of the next lower order, in counts
-VOCAB_SIZE = 2000       # ids of the learned tokenizer (specials, bytes and merges)
+VOCAB_SIZE = 1000       # ids of the learned tokenizer (specials, bytes and merges)
 # ---------------------------------------------------------------------------
 
 # Python str.strip() whitespace, RE2 spelling.
