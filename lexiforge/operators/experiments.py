@@ -1,6 +1,6 @@
 """Experiment book-keeping as DataFrame operators.
 
-Checkpoint selection, early stopping, validation/checkpoint cadence, names,
+Checkpoint selection, early stopping, names,
 grids of hyper-parameters, latency and emissions roll-ups. Per-run operators
 use the skew-safe index and two-level windows (chunk, then per-chunk table),
 so one run holding most of the rows is still spread over many tasks.
