@@ -94,13 +94,21 @@ def greedy_chains(best: DataFrame, steps: int) -> DataFrame:
 def generate(prompts: DataFrame, ids: str, chains: DataFrame, total_length: int, stop_id: int | None = 0) -> DataFrame:
     """Adds ``gen``: the greedy continuation of each prompt up to ``total_length`` ids with the prompt,
     or up to and with the first ``stop_id``. A prompt of that length or more gets none."""
-    room = F.greatest(F.lit(total_length) - F.size(ids), F.lit(0))
     j = prompts.join(chains, F.element_at(F.col(ids), -1) == F.col("start_id"), "left")
-    gen = F.slice(F.col("gen"), F.lit(1), room)
+    return j.withColumn("gen", _cut(F.col("gen"), _room(ids, total_length), stop_id)).drop("start_id")
+
+
+def _room(ids: str, total_length: int) -> Column:
+    return F.greatest(F.lit(total_length) - F.size(ids), F.lit(0))
+
+
+def _cut(gen: Column, room: Column, stop_id: int | None) -> Column:
+    """The first ``room`` ids of ``gen``, up to and with the first ``stop_id``; none for a null."""
+    gen = F.slice(gen, F.lit(1), room)
     if stop_id is not None:
         at = F.array_position(gen, F.lit(stop_id).cast("bigint"))
         gen = F.when(at > 0, F.slice(gen, F.lit(1), at.cast("int"))).otherwise(gen)
-    return j.withColumn("gen", F.coalesce(gen, F.array().cast("array<bigint>"))).drop("start_id")
+    return F.coalesce(gen, F.array().cast("array<bigint>"))
 
 
 def sequence_loglik(df: DataFrame, keys: tuple, ids: str, counts: DataFrame, vocab_size: int,
@@ -186,3 +194,108 @@ def score_orders(evaluated: DataFrame, train: DataFrame, order: int, vocab_size:
         p = (F.coalesce("cnt", F.lit(0)) + F.lit(prior) * F.col(f"p{k}")) / (F.col("tot") + F.lit(prior))
         out = out.withColumn(f"p{k + 1}", F.coalesce(p, F.col(f"p{k}"))).drop("w", "cnt", "tot", "_s")
     return out.drop("p0")
+
+
+# ---- generation over contexts of several ids ---------------------------------------------------------------------
+END = 0   # the pad id: what a text is counted to end with
+
+
+def ended(tokens: DataFrame, ids: str = "ids") -> DataFrame:
+    """Token rows with the end id appended, so that a model learns where texts end."""
+    return tokens.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(END).cast("bigint"))))
+
+
+def best_next_contexts(counts: DataFrame, order: int) -> DataFrame:
+    """(ctx, best_id) for every context of 0 to ``order - 1`` ids: most frequent continuation, ties -> lowest id.
+
+    ``counts``: (ctx, next_id, n) of ``context_counts``, which hold the longest contexts; the shorter ones are their
+    ends. Sums are made map-side first, and no context is a row more than once for each continuation.
+    """
+    suffixes = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(order - 1), F.size("ctx"))),
+                                     lambda k: F.slice("ctx", F.size("ctx") - k + 1, k)))
+    cnt = counts.select(suffixes.alias("c"), "next_id", "n").groupBy("c", "next_id").agg(F.sum("n").alias("n"))
+    return cnt.groupBy(F.col("c").alias("ctx")).agg(
+        F.min_by("next_id", F.struct(-F.col("n"), F.col("next_id"))).alias("best_id"))
+
+
+def _last_ids(ids: Column, n: int) -> Column:
+    return F.slice(ids, F.greatest(F.size(ids) - n + 1, F.lit(1)), n) if n else F.array().cast("array<bigint>")
+
+
+def _follow(frontier: DataFrame, best: DataFrame, order: int) -> DataFrame:
+    """(ctx, next_id, to): what the longest known end of each context predicts, and the context after it (null after END).
+
+    One join looks up all ends of a context; a model without any row predicts END.
+    """
+    ends = F.transform(F.sequence(F.lit(0), F.size("ctx")), lambda k: F.slice("ctx", F.size("ctx") - k + 1, k))
+    known = best.select(F.col("ctx").alias("_end"), "best_id")
+    found = (frontier.select("ctx", F.explode(ends).alias("_end")).join(known, "_end", "left")
+             .groupBy("ctx").agg(F.max_by("best_id", F.when(F.col("best_id").isNotNull(), F.size("_end"))).alias("w")))
+    w = F.coalesce("w", F.lit(END).cast("bigint"))
+    return found.select("ctx", w.alias("next_id"),
+                        F.when(w != END, _last_ids(F.concat("ctx", F.array(w)), order - 1)).alias("to"))
+
+
+def context_edges(starts: DataFrame, best: DataFrame, order: int, steps: int) -> DataFrame:
+    """(ctx, next_id, to) for every context that greedy generation meets within ``steps`` ids from ``starts`` (ctx).
+
+    The frontier holds contexts, not prompts: each one is looked up once, however many prompts reach it, and it is
+    finished when all its successors have been met (a chain that ends or runs into a known one). Every step's edges are
+    written to shared storage, so a lost executor costs one step.
+    """
+    frontier, parts = starts.select("ctx").filter("ctx IS NOT NULL").distinct(), []
+    for _ in range(max(steps, 1)):
+        edges = stored(_follow(frontier, best, order), "edges")
+        if edges.isEmpty():
+            break
+        parts.append(edges)
+        met = edges
+        for p in parts[:-1]:
+            met = met.unionByName(p)
+        frontier = edges.select(F.col("to").alias("ctx")).filter("ctx IS NOT NULL").distinct().join(met, "ctx", "left_anti")
+        if len(parts) % 8 == 0:      # few tables to read, whatever the number of steps
+            parts = [stored(met, "edges")]
+    out = parts[0] if parts else edges
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return stored(out, "edges")
+
+
+def context_chains(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """(ctx, gen): the greedy continuation of each of ``starts``, ``steps`` ids long or up to and with END.
+
+    By doubling over the contexts met: a chain of 2k ids is one of k and the chain of the context it leads to. The last
+    doubling is made for the starts alone.
+    """
+    chains, length = edges.select("ctx", F.array("next_id").alias("gen"), "to"), 1
+    wanted = starts.select("ctx").distinct()
+    while length < steps:
+        left = chains if 2 * length < steps else chains.join(wanted, "ctx", "left_semi")
+        more = chains.select(F.col("ctx").alias("_c"), F.col("gen").alias("_g"), F.col("to").alias("_t"))
+        chains = stored(left.join(more, F.col("to") == F.col("_c"), "left").select(
+            "ctx", F.when(F.col("_c").isNull(), F.col("gen")).otherwise(F.concat("gen", "_g")).alias("gen"),
+            F.col("_t").alias("to")), "chains")
+        length *= 2
+    return chains.join(wanted, "ctx", "left_semi").select("ctx", F.slice("gen", 1, max(steps, 1)).alias("gen"))
+
+
+def generate_contexts(prompts: DataFrame, ids: str, counts: DataFrame, order: int, total_length: int,
+                      stop: bool = True) -> DataFrame:
+    """Adds ``gen``: the greedy continuation by a model of ``order`` (longest known context decides), up to
+    ``total_length`` ids with the prompt, or up to and with END; without ``stop`` END is repeated to the full length.
+
+    ``counts``: ``context_counts`` of ``ended`` tokens, of at least that order. A prompt of that length or more, an
+    empty or a null one gets no ids.
+    """
+    best = stored(best_next_contexts(counts, order), "best")
+    ctx = F.when((F.size(ids) > 0) & (F.size(ids) < total_length), _last_ids(F.col(ids), order - 1))
+    p = prompts.withColumn("_ctx", ctx)
+    starts = stored(p.select(F.col("_ctx").alias("ctx")).filter("ctx IS NOT NULL").distinct(), "starts")
+    edges = context_edges(starts, best, order, total_length)
+    chains = context_chains(edges, starts, total_length)
+    j = p.join(chains.select(F.col("ctx").alias("_ctx"), "gen"), "_ctx", "left").drop("_ctx")
+    room = _room(ids, total_length)
+    gen = _cut(F.col("gen"), room, END if stop else None)
+    if not stop:
+        gen = F.when(F.col("gen").isNotNull(), F.concat(gen, F.array_repeat(F.lit(END).cast("bigint"), room - F.size(gen)))).otherwise(gen)
+    return j.withColumn("gen", gen)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lexiforge.operators import encode, ngram
 from lexiforge.plans.example_queries import sql_with
 from lexiforge.plans.model_queries import SQL_MODEL, Model
-from lexiforge.plans.params import NGRAM_ALPHA
+from lexiforge.plans.params import GENERATION_ORDER, NGRAM_ALPHA
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
+from lexiforge.plans.token_queries import byte_tokens, byte_vocab
+from lexiforge.session import stored
 
 GENERATION_LENGTH = 400   # ids of a prompt and its continuation together
 TASK = "benchmark"
@@ -69,6 +71,52 @@ def generate_fixed(spark, sf_dir):
     return _generate(spark, sf_dir, stop=False)
 
 
+def _generate_contexts(spark, sf_dir, stop):
+    lut, vocab_hex, _ = byte_vocab(spark, sf_dir)
+    train = byte_tokens(spark, sf_dir, lut).filter("split = 'train'")
+    counts = stored(ngram.context_counts(ngram.ended(train), GENERATION_ORDER, by=()), "contexts")
+    g = ngram.generate_contexts(prompts(spark, sf_dir, lut), "ids", counts, GENERATION_ORDER, GENERATION_LENGTH, stop)
+    return encode.decode_corpus(g.select("item_id", "gen"), vocab_hex, ids="gen", out="gen_text").select(
+        "item_id", F.size("gen").alias("n_generated"), F.array_join("gen", ",").alias("gen_csv"), "gen_text")
+
+
+def _sql_generated_contexts(stop: bool) -> str:
+    """WITH-list up to generated(item_id, gen) and vhex(vh): contexts of two ids, of one, of none; q<j> is the id j places before w."""
+    stop_cond = "AND NOT c.stopped" if stop else ""
+    best = ", ".join(
+        f"b{k} AS MATERIALIZED (SELECT {''.join(f'q{j}, ' for j in range(1, k + 1))}arg_min(w, (-n, w)) AS w FROM (SELECT "
+        f"{''.join(f'q{j}, ' for j in range(1, k + 1))}w, sum(n) AS n FROM g {f'WHERE q{k} IS NOT NULL' if k else ''} GROUP BY ALL) GROUP BY ALL)"
+        for k in range(GENERATION_ORDER))
+    pick = "CASE WHEN c.stopped THEN 0 ELSE coalesce(b2.w, b1.w, (SELECT w FROM b0), 0) END"
+    return f"""{sql_with()},
+vhex AS (SELECT list(h ORDER BY id) AS vh FROM (SELECT 0 AS id, hex(encode('<pad>')) AS h UNION ALL SELECT 1, hex(encode('<bos>'))
+         UNION ALL SELECT 2, hex(encode('<unk>')) UNION ALL SELECT id, lpad(hex(b), 2, '0') FROM alpha)),
+g AS MATERIALIZED (SELECT q1, q2, w, count(*) AS n FROM (SELECT unnest(list_concat(ids[2:], [0::BIGINT])) AS w, unnest(ids) AS q1,
+     unnest(list_concat([NULL::BIGINT], ids[:-2])) AS q2 FROM toks WHERE split = 'train') GROUP BY ALL),
+{best},
+prm AS MATERIALIZED (SELECT item_id, list_concat([1::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(m[('0x' || x)::INTEGER + 1] AS BIGINT))) AS ids FROM benchmark, alpha_map),
+chain AS (SELECT * FROM (WITH RECURSIVE ch(item_id, room, k, q1, q2, gen, stopped) AS (
+    SELECT item_id, greatest({GENERATION_LENGTH} - len(ids), 0), 0, ids[len(ids)], CASE WHEN len(ids) > 1 THEN ids[len(ids) - 1] END, []::BIGINT[], false FROM prm
+    UNION ALL
+    SELECT c.item_id, c.room, c.k + 1, {pick}, c.q1, list_append(c.gen, {pick}), {pick} = 0
+    FROM ch c LEFT JOIN b2 ON b2.q1 = c.q1 AND b2.q2 = c.q2 LEFT JOIN b1 ON b1.q1 = c.q1 WHERE c.k < c.room {stop_cond})
+  SELECT * FROM ch)),
+generated AS (SELECT item_id, arg_max(gen, k) AS gen FROM chain GROUP BY item_id)"""
+
+
+@register("greedy_generate_contexts", sql=f"{_sql_generated_contexts(True)} {_SQL_GEN}")
+def greedy_generate_contexts(spark, sf_dir):
+    """Greedy continuation of every benchmark text by a model of order GENERATION_ORDER, until it predicts the end of
+    the text or GENERATION_LENGTH ids."""
+    return _generate_contexts(spark, sf_dir, stop=True)
+
+
+@register("generate_fixed_contexts", sql=f"{_sql_generated_contexts(False)} {_SQL_GEN}")
+def generate_fixed_contexts(spark, sf_dir):
+    """The same to GENERATION_LENGTH ids, with <pad> after the end."""
+    return _generate_contexts(spark, sf_dir, stop=False)
+
+
 def choices(spark, sf_dir, lut):
     """(item_id, choice_id, ids): 0 = the text (gold), 1 = its blank-separated words reversed."""
     b = table(spark, sf_dir, "benchmark")

@@ -15,6 +15,7 @@ NUM_WORKERS = 2         # loader workers per process
 BATCH_SIZE = 8
 NGRAM_ALPHA = 0.1       # additive smoothing
 MAX_ORDER = 4           # ids that the longest context model looks at, the predicted one included
+GENERATION_ORDER = 3    # the same, for generation over contexts
 ORDER_PRIOR = 5.0       # weight of the next lower order, in counts
 VOCAB_SIZE = 1000       # ids of the learned tokenizer (specials, bytes and merges)
 # ---------------------------------------------------------------------------

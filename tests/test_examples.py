@@ -1,7 +1,10 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.operators import examples
+from lexiforge.operators import examples, ngram
 from lexiforge.operators.ordering import ordered_index
 
 
@@ -47,7 +50,6 @@ def test_ordered_index_is_skew_safe_and_exact(spark):
 
 
 def test_windows_hold_every_id(spark):
-    from lexiforge.operators import ngram
     lists = {1: [1], 2: [1, 5, 6], 3: [1, 5, 6, 7], 4: list(range(1, 11)), 5: []}
     df = spark.createDataFrame([(k, "a", v) for k, v in lists.items()], "doc_id long, split string, ids array<bigint>")
     rows = sorted(tuple(r) for r in ngram.window_positions(df, ("doc_id",), 4).collect())
@@ -63,7 +65,6 @@ def test_windows_hold_every_id(spark):
 
 
 def test_chains_by_doubling_and_total_length(spark):
-    from lexiforge.operators import ngram
     best = spark.createDataFrame([(0, 0), (1, 2), (2, 3), (3, 1), (4, 0)], "prev_id long, best_id long")
     chains = ngram.greedy_chains(best, 5)
     p = spark.createDataFrame([(1, [9, 1]), (2, [4]), (3, [1] * 7), (4, [8])], "k long, ids array<bigint>")
@@ -82,3 +83,43 @@ def test_ordered_index_takes_null_and_nan_keys(spark):
         got = ordered_index(df, ["k"], ["o"], "idx", n_parts=7)
         want = df.withColumn("idx2", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
         assert got.join(want.drop("k"), "o").filter("idx = idx2").count() == 300, kind
+
+
+def test_generation_over_contexts(spark):
+    """Orders 1 to 4 against a plain loop; prompts empty, null, unseen, too long and one hot prompt many times."""
+    rnd = random.Random(5)
+    texts = [[1] + [rnd.choice([3, 4, 4, 5, 6]) for _ in range(rnd.randint(0, 30))] for _ in range(25)]
+    tokens = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, ids array<long>")
+    asked = [[1], [1, 9, 9], [1, 3, 4], [9], [1, 4, 4, 5, 6], [], None, [3] * 20, [4] * 12] + [[1, 5]] * 30
+    prompts = spark.createDataFrame([(i, p) for i, p in enumerate(asked)], "item_id long, ids array<long>")
+    for order in (1, 2, 3, 4):
+        grams = {}
+        for t in texts:
+            t = t + [0]
+            for i in range(1, len(t)):
+                for k in range(order):
+                    if k <= i:
+                        grams.setdefault(tuple(t[i - k:i]), Counter())[t[i]] += 1
+        counts = ngram.context_counts(ngram.ended(tokens), order, by=())
+        for stop in (True, False):
+            got = {r["item_id"]: r["gen"] for r in ngram.generate_contexts(prompts, "ids", counts, order, 20, stop).collect()}
+            for i, p in enumerate(asked):
+                want, seq = [], list(p or [])
+                while p and len(p) + len(want) < 20:
+                    if want and want[-1] == 0:
+                        if stop:
+                            break
+                        w = 0
+                    else:
+                        known = next(c for k in range(order - 1, -1, -1) if k <= len(seq) and (c := tuple(seq[len(seq) - k:])) in grams)
+                        w = min(grams[known], key=lambda x: (-grams[known][x], x))
+                    want.append(w)
+                    seq.append(w)
+                assert got[i] == want, (order, stop, p)
+
+
+def test_generation_without_a_model(spark):
+    none = spark.createDataFrame([], "ctx array<long>, next_id long, n long")
+    prompts = spark.createDataFrame([(1, [1, 2])], "item_id long, ids array<long>")
+    assert ngram.generate_contexts(prompts, "ids", none, 3, 5).first()["gen"] == [0]
+    assert ngram.generate_contexts(prompts.limit(0), "ids", none, 3, 5).count() == 0
