@@ -1,8 +1,8 @@
 """Top-k search, url reputation, license scan, quality ranking, fingerprints."""
+import hashlib
 import math
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -243,14 +243,71 @@ def test_trees_locate_edits_and_survive_writing():
     rng = random.Random(9)
     lines = [passage(rng, 30) for _ in range(60)]
     a = merkle.merkle_tree("\n".join(lines))
-    lines[17] = lines[17].replace(" ", " new ", 1)
-    b = merkle.merkle_tree("\n".join(lines))
-    x, y = merkle.differing(a, b)
-    assert x and y and len(x) <= 6 and len(y) <= 6 and 0.95 < merkle.likeness(a, b) < 1
-    assert merkle.Tree.parse(str(a)) == a and merkle.Tree.parse(str(merkle.merkle_tree(""))).root == merkle.merkle_tree("").root
+    changed = [*lines[:17], lines[17].replace(" ", " new ", 1), *lines[18:]]
+    b = merkle.merkle_tree("\n".join(changed))
+    found = merkle.compare(a, b)
+    assert {x[0] for x in found.left} == {x[0] for x in found.right} == {17} and 0.9 < merkle.likeness(a, b) < 1
+    # both roots, the section that holds the line and the line itself, on each side (a changed line may move a border)
+    assert found.opened <= 10 < len(a.sections) + len(lines)
+    assert merkle.compare(a, a) == merkle.Comparison([], [], 0)
+    moved = merkle.compare(a, merkle.merkle_tree("\n".join([lines[0], "new line", *lines[1:]])))
+    assert moved.left == [] and {x[0] for x in moved.right} == {1} and moved.opened <= 8
+    for t in (a, b, merkle.merkle_tree("")):
+        assert merkle.Tree.parse(str(t)) == t
     assert merkle.likeness(merkle.merkle_tree(""), merkle.merkle_tree("")) == 1.0
     assert merkle.likeness(merkle.merkle_tree(""), a) == 0.0 and a.root != merkle.merkle_tree("\n".join(lines) + "\n").root
-    assert zlib.crc32(str(a).encode()) == zlib.crc32(str(merkle.merkle_tree("\n".join([*lines[:17], lines[17].replace(" new ", " ", 1), *lines[18:]]))).encode())
+    prose = "\n".join(passage(rng, 60) for _ in range(80))
+    assert len(str(merkle.merkle_tree(prose))) < 0.1 * len(prose.encode())
+
+
+def test_trees_against_plain_hashing():
+    """Node hashes by a plain recursion, likeness by the leaves of both texts alone, without any tree."""
+    from base64 import b64encode
+    from collections import Counter
+
+    def plain(text):
+        data, leaves, groups, group = text.encode("utf-8", "surrogatepass"), Counter(), [], []
+        for number, line in enumerate(data.split(b"\n") if data else []):
+            parts, rest = [], line
+            while rest:  # up to so many words or marks, each with what ends it
+                cut = count = 0
+                size = [2, 3, 4, 6, 8][len(parts)] if number == 0 and len(parts) < 5 else 14
+                while cut < len(rest) and count < size:
+                    end = next((k for k in range(cut, len(rest)) if rest[k:k + 1] in b" ,.;:!?"), None)
+                    if end is None:
+                        cut = cut or len(rest)
+                        break
+                    cut, count = end + 1, count + 1
+                parts.append(rest[:cut])
+                rest = rest[cut:]
+            leaves.update(parts)
+            hashes = [hashlib.blake2b(b"l" + x, digest_size=16).digest() for x in parts]
+            group.append((hashlib.blake2b(b"p" + b"".join(hashes), digest_size=16).digest(), hashes))
+            if group[-1][0][0] % 8 == 0:
+                groups, group = [*groups, group], []
+        groups += [group] if group else []
+        tops = [hashlib.blake2b(b"s" + b"".join(h for h, _ in g), digest_size=16).digest() for g in groups]
+        written = hashlib.blake2b(b"r" + b"".join(tops), digest_size=16).hexdigest()
+        for top, g in zip(tops, groups):
+            written += ";" + b64encode(top[:6]).decode()
+            for h, below in g:
+                written += "," + b64encode(b"".join(x[:3] for x in [h, *below])).decode()
+        return written, leaves
+
+    rng = random.Random(10)
+    texts = [r[1] or "" for r in edge_rows()] + ["", "\n", "\n\n", "a", "a,", "\ud800 x"]
+    texts += ["\n".join(passage(rng, rng.randint(0, 40)) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts += [merkle.edited(t, texts[k - 1]) for k, t in enumerate(texts)]
+    trees = [merkle.merkle_tree(t) for t in texts]
+    for k, (t, tree) in enumerate(zip(texts, trees)):
+        written, leaves = plain(t)
+        assert str(tree) == written and tree.n == leaves.total()
+        for j in {k - 1, (k + len(texts) // 2) % len(texts), rng.randrange(len(texts))}:
+            other = plain(texts[j])[1]
+            n = leaves.total() + other.total()
+            want = 1.0 if t == texts[j] else 2 * (leaves & other).total() / n if n else 0.0
+            assert abs(merkle.likeness(tree, trees[j]) - want) < 1e-12
+            assert (tree.root == trees[j].root) == (t == texts[j])
 
 
 def test_fingerprints_of_all_rows(spark):
