@@ -152,15 +152,16 @@ def get_scorer(name: str, **kw):
 
 
 # ---- orders above two: contexts of several ids -------------------------------------------------------------------
-def context_counts(tokens: DataFrame, order: int, ids: str = "ids", by: tuple = ("split",)) -> DataFrame:
+def context_counts(tokens: DataFrame, order: int, ids: str = "ids", by: tuple = ("split",), first: str | None = None) -> DataFrame:
     """(by..., ctx, next_id, n): how often an id follows its last ``order - 1`` ids (fewer at the start of a row).
 
-    The first id of a row is context only. Partial sums before the shuffle: rows grow with distinct contexts.
+    What stands before the second id of a row, or before the place in column ``first``, is context only. Partial sums before the shuffle: rows grow with distinct contexts.
     """
-    grams = F.transform(F.sequence(F.lit(2), F.size(ids)), lambda i: F.struct(
+    start = F.col(first) if first else F.lit(2)
+    grams = F.transform(F.sequence(start, F.size(ids)), lambda i: F.struct(
         F.slice(F.col(ids), F.greatest(F.lit(1), i - (order - 1)), F.least(F.lit(order - 1), i - 1)).alias("ctx"),
         F.element_at(F.col(ids), i).alias("next_id")))
-    rows = tokens.filter(F.size(ids) > 1).select(*by, F.explode(grams).alias("g"))
+    rows = tokens.filter(F.size(ids) >= start).select(*by, F.explode(grams).alias("g"))
     return rows.groupBy(*by, "g.ctx", "g.next_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -196,6 +197,19 @@ def score_orders(evaluated: DataFrame, train: DataFrame, order: int, vocab_size:
     return out.drop("p0")
 
 
+def continuation_loglik(rows: DataFrame, keys: tuple, context: str, ids: str, train: DataFrame, order: int,
+                        vocab_size: int, prior: float) -> DataFrame:
+    """(keys..., loglik): ln p of the ids of ``ids`` after those of ``context``, by ``score_orders``; 0 for no ids.
+
+    ``context`` needs at least one id (``<bos>``); of its ids the model sees the last ``order - 1``.
+    """
+    tail = _last_ids(F.col(context), max(order - 1, 1))
+    seq = rows.select(*keys, F.concat(tail, ids).alias("ids"), (F.size(tail) + 1).alias("first"))
+    scored = score_orders(context_counts(seq, order, by=keys, first="first"), train, order, vocab_size, prior)
+    sums = scored.groupBy(*keys).agg(F.sum(F.col("n") * F.log(f"p{order}")).alias("loglik"))
+    return rows.select(*keys).join(sums, list(keys), "left").withColumn("loglik", F.coalesce("loglik", F.lit(0.0)))
+
+
 # ---- generation over contexts of several ids ---------------------------------------------------------------------
 END = 0   # the pad id: what a text is counted to end with
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiforge.operators import encode, ngram
+from lexiforge.operators import encode, fewshot, ngram
 from lexiforge.plans.example_queries import sql_with
-from lexiforge.plans.model_queries import SQL_MODEL, Model
-from lexiforge.plans.params import GENERATION_ORDER, NGRAM_ALPHA
+from lexiforge.plans.model_queries import SQL_MODEL, Model, sql_orders
+from lexiforge.plans.params import CONTEXT_BUDGET, GENERATION_ORDER, MAX_ORDER, NGRAM_ALPHA, ORDER_PRIOR, SEED, SHOTS
 from lexiforge.plans.registry import register, table
 from lexiforge.plans.routing_queries import r6
 from lexiforge.plans.token_queries import byte_tokens, byte_vocab
@@ -160,3 +160,68 @@ def choice_accuracy(spark, sf_dir):
     return pick.agg(F.count(F.lit(1)).alias("n_items"),
                     r6(F.avg(F.when(F.col("chosen") == 0, 1.0).otherwise(0.0))).alias("accuracy")).select(
         F.lit(TASK).alias("task"), "n_items", "accuracy")
+
+
+def task_items(spark, sf_dir):
+    """(task, item_id, prompt, answer, other): ``order`` tells a text from its words reversed, ``ending`` a text's second
+    half, after the first as prompt, from its words reversed."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    join = lambda w: F.array_join(w, " ")
+    end = F.slice(words, half + 1, F.size(words))
+    forms = F.array(
+        F.struct(F.lit("order").alias("task"), F.lit("").alias("prompt"), join(words).alias("answer"), join(F.reverse(words)).alias("other")),
+        F.struct(F.lit("ending").alias("task"), F.concat(join(F.slice(words, F.lit(1), half)), F.lit(" ")).alias("prompt"),
+                 join(end).alias("answer"), join(F.reverse(end)).alias("other")))
+    return b.select("item_id", F.explode(forms).alias("f")).select("f.task", "item_id", "f.prompt", "f.answer", "f.other")
+
+
+def _sql_few_shot() -> str:
+    ids = lambda t: f"list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: CAST(m[('0x' || x)::INTEGER + 1] AS BIGINT))"
+    back = range(1, MAX_ORDER)
+    shifted = ", ".join(f"CASE WHEN i > {j} THEN seq[i - {j}] END AS q{j}" for j in back)
+    forms = " UNION ALL ".join(
+        f"SELECT task, item_id, {n} AS n_shots, coalesce((SELECT string_agg(b.shot, '' ORDER BY (b.idx - a.idx + a.size) % a.size) FROM ring b "
+        f"WHERE b.task = a.task AND (b.idx - a.idx + a.size) % a.size BETWEEN 1 AND {n}), '') AS context, prompt, answer, other FROM ring a" for n in SHOTS)
+    evaluated = (f"SELECT task, item_id, n_shots, choice_id, seq[i] AS w, {shifted}, 1 AS n, 1.0 / vocab_size AS p0 "
+                 f"FROM (SELECT *, unnest(range(len(seq) - len(ids) + 1, len(seq) + 1)) AS i FROM options), alpha_map")
+    return f"""{sql_with()},
+words AS (SELECT item_id, string_split(coalesce(text, ''), ' ') AS ws, len(string_split(coalesce(text, ''), ' ')) // 2 AS half FROM benchmark),
+items AS (SELECT 'order' AS task, item_id, '' AS prompt, array_to_string(ws, ' ') AS answer, array_to_string(list_reverse(ws), ' ') AS other FROM words
+  UNION ALL SELECT 'ending', item_id, array_to_string(ws[:half], ' ') || ' ', array_to_string(ws[half + 1:], ' '), array_to_string(list_reverse(ws[half + 1:]), ' ') FROM words),
+ring AS MATERIALIZED (SELECT *, prompt || answer || chr(10) AS shot, count(*) OVER (PARTITION BY task) AS size,
+  row_number() OVER (PARTITION BY task ORDER BY md5('{SEED}:' || task || ':' || item_id), item_id) - 1 AS idx FROM items),
+asked AS MATERIALIZED ({forms}),
+options AS MATERIALIZED (SELECT task, item_id, n_shots, choice_id, ids, list_concat(before[-{max(MAX_ORDER - 1, 1)}:], ids) AS seq FROM (
+  SELECT task, item_id, n_shots, unnest([0, 1])::INTEGER AS choice_id, list_concat([1::BIGINT], {ids("context || prompt")})[-{CONTEXT_BUDGET}:] AS before,
+         unnest([{ids("answer")}, {ids("other")}]) AS ids FROM asked, alpha_map)),
+{sql_orders(evaluated)},
+sc AS (SELECT o.task, o.item_id, o.n_shots, o.choice_id, coalesce(sum(ln(p{MAX_ORDER})), 0.0) AS loglik
+       FROM options o LEFT JOIN s{MAX_ORDER} s USING (task, item_id, n_shots, choice_id) GROUP BY ALL),
+pick AS (SELECT task, n_shots, item_id, arg_max(choice_id, (loglik, -choice_id)) AS chosen, max(CASE WHEN choice_id = 0 THEN loglik END) AS gold FROM sc GROUP BY ALL)
+SELECT task, n_shots, count(*) AS n_items, round(avg(CASE WHEN chosen = 0 THEN 1.0 ELSE 0.0 END) + 3.1e-10, 6) AS accuracy,
+       round(avg(gold), 4) AS mean_loglik FROM pick GROUP BY task, n_shots"""
+
+
+@register("few_shot_accuracy", sql=_sql_few_shot())
+def few_shot_accuracy(spark, sf_dir):
+    """Accuracy and log-likelihood of the right answer by task and number of shots, by the model of order MAX_ORDER."""
+    lut, _, vocab_size = byte_vocab(spark, sf_dir)
+    items = stored(task_items(spark, sf_dir), "items")
+    train = stored(ngram.context_counts(byte_tokens(spark, sf_dir, lut).filter("split = 'train'"), MAX_ORDER, by=()), "contexts")
+    rows = None
+    for n in SHOTS:
+        given = items.join(fewshot.few_shot_contexts(items, n, SEED), ["task", "item_id"]).withColumn("n_shots", F.lit(n))
+        rows = given if rows is None else rows.unionByName(given)
+    before = encode.byte_level_ids(F.concat("context", "prompt"), lut, last=CONTEXT_BUDGET)
+    rows = rows.select("task", "item_id", "n_shots", before.alias("before"), F.posexplode(F.array("answer", "other")).alias("choice_id", "choice"))
+    rows = rows.withColumn("ids", encode.byte_level_ids(F.col("choice"), lut, add_bos=False)).drop("choice")
+    keys = ("task", "item_id", "n_shots", "choice_id")
+    s = ngram.continuation_loglik(stored(rows, "options"), keys, "before", "ids", train, MAX_ORDER, vocab_size, ORDER_PRIOR)
+    pick = s.groupBy("task", "n_shots", "item_id").agg(
+        F.max_by("choice_id", F.struct(F.col("loglik"), -F.col("choice_id"))).alias("chosen"),
+        F.max(F.when(F.col("choice_id") == 0, F.col("loglik"))).alias("gold"))
+    return pick.groupBy("task", "n_shots").agg(
+        F.count(F.lit(1)).alias("n_items"), r6(F.avg(F.when(F.col("chosen") == 0, 1.0).otherwise(0.0))).alias("accuracy"),
+        F.round(F.avg("gold"), 4).alias("mean_loglik"))

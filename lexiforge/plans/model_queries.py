@@ -139,13 +139,16 @@ def guess_baseline(spark, sf_dir):
                              F.round(F.col("loss") / F.lit(g), 6).alias("loss_ratio"))
 
 
-def _sql_orders() -> str:
-    """Every level joins its counts and totals to the aggregated contexts; q<j> is the id j places before w, s<k> holds p0 ... p<k>."""
+SQL_HELD_OUT = "SELECT g.*, 1.0 / vocab_size AS p0 FROM g, alpha_map WHERE split IN ('validation', 'test')"
+
+
+def sql_orders(evaluated: str = SQL_HELD_OUT) -> str:
+    """CTEs g (counts of contexts) to s<MAX_ORDER>: ``evaluated`` (w, q<j>, p0, ...) with p1 ... p<MAX_ORDER>. Every level joins its counts and totals to the aggregated contexts; q<j> is the id j places before w, s<k> holds p0 ... p<k>."""
     back = range(1, MAX_ORDER)
     shifted = ", ".join(f"unnest(list_concat([{', '.join(['NULL::BIGINT'] * (j - 1))}], ids[:-{j + 1}])) AS q{j}" for j in back)
     out = [f"g AS MATERIALIZED (SELECT split, {', '.join(f'q{j}' for j in back)}, w, count(*) AS n FROM "
            f"(SELECT split, unnest(ids[2:]) AS w, {shifted} FROM toks) WHERE w IS NOT NULL GROUP BY ALL)",
-           "s0 AS (SELECT g.*, 1.0 / vocab_size AS p0 FROM g, alpha_map WHERE split IN ('validation', 'test'))"]
+           f"s0 AS ({evaluated})"]
     for k in range(MAX_ORDER):
         cols = ", ".join(f"q{j}" for j in range(1, k + 1))
         known = f"AND q{k} IS NOT NULL" if k else ""
@@ -157,7 +160,7 @@ def _sql_orders() -> str:
     return ", ".join(out)
 
 
-@register("ngram_orders", sql=f"""WITH {sql_token_ctes()}, {_sql_orders()}
+@register("ngram_orders", sql=f"""WITH {sql_token_ctes()}, {sql_orders()}
 SELECT split, n_order, CAST(sum(n) AS BIGINT) AS n_positions, round(sum(-ln(p) * n) / sum(n), 6) AS mean_loss,
        round(exp(sum(-ln(p) * n) / sum(n)), 6) AS perplexity
 FROM (SELECT split, n, unnest(range(1, {MAX_ORDER + 1}))::INTEGER AS n_order, unnest([{', '.join(f'p{k + 1}' for k in range(MAX_ORDER))}]) AS p

@@ -17,6 +17,8 @@ NGRAM_ALPHA = 0.1       # additive smoothing
 MAX_ORDER = 4           # ids that the longest context model looks at, the predicted one included
 GENERATION_ORDER = 3    # the same, for generation over contexts
 ORDER_PRIOR = 5.0       # weight of the next lower order, in counts
+SHOTS = (0, 3)          # solved examples before a multiple-choice item
+CONTEXT_BUDGET = 512    # ids of an item's context, the last ones
 VOCAB_SIZE = 1000       # ids of the learned tokenizer (specials, bytes and merges)
 # ---------------------------------------------------------------------------
 

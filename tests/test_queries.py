@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 QUICK = ["filter_blank", "split_report", "pretokenize", "bpe_alphabet", "causal_pairs", "shard_lengths",
-         "mean_loss", "ngram_orders", "tail_context", "padded_pairs", "decayed_sum_multi", "decayed_sum_chunked", "early_stop", "route_top1", "segment_dilate", "choice_accuracy",
+         "mean_loss", "ngram_orders", "few_shot_accuracy", "greedy_generate_contexts", "tail_context", "padded_pairs", "decayed_sum_multi", "decayed_sum_chunked", "early_stop", "route_top1", "segment_dilate", "choice_accuracy",
          "stream_decayed_sum", "bpe_merge_once", "detokenize", "perplexity", "generation_log", "route_report",
          "route_top2_eval", "write_splits", "dataset_length", "stage_rows", "log_bucket", "segment_densify", "lse_merge"]
 KEYS = sorted(E.oracle_sql()) if os.environ.get("LEXIFORGE_FULL") else QUICK
