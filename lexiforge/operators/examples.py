@@ -57,10 +57,15 @@ def with_shards(df: DataFrame, order: str | list, world_size: int, num_workers:
     shard = idx mod (world x workers); rank = shard div workers;
     worker = shard mod workers; idx_in_shard = idx div total; batch_id.
     """
-    total = world_size * num_workers
     out = ordered_index(df, list(by), [order] if isinstance(order, str) else order, "row_idx")
+    return shard_columns(out, world_size, num_workers, batch_size)
+
+
+def shard_columns(df: DataFrame, world_size: int, num_workers: int, batch_size: int | None = None) -> DataFrame:
+    """The shard of each ``row_idx``: rank, worker, idx_in_shard and, with a batch size, batch_id."""
+    total = world_size * num_workers
     shard = F.pmod(F.col("row_idx"), F.lit(total))
-    out = (out.withColumn("rank", (shard / num_workers).cast("int"))
+    out = (df.withColumn("rank", (shard / num_workers).cast("int"))
            .withColumn("worker", F.pmod(shard, F.lit(num_workers)).cast("int"))
            .withColumn("idx_in_shard", F.floor(F.col("row_idx") / total)))
     if batch_size:

@@ -130,3 +130,20 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if keys == [_CONST]:
         res = res.drop(_CONST)
     return res
+
+
+def file_order_index(df: DataFrame, out: str = "idx", max_broadcast: int = 100_000) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in the order of the files it is stored in (by path, then place).
+
+    ``df`` is a Parquet table as read. A row's place in its file comes from the hidden metadata column, so no row is
+    moved or sorted: only the row count of each file is aggregated. The offsets have one row for each file, as the
+    driver's file listing does; up to ``max_broadcast`` files they are broadcast, beyond that they are joined by path.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    per_file = df.groupBy(F.col("_metadata.file_path").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)   # a row a file
+    offsets = per_file.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if len(df.inputFiles()) <= max_broadcast:
+        offsets = F.broadcast(offsets)
+    return (placed.join(offsets, F.col("_file") == F.col("_of"))
+            .withColumn(out, F.col("_off") + F.col("_place")).drop("_file", "_place", "_of", "_off"))

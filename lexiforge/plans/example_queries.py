@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.operators import examples
+from lexiforge.operators.ordering import file_order_index
 from lexiforge.plans.corpus_queries import split_docs
 from lexiforge.plans.params import BATCH_SIZE, NUM_WORKERS, SEQ_LEN, WORLD_SIZE, sql_token_ctes
 from lexiforge.plans.registry import register, table
@@ -146,3 +147,29 @@ def token_lookup(spark, sf_dir):
     found = examples.embedding_lookup(x, "x_id", emb, "embedding")
     norm = F.sqrt(asum(F.transform("vector", lambda v: v.cast("double") * v)))
     return found.select("doc_id", "pos", "x_id", F.round(F.coalesce(norm, F.lit(0.0)) + 3.1e-10, 6).alias("vec_norm"))
+
+
+SHARD = (1, 0)   # rank and worker whose rows ``shard_store`` reads
+_SQL_FILE_ORDER = (f"f AS (SELECT doc_id, text, row_number() OVER () - 1 AS row_idx FROM documents), "
+                   f"fs AS (SELECT *, CAST((row_idx % {TOTAL}) // {NUM_WORKERS} AS INTEGER) AS rank, CAST(row_idx % {NUM_WORKERS} AS INTEGER) AS worker, "
+                   f"row_idx // {TOTAL} AS idx_in_shard, (row_idx // {TOTAL}) // {BATCH_SIZE} AS batch_id FROM f)")
+
+
+def file_shards(spark, sf_dir, *columns):
+    """Documents as they are stored: (columns..., row_idx, rank, worker, idx_in_shard, batch_id)."""
+    rows = file_order_index(table(spark, sf_dir, "documents"), "row_idx").select(*columns, "row_idx")
+    return examples.shard_columns(rows, WORLD_SIZE, NUM_WORKERS, BATCH_SIZE)
+
+
+@register("file_order_rows", sql=f"WITH {_SQL_FILE_ORDER} SELECT doc_id, row_idx, rank, worker, idx_in_shard, batch_id FROM fs")
+def file_order_rows(spark, sf_dir):
+    """Row index, shard and batch of every document in the order of its file; no row is exchanged."""
+    return file_shards(spark, sf_dir, "doc_id")
+
+
+@register("shard_store", sql=f"""WITH {_SQL_FILE_ORDER}
+SELECT doc_id, idx_in_shard, batch_id, length(text) AS n_text FROM fs WHERE rank = {SHARD[0]} AND worker = {SHARD[1]}""")
+def shard_store(spark, sf_dir):
+    """Documents written by shard; the rows of one worker, read from its directory alone."""
+    path = io.write_shards(file_shards(spark, sf_dir, "doc_id", "text"), scratch_path(spark, "shards"))
+    return io.read_shard(spark, path, *SHARD).select("doc_id", "idx_in_shard", "batch_id", F.length("text").cast("long").alias("n_text"))

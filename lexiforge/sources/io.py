@@ -189,3 +189,21 @@ def config_table(spark: SparkSession, cfg: RunConfig, per_row: int = 4) -> DataF
     rows = [(i // per_row, i % per_row, c) for i, c in enumerate(cells)]
     df = spark.createDataFrame(rows, "row int, col int, cell string")
     return df.groupBy("row").pivot("col", list(range(per_row))).agg(F.first("cell"))
+
+
+# ---- shard store -------------------------------------------------------------------------------------------------
+def write_shards(df: DataFrame, path: str, n_parts: int | None = None) -> str:
+    """Rows with ``shard_columns`` as ``path/rank=.../worker=...``, each shard in a few files that follow its order.
+
+    Rows are cut into ranges of (rank, worker, idx_in_shard): a shard of any size is split over tasks, and a task
+    writes one or two directories only.
+    """
+    n = n_parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = ["rank", "worker", "idx_in_shard"]
+    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.partitionBy("rank", "worker").parquet(path)
+    return path
+
+
+def read_shard(spark: SparkSession, path: str, rank: int, worker: int) -> DataFrame:
+    """The rows of one loader worker; no other shard's directory is opened."""
+    return spark.read.parquet(path).filter((F.col("rank") == rank) & (F.col("worker") == worker))

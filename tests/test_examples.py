@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiforge.operators import examples, ngram
-from lexiforge.operators.ordering import ordered_index
+from lexiforge.operators.ordering import file_order_index, ordered_index
 
 
 def test_causal_pairs_seq_len_4(spark):
@@ -123,3 +123,43 @@ def test_generation_without_a_model(spark):
     prompts = spark.createDataFrame([(1, [1, 2])], "item_id long, ids array<long>")
     assert ngram.generate_contexts(prompts, "ids", none, 3, 5).first()["gen"] == [0]
     assert ngram.generate_contexts(prompts.limit(0), "ids", none, 3, 5).count() == 0
+
+
+def test_file_order_and_shard_store(spark, tmp_path):
+    """Index in file order against a two-pass count; a reader opens its shard only and keeps order and batches."""
+    import os
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from lexiforge.sources import io
+    rnd, want, root = random.Random(3), [], tmp_path / "t"
+    root.mkdir()
+    for k, n in enumerate([5, 0, 700, 1, 64]):
+        ids = [rnd.randint(0, 9) if rnd.random() < 0.9 else None for _ in range(n)]
+        pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "row_idx": pa.array(range(n), pa.int64())}),
+                       root / f"part-{k}.parquet", row_group_size=50)
+        want += ids
+    df = spark.read.parquet(str(root)).drop("row_idx")
+    for limit in (100, 0):   # broadcast offsets, and joined ones
+        got = file_order_index(df, "row_idx", max_broadcast=limit)
+        rows = sorted(((r["row_idx"], r["doc_id"]) for r in got.collect()), key=lambda r: r[0])
+        assert rows == list(enumerate(want))
+    plan = file_order_index(df, "row_idx")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    store = io.write_shards(examples.shard_columns(file_order_index(df, "row_idx"), 3, 2, 4), str(tmp_path / "s"), 7)
+    for rank in range(3):
+        for worker in range(2):
+            shard = io.read_shard(spark, store, rank, worker)
+            kept = want[rank * 2 + worker::6]
+            got = sorted((r["idx_in_shard"], r["doc_id"], r["batch_id"]) for r in shard.select(
+                "idx_in_shard", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "batch_id").collect())
+            assert got == [(k, -1 if d is None else d, k // 4) for k, d in enumerate(kept)]
+            read = shard.select("_metadata.file_path").distinct().collect()
+            assert all(f"rank={rank}/worker={worker}/" in r["file_path"] for r in read)
+            for f in read:   # inside a file rows follow the shard's order
+                name = os.path.join(store, f"rank={rank}", f"worker={worker}", os.path.basename(f["file_path"]))
+                at = pq.read_table(name, columns=["idx_in_shard"], partitioning=None)["idx_in_shard"].to_pylist()
+                assert at == sorted(at)
+            scan = shard._jdf.queryExecution().executedPlan().toString()
+            assert "(rank#" in scan and "PartitionFilters: [" in scan and "PartitionFilters: []" not in scan
+    empty = spark.read.parquet(str(root / "part-1.parquet"))
+    assert file_order_index(empty.drop("row_idx"), "row_idx").count() == 0
