@@ -8,8 +8,9 @@ from lexiforge.plans.example_queries import sql_with
 from lexiforge.plans.params import RATIOS, SEED, SEQ_LEN
 from lexiforge.plans.registry import register
 from lexiforge.plans.routing_queries import r6
-from lexiforge.plans.token_queries import byte_vocab
+from lexiforge.plans.token_queries import byte_vocab, saved_tokenizer
 from lexiforge.plans.window_queries import GAMMA, _decay_sql
+from lexiforge.sources import io
 from lexiforge.streaming import pipelines
 
 
@@ -22,6 +23,15 @@ def stream_causal_pairs(spark, sf_dir):
     return out.select("doc_id", "split", F.array_join("x", ",").alias("x_csv"), F.array_join("y", ",").alias("y_csv"))
 
 
+@register("stream_learned_pairs")
+def stream_learned_pairs(spark, sf_dir):
+    """File stream of documents through the saved tokenizer to padded pairs (Parquet sink, availableNow)."""
+    tok = io.load_tokenizer(spark, saved_tokenizer(spark, sf_dir))
+    docs = pipelines.file_stream(spark, sf_dir, "documents")
+    out = pipelines.run_to_table(pipelines.learned_pairs_stream(docs, tok, SEQ_LEN, RATIOS, SEED), "learned-pairs-stream")
+    return out.select("doc_id", "split", F.array_join("x", ",").alias("x_csv"), F.array_join("y", ",").alias("y_csv"), "n_real")
+
+
 @register("stream_decayed_sum", sql=_decay_sql(repr(GAMMA)))
 def stream_decayed_sum(spark, sf_dir):
     """Event stream with per-user carried state (decayed sum and position)."""

@@ -3,6 +3,9 @@
 * ``causal_pairs_stream``: file stream of documents -> blank filter -> split ->
   byte-level ids -> (x, y) pairs -> Parquet sink. Stateless, append mode; the
   result equals the batch operator.
+* ``learned_pairs_stream``: the same with a saved tokenizer: the narrow Arrow
+  encoder, then pairs padded to the row length. Stateless, so it goes on from
+  its checkpoint after a stop, without repeating or losing a file.
 * ``decayed_sum_stream``: per-key carried state (decayed sum, position, last
   event, rows that wait) with ``applyInPandasWithState``. All rows that a
   micro-batch has for a key are put in order together, however Spark chunks
@@ -26,6 +29,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lexiforge.operators import encode, examples, splits
 from lexiforge.session import scratch_path
+from lexiforge.sources.io import LoadedTokenizer
 
 
 def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -35,10 +39,13 @@ def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
             .option("maxFilesPerTrigger", 1).parquet(directory))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to completion (availableNow) into a Parquet table and read it."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", paths: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream to completion (availableNow) into a Parquet table and read it.
+
+    ``paths`` (table, checkpoint) of an earlier run go on where it stopped.
+    """
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
+    out, ckpt = paths or (scratch_path(spark, name), scratch_path(spark, name + "-ckpt"))
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -53,6 +60,16 @@ def causal_pairs_stream(spark: SparkSession, directory: str, byte_ids: list, seq
     return examples.causal_pairs(t, seq_len).select("doc_id", "split", "x", "y")
 
 
+def learned_pairs_stream(docs: DataFrame, tokenizer: LoadedTokenizer, seq_len: int, ratios, seed: int) -> DataFrame:
+    """(doc_id, split, x, y, n_real): pairs of learned ids of each document of a stream, padded to ``seq_len``.
+
+    Works on a batch table as well, with the same rows. Blank and null texts are dropped, as by the split.
+    """
+    s = splits.split_corpus(docs, ratios=ratios, seed=seed)
+    t = encode.encode_corpus(s, tokenizer.byte_ids, tokenizer.merges, keep=("doc_id", "split"))
+    return examples.padded_pairs(examples.causal_pairs(t, seq_len), seq_len).select("doc_id", "split", "x", "y", "n_real")
+
+
 def _decay_block(v: np.ndarray, gamma: float, carry: float) -> np.ndarray:
     """o_j = gamma^(j+1) carry + sum_{i<=j} gamma^(j-i) v_i, in blocks that cannot overflow."""
     out = np.empty(len(v))
