@@ -18,6 +18,8 @@ sets. Equal sets are one document of the join.
 Only components count, so pairs that are connected already need no comparison. The
 first ``SKETCH`` trees hand on of each node a spanning forest of its likeliest pairs,
 one fewer than its documents at most; confirmed, they connect most of every group.
+They end ``SKETCH_DEPTH`` levels below the top, where a node that is large is cut at random into blocks of a
+small node's size: every tree cuts anew, so the blocks of a group of copies overlap.
 Then all trees are gone through with what is connected known: a node of one
 component goes, and only pairs of different components are compared and handed on,
 each that may reach the threshold. So the forest saves work and decides nothing.
@@ -43,6 +45,7 @@ from lexiforge.llm.components import connected_components
 TOKENS = 256
 TOP = 3
 SKETCH = 8
+SKETCH_DEPTH = 1
 BLOCK = 16  # times ``limit``: documents of a block of a node that is large after all levels
 LOST = 1e-10
 MISS = 1e-7
@@ -256,6 +259,12 @@ def _children(batches, threshold: float) -> Iterator[pa.RecordBatch]:
                  pa.array(np.full(len(rows), DEEPER, np.int32))], ["node", *same, "tree"])
 
 
+def _blocks(large: DataFrame, limit: int) -> DataFrame:
+    """Nodes that are large, cut at random into blocks of about ``limit`` documents, each a node of its own."""
+    block = F.pmod(F.xxhash64("doc_id", "node"), F.ceil(F.col("size") / limit))
+    return large.withColumn("node", F.xxhash64("node", block))
+
+
 def _cells(large: DataFrame, block: int, n_parts: int) -> DataFrame:
     """Nodes that are large after all levels, as cells of two blocks of about ``block`` documents each or of one block.
 
@@ -271,7 +280,7 @@ def _cells(large: DataFrame, block: int, n_parts: int) -> DataFrame:
     return rows.select(*COLUMNS).repartition(n_parts, "node").sortWithinPartitions("node", "tree")
 
 
-def _cell_pairs(batches, percent: int, least: int, forest: bool) -> Iterator[pa.RecordBatch]:
+def _cell_pairs(batches, percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """The same of two blocks, or within one."""
     for r in _grouped(batches):
         node, second = r["node"], r["tree"] > 0
@@ -287,13 +296,13 @@ def _cell_pairs(batches, percent: int, least: int, forest: bool) -> Iterator[pa.
                 found.append(np.stack([np.full(len(j), k), j, equal]))
             if found:
                 i, j, equal = np.concatenate(found, axis=1)
-                yield from _batch([_pairs(r, i, j, equal, forest)])
+                yield from _batch([_pairs(r, i, j, equal, False)])
 
 
 def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, depth: int, trees: int | None = None) -> DataFrame:
     """``a < b``: pairs of different ``root`` that meet in a node of some tree and may reach the threshold.
 
-    With ``trees``: of the first so many trees, and of each node a spanning forest of them.
+    With ``trees``: of the first so many trees, as far as the sketch goes, and of each node a spanning forest of them.
     """
     threshold, forest = percent / 100, trees is not None
     least, n_parts = least_matches(threshold), partitions(reps.sparkSession)
@@ -313,7 +322,7 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
     signed = small.join(reps.select(F.col("doc_id").alias("r"), "n", "sig", "marks"), F.col("d") == F.col("r"))
     rows = keep(rows.join(signed, F.col("doc_id") == F.col("d")).select(*COLUMNS, "size"))
     found = [keep(compared(rows.filter(F.col("size") <= limit)))]
-    for _ in range(depth):
+    for _ in range(SKETCH_DEPTH if forest else depth):
         large = rows.filter(F.col("size") > limit)
         if large.isEmpty():
             break
@@ -322,8 +331,8 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
         found.append(keep(compared(rows.filter(F.col("size") <= limit))))
     large = rows.filter(F.col("size") > limit)
     if not large.isEmpty():
-        found.append(keep(_cells(large, BLOCK * limit, n_parts).mapInArrow(
-            lambda batches: _cell_pairs(batches, percent, least, forest), "a long, b long")))
+        found.append(keep(compared(_blocks(large, limit)) if forest else _cells(large, BLOCK * limit, n_parts).mapInArrow(
+            lambda batches: _cell_pairs(batches, percent, least), "a long, b long")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
