@@ -22,7 +22,8 @@ They end ``SKETCH_DEPTH`` levels below the top, where a node that is large is cu
 small node's size: every tree cuts anew, so the blocks of a group of copies overlap.
 Then all trees are gone through with what is connected known: a node of one
 component goes, and only pairs of different components are compared and handed on,
-each that may reach the threshold. So the forest saves work and decides nothing.
+each that may reach the threshold. A large node of one component and few documents
+besides does not branch: these meet every block of the component. So the forest saves work and decides nothing.
 Nodes of an earlier tree are told by 32 bits of their path, so a pair that is
 handed on once only may be taken for handed on with 63 / 2 ** 32, or 1.5e-8.
 """
@@ -182,9 +183,12 @@ def _met_before(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 def _equal_tokens(r: dict[str, np.ndarray], i, j, percent: int, least: int) -> np.ndarray:
     """Equal tokens of pairs that may reach the threshold, by these and by the size of the sets, and are not known to be connected; else 0."""
     n, sig = r["n"], r["sig"]
-    ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (r["root"][i] != r["root"][j])
-    equal = (sig[i] == sig[j]).sum(-1)
-    return np.where(ok & (equal >= least), equal, 0)
+    i, j = np.broadcast_arrays(i, j)
+    ok = np.flatnonzero((100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (r["root"][i] != r["root"][j]))
+    out = np.zeros(len(i), np.int64)
+    equal = (sig[i[ok]] == sig[j[ok]]).sum(-1)
+    out[ok] = np.where(equal >= least, equal, 0)
+    return out
 
 
 def _forest(i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -265,6 +269,23 @@ def _blocks(large: DataFrame, limit: int) -> DataFrame:
     return large.withColumn("node", F.xxhash64("node", block))
 
 
+def _apart(large: DataFrame, limit: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes those with ``limit`` documents at most outside their main component, as blocks; the rows of all others.
+
+    A block is a node of its own: about ``limit`` documents of the main component and
+    all others, so two documents of different components always share one.
+    """
+    shares = large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("own"))
+    shares = shares.groupBy("node").agg((F.sum("own") - F.max("own")).alias("rest"), F.max_by("root", "own").alias("main"))
+    few = keep(shares.filter(F.col("rest") <= limit).select("node", "main"))
+    blocks = F.ceil(F.col("size") / limit)
+    own = F.array(F.pmod(F.xxhash64("doc_id", "node"), blocks))
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    rows = large.join(few, "node").withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(every)))
+    return (rows.withColumn("node", F.xxhash64("node", "block")).select(*COLUMNS),
+            large.join(few.select("node"), "node", "left_anti"))
+
+
 def _cells(large: DataFrame, block: int, n_parts: int) -> DataFrame:
     """Nodes that are large after all levels, as cells of two blocks of about ``block`` documents each or of one block.
 
@@ -326,6 +347,9 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
         large = rows.filter(F.col("size") > limit)
         if large.isEmpty():
             break
+        if not forest:
+            blocks, large = _apart(large, limit, keep)
+            found.append(keep(compared(blocks)))
         rows = keep(large.select(*COLUMNS).mapInArrow(lambda b: _children(b, threshold), ROWS))
         rows = keep(sized(rows))
         found.append(keep(compared(rows.filter(F.col("size") <= limit))))
