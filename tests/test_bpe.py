@@ -84,3 +84,30 @@ def test_decode_round_trip(spark):
     enc = encode.encode_corpus(df, model.byte_ids, model.merges, keep=("text",))
     r = encode.decode_corpus(enc, hexes).first()
     assert r["decoded"] == "<bos>" + r["text"]
+
+
+def test_changes_leave_a_task_summed_and_a_block_is_passed_over_once(monkeypatch):
+    """Many merges of one round and many blocks: one pass a block, one row a step and pair."""
+    import pyarrow as pa
+    words = pa.RecordBatch.from_pydict({"syms": pa.array([[5, 6, 7, 8], [7, 8, 5, 6, 5, 6], [4, 7, 8]], pa.list_(pa.int32())),
+                                        "cnt": pa.array([2, 3, 10], pa.int64())})
+    block, = bpe.words_to_blocks([words])
+    passes, places = [], bpe._places
+    monkeypatch.setattr(bpe, "_places", lambda *a: passes.append(1) or places(*a))
+    out = list(bpe._round([], [(5, 6, 9), (7, 8, 10)])([block, block]))
+    rows = [r for o in out if o.column("kind")[0].as_py() == 1 for r in zip(*(o.column(k).to_pylist() for k in ("step", "left", "right", "change")))]
+    assert len(passes) == 2 and len(rows) == len({r[:3] for r in rows})
+    assert {r[:3]: r[3] for r in rows} == {
+        (0, 5, 6): -16, (0, 6, 7): -4, (0, 9, 7): 4, (0, 8, 5): -6, (0, 8, 9): 6, (0, 6, 5): -6, (0, 9, 9): 6,
+        (1, 7, 8): -30, (1, 9, 7): -4, (1, 9, 10): 4, (1, 8, 9): -6, (1, 10, 9): 6, (1, 4, 7): -20, (1, 4, 10): 20}
+
+
+def test_merges_that_overlap_are_taken_in_turn():
+    import numpy as np
+    import pyarrow as pa
+    words = pa.RecordBatch.from_pydict({"syms": pa.array([[5, 6, 7, 5, 6], [5, 5, 5, 6]], pa.list_(pa.int32())), "cnt": pa.array([1, 1], pa.int64())})
+    block, = bpe.words_to_blocks([words])
+    merges = [(5, 6, 9), (6, 7, 10), (9, 7, 11), (5, 5, 12)]
+    assert [len(m) for m in bpe._together(merges)] == [1, 2, 1]
+    after = list(bpe._round(merges, [])([block]))[0]
+    assert np.frombuffer(after.column("syms")[0].as_py(), np.int32).tolist() == [11, 9, -1, 12, 9, -1]
