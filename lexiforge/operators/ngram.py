@@ -13,15 +13,62 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexiforge.operators.encode import row_chunks
 from lexiforge.session import stored
 
 
-def _padding(ids: Column, seq_len: int) -> Column:
-    """Pad positions of the last window."""
-    return F.pmod(-F.size(ids), F.lit(seq_len))
+#: Positions that one pass of an Arrow function works on, at most (a longer row is a pass of its own).
+CHUNK = 2_000_000
+
+
+def _lists(batch: pa.RecordBatch, ids: str, limit: int = CHUNK):
+    """(rows, flat ids, ids of each row) in stretches of at most ``limit`` ids; rows without ids are left out."""
+    col = batch.column(ids)
+    some = pc.greater(pc.fill_null(pc.list_value_length(col), 0), 0)
+    batch = batch.filter(some)
+    size = pc.list_value_length(batch.column(ids)).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in row_chunks(size, limit):
+        rows = batch.slice(lo, hi - lo)
+        yield rows, rows.column(ids).flatten().to_numpy(), size[lo:hi]
+
+
+def _followed(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The id after each; the pad id 0 after a row's last."""
+    nxt = np.zeros(len(flat), np.int64)
+    nxt[:-1] = flat[1:]
+    nxt[np.cumsum(size) - 1] = 0
+    return nxt
+
+
+def _positions(keep: tuple, seq_len: int, ids: str, include_pad: bool):
+    def fn(batches):
+        for b in batches:
+            for rows, flat, size in _lists(b, ids, CHUNK // 4):
+                pad = (-size) % seq_len if include_pad else np.zeros(len(size), np.int64)
+                n = size + pad
+                ends = np.cumsum(n)
+                row = np.repeat(np.arange(len(n)), n)
+                i = np.arange(int(n.sum())) - (ends - n)[row]
+                real = i < size[row]
+                prev, nxt = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+                prev[real], nxt[real] = flat, _followed(flat, size)
+                at = pa.array(row)
+                cols = [rows.column(c).take(at) for c in keep]
+                cols += [pa.array(i // seq_len), pa.array((i % seq_len).astype(np.int32)), pa.array(prev), pa.array(nxt)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "win", "pos", "prev_id", "next_id"])
+    return fn
+
+
+def _kept(df: DataFrame, keep: tuple, more: list) -> T.StructType:
+    """Schema of the columns ``keep`` of ``df`` and of ``more`` (name, type)."""
+    return T.StructType([*df.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in more)])
 
 
 def window_positions(tokens: DataFrame, keep: tuple, seq_len: int, ids: str = "ids", include_pad: bool = True) -> DataFrame:
@@ -30,24 +77,51 @@ def window_positions(tokens: DataFrame, keep: tuple, seq_len: int, ids: str = "i
     The target of a document's last id is the pad id 0. The last window is
     padded (0 -> 0); those positions count in a loss unless ``include_pad`` is false.
     """
-    pad = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
-    extra = _padding(F.col(ids), seq_len) if include_pad else F.lit(0)
-    x = F.concat(F.col(ids), pad(extra))
-    y = F.concat(F.slice(ids, F.lit(2), F.greatest(F.size(ids), F.lit(1))), pad(extra + 1))
-    z = F.posexplode(F.arrays_zip(x.alias("x"), y.alias("y")))
-    return (tokens.filter(F.size(ids) > 0).select(*keep, z.alias("i", "z"))
-            .select(*keep, F.floor(F.col("i") / seq_len).alias("win"), F.pmod("i", F.lit(seq_len)).cast("int").alias("pos"),
-                    F.col("z.x").alias("prev_id"), F.col("z.y").alias("next_id")))
+    long = T.LongType()
+    schema = _kept(tokens, keep, [("win", long), ("pos", T.IntegerType()), ("prev_id", long), ("next_id", long)])
+    return tokens.select(*keep, ids).mapInArrow(_positions(keep, seq_len, ids, include_pad), schema)
+
+
+def _groups(rows: pa.RecordBatch, by: tuple):
+    """Number of each row's group by the columns ``by``, and a row of each group."""
+    code = np.zeros(rows.num_rows, np.int64)
+    for c in by:
+        values = rows.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code * (int(values.max(initial=0)) + 1) + values, return_inverse=True)[1]
+    return code, np.unique(code, return_index=True)[1]
+
+
+def _pair_counter(by: tuple, seq_len: int):
+    def fn(batches):
+        for b in batches:
+            for rows, flat, size in _lists(b, "ids"):
+                group, example = _groups(rows, by)
+                base = int(flat.max()) + 1
+                key = (np.repeat(group, size) * base + flat) * base + _followed(flat, size)
+                n_keys = len(example) * base * base
+                if n_keys <= CHUNK:
+                    n = np.bincount(key, minlength=n_keys)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                pads = np.bincount(group, weights=(-size) % seq_len, minlength=len(example)).astype(np.int64)
+                padded = np.flatnonzero(pads)
+                none = np.zeros(len(padded), np.int64)
+                at = pa.array(example[np.concatenate([key // (base * base), padded])])
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c).take(at) for c in by), pa.array(np.concatenate([key // base % base, none])),
+                     pa.array(np.concatenate([key % base, none])), pa.array(np.concatenate([n, pads[padded]]))],
+                    names=[*by, "prev_id", "next_id", "n"])
+    return fn
 
 
 def pair_counts(tokens: DataFrame, seq_len: int, by: tuple = ("split",)) -> DataFrame:
-    """(by..., prev_id, next_id, n) over all window positions; pads are counted, not made into rows."""
-    real = (window_positions(tokens, by, seq_len, include_pad=False)
-            .groupBy(*by, "prev_id", "next_id").agg(F.count(F.lit(1)).alias("n")))
-    none = F.lit(0).cast("bigint")
-    pads = (tokens.groupBy(*by).agg(F.sum(F.when(F.size("ids") > 0, _padding(F.col("ids"), seq_len))).alias("n"))
-            .select(*by, none.alias("prev_id"), none.alias("next_id"), F.col("n").cast("bigint").alias("n")))
-    return (real.unionByName(pads.filter("n > 0")).groupBy(*by, "prev_id", "next_id").agg(F.sum("n").alias("n")))
+    """(by..., prev_id, next_id, n) over all window positions, pads included; counted by batch before they are rows."""
+    long = T.LongType()
+    some = tokens.select(*by, "ids").mapInArrow(_pair_counter(by, seq_len), _kept(tokens, by, [
+        ("prev_id", long), ("next_id", long), ("n", long)]))
+    return some.groupBy(*by, "prev_id", "next_id").agg(F.sum("n").alias("n"))
 
 
 def context_totals(counts: DataFrame, ctx: tuple = ("prev_id",)) -> DataFrame:
@@ -152,12 +226,101 @@ def get_scorer(name: str, **kw):
 
 
 # ---- orders above two: contexts of several ids -------------------------------------------------------------------
+class _Contexts:
+    """Counts of (context, next id) of one group, summed within the task; ids packed into one number."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held = [], [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
+        self.counts.append(n)
+        self.held += len(key)
+
+    def sum(self):
+        key, n = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.keys, self.counts, self.held = [key[first]], [np.add.reduceat(n, first)], len(first)
+        return self.keys[0], self.counts[0]
+
+
+def _context_batch(group: tuple, types: list, names: tuple, back: np.ndarray, next_id: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of one group; ``back``: the ids before the next one, oldest first, -1 where there is none."""
+    has = back >= 0
+    ends = np.concatenate([[0], np.cumsum(has.sum(axis=1))])
+    ctx = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(back[has], pa.int64()))
+    cols = [pa.array([v] * len(n), t) for v, t in zip(group, types)]
+    return pa.RecordBatch.from_arrays([*cols, ctx, pa.array(next_id, pa.int64()), pa.array(n, pa.int64())], names=[*names, "ctx", "next_id", "n"])
+
+
+def _context_counter(order: int, ids: str, by: tuple):
+    bits = 62 // order
+    mask = (1 << bits) - 1
+
+    def fn(batches):
+        held, types = {}, []
+
+        def rows_of(group):
+            key, n = held.pop(group).sum()
+            for lo in range(0, len(key), CHUNK // 4):
+                k = key[lo:lo + CHUNK // 4]
+                back = np.empty((len(k), order - 1), np.int64)
+                for j in range(1, order):
+                    back[:, order - 1 - j] = (k >> bits * j & mask) - 1
+                yield _context_batch(group, types, by, back, k & mask, n[lo:lo + CHUNK // 4])
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            for rows, flat, size in _lists(b, ids):
+                group, example = _groups(rows, by)
+                row = np.repeat(np.arange(len(size)), size)
+                within = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
+                packed = int(flat.max()) < mask
+                back = []
+                for j in range(1, order):
+                    q = np.full(len(flat), -1, np.int64)
+                    q[j:] = flat[:-j] if j < len(flat) else q[j:]
+                    q[within < j] = -1
+                    back.append(q)
+                of = group[row]
+                for g, e in enumerate(example.tolist()):
+                    at = np.flatnonzero((within > 0) & (of == g))
+                    if not len(at):
+                        continue
+                    name = tuple(rows.column(c)[e].as_py() for c in by)
+                    if not packed:       # ids too large to share a number: counted by batch only
+                        seen = np.stack([*(q[at] for q in reversed(back)), flat[at]], axis=1)
+                        seen, n = np.unique(seen, axis=0, return_counts=True)
+                        yield _context_batch(name, types, by, seen[:, :-1], seen[:, -1], n)
+                        continue
+                    key = flat[at]
+                    for j, q in enumerate(back, 1):
+                        key = key | (q[at] + 1) << bits * j
+                    held.setdefault(name, _Contexts()).add(*np.unique(key, return_counts=True))
+                if sum(c.held for c in held.values()) > 2 * CHUNK:
+                    for name in list(held):
+                        held[name].sum()
+                    if sum(c.held for c in held.values()) > CHUNK:
+                        for name in list(held):
+                            yield from rows_of(name)
+        for name in list(held):
+            yield from rows_of(name)
+    return fn
+
+
 def context_counts(tokens: DataFrame, order: int, ids: str = "ids", by: tuple = ("split",), first: str | None = None) -> DataFrame:
     """(by..., ctx, next_id, n): how often an id follows its last ``order - 1`` ids (fewer at the start of a row).
 
-    What stands before the second id of a row, or before the place in column ``first``, is context only. Partial sums before the shuffle: rows grow with distinct contexts.
+    What stands before the second id of a row, or before the place in column ``first``, is context only. Whole texts are
+    counted by task before they are rows: rows grow with distinct contexts.
     """
-    start = F.col(first) if first else F.lit(2)
+    if first is None:
+        schema = _kept(tokens, by, [("ctx", T.ArrayType(T.LongType())), ("next_id", T.LongType()), ("n", T.LongType())])
+        some = tokens.select(*by, ids).mapInArrow(_context_counter(order, ids, by), schema)
+        return some.groupBy(*by, "ctx", "next_id").agg(F.sum("n").alias("n"))
+    start = F.col(first)
     grams = F.transform(F.sequence(start, F.size(ids)), lambda i: F.struct(
         F.slice(F.col(ids), F.greatest(F.lit(1), i - (order - 1)), F.least(F.lit(order - 1), i - 1)).alias("ctx"),
         F.element_at(F.col(ids), i).alias("next_id")))
