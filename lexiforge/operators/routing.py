@@ -10,12 +10,14 @@ ranges. Only E-sized tables (per-bucket counts) are broadcast.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.hashing import gumbel, keyed_uniform
 from lexiforge.operators.ordering import ordered_index
+from lexiforge.session import stored
 
 # ---- fixed values ----------------------------------------------------------
 EVAL_CAPACITY_TOKEN_FRACTION = 0.25
@@ -24,11 +26,15 @@ FLOAT64_EPS = 2.220446049250313e-16
 # ----------------------------------------------------------------------------
 
 
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once; what a lambda captures is evaluated for each element instead."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(a: Column) -> Column:
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return _given(a, lambda v: _given(F.array_max(v), lambda m: _given(
+        F.transform(v, lambda x: F.exp(x - m)), lambda e: _given(total(e), lambda s: F.transform(e, lambda x: x / s)))))
 
 
 def argmax(a: Column) -> Column:
@@ -73,9 +79,10 @@ def route_top1(df: DataFrame, num_experts: int, capacity_factor: float = 1.0,
     """(row_id, expert, slot, kept, gate, is_padding) and the capacity used."""
     n = df.count()
     cap = capacity(n, num_experts, 1, capacity_factor, eval_mode)
-    g = df.withColumn("gates", softmax(F.col("logits"))).withColumn("expert", argmax(F.col("gates")))
+    # numbered and joined below: gates are computed once
+    g = stored(df.select("row_id", "is_padding", softmax(F.col("logits")).alias("gates")), "gates")
+    g = g.withColumn("expert", argmax(F.col("gates")))
     g = g.withColumn("max_gate", F.array_max("gates")).withColumn("gate_raw", F.element_at("gates", F.col("expert") + 1))
-    g = g.drop("logits")
     routed = g.filter(~F.col("is_padding"))
     if prioritized:
         routed = routed.withColumn("_neg_gate", -F.col("max_gate"))
@@ -99,7 +106,8 @@ def route_top2(df: DataFrame, num_experts: int, policy: str = "sampling", seed:
     index numbers the slots of first and second choices.
     """
     cap = capacity(df.count(), num_experts, 2, eval_mode=eval_mode)
-    g = df.withColumn("gates", softmax(F.col("logits"))).withColumn("expert1", argmax(F.col("gates")))
+    g = stored(df.select("row_id", "is_padding", "logits", softmax(F.col("logits")).alias("gates")), "gates")
+    g = g.withColumn("expert1", argmax(F.col("gates")))
     if policy == "sampling":
         noisy = F.transform(F.col("logits"), lambda x, i: x + gumbel(seed, F.col("row_id"), i))
     else:
@@ -184,9 +192,10 @@ def balance(hist: DataFrame, num_experts: int) -> DataFrame:
 def balance_loss(gated: DataFrame, mask_expert: str, mask_col: str, num_experts: int,
                  num_rows: int) -> DataFrame:
     """E^2 * mean_e(mean gate_e * mean mask_e); means over all rows incl. padding."""
-    me = gated.select(F.posexplode("gates").alias("e", "p")).groupBy("e").agg(F.sum("p").alias("sp"))
-    ce = gated.filter(F.col(mask_col)).groupBy(F.col(mask_expert).alias("e")).agg(F.count(F.lit(1)).alias("nm"))
-    j = me.join(F.broadcast(ce), "e", "left")      # both sides have <= E rows
+    sums = [F.sum(F.get("gates", F.lit(i))).alias(f"p{i}") for i in range(num_experts)]
+    per = gated.groupBy(F.col(mask_expert).alias("g")).agg(F.count(F.when(F.col(mask_col), 1)).alias("nm"), *sums)   # <= E rows and one
+    each = per.select("g", "nm", F.posexplode(F.array(*[f"p{i}" for i in range(num_experts)])).alias("e", "p"))
+    j = each.groupBy("e").agg(F.sum("p").alias("sp"), F.sum(F.when(F.col("g") == F.col("e"), F.col("nm"))).alias("nm"))
     s = float(num_rows)
     return j.agg((F.sum(F.col("sp") / s * F.coalesce(F.col("nm"), F.lit(0)) / s)
                   / F.lit(num_experts) * F.lit(num_experts * num_experts)).alias("l_aux"))

@@ -54,3 +54,20 @@ def test_capacity_rules():
 def test_entropy_zero_prob(spark):
     e = spark.range(1).select(routing.entropy(F.array(F.lit(1.0), F.lit(0.0))).alias("e")).first()["e"]
     assert e == 0.0
+
+
+def test_balance_loss_computes_gates_once_and_reads_them_once(spark):
+    rows = [(1, [1.0, 2.0, 0.5], False), (2, [3.0, 1.0, 0.0], True), (3, [0.0, 0.0, 4.0], False), (4, None, True), (5, [2.0, 5.0, 1.0], False)]
+    df = spark.createDataFrame(rows, "row_id long, logits array<double>, is_padding boolean")
+    routed, _ = routing.route_top1(df, 3)
+    loss = routing.balance_loss(routed.withColumn("m", ~F.col("is_padding")), "expert", "m", 3, len(rows))
+    plan = loss._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "exp(" not in plan.replace("explode(", "") and plan.count("leftouter") == 2     # the slots' offsets, the slots: joined once each
+    sums, hits = [0.0] * 3, [0] * 3
+    for _, logits, pad in rows:
+        if logits:
+            e = [math.exp(x - max(logits)) for x in logits]
+            sums = [s + x / sum(e) for s, x in zip(sums, e)]
+            hits[logits.index(max(logits))] += not pad
+    want = sum(s / 5 * h / 5 for s, h in zip(sums, hits)) / 3 * 9
+    assert abs(loss.first()["l_aux"] - want) < 1e-12
