@@ -152,7 +152,7 @@ def _chunks(path: str) -> ChunkTable:
         out = []
         for lo in range(0, len(texts), 20_000):
             part = texts[lo:lo + 20_000]
-            ids = np.array(lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ends[ids]) + 1
             if len(cuts) != len(part):  # a word that the library splits further
                 out += [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(part, add_special_tokens=False)]

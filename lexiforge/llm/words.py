@@ -14,7 +14,7 @@ import functools
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +79,11 @@ class ChunkTable:
 
     def learn(self, new: list[str]) -> None:
         parts = [self.parts(c) for c in new]
-        distinct = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self.known]
-        ids = dict(zip(distinct, self.encode([w.encode() for w in distinct])))
-        found = [b"".join([ids[w] if w in ids else self.known[w] for w in p]) for p in parts]
+        words = dict.fromkeys(chain.from_iterable(parts))
+        ids = dict(zip(words, map(self.known.get, words)))
+        distinct = [w for w, known in ids.items() if known is None]
+        ids.update(zip(distinct, self.encode([w.encode() for w in distinct])))
+        found = [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
         self.known.update(zip(new, found))
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -89,18 +91,22 @@ class ChunkTable:
 
         Arrow lower-cases, splits and finds the distinct chunks; ids of all places are gathered at once.
         """
-        rows = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        rows = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))  # PLAIN has no other blanks
         flat = rows.flatten().dictionary_encode()
         chunks = flat.dictionary.to_pylist()
         known = self.known
-        new = [c for c in chunks if c and c not in known]
+        known[""] = b""
+        ids = list(map(known.get, chunks))
+        missing = [i for i, v in enumerate(ids) if v is None]
+        new = [chunks[i] for i in missing]
         if len(known) + len(new) > self.limit:  # of the older half, only what these texts use stays
             used = set(chunks)
             for k in list(islice(known, len(known) // 2)):
                 if k not in used:
                     del known[k]
         self.learn(new)
-        ids = [known[c] if c else b"" for c in chunks]
+        for i in missing:
+            ids[i] = known[chunks[i]]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         place = flat.indices.to_numpy()
         n = size[place]
@@ -126,7 +132,7 @@ class ChunkTable:
                 lo = m.end()
         return b"".join(out)
 
-    def ids(self, texts: list[str], at_once: int = 4_000_000) -> Iterator[bytes]:
+    def ids(self, texts: list[str], at_once: int = 8_000_000) -> Iterator[bytes]:
         """Id bytes of each text, in order."""
         group: list[str] = []
         size = 0

@@ -148,3 +148,24 @@ def test_packing_replaces_columns_of_its_own_names(spark):
     got = best_fit_pack(d, 10)
     assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
     assert sorted((r["length"], r["offset"]) for r in got.collect()) == [(5, 0), (6, 0)]
+
+
+def test_chunks_of_a_group_are_looked_up_once():
+    from lexiforge.llm.packing import _chunks
+    from lexiforge.llm.queries import TOKENIZER
+    from lexiforge.llm.words import ChunkTable, library
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return dict.__contains__(self, key)
+
+    texts = ["", "  ", "\t\x0b\x0c a\x1bb\n\nc  d ", "Ünï œ's DON'T stop.", "x " * 5, "  z", "a b. a, b 12.5", "don't stop."]
+    table = ChunkTable(TOKENIZER, _chunks(TOKENIZER).encode, limit=6)     # small: entries are dropped on the way
+    table.known = Counted()
+    for group in (texts, texts[:3], texts[3:] * 2):
+        want = [library(TOKENIZER).encode(t, add_special_tokens=False).ids for t in group]
+        assert [np.frombuffer(x, "<u4").tolist() for x in table.plain(group)] == want
+    assert Counted.asked == 0
