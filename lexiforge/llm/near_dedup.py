@@ -38,7 +38,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -325,8 +325,10 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
         return keep(placed.mapInArrow(lambda batches: _node_pairs(batches, percent, least, sketch), "a long, b long").distinct())
 
     def sized(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return keep(rows.join(keep(counts.filter("lo < hi").select("node", "size")), "node"))
+        # one exchange by node, whatever the sizes: a join with the nodes' counts moves all rows a second time
+        node = Window.partitionBy("node")
+        counts = {"size": F.count(F.lit(1)).over(node), "lo": F.min("root").over(node), "hi": F.max("root").over(node)}
+        return keep(rows.withColumns(counts).filter("lo < hi").drop("lo", "hi"))
 
     if sketch:
         rows = reps.select("doc_id", F.col("doc_id").alias("root"), F.slice("paths", 1, SKETCH).alias("paths"))
@@ -337,7 +339,7 @@ def candidate_pairs(reps: DataFrame, percent: int, keep: Scratch, limit: int, de
     found = []
     for level in range((SKETCH_DEPTH if sketch else depth) + 1):
         if level:
-            rows = sized(keep(signed(large).select(*COLUMNS).mapInArrow(lambda b: _children(b, threshold), ROWS)))
+            rows = sized(signed(large).select(*COLUMNS).mapInArrow(lambda b: _children(b, threshold), ROWS))
         found.append(compared(rows.filter(F.col("size") <= limit)))
         large = rows.filter(F.col("size") > limit)
         if large.isEmpty():

@@ -5,9 +5,10 @@ import random
 import numpy as np
 from helpers import SCHEMA, documents, edge_rows, near_dedup, ordered, passage, wide
 
+from lexiforge.llm import near_dedup as module
 from lexiforge.llm.common import Scratch
 from lexiforge.llm.components import connected_components
-from lexiforge.llm.near_dedup import TOKENS, TOP, least_matches, near_duplicates, shingle_set, survival, tree_count
+from lexiforge.llm.near_dedup import TOKENS, TOP, group_links, least_matches, near_duplicates, shingle_set, survival, tree_count
 
 ROWS = [(r[0], r[1]) for r in edge_rows()]
 
@@ -101,3 +102,60 @@ def test_losses_at_the_threshold_through_all_levels():
         assert (1 - t ** TOP * alive / 20_000) ** tree_count(t, 6) < 3e-10
         assert sum(math.comb(TOKENS, m) * t ** m * (1 - t) ** (TOKENS - m) for m in range(least_matches(t))) <= 1e-7
     assert tree_count(0.85, 0) == 25 and survival(0.85, 0) == 1
+
+
+def test_pairs_handed_on_grow_with_the_documents(spark, monkeypatch):
+    """A group of texts that are all just below the threshold hands on no pair for every two of them."""
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(3000)]
+    core = [rng.choice(words) for _ in range(400)]
+    rows = []
+    for k in range(70):
+        t = list(core)
+        for p in rng.sample(range(5, 395), 7):
+            t[p] = "own%d" % rng.randrange(10 ** 9)
+        rows.append((k, " ".join(t)))
+    rows += [(100, rows[3][1] + " end"), (101, rows[40][1] + " end"), (102, passage(rng, 80, words))]
+    assert sum(r[3] for r in near_dedup(rows, 85)) == 71
+    made = []
+    whole = module.candidate_pairs
+
+    def counted(*args):
+        out = whole(*args)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(module, "candidate_pairs", counted)
+    d = documents(spark, [(*r, None, None, None) for r in rows])
+    got = near_duplicates(d, 85, limit=8, depth=2).collect()
+    assert ordered(map(tuple, got)) == ordered(near_dedup(rows, 85))
+    assert len(made) == 2 and made[1] <= len(rows) and sum(made) <= (module.SKETCH + 1) * len(rows)
+
+
+def test_groups_in_blocks_equal_all_pairs(spark):
+    """Large subs in blocks of their own, small ones together; links only between different subs, all connected."""
+    rng = random.Random(13)
+    words = ["w%d" % k for k in range(3000)]
+    core = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(60):
+        t = list(core)
+        for p in rng.sample(range(120), k % 5):
+            t[p] = "own%d" % rng.randrange(10 ** 9)
+        rows.append((k, " ".join(t)))
+    sub = {k: 0 if k < 20 else 20 if k < 35 else k for k, _ in rows}
+    sets = {k: set(shingle_set(t.encode(), 5).tolist()) for k, t in rows}
+
+    def closure(edges):
+        root = {k: k for k in sub}
+        for a, b in [*edges, *sub.items()]:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+    links = {(a, b) for a in sub for b in sub if a < b and sub[a] != sub[b]
+             and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    plain = spark.createDataFrame([(k, t.encode()) for k, t in rows], "doc_id long, text binary")
+    members = spark.createDataFrame([(k, 7, s) for k, s in sub.items()], "doc_id long, cluster long, sub long")
+    with Scratch(spark) as keep:
+        for docs in (4, 1000):
+            got = {tuple(r) for r in group_links(members, plain, 5, 85, keep, docs).collect()}
+            assert got <= links and closure(got) == closure(links)
