@@ -12,6 +12,7 @@ suspected; the result is the same.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -60,33 +61,41 @@ def _packed(piece: bytes) -> np.ndarray:
     return np.packbits(full)
 
 
-def _pieces(flags: np.ndarray) -> list[bytes]:
-    out = []
-    for s in flags.reshape(-1, SEGMENT):
-        on = np.flatnonzero(s)
-        out.append(on.astype("<u2").tobytes() if 2 * len(on) < SEGMENT // 8 else np.packbits(s).tobytes())
-    return out
+def _piece(packed: np.ndarray) -> bytes:
+    """A segment of packed bits, or the numbers of its set bits if those are shorter."""
+    on = np.flatnonzero(np.unpackbits(packed))
+    return on.astype("<u2").tobytes() if 2 * len(on) < SEGMENT // 8 else packed.tobytes()
+
+
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte of each bit number in packed bits, and the bit's mask there."""
+    return at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+
+
+def filter_pieces(batches, least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """``segment, once, twice`` of a task's texts: both filters as packed bits, since a worker has them next to all else it holds."""
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    for b in batches:
+        for part in sized_slices(b, "text", 2_000_000):
+            seen = [d for t in part.column("text").to_pylist() for d in _document_keys(t, least)]
+            if not seen:
+                continue
+            words, n = np.unique(np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2), axis=0, return_counts=True)
+            byte, mask = _places(_bits(words, bits))
+            again = (n > 1) | (once[byte] & mask).all(1)
+            np.bitwise_or.at(twice, byte[again], mask[again])
+            np.bitwise_or.at(once, byte, mask)
+    pieces = list(zip(once.reshape(-1, SEGMENT // 8), twice.reshape(-1, SEGMENT // 8)))
+    for lo in range(0, len(pieces), 128):
+        rows = [(lo + k, _piece(a), _piece(b)) for k, (a, b) in enumerate(pieces[lo:lo + 128]) if a.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["segment", "once", "twice"])
 
 
 def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     """The second filter over all documents (a column ``text``), ``bits`` bits packed."""
 
-    def scan(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for b in batches:
-            for part in sized_slices(b, "text", 2_000_000):
-                seen = [d for t in part.column("text").to_pylist() for d in _document_keys(t, least)]
-                if not seen:
-                    continue
-                words, n = np.unique(np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2), axis=0, return_counts=True)
-                at = _bits(words, bits)
-                twice[at[(n > 1) | once[at].all(1)]] = True
-                once[at] = True
-        rows = [(k, a, b) for k, (a, b) in enumerate(zip(_pieces(once), _pieces(twice))) if a]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["segment", "once", "twice"])
-
     def merge(batches):
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
@@ -101,7 +110,7 @@ def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
 
     n = min(partitions(docs.sparkSession), max(1, bits // SEGMENT))
     merged = (docs.select(F.col("text").cast("binary").alias("text"))
-              .mapInArrow(scan, "segment int, once binary, twice binary")
+              .mapInArrow(lambda batches: filter_pieces(batches, least, bits), "segment int, once binary, twice binary")
               .repartition(n, "segment").mapInArrow(merge, "segment int, twice binary"))
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.collect():  # bits / 8 bytes in all, whatever the corpus holds
@@ -141,8 +150,8 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3, bits: int
                 if not seen:
                     continue
                 words = np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2)
-                at = _bits(words, bits)
-                hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+                byte, mask = _places(_bits(words, bits))
+                hit = (twice[byte] & mask).all(1)
                 words = words[hit].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(np.array(doc, np.int64)[hit])],

@@ -1,7 +1,11 @@
 """Line dedup and suffix dedup against brute force, on edge rows."""
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, documents, edge_rows, line_dedup, ordered, suffix_dedup, wide
 
+from lexiforge.llm import line_dedup as lines
 from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.suffix_dedup import remove_repeats
 
@@ -31,6 +35,21 @@ def test_lines_of_a_wide_and_an_empty_table(spark):
         dedup_lines(wide(spark), bits=1000)
 
 
+def test_a_task_holds_its_line_filters_as_bits():
+    bits = 1 << 26
+    texts = [f"{k:030d}\n{k % 7:040d}".encode() for k in range(200)]
+    tracemalloc.start()
+    got = list(lines.filter_pieces([pa.RecordBatch.from_pydict({"text": texts})], 20, bits))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * bits // 8  # two filters of bits / 8 bytes; a byte for each bit takes 16 times as much
+    rows = [r for b in got for r in b.to_pylist()]
+    of = {x: lines._bits(lines.np.frombuffer(lines._digest(x), "<u8").reshape(-1, 2), bits)[0] for t in texts for x in t.split(b"\n")}
+    for name, least in (("once", 1), ("twice", 2)):
+        found = {r["segment"] * lines.SEGMENT + i for r in rows for i in lines.np.flatnonzero(lines.np.unpackbits(lines._packed(r[name])))}
+        assert found == {i for x, at in of.items() for i in at.tolist() if sum(x in t.split(b"\n") for t in texts) >= least}
+
+
 def test_repeats_equal_brute_force(spark):
     got = remove_repeats(documents(spark).repartition(4)).select("doc_id", "n_bytes", "n_removed", "n_spans", "text").collect()
     assert ordered((*r[:4], bytes(r[4])) for r in got) == ordered(suffix_dedup(ROWS))
