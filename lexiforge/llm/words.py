@@ -77,14 +77,16 @@ class ChunkTable:
             return [chunk[:-1], chunk[-1]]
         return self.words(chunk)
 
-    def learn(self, new: list[str]) -> None:
-        parts = [self.parts(c) for c in new]
-        words = dict.fromkeys(chain.from_iterable(parts))
-        ids = dict(zip(words, map(self.known.get, words)))
-        distinct = [w for w, known in ids.items() if known is None]
-        ids.update(zip(distinct, self.encode([w.encode() for w in distinct])))
-        found = [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
-        self.known.update(zip(new, found))
+    def learn(self, new: list[str], at_once: int = 40_000) -> None:
+        for lo in range(0, len(new), at_once):  # what it takes besides the table does not grow with the texts
+            some = new[lo:lo + at_once]
+            parts = [self.parts(c) for c in some]
+            words = dict.fromkeys(chain.from_iterable(parts))
+            ids = dict(zip(words, map(self.known.get, words)))
+            distinct = [w for w, known in ids.items() if known is None]
+            ids.update(zip(distinct, self.encode([w.encode() for w in distinct])))
+            found = [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
+            self.known.update(zip(some, found))
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts within PLAIN, about so many characters together as ``ids`` sees to.
@@ -132,7 +134,7 @@ class ChunkTable:
                 lo = m.end()
         return b"".join(out)
 
-    def ids(self, texts: list[str], at_once: int = 8_000_000) -> Iterator[bytes]:
+    def ids(self, texts: list[str], at_once: int = 4_000_000) -> Iterator[bytes]:
         """Id bytes of each text, in order."""
         group: list[str] = []
         size = 0

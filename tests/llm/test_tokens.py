@@ -169,3 +169,18 @@ def test_chunks_of_a_group_are_looked_up_once():
         want = [library(TOKENIZER).encode(t, add_special_tokens=False).ids for t in group]
         assert [np.frombuffer(x, "<u4").tolist() for x in table.plain(group)] == want
     assert Counted.asked == 0
+
+
+def test_new_chunks_are_learned_in_slices():
+    sizes, inner = [], chunks_of(PATH).encode
+
+    def encode(words):
+        sizes.append(len(words))
+        return inner(words)
+
+    table = ChunkTable(PATH, encode)
+    new = [f"w{k:x}," for k in range(90_000)]
+    table.learn(new)
+    assert max(sizes) <= 3 * 40_000 and len(sizes) >= 3  # at most so many words in a chunk here
+    some = new[::3_000]
+    assert [np.frombuffer(table.known[c], "<u4").tolist() for c in some] == [ids_of(c) for c in some]
